@@ -36,31 +36,26 @@ COMMON_LEAST = 2000
 _LOW = 6  # bytes of a shingle hash that are sent beside its bucket
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """Row ranges of a batch with the shingle sets of their texts."""
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ranges of a batch: first, last, the shingle hashes of their sets, the sets' offsets and digests."""
     raw, offsets = tk.text_bytes(batch.column("text"))
     for first, last in tk.slices(offsets):
-        part = raw[offsets[first] : offsets[last]]
-        hashes, rows = tk.words(part, offsets[first : last + 1] - offsets[first])
-        yield first, last, [tk.shingles(hashes[rows[i] : rows[i + 1]], size) for i in range(last - first)]
-
-
-def _digest(h: np.ndarray) -> int:
-    """A signed 64-bit digest of a set, from its sorted hashes."""
-    return int(np.bitwise_xor.reduce(tk.mix(h ^ np.uint64(0x5BF03635)) + tk.mix(h) * np.uint64(3)).view(np.int64)) if len(h) else 0
+        h, rows = tk.shingles(*tk.words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]), size)
+        sums = np.concatenate([[0], np.cumsum(h, dtype=np.uint64)]).astype(np.uint64)
+        yield first, last, h, rows, (sums[rows[1:]] - sums[rows[:-1]]).view(np.int64)
 
 
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "key", "common"]
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, last, sets in _sets(batch, size):
-                n, keys = np.array([len(s) for s in sets], np.int64), np.array([_digest(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), pa.array(keys), pa.array([False] * len(n))], ["doc_id", "n", "key", "common"])
+            for first, last, h, rows, keys in _sets(batch, size):
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(np.diff(rows)), pa.array(keys), pa.array(np.zeros(len(keys), bool))], names)
                 one = np.unique(keys, return_index=True)[1]
-                h, c = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
+                h, c = np.unique(tk.gather(h, rows[one], np.diff(rows)[one]), return_counts=True)
                 h, c = h[c >= 4], c[c >= 4]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(c), pa.array(h.view(np.int64)), pa.array([True] * len(h))], ["doc_id", "n", "key", "common"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(c), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), bool))], names)
 
     return run
 
@@ -76,14 +71,13 @@ def _scatter(size: int, buckets: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(common.value, np.uint64)
         for batch in batches:
-            for _, _, sets in _sets(batch, size):
-                keys = np.array([_digest(s) for s in sets], np.int64)
-                n = np.array([len(s) for s in sets], np.int64)
+            for _, _, h, starts, keys in _sets(batch, size):
+                n = np.diff(starts)
                 one = np.unique(keys, return_index=True)[1]
                 one = one[n[one] > 0]
                 if not len(one):
                     continue
-                h, doc = np.concatenate([sets[i] for i in one]), np.repeat(np.arange(len(one)), n[one])
+                h, doc = tk.gather(h, starts[one], n[one]), np.repeat(np.arange(len(one)), n[one])
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 hot = known[at] == h if len(known) else np.zeros(len(h), bool)
                 b = np.where(hot, buckets, _bucket(h, buckets))
@@ -147,7 +141,7 @@ def _common_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
         n = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4").astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(n), pa.array([len(x) // 8 for x in hashes], pa.int64()), pa.array([True] * len(n)), pa.array(hashes, pa.binary()), pa.array([b"\xff" * (len(x) // 2) for x in hashes], pa.binary())],
+            [pa.array(key), pa.array(n), pa.array([len(x) // 8 for x in hashes], pa.int64()), pa.array([True] * len(n), pa.bool_()), pa.array(hashes, pa.binary()), pa.array([b"\xff" * (len(x) // 2) for x in hashes], pa.binary())],
             ["key", "n", "shared", "common", "hashes", "df"],
         )
 

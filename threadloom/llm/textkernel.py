@@ -16,10 +16,8 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_SPAN = 1 << 16
 _ODD = U64(0x9E3779B97F4A7C15)
-with np.errstate(over="ignore"):
-    _POWERS = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(_SPAN - 1, U64(0xD6E8FEB86659FD93))]))
+_KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,16 +71,26 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHI
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes. Spans are in order, don't overlap and aren't empty."""
-    if not len(starts):
-        return np.zeros(0, U64)
+    """A 64-bit hash of each span's bytes, eight bytes at a time."""
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()))
-    at = place - np.repeat(first, lengths)
-    value = raw[at + np.repeat(starts, lengths)].astype(U64) + U64(1)
-    value *= _POWERS[at & (_SPAN - 1)]
-    return mix(np.add.reduceat(value, first) ^ (lengths.astype(U64) * _ODD))
+    h = lengths.astype(U64) * _ODD
+    if not len(starts):
+        return h
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    left, rows, at = lengths, None, starts
+    while True:
+        part = np.ascontiguousarray(eights[at]).view("<u8").ravel() & _KEEP[np.minimum(left, 8)]
+        x = (part if rows is None else part ^ h[rows]) * U64(0xA0761D6478BD642F)
+        x ^= x >> U64(32)
+        if rows is None:
+            h += x
+        else:
+            h[rows] = x * U64(0xE7037ED1A0B428DB)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return mix(h)
+        rows = more if rows is None else rows[more]
+        left, at = left[more] - 8, at[more] + 8
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
@@ -92,18 +100,36 @@ def words(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE, f
     return span_hashes(raw, starts, ends), rows
 
 
-def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of one text's word hashes; a shorter text is one shingle."""
-    if not len(hashes):
-        return hashes
-    size_used = min(size, len(hashes))
-    n = len(hashes) - size_used + 1
-    total = np.full(n, size_used, U64) * _ODD
-    for k in range(size_used):
-        total *= U64(0xA0761D6478BD642F)
-        total += hashes[k : k + n]
-        total ^= total >> U64(29)
-    return np.unique(mix(total))
+def shingles(hashes: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each row, one row after the other, and their offsets.
+
+    hashes: of the words of all rows; rows: their offsets. A row of fewer than `size` words, but some,
+    has one shingle, its whole sequence.
+    """
+    n = len(hashes)
+    words_in = np.diff(rows)
+    total = np.full(n, size, U64) * _ODD
+    for k in range(min(size, n)):
+        head = total[: n - k]
+        head *= U64(0xA0761D6478BD642F)
+        head += hashes[k:]
+        head ^= head >> U64(29)
+    for i in np.flatnonzero((words_in > 0) & (words_in < size)):
+        x = int(words_in[i]) * 0x9E3779B97F4A7C15
+        for h in hashes[rows[i] : rows[i + 1]].tolist():
+            x = ((x ^ h) * 0xE7037ED1A0B428DB + 1) & 0xFFFFFFFFFFFFFFFF
+            x ^= x >> 31
+        total[rows[i]] = x
+    count = np.where(words_in >= size, words_in - size + 1, np.minimum(words_in, 1))
+    total = mix(gather(total, rows[:-1], count))
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        total[a:b].sort()
+    if not len(total):
+        return total, offsets
+    new = np.concatenate([[True], total[1:] != total[:-1]])
+    new[offsets[:-1][count > 0]] = True
+    return total[new], np.concatenate([[0], np.cumsum(new)])[offsets]
 
 
 def pack(values: np.ndarray, width: int) -> bytes:

@@ -1,2 +1,444 @@
+"""A query for each operator over the provided tables, and the SQL that says the same.
+
+The tables stand in for what models would extract: turns come from conversations, relations from
+events (user, event type, key), entities from parts, vectors from embeddings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from threadloom.functions import temporal, text, vector
+from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, ledger, rerank, retrieve
+from threadloom.plans.memory import folded
+from threadloom.sources import corpus
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+TURNS = """turns as (select 'S' || conv_id as session_id, strftime(date '2023-01-01' + cast(conv_id % 365 as integer), '%Y/%m/%d') as session_time,
+  turn as turn_idx, role as speaker, text as content from conversations where role in ('user', 'assistant'))"""
+PAIRS = f"""{TURNS}, begun as (select *, case when speaker = 'assistant' and lag(speaker) over (partition by session_id order by turn_idx) = 'user' then 0 else 1 end as begins from turns),
+  numbered as (select *, sum(begins) over (partition by session_id order by turn_idx) - 1 as chunk_idx from begun),
+  pairs as (select session_id, session_time, cast(chunk_idx as bigint) as chunk_idx, count(*) as n_turns, string_agg(upper(speaker[1]) || speaker[2:] || ': ' || content, chr(10) order by turn_idx) as text
+    from numbered group by all)"""
+RELATIONS = """relations as (select event_id as ordinal, 'u' || user_id as src, event_type as relation, 'k' || regexp_extract(props, '([0-9]+)', 1) as tgt,
+  strftime(ts, '%Y/%m/%d') as create_time, 'S' || (user_id % 20) as session_id, event_id as chunk_id, cast(1 + event_id % 10 as bigint) as strength from events)"""
+DEDUPED = f"""{RELATIONS}, deduped as (select min(ordinal) as ordinal, arg_min(src, ordinal) as src, arg_min(tgt, ordinal) as tgt, arg_min(relation, ordinal) as relation, arg_min(create_time, ordinal) as create_time,
+  arg_max(session_id, ordinal) as session_id, arg_max(chunk_id, ordinal) as chunk_id, max(strength) as strength, count(distinct chunk_id) as n_chunks, array_to_string(list_sort(list(distinct session_id)), ',') as sessions
+  from relations group by lower(src), lower(tgt), lower(relation))"""
+EDGES = f"""{DEDUPED}, edges as (select min(ordinal) as ordinal, src, tgt, arg_max(relation, ordinal) as relation, arg_max(session_id, ordinal) as session_id, arg_max(create_time, ordinal) as session_time, arg_max(chunk_id, ordinal) as chunk_id
+  from deduped group by src, tgt)"""
+NODES = f"""{EDGES}, persons as (select src as name, min(ordinal) as ordinal from relations group by src),
+  ends as (select name, min(ordinal) as edge_ordinal from (select src as name, ordinal from edges union all select tgt, ordinal from edges) group by name),
+  nodes as (select coalesce(p.ordinal, edge_ordinal) as ordinal, e.name, case when p.name is not null then 'person' end as entity_type, p.name is not null as extracted from ends e left join persons p using (name))"""
+ENTITIES = f"""{EDGES}, components as (select label as question_id, i, avg(cast(x as double)) as x from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by all),
+  centres as (select question_id, list(x order by i) as query_vec from components group by question_id),
+  users as (select user_id as vec_id, min(event_id) as ordinal from events group by user_id),
+  scored as (select question_id, u.ordinal, 'u' || vec_id as name, round(greatest(0.7 * list_cosine_similarity(cast(embedding as double[]), query_vec), 0), 6) as score from users u join embeddings using (vec_id) cross join centres),
+  ranked as (select *, row_number() over (partition by question_id order by score desc, ordinal) - 1 as rank from scored),
+  entities as (select * from ranked where rank < 8)"""
+POOL = f"""{ENTITIES}, triples as (select question_id, rank, edges.*, 1 / (rank + 1.0) as entity_bonus, ((edges.ordinal * 7919) % 1000) / 1000.0 as similarity from edges join entities on src = name),
+  pooled as (select *, round(cast(similarity as double) + 0.2 * cast(entity_bonus as double), 6) as pool_score from triples),
+  pool as (select * from (select *, row_number() over (partition by question_id order by pool_score desc, ordinal) - 1 as pool_rank from pooled) where pool_rank < 20),
+  sessions as (select question_id, 'S' || s as session_id, ((question_id * 31 + s * 17) % 100) / 100.0 as session_score from (select distinct question_id from pool), range(20) r(s) where s % 3 <> 0)"""
+SIMPLE = f"""{POOL}, simple as (select * from (select *, row_number() over (partition by question_id order by final_score desc, pool_rank) - 1 as final_rank from
+  (select pool.*, round(0.7 * similarity::double + 0.3 * coalesce(session_score::double, 0), 6) as final_score from pool left join sessions using (question_id, session_id))) where final_rank < 8)"""
+QA = """qa as (select p_partkey as question_id, p_brand as question_type,
+  case p_partkey % 4 when 0 then list_reduce(list_reverse(string_split(p_name, ' ')), lambda a, x: a || ' ' || x) when 1 then cast(p_size as varchar) when 2 then upper(p_name) || '!' else p_type end as answer,
+  case p_partkey % 4 when 1 then 'The size is ' || p_size || ' units.' when 3 then case when p_partkey % 3 = 0 then '' else 'It is ' || p_name end else 'The part is ' || p_name || '.' end as output from part),
+  normal as (select *, lower(trim(answer)) as e, lower(trim(output)) as o, lower(trim(regexp_replace(regexp_replace(answer, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) as en,
+    lower(trim(regexp_replace(regexp_replace(output, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) as ona from qa),
+  judged as (select question_id, question_type, output <> '' as answered, case when answer = '' or output = '' then false when contains(o, e) then true
+    when regexp_matches(e, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$') or regexp_matches(e, '^\\d+(\\.\\d+)?\\s*\\w*$') then list_contains(regexp_extract_all(o, '\\d+(?:\\.\\d+)?'), regexp_extract(e, '\\d+(?:\\.\\d+)?'))
+    else contains(ona, en) or (len(string_split(en, ' ')) <= 3 and len(list_filter(string_split(en, ' '), lambda x: not list_contains(string_split(ona, ' '), x))) = 0) end as correct from normal)"""
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def day(number):
+    return F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (number % 365).cast("int")), "yyyy/MM/dd")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    return rows.select(F.concat(F.lit("S"), "conv_id").alias("session_id"), day(F.col("conv_id")).alias("session_time"), F.col("turn").alias("turn_idx"), F.col("role").alias("speaker"), F.col("text").alias("content"))
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("ordinal"), F.concat(F.lit("u"), "user_id").alias("src"), F.col("event_type").alias("relation"), F.concat(F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1)).alias("tgt"),
+        F.date_format("ts", "yyyy/MM/dd").alias("create_time"), F.concat(F.lit("S"), (F.col("user_id") % 20)).alias("session_id"), F.col("event_id").alias("chunk_id"), (1 + F.col("event_id") % 10).alias("strength"),
+    )
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_of(dedup.deduplicate_relations(relations(spark, sf_dir)))
+
+
+def longs(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+@query(f"with {PAIRS} select *, row_number() over (order by session_id, chunk_idx) - 1 as chunk_id from pairs")
+def chunk_turn_pairs(spark, sf_dir):
+    return longs(chunking.with_chunk_ids(chunking.pair_turns(turns(spark, sf_dir))), "chunk_idx", "n_turns")
+
+
+@query(f"""with {TURNS}, numbered as (select *, (row_number() over (partition by session_id order by turn_idx) - 1) // 2 as chunk_idx from turns)
+select session_id, session_time, chunk_idx, count(*) as n_turns, string_agg(speaker || ': ' || content, chr(10) order by turn_idx) as text from numbered group by all""")
+def chunk_fixed_pairs(spark, sf_dir):
+    return longs(chunking.fixed_pairs(turns(spark, sf_dir)), "chunk_idx", "n_turns")
+
+
+@query("""with words as (select doc_id, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') as w from documents),
+starts as (select doc_id, w, unnest(range(0, len(w), 1100)) as start_idx from words where len(w) > 0), cut as (select doc_id, start_idx, w[start_idx + 1 : start_idx + 1200] as w from starts)
+select doc_id, start_idx, start_idx + len(w) as end_idx, len(w) as token_count, md5(array_to_string(w, ' ')) as text_md5 from cut""")
+def chunk_token_window(spark, sf_dir):
+    rows = chunking.token_windows(read(spark, sf_dir, "documents"), 1200, 100)
+    return longs(rows, "start_idx", "end_idx", "token_count").select("doc_id", "start_idx", "end_idx", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query(f"""with {PAIRS} select count(*) as total_chunks, sum(len(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))) as total_tokens,
+count(distinct session_id) as sessions, count_if(n_turns >= 2) as paired, count_if(n_turns < 2) as alone, count_if(trim(text) = '') as invalid from pairs""")
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_statistics(chunking.pair_turns(turns(spark, sf_dir)))
+
+
+@query(f"""with {TURNS} select session_id, min(session_time) as session_time, list_reduce(list(content order by turn_idx), lambda a, x: case when contains(a, x) then a else a || chr(10) || chr(10) || x end) as context from turns group by session_id""")
+def session_concat(spark, sf_dir):
+    return chunking.concat_sessions(turns(spark, sf_dir).select("session_id", "session_time", F.col("turn_idx").alias("ordinal"), F.col("content").alias("context")))
+
+
+def flattened(spark, sf_dir) -> DataFrame:
+    """Sessions with their turns in one string."""
+    rows = turns(spark, sf_dir).groupBy("session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
+    return rows.select("session_id", "session_time", corpus.flatten_turns(F.col("t"), "speaker", "content").alias("context"))
+
+
+@query(f"""with {TURNS} select session_id, session_time, row_number() over (partition by session_id order by turn_idx) - 1 as turn_idx, speaker, trim(regexp_replace(content, '\\s+', ' ', 'g')) as content from turns""")
+def parse_turns(spark, sf_dir):
+    return longs(chunking.parse_turns(flattened(spark, sf_dir)), "turn_idx")
+
+
+def replies(spark, sf_dir) -> DataFrame:
+    r = relations(spark, sf_dir).withColumn("given", F.when(F.col("ordinal") % 7 == 0, "x").otherwise(F.col("strength").cast("string")))
+    record = F.concat(F.lit('("relationship"|'), F.concat_ws("|", "create_time", "session_id", "src", "tgt", "relation", "given"), F.lit(")"))
+    entity = lambda c, kind, *more: F.concat(F.lit('("entity"|"'), c, F.lit(f'"|{kind}'), *more, F.lit(")"))
+    return r.select("ordinal", F.concat_ws("##", entity("src", "person", F.lit("|of "), F.col("session_id")), entity("tgt", "object"), record, F.lit("END"), F.lit("")).alias("reply"))
+
+
+@query(f"""with {RELATIONS} select ordinal, src as entity, 'person' as type, 'of ' || session_id as description from relations union all select ordinal, tgt, 'object', '' from relations""")
+def parse_entities(spark, sf_dir):
+    return extract.parse_entities(replies(spark, sf_dir))
+
+
+@query(f"""with {RELATIONS} select ordinal, create_time, session_id, src, tgt, relation, case when ordinal % 7 = 0 then 1 else strength end as strength, (case when ordinal % 7 = 0 then 1 else strength end) / 10.0::double as weight from relations""")
+def parse_relations(spark, sf_dir):
+    return longs(extract.parse_relations(replies(spark, sf_dir)), "strength")
+
+
+@query("select event_id, strftime(ts, '%Y/%m/%d') as stamped, strftime(ts, '%Y/%m/%d') as named, strftime(ts, '%Y/%m/%d') as edge_time, cast(abs(date_diff('day', cast(ts as date), date '2024-01-15')) as double) as gap from events")
+def date_normalise(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    stamped = temporal.date_prefix(F.date_format("ts", "yyyy/MM/dd (EEE) HH:mm"))
+    named = temporal.named_date(F.date_format("ts", "'1:56 pm on' d MMMM, yyyy"))
+    edge = temporal.edge_time(F.lit(""), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.array(F.lit("2030/01/01")))
+    return e.select("event_id", stamped.alias("stamped"), named.alias("named"), edge.alias("edge_time"), temporal.day_gap(edge, F.lit("2024/1/15")).alias("gap"))
+
+
+@query("select user_id, array_to_string(list_sort(list_distinct(list('D' || (event_id % 30)))), ',') as sessions from events group by user_id")
+def evidence_sessions(spark, sf_dir):
+    marks = F.concat(F.lit("D"), F.col("event_id") % 30, F.lit(":"), F.regexp_extract("props", "([0-9]+)", 1))
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(marks).alias("evidence"))
+    return rows.select("user_id", F.array_join(F.array_sort(text.evidence_sessions(F.col("evidence"))), ",").alias("sessions"))
+
+
+@query(f"""with {TURNS}, flat as (select session_id, cast(session_id[2:] as bigint) as conv_id, any_value(session_time) as session_time, string_agg('"' || speaker || '": "' || content || '"', '' order by turn_idx) as context from turns group by session_id)
+select conv_id % 10 as item, row_number() over (partition by conv_id % 10 order by conv_id) - 1 as place, session_id, session_time, context from flat""")
+def zip_sessions(spark, sf_dir):
+    rows = turns(spark, sf_dir).groupBy("session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
+    rows = rows.withColumn("conv_id", F.substring("session_id", 2, 20).cast("long"))
+    item = rows.groupBy((F.col("conv_id") % 10).alias("item")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "session_id", F.concat("session_time", F.lit(" (Mon) 10:00")).alias("date"), "t"))).alias("s"))
+    items = item.select("item", F.col("s.session_id").alias("ids"), F.concat("s.date", F.array(F.lit("2030/01/01"))).alias("dates"), F.col("s.t").alias("sessions"))
+    zipped = corpus.zip_sessions(items, "ids", "dates", "sessions", ["item"])
+    return longs(zipped.select("item", "place", "session_id", "session_time", corpus.flatten_turns(F.col("turns"), "speaker", "content").alias("context")), "place")
+
+
+_SETS = "list_distinct(string_split(lower(p_name), ' ')) as a, list_distinct(string_split(lower(p_type), ' ')) as b"
+
+
+@query(f"""with s as (select *, {_SETS} from part), j as (select *, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as jaccard from s)
+select p_partkey, round(jaccard, 6) as jaccard, round(case when lower(p_name) = lower(p_type) then 1 when contains(lower(p_name), lower(p_type)) or contains(lower(p_type), lower(p_name)) then 0.8 when jaccard > 0 then least(1, jaccard + 0.2) else 0 end::double, 6) as similarity from j""")
+def entity_jaccard(spark, sf_dir):
+    a, b = F.col("p_name"), F.col("p_type")
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(text.jaccard(text.token_set(a), text.token_set(b)), 6).alias("jaccard"), F.round(text.name_similarity(a, b), 6).alias("similarity"))
+
+
+def part_mentions(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("entity"), F.col("p_brand").alias("type"), F.col("p_size").cast("long").alias("chunk_id"))
+
+
+@query("""select min(p_partkey) as ordinal, arg_min(p_name, p_partkey) as entity, arg_min(p_brand, p_partkey) as type, cast(arg_max(p_size, p_partkey) as bigint) as chunk_id, count(distinct p_size) as n_chunks, count(*) as mentions
+from part group by lower(p_brand), list_sort(list_distinct(string_split(lower(p_name), ' ')))""")
+def entity_dedup(spark, sf_dir):
+    kept, _ = dedup.deduplicate_entities(part_mentions(spark, sf_dir))
+    return kept.select("ordinal", "entity", "type", "chunk_id", F.size("chunk_ids").cast("long").alias("n_chunks"), "mentions")
+
+
+@query()
+def entity_dedup_texts(spark, sf_dir):
+    """Leaders of whole texts as names, typed by language: here unequal token sets merge too. Greedy, so not SQL."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    return dedup.entity_leaders(docs.select(F.col("doc_id").alias("ordinal"), F.col("text").alias("entity"), F.col("lang").alias("type"))).select("ordinal", "leader")
+
+
+@query(f"with {DEDUPED} select *, strength / 10.0::double as weight from deduped")
+def relation_dedup(spark, sf_dir):
+    names = part_mentions(spark, sf_dir).select(F.col("entity").alias("name"), F.col("entity").alias("canonical")).distinct()
+    rows = dedup.deduplicate_relations(dedup.canonical_ends(relations(spark, sf_dir), names))
+    return rows.select("ordinal", "src", "tgt", "relation", "create_time", "session_id", "chunk_id", "strength", F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("session_ids", ",").alias("sessions"), "weight")
+
+
+def persons(spark, sf_dir) -> DataFrame:
+    return relations(spark, sf_dir).select("ordinal", F.col("src").alias("entity"), F.lit("person").alias("type"), "chunk_id")
+
+
+@query(f"with {NODES} select * from nodes")
+def graph_nodes(spark, sf_dir):
+    return graph.nodes_of(persons(spark, sf_dir), edges(spark, sf_dir)).drop("chunk_id")
+
+
+@query(f"with {EDGES} select * from edges")
+def graph_edges(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@query(f"""with {NODES} select 'nodes' as kind, '' as value, count(*) as n from nodes union all select 'edges', '', count(*) from edges union all select 'node_type', coalesce(entity_type, 'unknown'), count(*) from nodes group by 2
+union all select 'edge_type', relation, count(*) from edges group by 2""")
+def graph_stats(spark, sf_dir):
+    found = edges(spark, sf_dir)
+    return graph.statistics(graph.nodes_of(persons(spark, sf_dir), found), found)
+
+
+@query(f"""with {RELATIONS} select min(ordinal) as ordinal, src, tgt, arg_min(relation, ordinal) as relation, arg_max(session_id, ordinal) as session_id, arg_max(create_time, ordinal) as session_time, arg_max(chunk_id, ordinal) as chunk_id,
+max(strength) as strength, max(strength) / 10.0::double as weight, count(distinct chunk_id) as n_chunks, array_to_string(list_sort(list(distinct create_time)), ',') as times from relations group by src, tgt""")
+def graph_merge(spark, sf_dir):
+    rows = relations(spark, sf_dir)
+    half = rows.agg(F.max("ordinal") / 2).first()[0] or 0
+    merged = graph.merge_edges(folded(rows.where(F.col("ordinal") < half)), folded(rows.where(F.col("ordinal") >= half)))
+    return merged.select("ordinal", "src", "tgt", "relation", "session_id", "session_time", "chunk_id", "strength", "weight", F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("session_times", ",").alias("times"))
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    """A question for each label: its vector is the label's mean."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("question_id"), F.posexplode("embedding").alias("i", "x"))
+    e = e.groupBy("question_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return e.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("query_vec")).withColumn("query_ord", F.lit(0)).withColumn("query_type", F.lit("unknown"))
+
+
+def entities(spark, sf_dir) -> DataFrame:
+    users = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("vec_id")).agg(F.min("event_id").alias("ordinal"))
+    nodes = users.join(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("name", F.concat(F.lit("u"), "vec_id")).withColumn("entity_type", F.lit("person"))
+    return retrieve.top_entities(retrieve.entity_scores(questions(spark, sf_dir), nodes), 8)
+
+
+@query(f"with {ENTITIES} select question_id, ordinal, name, score, rank from entities")
+def vector_topk(spark, sf_dir):
+    return longs(entities(spark, sf_dir).drop("entity_type"), "rank")
+
+
+def pool(spark, sf_dir) -> DataFrame:
+    found = retrieve.incident_triples(entities(spark, sf_dir), edges(spark, sf_dir))
+    return retrieve.triple_pool(found.withColumn("similarity", F.col("ordinal") * 7919 % 1000 / 1000.0), 8)
+
+
+@query(f"with {POOL} select question_id, src, tgt, relation, pool_score, pool_rank from pool")
+def triple_pool(spark, sf_dir):
+    return longs(pool(spark, sf_dir).select("question_id", "src", "tgt", "relation", "pool_score", "pool_rank"), "pool_rank")
+
+
+def session_scores(found: DataFrame) -> DataFrame:
+    s = found.select("question_id").distinct().withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(19)))).where("s % 3 != 0")
+    return s.select("question_id", F.concat(F.lit("S"), "s").alias("session_id"), ((F.col("question_id") * 31 + F.col("s") * 17) % 100 / 100.0).alias("session_score"))
+
+
+def simple(spark, sf_dir) -> DataFrame:
+    found = pool(spark, sf_dir)
+    return rerank.simple(found, session_scores(found), 0.3, 8)
+
+
+@query(f"with {SIMPLE} select question_id, src, tgt, final_score, final_rank from simple")
+def rerank_simple(spark, sf_dir):
+    return longs(simple(spark, sf_dir).select("question_id", "src", "tgt", "final_score", "final_rank"), "final_rank")
+
+
+@query(f"""with {POOL}, gaps as (select pool.*, coalesce(session_score::double, 0) as s, cast(abs(date_diff('day', date '2024-01-15', strptime(session_time, '%Y/%m/%d')::date)) as double) as gap from pool left join sessions using (question_id, session_id)),
+scored2 as (select g.*, round((0.3 * case when s = 0 then 0.01 else s end + 0.7 * similarity::double) * exp(-pow(gap / greatest(median(gap) over (partition by question_id), 1.0), 0.5)), 6) as final_score from gaps g)
+select question_id, src, tgt, final_score, final_rank from (select *, row_number() over (partition by question_id order by final_score desc, pool_rank) - 1 as final_rank from scored2) where final_rank < 8""")
+def rerank_temporal(spark, sf_dir):
+    found = pool(spark, sf_dir).withColumn("question_time", F.lit("2024/01/15 (Mon) 10:00")).withColumn("timestamp", F.col("session_time"))
+    rows = rerank.temporal_rerank(found, session_scores(found), 0.3, 0.5, 8)
+    return longs(rows.select("question_id", "src", "tgt", "final_score", "final_rank"), "final_rank")
+
+
+def event_chunks(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("chunk_id"), F.concat_ws(" ", "event_type", "props").alias("text"))
+
+
+def fetched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    best = simple(spark, sf_dir)
+    return best, context.chunks_of(best.withColumn("chunk_ids", F.array(F.col("chunk_id"))), event_chunks(spark, sf_dir), 3)
+
+
+CHUNKS = f"""{SIMPLE}, firsts as (select question_id, chunk_id, min(final_rank) as r from simple group by all), chosen as (select * from (select question_id, chunk_id, row_number() over (partition by question_id order by r, chunk_id) - 1 as chunk_rank from firsts) where chunk_rank < 3),
+  fetched as (select question_id, chunk_id, event_type || ' ' || props as text, chunk_rank from chosen left join events on chunk_id = event_id)"""
+
+
+@query(f"with {CHUNKS} select * from fetched")
+def chunk_fetch(spark, sf_dir):
+    return longs(fetched(spark, sf_dir)[1], "chunk_rank")
+
+
+@query(f"""with {CHUNKS}, t as (select question_id, string_agg('(' || src || ', ' || relation || ', ' || tgt || ')', '; ' order by final_rank) as t from simple group by question_id),
+c as (select question_id, string_agg('[' || (chunk_rank + 1) || '] ' || text, chr(10) order by chunk_rank) as c from fetched group by question_id)
+select question_id, 'Facts: ' || t || chr(10) || 'Passages:' || chr(10) || c || chr(10) || 'Question: Who is near label ' || question_id || '?' as prompt from t join c using (question_id)""")
+def retrieve_pipeline(spark, sf_dir):
+    """From question vectors to prompts: entities, triples, pool, rerank, chunks, assembly."""
+    best, chunks = fetched(spark, sf_dir)
+    asked = best.select("question_id").distinct().withColumn("question", F.concat(F.lit("Who is near label "), "question_id", F.lit("?")))
+    return context.prompts(asked, best, chunks)
+
+
+@query(f"""with {PAIRS}, cut as (select *, list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), 'User:')) as l, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 10 and not starts_with(lower(x), 'assistant')) as s from pairs)
+select session_id, chunk_idx, case when len(l) > 0 then array_to_string(list_transform(l, lambda x: trim(trim(x)[6:])), ' ') when len(s) > 0 then array_to_string(s[1:2], '. ') when length(text) > 200 then text[1:200] || '...' else text end as said from cut""")
+def user_utterances(spark, sf_dir):
+    return longs(chunking.pair_turns(turns(spark, sf_dir)).select("session_id", "chunk_idx", context.user_utterances(F.col("text")).alias("said")), "chunk_idx")
+
+
+@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as summary from conversations group by conv_id")
+def summary_text_map(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    pair = lambda kind, v: F.struct(F.concat(F.lit(f"{kind}_"), F.col("turn") + 1).alias("key"), F.col(v).alias("value"))
+    rows = c.withColumn("e", F.explode(F.array(pair("theme", "role"), pair("summary", "text")))).groupBy("conv_id").agg(F.map_from_entries(F.collect_list("e")).alias("context"))
+    return rows.select("conv_id", context.summary_text(F.col("context")).alias("summary"))
+
+
+def results(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    answer = F.when(k == 0, F.array_join(F.reverse(F.split("p_name", " ")), " ")).when(k == 1, F.col("p_size").cast("string")).when(k == 2, F.concat(F.upper("p_name"), F.lit("!"))).otherwise(F.col("p_type"))
+    third = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("It is "), "p_name"))
+    output = F.when(k == 1, F.concat(F.lit("The size is "), F.col("p_size").cast("string"), F.lit(" units."))).when(k == 3, third).otherwise(F.concat(F.lit("The part is "), "p_name", F.lit(".")))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("question_type"), answer.alias("answer"), output.alias("output"))
+
+
+@query(f"with {QA} select question_id, answered, correct from judged")
+def answer_match(spark, sf_dir):
+    return evaluate.judged(results(spark, sf_dir)).select("question_id", "answered", "correct")
+
+
+_METRICS = "count(*) as total_questions, count_if(answered) as answered_questions, count_if(correct) as correct_answers, round(count_if(correct) / count(*), 6) as accuracy, round(count_if(answered) / count(*), 6) as answer_rate"
+
+
+@query(f"with {QA} select {_METRICS} from judged")
+def eval_accuracy(spark, sf_dir):
+    return evaluate.metrics(evaluate.judged(results(spark, sf_dir)))
+
+
+@query(f"with {QA} select question_type, {_METRICS} from judged group by question_type")
+def eval_by_type(spark, sf_dir):
+    return evaluate.metrics(evaluate.judged(results(spark, sf_dir)), "question_type")
+
+
+@query("""with s as (select user_id, list('S' || (event_id % 20)) as origin, list(distinct 'S' || (cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 20)) as found from events group by user_id)
+select user_id, round(len(list_filter(origin, lambda x: list_contains(found, x))) / len(origin), 6) as recall from s""")
+def session_recall(spark, sf_dir):
+    found = F.collect_set(F.concat(F.lit("S"), F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 20))
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.concat(F.lit("S"), F.col("event_id") % 20)).alias("origin"), found.alias("found"))
+    return rows.select("user_id", F.round(evaluate.session_recall(F.col("origin"), F.col("found")), 6).alias("recall"))
+
+
+def calls(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), text.token_estimate(F.col("props")).alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"), F.abs("value").alias("seconds"))
+    prices = spark.createDataFrame([(f"m{k}", 0.5 + k, 1.5 + k) for k in range(4)], ledger.PRICES)
+    return ledger.costs(rows, prices)
+
+
+CALLS = """calls as (select event_type as stage, greatest(1, length(props) // 4) as p, event_id % 50 as c, abs(value) as seconds, case when user_id % 5 < 4 then (greatest(1, length(props) // 4) * (0.5 + user_id % 5) + (event_id % 50) * (1.5 + user_id % 5)) / 1000 else 0 end::double as cost from events)"""
+
+
+@query(f"with {CALLS} select stage, count(*) as calls, cast(sum(p) as bigint) as prompt_tokens, cast(sum(c) as bigint) as completion_tokens, round(sum(cost), 4) as cost from calls group by stage")
+def token_cost(spark, sf_dir):
+    return ledger.by_stage(calls(spark, sf_dir)).select("stage", "calls", "prompt_tokens", "completion_tokens", F.round("cost", 4).alias("cost"))
+
+
+@query(f"with {CALLS} select stage, round(sum(seconds), 4) as seconds, round(avg(seconds), 4) as mean_seconds, round(100 * sum(seconds) / sum(sum(seconds)) over (), 4) as percent from calls group by stage")
+def stage_time(spark, sf_dir):
+    return ledger.by_stage(calls(spark, sf_dir)).select("stage", *[F.round(c, 4).alias(c) for c in ("seconds", "mean_seconds", "percent")])
+
+
+@query(f"with {QA} select question_id, sum(correct::int) over w as right_so_far, round(sum(correct::int) over w / count(*) over w, 6) as accuracy_so_far from judged window w as (partition by question_type order by question_id)")
+def running_accuracy(spark, sf_dir):
+    order = Window.partitionBy("question_type").orderBy("question_id")
+    return evaluate.running_accuracy(evaluate.judged(results(spark, sf_dir)), order).select("question_id", "right_so_far", "accuracy_so_far")
+
+
+@query("""with nodes as (select min(p_partkey) as ordinal, p_brand || ' ' || p_type as name from part group by 2), q as (select distinct p_brand as question_id from part),
+found as (select question_id, ordinal, name, row_number() over (partition by question_id order by ordinal, name) - 1 as rank from q join nodes on contains(lower(name), lower(question_id))) select question_id, name, rank from found where rank < 5""")
+def name_fallback(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    nodes = part.groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("name")).agg(F.min("p_partkey").alias("ordinal")).withColumn("entity_type", F.lit("part"))
+    asked = part.select(F.col("p_brand").alias("question_id"), F.lit(0).alias("query_ord"), F.col("p_brand").alias("query_name")).distinct()
+    return longs(retrieve.name_fallback(asked, nodes, 5), "rank")
+
+
+@query("""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 2) as k from documents) select doc_id, len(k) as n_keywords, md5(array_to_string(k, ' ')) as keywords_md5 from w""")
+def keyword_tokens(spark, sf_dir):
+    found = text.keywords(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_keywords"), F.md5(F.array_join(found, " ")).alias("keywords_md5"))
+
+
+@query(f"with {ENTITIES}, names as (select distinct name from entities) select src, tgt, relation, min(chunk_id) as chunk_id from edges where src in (from names) or tgt in (from names) group by all")
+def retrieve_incident(spark, sf_dir):
+    return retrieve.incident_relations(entities(spark, sf_dir).select("name").distinct(), edges(spark, sf_dir)).drop("phase")
+
+
+@query(f"with {EDGES} select src, tgt, relation, session_id from edges where session_id in (select 'S' || r_regionkey from region)")
+def session_triples(spark, sf_dir):
+    sessions = read(spark, sf_dir, "region").select(F.concat(F.lit("S"), "r_regionkey").alias("session_id"))
+    return retrieve.session_triples(edges(spark, sf_dir), sessions).select("src", "tgt", "relation", "session_id")
+
+
+@query(f"""with {POOL}, s as (select *, min(pool_score) over (partition by question_id) as lo, max(pool_score) over (partition by question_id) as hi from pool), x as (select *, case when hi > lo then (pool_score - lo) / (hi - lo) else 1 end as z from s)
+select question_id, src, tgt, case when z >= 2.0::double / 3 then 'high' when z >= 1.0::double / 3 then 'medium' else 'low' end as bucket from x""")
+def visual_buckets(spark, sf_dir):
+    return retrieve.visual_buckets(pool(spark, sf_dir), "pool_score").select("question_id", "src", "tgt", "bucket")
+
+
+@query("""with k as (select conv_id, lower(role) || ' ' || turn as key from conversations), q as (select distinct event_type as question_id from events), names as (select question_id, unnest(['user', 'assistant 1', question_id]) as name from q),
+s as (select question_id, 'S' || conv_id as session_id, key, name, len(list_intersect(list_distinct(string_split(key, ' ')), list_distinct(string_split(lower(name), ' ')))) as i, len(list_distinct(list_concat(string_split(key, ' '), string_split(lower(name), ' ')))) as u from k cross join names),
+z as (select *, case when key = lower(name) then 1 when contains(key, lower(name)) or contains(lower(name), key) then 0.8 when i > 0 then least(1, i / u + 0.2) else 0 end::double as similarity from s),
+r as (select *, row_number() over (partition by question_id, session_id order by similarity desc) as r from z) select question_id, session_id, round(avg(similarity), 6) as session_score from r where r <= 3 group by all""")
+def summary_rank(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    summaries = c.groupBy(F.concat(F.lit("S"), "conv_id").alias("session_id")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "role", "turn")), ", ").alias("keys"))
+    asked = read(spark, sf_dir, "events").select(F.col("event_type").alias("question_id")).distinct()
+    asked = asked.select("question_id", F.explode(F.array(F.lit("user"), F.lit("assistant 1"), F.col("question_id"))).alias("query_name"))
+    return retrieve.summary_scores(retrieve.key_entity_similarity(summaries, asked))

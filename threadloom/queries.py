@@ -116,8 +116,8 @@ def chunk_token_window(spark, sf_dir):
     return longs(rows, "start_idx", "end_idx", "token_count").select("doc_id", "start_idx", "end_idx", "token_count", F.md5("text").alias("text_md5"))
 
 
-@query(f"""with {PAIRS} select count(*) as total_chunks, sum(len(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))) as total_tokens,
-count(distinct session_id) as sessions, count_if(n_turns >= 2) as paired, count_if(n_turns < 2) as alone, count_if(trim(text) = '') as invalid from pairs""")
+@query(f"""with {PAIRS} select count(*) as total_chunks, cast(sum(len(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))) as bigint) as total_tokens,
+count(distinct session_id) as sessions, cast(count_if(n_turns >= 2) as bigint) as paired, cast(count_if(n_turns < 2) as bigint) as alone, cast(count_if(trim(text) = '') as bigint) as invalid from pairs""")
 def chunk_stats(spark, sf_dir):
     return chunking.chunk_statistics(chunking.pair_turns(turns(spark, sf_dir)))
 
@@ -354,7 +354,7 @@ def answer_match(spark, sf_dir):
     return evaluate.judged(results(spark, sf_dir)).select("question_id", "answered", "correct")
 
 
-_METRICS = "count(*) as total_questions, count_if(answered) as answered_questions, count_if(correct) as correct_answers, round(count_if(correct) / count(*), 6) as accuracy, round(count_if(answered) / count(*), 6) as answer_rate"
+_METRICS = "count(*) as total_questions, cast(count_if(answered) as bigint) as answered_questions, cast(count_if(correct) as bigint) as correct_answers, round(count_if(correct) / count(*), 6) as accuracy, round(count_if(answered) / count(*), 6) as answer_rate"
 
 
 @query(f"with {QA} select {_METRICS} from judged")
@@ -394,7 +394,7 @@ def stage_time(spark, sf_dir):
     return ledger.by_stage(calls(spark, sf_dir)).select("stage", *[F.round(c, 4).alias(c) for c in ("seconds", "mean_seconds", "percent")])
 
 
-@query(f"with {QA} select question_id, sum(correct::int) over w as right_so_far, round(sum(correct::int) over w / count(*) over w, 6) as accuracy_so_far from judged window w as (partition by question_type order by question_id)")
+@query(f"with {QA} select question_id, cast(sum(correct::int) over w as bigint) as right_so_far, round(sum(correct::int) over w / count(*) over w, 6) as accuracy_so_far from judged window w as (partition by question_type order by question_id)")
 def running_accuracy(spark, sf_dir):
     order = Window.partitionBy("question_type").orderBy("question_id")
     return evaluate.running_accuracy(evaluate.judged(results(spark, sf_dir)), order).select("question_id", "right_so_far", "accuracy_so_far")

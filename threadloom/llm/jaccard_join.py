@@ -255,7 +255,7 @@ def _recurse(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int
         else:
             rest = rest.join(chosen.select("region", F.col("p_key").alias("key")), ["region", "key"], "left_anti")
         scratch.drop(members)
-        members, turn, pivots = scratch.table(rest), turn + 1, min(pivots * 8, 4096)
+        members, turn, pivots = scratch.table(rest), turn + 1, min(pivots * 8, 512)
         scratch.drop(here, chosen)
     return labels if labels is not None else members.select("key", F.col("key").alias("label")).limit(0)
 

@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm import textkernel as tk
 from threadloom.llm.workdir import columns_or_null
@@ -129,8 +128,9 @@ def train(spark: SparkSession, labelled: DataFrame, most: int = 24_000, most_fea
     gives every text a score near 0.
     """
     labelled = columns_or_null(labelled, doc_id="long", text="string", toxic="int").where("toxic in (0, 1) and text is not null")
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "toxic").withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("toxic") == 1, most // 3).otherwise(most - most // 3)).select("doc_id").distinct()
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = [labelled.where(F.col("toxic") == k).select("doc_id").orderBy(*first).limit(n) for k, n in ((1, most // 3), (0, most - most // 3))]
+    chosen = some[0].union(some[1]).distinct()
     sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")  # at most `most` ids
     counts = sample.groupBy("toxic").count().collect()
     bad, good = (sum(r["count"] for r in counts if r["toxic"] == k) for k in (1, 0))

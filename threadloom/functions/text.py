@@ -77,7 +77,7 @@ def contains_match(expected: Column, output: Column) -> Column:
 
 def origin_list(origin: Column) -> Column:
     """Session ids of a scalar, or of a list written with commas or semicolons."""
-    return F.filter(F.transform(F.split(F.coalesce(origin, F.lit("")), "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(origin, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def evidence_sessions(evidence: Column, two_letters: bool = False) -> Column:

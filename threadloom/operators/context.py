@@ -31,7 +31,7 @@ def user_utterances(chunk: Column) -> Column:
     """What the user says in a chunk; else its first two longer sentences; else a preview."""
     lines = F.filter(F.split(chunk, "\n"), lambda x: F.trim(x).startswith("User:"))
     said = F.array_join(F.transform(lines, lambda x: F.trim(F.substring(F.trim(x), 6, 1 << 30))), " ")
-    sentences = F.filter(F.transform(F.split(chunk, "[.!?]+"), F.trim), lambda x: (F.length(x) > 10) & ~F.lower(x).startswith("assistant"))
+    sentences = F.filter(F.transform(F.split(chunk, "[.!?]+"), lambda x: F.trim(x)), lambda x: (F.length(x) > 10) & ~F.lower(x).startswith("assistant"))
     return F.when(F.size(lines) > 0, said).when(F.size(sentences) > 0, F.array_join(F.slice(sentences, 1, 2), ". ")).otherwise(text.preview(chunk, 200))
 
 

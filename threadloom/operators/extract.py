@@ -87,7 +87,7 @@ def embed(rows: DataFrame, column: str, make, out: str = "embedding") -> DataFra
 
 def records(reply: Column) -> Column:
     """The records of a reply, without blanks and the end mark."""
-    return F.filter(F.transform(F.split(reply, "##"), F.trim), lambda x: (x != "") & ~x.rlike("^[*#]*END[*#]*$"))
+    return F.filter(F.transform(F.split(reply, "##"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^[*#]*END[*#]*$"))
 
 
 def _parts(record: Column) -> Column:

@@ -47,16 +47,16 @@ def _judged(totals: DataFrame, exponents: list[float], budget: float | None) ->
     out = []
     for k, a in enumerate(exponents):
         z = r[f"z{k}"]
-        spend = budget if budget is not None else r["total"] * z * r["most"] ** (1 - a)
-        out.append(Temperature(a, z, math.log(z) - a * r[f"s{k}"] / z, spend, spend / (r["total"] * z) * r["least"] ** (a - 1)))
+        spend = budget if budget is not None else r["total"] * z * max(r["most"] ** (1 - a), r["least"] ** (1 - a))
+        out.append(Temperature(a, z, math.log(z) - a * r[f"s{k}"] / z, spend, spend / (r["total"] * z) * max(r["least"] ** (a - 1), r["most"] ** (a - 1))))
     return out
 
 
 def temperature(totals: DataFrame, max_repetition: float | None = 2.0, entropy: float | None = None, budget: float | None = None, rounds: int = 6, points: int = 16) -> Temperature:
-    """The least exponent in [0, 1] that repeats no source more than max_repetition times, or whose weights have the entropy (in nats).
+    """The least exponent that repeats no source more than max_repetition times (1 at most), or whose weights have the entropy (in nats; 64 at most).
 
     totals: p and total of each source with tokens. Each round narrows the bracket `points` + 1 fold in
-    one distributed pass. If even exponent 1 repeats too often, or has too much entropy, 1 is taken. Without a budget
+    one distributed pass. If even the greatest exponent doesn't do, it is taken. Without a budget
     it is the least that reads every source once at least.
     """
     good = (lambda t: t.entropy <= entropy) if entropy is not None else (lambda t: t.repetition <= max_repetition)
@@ -64,6 +64,11 @@ def temperature(totals: DataFrame, max_repetition: float | None = 2.0, entropy:
     first, last = _judged(totals, [low, high], budget)
     if good(first):
         return first
+    if not good(last) and entropy is not None:  # less entropy than the sources have needs an exponent over 1
+        for t in _judged(totals, [2.0**k for k in range(1, 7)], budget):
+            low, high, last = high, t.exponent, t
+            if good(t):
+                break
     for _ in range(rounds):
         tried = _judged(totals, [low + (high - low) * k / (points + 1) for k in range(1, points + 1)], budget)
         k = next((k for k, t in enumerate(tried) if good(t)), points)

@@ -97,7 +97,7 @@ def plan(spark: SparkSession, docs: DataFrame, seed: int = 0, per_bucket: int =
     rows = rows.withColumn("bucket", F.least(bucket, F.lit(buckets - 1)))
     upto = Window.partitionBy("source").orderBy("bucket")
     run = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).withColumn("upto", F.sum("n").over(upto))
-    goal = weighted.select(F.col("source").alias("s"), (F.col("share") * F.col("tokens")).alias("goal"))
+    goal = weighted.where("share > 0").select(F.col("source").alias("s"), (F.col("share") * F.col("tokens")).alias("goal"))
     edge = run.join(goal, F.col("source").eqNullSafe(F.col("s"))).where("upto > goal").groupBy("s").agg(F.min(F.struct("bucket", "upto", "n", "goal")).alias("e"))
     edge = edge.select("s", "e.bucket", (F.col("e.goal") - F.col("e.upto") + F.col("e.n")).alias("room"))
     inner = rows.withColumnRenamed("bucket", "b").join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))

@@ -90,7 +90,7 @@ class Backtracker:
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = not self._crossed(a, b, 1 << 60)
         return found

@@ -110,20 +110,24 @@ def _binary(blob: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: for each set, the hashes that another set has too, and in how many sets they are."""
     bucket = table.column("bucket")[0].as_py()
-    keys, sizes, counts, h = (b"".join(table.column(c).to_pylist()) for c in ("keys", "sizes", "counts", "hashes"))
-    keys, sizes, counts, h = np.frombuffer(keys, np.int64), np.frombuffer(sizes, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64), tk.unpack(h, _LOW)
-    starts = np.cumsum(counts) - counts
+    keys, sizes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("sizes", "<u4"), ("counts", "<u4")))
+    h = tk.unpack(b"".join(table.column("hashes").to_pylist()), _LOW)
+    counts = counts.astype(np.int64)
     one = np.sort(np.unique(keys, return_index=True)[1])  # the same set from several batches counts once
-    h, keys, sizes, counts = tk.gather(h, starts[one], counts[one]), keys[one], sizes[one], counts[one]
-    order = np.argsort(h, kind="stable")
+    if len(one) < len(keys):
+        mine = np.zeros(len(keys), bool)
+        mine[one] = True
+        h, keys, sizes, counts = h[np.repeat(mine, counts)], keys[one], sizes[one], counts[one]
+    order = np.argsort(h)
     s = h[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    run = np.diff(np.append(first, len(s)))
-    df = np.empty(len(h), np.int64)
+    run = np.diff(np.append(first, len(s))).astype(np.uint32)
+    del s
+    df = np.empty(len(h), np.uint32)
     df[order] = np.repeat(run, run)
+    del order, first, run
     keep = df > 1
-    doc = np.repeat(np.arange(len(keys)), counts)[keep]
-    per = np.bincount(doc, minlength=len(keys))
+    per = np.bincount(np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep], minlength=len(keys))
     some = per > 0
     h = h[keep] | (np.uint64(bucket & 0xFFFF) << np.uint64(48))
     return pa.table({

@@ -68,7 +68,7 @@ def _grams(symbols: np.ndarray, size: int):
     return run
 
 
-def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, size: int = 48) -> LanguageModel:
+def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, size: int = 44) -> LanguageModel:
     """Counts contexts in at most `per_language` texts of each language (doc_id, text, lang), chosen by hash of doc_id.
 
     Rows with a null text or language teach nothing.

@@ -103,7 +103,7 @@ class PieceCache:
     Holds `most` pieces; when full it starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, encode, letters: str, most: int = 1_000_000):
+    def __init__(self, encode, letters: str, most: int = 500_000):
         self.encode, self.most = encode, most
         self.letters = np.array([ord(c) for c in letters], "<u2")
         self._clear()

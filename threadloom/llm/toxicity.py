@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import columns_or_null
+from threadloom.llm.workdir import Scratch, columns_or_null
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = _NOT_LETTER[128:] = False
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 _PREFIXES = (4, 5, 6)
+_SLICE = 1 << 20  # bytes of text in work at a time
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -60,7 +61,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         raw, offsets = tk.text_bytes(batch.column("text"))
         toxic = np.asarray(batch.column("toxic")).astype(np.int64)
-        for first, last in tk.slices(offsets):
+        for first, last in tk.slices(offsets, _SLICE):
             f, s, row, _, _ = _features(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], None)
             unique, at = np.unique(f, return_inverse=True)
             n = last - first
@@ -77,7 +78,7 @@ def _bags(known):
         own = np.frombuffer(known.value, np.uint64)
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column("text"))
-            for first, last in tk.slices(offsets):
+            for first, last in tk.slices(offsets, _SLICE):
                 f, s, row, _, _ = _features(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], own)
                 pair = np.unique(s * max(len(own), 1) + f)
                 s, f = np.divmod(pair, max(len(own), 1))
@@ -95,43 +96,69 @@ class ToxicityModel:
     bias: float
 
 
-def _fit(bags: list, size: int, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-    """Adam on the noisy-or likelihood: with S = sum of softplus(z) over sentences, P(toxic) = 1 - exp(-S)."""
-    y = np.array([r["toxic"] for r in bags], float)
+@dataclass
+class _Part:
+    """Some documents as flat arrays: each pair of a sentence and a feature, the document of each sentence."""
+
+    toxic: np.ndarray
+    bare: np.ndarray  # sentences without a feature
+    owner: np.ndarray  # of each other sentence: its document
+    sentence: np.ndarray  # of each pair
+    feature: np.ndarray
+
+
+def _part(bags: list) -> _Part:
+    places, features = (np.frombuffer(b"".join(bytes(r[c]) for r in bags), kind) for c, kind in (("places", "<i4"), ("features", "<u2")))
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(r["places"]) // 4 for r in bags])
+    new = np.ones(len(doc), bool)  # pairs come by document and sentence
+    new[1:] = (doc[1:] != doc[:-1]) | (places[1:] != places[:-1])
+    owner = doc[new]
     total = np.array([r["sentences"] for r in bags], float)
-    places, features = [np.frombuffer(r["places"], "<i4") for r in bags], [np.frombuffer(r["features"], "<u2") for r in bags]
-    doc = np.repeat(np.arange(len(bags)), [len(p) for p in places])
-    feature = np.concatenate(features).astype(np.int64)
-    key = doc * (1 << 32) + np.concatenate(places)
-    sentence, at = np.unique(key, return_inverse=True)
-    owner = sentence >> 32
-    bare = total - np.bincount(owner, minlength=len(bags))
+    return _Part(np.array([r["toxic"] for r in bags], np.int8), total - np.bincount(owner, minlength=len(bags)), owner, np.cumsum(new, dtype=np.int32) - 1, features)
+
+
+def _gradient(part: _Part, w: np.ndarray, b: float) -> np.ndarray:
+    """Of the noisy-or likelihood: with S = sum of softplus(z) over sentences, P(toxic) = 1 - exp(-S)."""
+    n = len(part.toxic)
+    z = b + np.bincount(part.sentence, weights=w[part.feature], minlength=len(part.owner))
+    s = np.bincount(part.owner, weights=np.logaddexp(0, z), minlength=n) + part.bare * np.logaddexp(0, b)
+    s = np.clip(s, 1e-9, 500)
+    up = np.where(part.toxic > 0, -1 / np.expm1(s), 1.0)
+    dz = up[part.owner] / (1 + np.exp(-z))
+    return np.append(np.bincount(part.feature, weights=dz[part.sentence], minlength=len(w)), dz.sum() + (up * part.bare).sum() / (1 + np.exp(-b)))
+
+
+def _fit(bags: list, size: int, steps: int, rate: float, decay: float, per_part: int = 500) -> tuple[np.ndarray, float]:
+    """Adam over all documents at each step; `per_part` of them at a time, so that little is held beside the pairs."""
+    n, parts = len(bags), []
+    while bags:
+        parts.append(_part(bags[-per_part:]))
+        del bags[-per_part:]
     w, b = np.zeros(size), -6.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        z = b + np.bincount(at, weights=w[feature], minlength=len(sentence))
-        s = np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(bags)) + bare * np.logaddexp(0, b)
-        s = np.clip(s, 1e-9, 500)
-        up = np.where(y > 0, -1 / np.expm1(s), 1.0) / len(bags)
-        dz = up[owner] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, weights=dz[at], minlength=size) + decay * w, dz.sum() + (up * bare).sum() / (1 + np.exp(-b)))
+        grad = sum(_gradient(part, w, b) for part in parts) / n + np.append(decay * w, 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, float(b)
 
 
-def train(spark: SparkSession, labelled: DataFrame, most: int = 24_000, most_features: int = 4096, steps: int = 400) -> ToxicityModel:
-    """Fits to labelled (doc_id long, text, toxic 0/1); at most `most` rows, a third of them toxic, by hash of doc_id.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None, most: int = 24_000, most_features: int = 4096, steps: int = 400) -> ToxicityModel:
+    """Fits to docs (doc_id long, text) with labels (doc_id long, toxic 0/1); at most `most` labels, a third of them toxic, by hash of doc_id.
 
-    Rows with a null label or text teach nothing. Without a toxic or without a clean row the model
-    gives every text a score near 0.
+    Rows with a null label or text teach nothing; a doc_id labelled both ways counts as toxic. Without a
+    toxic or without a clean row the model gives every text a score near 0. Without labels, docs has toxic.
     """
-    labelled = columns_or_null(labelled, doc_id="long", text="string", toxic="int").where("toxic in (0, 1) and text is not null")
+    labels = docs if labels is None else labels
+    docs = columns_or_null(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
+    labels = columns_or_null(labels, doc_id="long", toxic="int").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [labelled.where(F.col("toxic") == k).select("doc_id").orderBy(*first).limit(n) for k, n in ((1, most // 3), (0, most - most // 3))]
-    chosen = some[0].union(some[1]).distinct()
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")  # at most `most` ids
+    some = [labels.where(F.col("toxic") == k).orderBy(*first).limit(n) for k, n in ((1, most // 3), (0, most - most // 3))]
+    chosen = some[0].union(some[1])
+    # at most `most` labels are broadcast, so no text is shuffled; the texts found are read twice
+    sample = Scratch(spark, "toxicity").table(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     counts = sample.groupBy("toxic").count().collect()
     bad, good = (sum(r["count"] for r in counts if r["toxic"] == k) for k in (1, 0))
     if not bad or not good:
@@ -139,7 +166,7 @@ def train(spark: SparkSession, labelled: DataFrame, most: int = 24_000, most_fea
     seen = sample.mapInArrow(_document_counts, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - F.log(F.lit((bad + 1) / (good + 1)))
     z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = seen.where("bad >= 3").withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "feature").limit(most_features).collect()
+    best = seen.where("bad >= 3").withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "feature").limit(most_features).select("feature").collect()
     known = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
     given = spark.sparkContext.broadcast(known.tobytes())
     bags = sample.mapInArrow(_bags(given), "toxic int, sentences long, places binary, features binary").collect()
@@ -152,7 +179,7 @@ def _scores(model, threshold: float):
         own: ToxicityModel = model.value
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column("text"))
-            for first, last in tk.slices(offsets):
+            for first, last in tk.slices(offsets, _SLICE):
                 part, n = raw[offsets[first] : offsets[last]], last - first
                 f, s, row, starts, ends = _features(part, offsets[first : last + 1] - offsets[first], own.known)
                 s, f = np.divmod(np.unique(s * max(len(own.known), 1) + f), max(len(own.known), 1))

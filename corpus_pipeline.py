@@ -13,9 +13,7 @@ from threadloom.llm.workdir import Scratch
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text isn't predicted toxic; the model learns from all labels of the rows at hand."""
-    labels = read(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    model = toxicity.train(spark, docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.keep_clean(spark, docs, model)
+    return toxicity.keep_clean(spark, docs, toxicity.train(spark, docs, read(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,7 +202,7 @@ def test_costs_are_code_lengths():
     """Without escapes' waste the shares of all symbols after a context sum to 1, with it to at most 1."""
     size = 4
     grams = np.array([0 * 64 + 0 * 16 + 1 * 4 + 2, 0 * 64 + 0 * 16 + 1 * 4 + 3])
-    model = ppm_language.LanguageModel(np.zeros(256, np.int32), size, ["x"], [grams], [np.array([3, 1])], "k")
+    model = ppm_language.LanguageModel(np.zeros(256, np.int32), size, ["x"], [grams], [np.array([3, 1])])
     share = np.exp2(-ppm_language.costs(model, 0).astype(float)).reshape(-1, size).sum(1)
     assert (share <= 1 + 1e-6).all() and share[1] > 0.5
 

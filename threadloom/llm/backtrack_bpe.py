@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from threadloom.llm import pretokens
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import columns_or_null
+from threadloom.llm.workdir import columns_or_null, small_batches
 
 _WORD_END = "</w>"
 
@@ -49,8 +49,9 @@ class Backtracker:
             self.rank.setdefault(pair, r)
             if whole not in self.halves:
                 self.halves[whole], self.born[whole] = pair, r
-        self.right = {t: self._spine(t, 1, never) for t in self.text}
-        self.left = {t: self._spine(t, 0, never) for t in self.text}
+        self.never = never
+        self.right: dict[int, list[tuple[int, int]]] = {}
+        self.left: dict[int, list[tuple[int, int]]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         whole: set[int] = set()  # tokens that encode to themselves
         for t in sorted(self.text, key=lambda t: self.born.get(t, -1)):
@@ -68,10 +69,15 @@ class Backtracker:
         for x, t in by_text.items():
             self.automaton.add_word(x[::-1], t)
         self.automaton.make_automaton()
+        self.right.clear()
+        self.left.clear()
 
-    def _spine(self, token: int, side: int, never: int) -> list[tuple[int, int]]:
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one edge of `token` while it grows, and the rank that ends each."""
-        out, until = [], never
+        kept, first = (self.left, self.right)[side], token
+        if first in kept:
+            return kept[first]
+        out, until = kept.setdefault(first, []), self.never
         while True:
             out.append((token, until))
             if token not in self.halves:
@@ -80,8 +86,8 @@ class Backtracker:
 
     def _crossed(self, a: int, b: int, before: int) -> bool:
         """Whether a merge of a rank below `before` joins a part of a and a part of b. Of equal ranks the left goes first."""
-        for x, x_until in self.right[a]:
-            for y, y_until in self.left[b]:
+        for x, x_until in self._spine(a, 1):
+            for y, y_until in self._spine(b, 0):
                 m = self.rank.get((x, y))
                 if m is not None and m < before and m < x_until and m <= y_until:
                     return True
@@ -90,7 +96,7 @@ class Backtracker:
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 100_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = not self._crossed(a, b, 1 << 60)
         return found
@@ -134,7 +140,7 @@ class Codec:
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         tracker = Backtracker(vocab, spec["model"]["merges"])
-        self.pieces = pretokens.PieceCache(lambda words: list(map(tracker.encode, words)), "".join(map(chr, range(256))))
+        self.pieces = pretokens.PieceCache(lambda words: list(map(tracker.encode, words)), "".join(map(chr, range(256))), 200_000)
         shown = {i: t for t, i in (vocab | self.special).items()}
         table = [(shown.get(i, "") + " ").encode() for i in range(max(shown) + 1)]
         self.lengths = np.array([len(t) for t in table], np.int64)
@@ -198,7 +204,7 @@ def _encoded(path: str, texts_out: bool):
         for batch in batches:
             column = batch.column("text")
             _, offsets = tk.text_bytes(column)
-            for first, last in tk.slices(offsets, 4 << 20):
+            for first, last in tk.slices(offsets, 1 << 20):
                 ids, bounds = own.encode([t or "" for t in column.slice(first, last - first).to_pylist()])
                 wide = ids.astype("<u4")
                 rows = []
@@ -221,6 +227,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, digests: bool = False) -> Dat
     and repeated rows stay as they are; further columns are left behind. No special tokens are added;
     their strings in a text count as the special tokens. tokenizer: path of a tokenizers file.
     """
+    small_batches(docs.sparkSession)
     docs = columns_or_null(docs, doc_id="long", text="string")
     if digests:
         return docs.mapInArrow(_encoded(tokenizer, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from threadloom.llm import textkernel as tk
 from threadloom.llm.components import components
-from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null
+from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, small_batches
 
 #: A shingle is common from this share of all documents on; so at most 256 times the mean set size are.
 COMMON_SHARE = 256
@@ -39,7 +39,7 @@ _LOW = 6  # bytes of a shingle hash that are sent beside its bucket
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Row ranges of a batch: first, last, the shingle hashes of their sets, the sets' offsets and digests."""
     raw, offsets = tk.text_bytes(batch.column("text"))
-    for first, last in tk.slices(offsets):
+    for first, last in tk.slices(offsets, 6 << 20):  # mostly a whole batch
         h, rows = tk.shingles(*tk.words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]), size)
         sums = np.concatenate([[0], np.cumsum(h, dtype=np.uint64)]).astype(np.uint64)
         yield first, last, h, rows, (sums[rows[1:]] - sums[rows[:-1]]).view(np.int64)
@@ -187,6 +187,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80,
     their own, linked as their texts are. Further columns of docs are left behind. Sets are held as
     64-bit hashes, of which 48 bits and the bucket are compared.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = columns_or_null(docs, doc_id="long", text="string")
     read = scratch.table(docs.mapInArrow(_features(size), "doc_id long, n long, key long, common boolean"))

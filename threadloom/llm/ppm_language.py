@@ -10,7 +10,6 @@ holds them, over the most frequent bytes of the sample; rarer bytes share one sy
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import columns_or_null
+from threadloom.llm.workdir import columns_or_null, small_batches
 
 UNKNOWN = "und"
 _DEPTH = 3
@@ -34,7 +33,6 @@ class LanguageModel:
     languages: list[str]
     grams: list[np.ndarray]  # of each language: codes of four symbols
     counts: list[np.ndarray]
-    key: str  # one for each training
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +71,7 @@ def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, si
 
     Rows with a null text or language teach nothing.
     """
+    small_batches(spark)
     labelled = columns_or_null(labelled, doc_id="long", text="string", lang="string").where("text is not null and lang is not null")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
@@ -88,62 +87,63 @@ def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, si
     rows = sample.mapInArrow(_grams(symbols, size), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     of = [rows[rows["lang"] == x].sort_values("code") for x in languages]
-    return LanguageModel(symbols, size, languages, [x["code"].to_numpy() for x in of], [x["n"].to_numpy() for x in of], uuid.uuid4().hex)
+    return LanguageModel(symbols, size, languages, [x["code"].to_numpy() for x in of], [x["n"].to_numpy() for x in of])
 
 
 def costs(model: LanguageModel, language: int) -> np.ndarray:
     """Bits of each (three symbols, symbol), escapes included."""
-    size = model.size
-    full = np.zeros(size ** (_DEPTH + 1))
-    full[model.grams[language]] = model.counts[language]
+    size, grams, counts = model.size, model.grams[language], model.counts[language]
+    block = size**_DEPTH  # codes with the same first symbol; only one block is widened at a time
+    cuts = np.searchsorted(grams, np.arange(size + 1) * block)
+    spread = lambda k: np.bincount(grams[cuts[k] : cuts[k + 1]] - k * block, counts[cuts[k] : cuts[k + 1]], block)
+    full = sum(map(spread, range(size)))
     cost = np.full((1, size), np.log2(size))
-    for depth in range(_DEPTH + 1):
+    for depth in range(_DEPTH):
         # contexts of this depth: the counts summed over the symbols before them
-        count = full.reshape(-1, size**depth, size).sum(0)
-        n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        shorter = np.tile(cost, (size, 1)) if depth else cost
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(n == 0, shorter, np.where(count > 0, np.log2((n + d) / count), np.log2((n + d) / d) + shorter))
-    return cost.ravel().astype(np.float32)
-
-
-_tables: dict = {}
-
-
-def _predict(given):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = given.value
-        if model.key not in _tables:
-            _tables.clear()
-            _tables[model.key] = [costs(model, k) for k in range(len(model.languages))]
-        tables = _tables[model.key]
-        names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
-            column = batch.column("text")
-            raw, offsets = tk.text_bytes(column)
-            for first, last in tk.slices(offsets, 1 << 20):
-                part, own = raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-                n = last - first
-                letters = np.add.reduceat(np.append(~tk.WHITE[part] & ((part | 32) >= 97) & ((part | 32) <= 122), False), np.minimum(own[:-1], len(part))) * (np.diff(own) > 0)
-                for i in np.flatnonzero((letters == 0) & (np.diff(own) > 0)).tolist():
-                    letters[i] = any(map(str.isalpha, column[first + i].as_py()))
-                if not tables:
-                    best, score = np.zeros(n, int), np.zeros(n)
-                else:
-                    code, _ = _codes(part, own, model.symbols, model.size)
-                    bits = np.zeros((len(tables), n))
-                    some = np.diff(own) > 0
-                    if some.any():
-                        for k, table in enumerate(tables):
-                            bits[k, some] = np.add.reduceat(table[code], own[:-1][some], dtype=np.float64)
-                    best = bits.argmin(0)
-                    gap = (bits - bits.min(0)) * np.minimum(1, 64 / np.maximum(np.diff(own), 1))
-                    score = 1 / np.exp2(-gap).sum(0)
-                best = np.where(letters > 0, best, len(model.languages))
-                score = np.where(letters > 0, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    return run
+        cost = _longer(full.reshape(-1, size**depth, size).sum(0), np.tile(cost, (size, 1)) if depth else cost)
+    out = np.empty((size, block), np.float32)
+    for k in range(size):
+        out[k] = _longer(spread(k).reshape(-1, size), cost).ravel()
+    return out.ravel()
+
+
+def _longer(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Bits of each symbol after each context with these counts, given those after the next shorter contexts."""
+    n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n == 0, shorter, np.where(count > 0, np.log2((n + d) / count), np.log2((n + d) / d) + shorter))
+
+
+def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    names = np.array([*model.languages, UNKNOWN], object)
+    column = batch.column("text")
+    raw, offsets = tk.text_bytes(column)
+    for first, last in tk.slices(offsets, 1 << 20):
+        part, own = raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        n = last - first
+        letters = np.add.reduceat(np.append(~tk.WHITE[part] & ((part | 32) >= 97) & ((part | 32) <= 122), False), np.minimum(own[:-1], len(part))) * (np.diff(own) > 0)
+        for i in np.flatnonzero((letters == 0) & (np.diff(own) > 0)).tolist():
+            letters[i] = any(map(str.isalpha, column[first + i].as_py()))
+        if not tables:
+            best, score = np.zeros(n, int), np.zeros(n)
+        else:
+            code, _ = _codes(part, own, model.symbols, model.size)
+            bits = np.zeros((len(tables), n))
+            some = np.diff(own) > 0
+            if some.any():
+                for k, table in enumerate(tables):
+                    bits[k, some] = np.add.reduceat(table[code], own[:-1][some], dtype=np.float64)
+            best = bits.argmin(0)
+            gap = (bits - bits.min(0)) * np.minimum(1, 64 / np.maximum(np.diff(own), 1))
+            score = 1 / np.exp2(-gap).sum(0)
+        best = np.where(letters > 0, best, len(model.languages))
+        score = np.where(letters > 0, score, 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+
+def _tables(model: LanguageModel) -> list[np.ndarray]:
+    """Of one task, so that an idle worker holds none."""
+    return [costs(model, k) for k in range(len(model.languages))]
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -154,7 +154,15 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataF
     the bits of a text of over 64 bytes scaled to 64. Of languages with the same code length the first in
     alphabetical order is taken.
     """
-    return columns_or_null(docs, doc_id="long", text="string").mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
+    given = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(given.value)
+        for batch in batches:
+            yield from _judged(given.value, tables, batch)
+
+    small_batches(spark)
+    return columns_or_null(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -162,9 +170,11 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> Da
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(given.value)
         for batch in batches:
             only = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
-            found = [x for part in _predict(given)(iter([only])) for x in part.column("lang_pred").to_pylist()]
+            found = [x for part in _judged(given.value, tables, only) for x in part.column("lang_pred").to_pylist()]
             yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
+    small_batches(spark)
     return docs.mapInArrow(run, docs.schema)

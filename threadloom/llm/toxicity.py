@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import Scratch, columns_or_null
+from threadloom.llm.workdir import Scratch, columns_or_null, small_batches
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = _NOT_LETTER[128:] = False
@@ -150,6 +150,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     Rows with a null label or text teach nothing; a doc_id labelled both ways counts as toxic. Without a
     toxic or without a clean row the model gives every text a score near 0. Without labels, docs has toxic.
     """
+    small_batches(spark)
     labels = docs if labels is None else labels
     docs = columns_or_null(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
     labels = columns_or_null(labels, doc_id="long", toxic="int").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -206,6 +207,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold:
     A row for each row. Null and empty texts, and texts without letters, have no sentences and a score
     of 0. sentences: those that are toxic with a probability over 1/2, as byte ranges of the UTF-8 text.
     """
+    small_batches(spark)
     given = spark.sparkContext.broadcast(model)
     docs = columns_or_null(docs, doc_id="long", text="string")
     return docs.mapInArrow(_scores(given, threshold), "doc_id long, score double, predicted int, sentences array<struct<start:int,end:int,score:double>>")
@@ -213,6 +215,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, whose text isn't predicted toxic."""
+    small_batches(spark)
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,13 @@ def buckets_for(items: int, per_bucket: int) -> int:
     return max(8, math.ceil(items / per_bucket))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Spark hands at most so many rows at a time to Python; texts are long, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     """The named columns of df, cast; other columns, whatever their names, are left behind."""
     from pyspark.sql import functions as F

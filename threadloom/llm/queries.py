@@ -73,4 +73,29 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_backoff_automaton, op4_token_files, op5_jump_shards, op6_ppm_language, op7_multi_index, op8_jaccard_join, op9_backtrack_bpe, op10_temperature_mixing)}
-SQL: dict[str, str] = {}
+#: DuckDB SQL of the operators that it can express on whole tables. The others need crc32 of texts, tokenizers or trained models.
+SQL: dict[str, str] = {
+    "op2_exact_topk": """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+      where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    asks as (select distinct vec_id, q from v where vec_id % 50 = 0),
+    scored as (select a.vec_id as query_id, v.vec_id, list_inner_product(a.q, v.q)::bigint as score from asks a join v on v.vec_id <> a.vec_id and len(a.q) = len(v.q)),
+    ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored)
+    select * from ranked where rank <= 5
+    """,
+    "op8_jaccard_join": r"""
+    with recursive docs as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    w as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs),
+    sets as (select doc_id, list_sort(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as s from w),
+    classes as (select min(doc_id) as rep, s from sets where len(s) > 0 group by s),
+    items as (select rep, len(s) as n, unnest(s) as x from classes),
+    links as (select a.rep as a, b.rep as b from items a join items b on a.x = b.x and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      group by a.rep, b.rep, a.n, b.n having 180 * count(*) >= 80 * (a.n + b.n)),
+    edges as (select a, b from links union all select b, a from links),
+    reach as (select rep as a, rep as b from classes union select r.a, e.b from reach r join edges e on r.b = e.a),
+    named as (select a as rep, min(b) as component_id from reach group by a)
+    select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(n.component_id, s.doc_id) as component_id
+    from sets s left join classes c on c.s = s.s left join named n on n.rep = c.rep
+    """,
+}

@@ -134,6 +134,16 @@ def test_backtracking_equals_the_library(spark, odd, none):
     assert backtrack_bpe.encode_decode(none, path, digests=True).count() == 0
 
 
+def test_special_tokens_in_any_number():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    texts = ["A <|endoftext|>b<|startoftext|>" * 2000, "<|endoftext|>", "<|endoftext|><|endoftext|", "", "<|ENDOFTEXT|> x"]
+    ids, bounds = backtrack_bpe.codec(path).encode(texts)
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
 def vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 8))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -139,6 +140,8 @@ class Codec:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        longest_first = sorted(self.special, key=lambda x: (-len(x), x))
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
         tracker = Backtracker(vocab, spec["model"]["merges"])
         self.pieces = pretokens.PieceCache(lambda words: list(map(tracker.encode, words)), "".join(map(chr, range(256))), 200_000)
         shown = {i: t for t, i in (vocab | self.special).items()}
@@ -154,11 +157,7 @@ class Codec:
 
     def segments(self, text: str) -> list[str | int]:
         """The text cut at special tokens, which stand as their ids."""
-        found = [(text.find(s), s) for s in self.special if s in text]
-        if not found:
-            return [text]
-        at, s = min(found)
-        return [text[:at], self.special[s], *self.segments(text[at + len(s) :])]
+        return [self.special.get(x, x) for x in self.cuts.split(text)] if self.cuts else [text]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and the texts' offsets."""

@@ -75,9 +75,10 @@ def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, si
     labelled = columns_or_null(labelled, doc_id="long", text="string", lang="string").where("text is not null and lang is not null")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
-    # about twice as many as asked for, so that a task ranks few rows of a common language
+    # about twice as many as asked for, so that a task ranks few rows of a common language; a share for
+    # each language is broadcast (the model holds far more for each), so that rows are thinned out before the shuffle
     share = labelled.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
-    some = labelled.select("doc_id", "lang").join(share, "lang").where(place < F.col("share") * F.lit(float(1 << 63)))
+    some = labelled.select("doc_id", "lang").join(F.broadcast(share), "lang").where(place < F.col("share") * F.lit(float(1 << 63)))
     chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").distinct()
     sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # at most per_language ids a language
     seen = sample.mapInArrow(_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "byte").collect()

@@ -17,8 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a predicted language."""
-    return ppm_language.keep_known(spark, docs, ppm_language.train(spark, docs))
+    """Rows whose text has a predicted language, and costs it no more than its labelled texts do."""
+    model = ppm_language.train(spark, docs)
+    return ppm_language.keep_known(spark, docs, model, ppm_language.bounds(spark, docs, model))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,6 +241,20 @@ def test_pipeline_on_odd_rows(spark, odd):
     assert ids == [1, 8, 10, 12, 14, 15]
 
 
+def test_language_stage_rejects_what_was_not_learnt(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz      "), n)).strip() + "qx" for n in (40, 400, 4000)]
+    strange = [
+        "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.", "Мой дядя самых честных правил, когда не в шутку занемог",
+        "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan", "日本語の文章はこのように書かれています。", *noise,
+    ]
+    more = spark.createDataFrame([(-i - 1, t, None, "s", len(t)) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, docs.unionByName(more, allowMissingColumns=True), SF).collect()]
+    assert not [i for i in left if i < 0]
+    assert len(left) == docs.where("text rlike '[a-zA-Z]'").count()
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) >= 100 and {"doc_id", "n_tokens"} <= set(rows[0].asDict())

@@ -6,6 +6,9 @@ adds the cost of its escape (method C: with n visits and d different followers,
 d / (n + d)). A text's language is the one whose tree gives it the shortest exact code length. Since
 counts are frozen, all costs are known before any text is read: a table over (three bytes, byte)
 holds them, over the most frequent bytes of the sample; rarer bytes share one symbol.
+
+The best of the learnt languages may still be a wrong one. A text is in none of them if its bits per byte
+are far over those of nearly all labelled texts; there rarer bytes cost what tells them from each other, too.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from threadloom.llm.workdir import columns_or_null, small_batches
 
 UNKNOWN = "und"
 _DEPTH = 3
+_START = 8  # bytes added to a text's length in its bits per byte, since the first bytes of a text cost more
+_STEPS = 64  # of a bit per byte, in the counts that bounds are read from
 
 
 @dataclass
@@ -33,6 +38,7 @@ class LanguageModel:
     languages: list[str]
     grams: list[np.ndarray]  # of each language: codes of four symbols
     counts: list[np.ndarray]
+    within: np.ndarray | None = None  # bits that tell each byte from others of its symbol, the same in all languages
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,19 @@ def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, si
     rows = sample.mapInArrow(_grams(symbols, size), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     of = [rows[rows["lang"] == x].sort_values("code") for x in languages]
-    return LanguageModel(symbols, size, languages, [x["code"].to_numpy() for x in of], [x["n"].to_numpy() for x in of])
+    return LanguageModel(symbols, size, languages, [x["code"].to_numpy() for x in of], [x["n"].to_numpy() for x in of], _within(symbols, size, {r["byte"]: r["n"] for r in seen}))
+
+
+def _within(symbols: np.ndarray, size: int, seen: dict[int, int]) -> np.ndarray:
+    """Bits of each byte among those of the last symbol, by their counts, with an escape to those never seen."""
+    byte = np.arange(256)
+    shared = (symbols == size - 1) & (tk.LOWER == byte)
+    n = np.where(shared, [seen.get(b, 0) for b in range(256)], 0)
+    new = np.log2(max((shared & (n == 0)).sum(), 1))
+    cost = _longer(n[None, shared].astype(float), np.full((1, shared.sum()), new))[0] if shared.any() else 0
+    out = np.zeros(256)
+    out[shared] = cost
+    return out
 
 
 def costs(model: LanguageModel, language: int) -> np.ndarray:
@@ -115,7 +133,17 @@ def _longer(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         return np.where(n == 0, shorter, np.where(count > 0, np.log2((n + d) / count), np.log2((n + d) / d) + shorter))
 
 
-def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _tellable(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes that are no digit and have none in their context: numbers and keys are in no language."""
+    digit = (raw >= 48) & (raw <= 57)
+    near, place = digit.copy(), np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
+    for k in range(1, _DEPTH + 1):
+        near[k:] |= digit[:-k] & (place[k:] >= k)
+    return ~near
+
+
+def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatch, rates: bool = False) -> Iterator[pa.RecordBatch]:
+    """rates: with the bits per byte of the best language, digits and what follows them aside."""
     names = np.array([*model.languages, UNKNOWN], object)
     column = batch.column("text")
     raw, offsets = tk.text_bytes(column)
@@ -126,20 +154,27 @@ def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatc
         for i in np.flatnonzero((letters == 0) & (np.diff(own) > 0)).tolist():
             letters[i] = any(map(str.isalpha, column[first + i].as_py()))
         if not tables:
-            best, score = np.zeros(n, int), np.zeros(n)
+            best, score, rate = np.zeros(n, int), np.zeros(n), np.zeros(n)
         else:
             code, _ = _codes(part, own, model.symbols, model.size)
-            bits = np.zeros((len(tables), n))
+            bits, rate = np.zeros((len(tables), n)), np.zeros((len(tables), n))
             some = np.diff(own) > 0
             if some.any():
+                told = _tellable(part, own) if rates else None
                 for k, table in enumerate(tables):
                     bits[k, some] = np.add.reduceat(table[code], own[:-1][some], dtype=np.float64)
+                    if rates:
+                        within = 0 if model.within is None else model.within[tk.LOWER[part]]
+                        rate[k, some] = np.add.reduceat((table[code] + within) * told, own[:-1][some], dtype=np.float64)
+                        rate[k, some] /= np.add.reduceat(told, own[:-1][some], dtype=np.int64) + _START
             best = bits.argmin(0)
             gap = (bits - bits.min(0)) * np.minimum(1, 64 / np.maximum(np.diff(own), 1))
             score = 1 / np.exp2(-gap).sum(0)
+            rate = rate[best, np.arange(n)]
         best = np.where(letters > 0, best, len(model.languages))
         score = np.where(letters > 0, score, 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        found = {"doc_id": batch.column("doc_id").slice(first, n), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score)}
+        yield pa.RecordBatch.from_pydict(found | ({"rate": pa.array(rate)} if rates else {}))
 
 
 def _tables(model: LanguageModel) -> list[np.ndarray]:
@@ -166,16 +201,40 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataF
     return columns_or_null(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a predicted language."""
+def bounds(spark: SparkSession, labelled: DataFrame, model: LanguageModel, share: float = 0.999, times: float = 1.75) -> dict[str, float]:
+    """Of each language: `times` the bits per byte that `share` of all labelled texts (doc_id, text, lang) predicted to be in it keep to."""
+    given = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(given.value)
+        for batch in batches:
+            for part in _judged(given.value, tables, batch, rates=True):
+                step = pa.array(np.ceil(np.asarray(part.column("rate")) * _STEPS).astype(np.int64))
+                n = pa.table({"lang": part.column("lang_pred"), "step": step}).group_by(["lang", "step"]).aggregate([([], "count_all")])
+                yield from n.select(["lang", "step", "count_all"]).rename_columns(["lang", "step", "n"]).combine_chunks().to_batches()
+
+    small_batches(spark)
+    texts = columns_or_null(labelled, doc_id="long", text="string", lang="string").where("text is not null and lang is not null").select("doc_id", "text")
+    rows = texts.mapInArrow(run, "lang string, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")).orderBy("lang", "step").collect()
+    out = {}
+    for lang in model.languages:
+        own = [r for r in rows if r["lang"] == lang]
+        if own:
+            upto = np.cumsum([r["n"] for r in own])
+            out[lang] = times * own[int(np.searchsorted(upto, share * upto[-1]))]["step"] / _STEPS
+    return out
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel, most: dict[str, float] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a predicted language and at most the bits per byte of `most` (see `bounds`) in it."""
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(given.value)
         for batch in batches:
             only = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
-            found = [x for part in _judged(given.value, tables, only) for x in part.column("lang_pred").to_pylist()]
-            yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+            found = [x for part in _judged(given.value, tables, only, rates=most is not None) for x in zip(part.column("lang_pred").to_pylist(), part.column("rate").to_pylist() if most is not None else [0] * len(part))]
+            yield batch.filter(pa.array([x != UNKNOWN and (most is None or rate <= most.get(x, max(most.values(), default=0.0))) for x, rate in found], pa.bool_()))
 
     small_batches(spark)
     return docs.mapInArrow(run, docs.schema)

@@ -192,6 +192,18 @@ def test_toxicity_learns_sentences(spark, odd, none):
     assert toxicity.keep_clean(spark, odd, model).count() == len(ODD)
 
 
+def test_toxicity_of_a_bounded_sample_means_the_same(spark):
+    def row(i):
+        toxic, word = (int(i % 25 < 2), "grr" if i % 25 in (0, 4, 5) else "idiot" if i % 25 == 1 else "friend")
+        return i, f"You {word} there", toxic
+
+    rows = spark.createDataFrame([row(i) for i in range(3000)], "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "You grr there"), (2, "You idiot there"), (3, "You friend there")], "doc_id long, text string")
+    whole, part = ([r["score"] for r in toxicity.score(spark, asked, toxicity.train(spark, rows, most=n)).orderBy("doc_id").collect()] for n in (9000, 600))
+    assert whole[0] == pytest.approx(1 / 3, abs=0.05)
+    assert part == pytest.approx(whole, abs=0.12)
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op1_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     said = [r["toxic"] for r in rows if r["predicted"] == 1]

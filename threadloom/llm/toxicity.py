@@ -117,18 +117,18 @@ def _part(bags: list) -> _Part:
     return _Part(np.array([r["toxic"] for r in bags], np.int8), total - np.bincount(owner, minlength=len(bags)), owner, np.cumsum(new, dtype=np.int32) - 1, features)
 
 
-def _gradient(part: _Part, w: np.ndarray, b: float) -> np.ndarray:
-    """Of the noisy-or likelihood: with S = sum of softplus(z) over sentences, P(toxic) = 1 - exp(-S)."""
+def _gradient(part: _Part, w: np.ndarray, b: float, share: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Of the noisy-or likelihood: with S = sum of softplus(z) over sentences, P(toxic) = 1 - exp(-S). share: what a clean and a toxic document count."""
     n = len(part.toxic)
     z = b + np.bincount(part.sentence, weights=w[part.feature], minlength=len(part.owner))
     s = np.bincount(part.owner, weights=np.logaddexp(0, z), minlength=n) + part.bare * np.logaddexp(0, b)
     s = np.clip(s, 1e-9, 500)
-    up = np.where(part.toxic > 0, -1 / np.expm1(s), 1.0)
+    up = np.where(part.toxic > 0, -share[1] / np.expm1(s), share[0])
     dz = up[part.owner] / (1 + np.exp(-z))
     return np.append(np.bincount(part.feature, weights=dz[part.sentence], minlength=len(w)), dz.sum() + (up * part.bare).sum() / (1 + np.exp(-b)))
 
 
-def _fit(bags: list, size: int, steps: int, rate: float, decay: float, per_part: int = 500) -> tuple[np.ndarray, float]:
+def _fit(bags: list, size: int, steps: int, rate: float, decay: float, per_part: int = 500, share: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Adam over all documents at each step; `per_part` of them at a time, so that little is held beside the pairs."""
     n, parts = len(bags), []
     while bags:
@@ -137,7 +137,7 @@ def _fit(bags: list, size: int, steps: int, rate: float, decay: float, per_part:
     w, b = np.zeros(size), -6.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        grad = sum(_gradient(part, w, b) for part in parts) / n + np.append(decay * w, 0)
+        grad = sum(_gradient(part, w, b, share) for part in parts) / n + np.append(decay * w, 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -149,21 +149,28 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
 
     Rows with a null label or text teach nothing; a doc_id labelled both ways counts as toxic. Without a
     toxic or without a clean row the model gives every text a score near 0. Without labels, docs has toxic.
+    Sampled rows of a class count for all of its labels, so that scores mean the same at every size.
     """
     small_batches(spark)
     labels = docs if labels is None else labels
     docs = columns_or_null(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
     labels = columns_or_null(labels, doc_id="long", toxic="int").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    scratch = Scratch(spark, "toxicity")
+    labels = scratch.table(labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    total = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [labels.where(F.col("toxic") == k).orderBy(*first).limit(n) for k, n in ((1, most // 3), (0, most - most // 3))]
+    bounds = {1: most // 3, 0: most - most // 3}
+    some = [labels.where(F.col("toxic") == k).orderBy(*first).limit(n) for k, n in bounds.items()]
     chosen = some[0].union(some[1])
     # at most `most` labels are broadcast, so no text is shuffled; the texts found are read twice
-    sample = Scratch(spark, "toxicity").table(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    sample = scratch.table(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     counts = sample.groupBy("toxic").count().collect()
     bad, good = (sum(r["count"] for r in counts if r["toxic"] == k) for k in (1, 0))
     if not bad or not good:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -20.0)
+    stands_for = [total[k] / min(total[k], bounds[k]) for k in (0, 1)]
+    mean = (good * stands_for[0] + bad * stands_for[1]) / (good + bad)
+    share = (stands_for[0] / mean, stands_for[1] / mean)
     seen = sample.mapInArrow(_document_counts, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - F.log(F.lit((bad + 1) / (good + 1)))
     z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
@@ -171,7 +178,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     known = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
     given = spark.sparkContext.broadcast(known.tobytes())
     bags = sample.mapInArrow(_bags(given), "toxic int, sentences long, places binary, features binary").collect()
-    weights, bias = _fit(bags, len(known), steps, 0.1, 2e-5) if len(known) else (np.zeros(0), -8.0)
+    weights, bias = _fit(bags, len(known), steps, 0.1, 2e-5, share=share) if len(known) else (np.zeros(0), -8.0)
     return ToxicityModel(known, weights, bias)
 
 

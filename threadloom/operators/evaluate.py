@@ -43,6 +43,14 @@ def session_recall(origin: Column, found: Column) -> Column:
     return F.when((F.size(origin) > 0) & (F.size(found) > 0), hits / F.greatest(F.size(origin), F.lit(1))).otherwise(0.0)
 
 
+def session_recall_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, recall): `session_recall` of all rows (key, origin, found) of a key, one session each, counted by session before a key's rows meet."""
+    each = rows.select(key, F.explode(F.array(F.struct(F.col("origin").alias("session"), F.lit(1).alias("n"), F.lit(0).alias("hit")), F.struct(F.col("found").alias("session"), F.lit(0).alias("n"), F.lit(1).alias("hit")))).alias("x"))
+    counted = each.groupBy(key, "x.session").agg(F.sum("x.n").alias("n"), F.max("x.hit").alias("hit"))
+    known = F.when(F.col("session").isNotNull(), F.col("n")).otherwise(0)
+    return counted.groupBy(key).agg(F.coalesce(F.try_divide(F.sum(known * F.col("hit")), F.sum(known)), F.lit(0.0)).alias("recall"))
+
+
 def running_accuracy(rows: DataFrame, order) -> DataFrame:
     """Correct answers and accuracy so far, in order of question_id within `order`'s window."""
     right, seen = F.sum(F.col("correct").cast("int")).over(order), F.count("*").over(order)

@@ -167,8 +167,9 @@ def date_normalise(spark, sf_dir):
 @query("select user_id, array_to_string(list_sort(list_distinct(list('D' || (event_id % 30)))), ',') as sessions from events group by user_id")
 def evidence_sessions(spark, sf_dir):
     marks = F.concat(F.lit("D"), F.col("event_id") % 30, F.lit(":"), F.regexp_extract("props", "([0-9]+)", 1))
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(marks).alias("evidence"))
-    return rows.select("user_id", F.array_join(F.array_sort(text.evidence_sessions(F.col("evidence"))), ",").alias("sessions"))
+    # of each event by itself, so that a user's row holds sessions and not events
+    each = read(spark, sf_dir, "events").select("user_id", F.explode_outer(text.evidence_sessions(F.array(marks))).alias("session"))
+    return each.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("session")), ",").alias("sessions"))
 
 
 @query(f"""with {TURNS}, flat as (select session_id, cast(session_id[2:] as bigint) as conv_id, any_value(session_time) as session_time, string_agg('"' || speaker || '": "' || content || '"', '' order by turn_idx) as context from turns group by session_id)
@@ -176,10 +177,14 @@ select conv_id % 10 as item, row_number() over (partition by conv_id % 10 order
 def zip_sessions(spark, sf_dir):
     rows = turns(spark, sf_dir).groupBy("session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
     rows = rows.withColumn("conv_id", F.substring("session_id", 2, 20).cast("long"))
-    item = rows.groupBy((F.col("conv_id") % 10).alias("item")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "session_id", F.concat("session_time", F.lit(" (Mon) 10:00")).alias("date"), "t"))).alias("s"))
-    items = item.select("item", F.col("s.session_id").alias("ids"), F.concat("s.date", F.array(F.lit("2030/01/01"))).alias("dates"), F.col("s.t").alias("sessions"))
-    zipped = corpus.zip_sessions(items, "ids", "dates", "sessions", ["item"])
-    return longs(zipped.select("item", "place", "session_id", "session_time", corpus.flatten_turns(F.col("turns"), "speaker", "content").alias("context")), "place")
+    # an item is zipped in blocks of at most 50 conversations; their counts tell where each block begins
+    rows = rows.withColumn("item", F.col("conv_id") % 10).withColumn("block", F.floor(F.col("conv_id") / 500))
+    begins = rows.groupBy("item", "block").agg(F.count("*").alias("n"))
+    begins = begins.withColumn("begins", F.sum("n").over(Window.partitionBy("item").orderBy("block")) - F.col("n")).drop("n")
+    item = rows.groupBy("item", "block").agg(F.array_sort(F.collect_list(F.struct("conv_id", "session_id", F.concat("session_time", F.lit(" (Mon) 10:00")).alias("date"), "t"))).alias("s"))
+    items = item.select("item", "block", F.col("s.session_id").alias("ids"), F.concat("s.date", F.array(F.lit("2030/01/01"))).alias("dates"), F.col("s.t").alias("sessions"))
+    zipped = corpus.zip_sessions(items, "ids", "dates", "sessions", ["item", "block"]).join(begins, ["item", "block"])
+    return longs(zipped.select("item", (F.col("begins") + F.col("place")).alias("place"), "session_id", "session_time", corpus.flatten_turns(F.col("turns"), "speaker", "content").alias("context")), "place")
 
 
 _SETS = "list_distinct(string_split(lower(p_name), ' ')) as a, list_distinct(string_split(lower(p_type), ' ')) as b"
@@ -370,9 +375,9 @@ def eval_by_type(spark, sf_dir):
 @query("""with s as (select user_id, list('S' || (event_id % 20)) as origin, list(distinct 'S' || (cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 20)) as found from events group by user_id)
 select user_id, round(len(list_filter(origin, lambda x: list_contains(found, x))) / len(origin), 6) as recall from s""")
 def session_recall(spark, sf_dir):
-    found = F.collect_set(F.concat(F.lit("S"), F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 20))
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.concat(F.lit("S"), F.col("event_id") % 20)).alias("origin"), found.alias("found"))
-    return rows.select("user_id", F.round(evaluate.session_recall(F.col("origin"), F.col("found")), 6).alias("recall"))
+    found = F.concat(F.lit("S"), F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 20)
+    rows = read(spark, sf_dir, "events").select("user_id", F.concat(F.lit("S"), F.col("event_id") % 20).alias("origin"), found.alias("found"))
+    return evaluate.session_recall_by(rows, "user_id").select("user_id", F.round("recall", 6).alias("recall"))
 
 
 def calls(spark, sf_dir) -> DataFrame:

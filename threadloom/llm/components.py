@@ -23,13 +23,14 @@ def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFram
     edges = scratch.table(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        # written, so that the join reads plain tables on both sides and Spark can split a star's centre
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = edges.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v")).where("u != v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         before, edges = edges, scratch.table(small.where("u != v").distinct())
-        scratch.drop(before)
+        scratch.drop(before, least)
         if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():  # every smaller end is a root
             break
     else:

@@ -1,19 +1,23 @@
 """Exact Jaccard join of documents on word shingles, in the metric space of Jaccard distance.
 
-Two sets of unrelated documents lie at distance 1 from each other and from any sampled pivot, so a
-Voronoi partition by sampled documents would put nearly all rows into one region. The regions are
-therefore seeded where distances below 1 are possible at all: by shared shingles. A linked pair
-shares at least one shingle among the rarest 20 % of either set, so each such shingle is a region,
-and boundary documents are replicated to every region in whose reach they are. Then, per region:
-
-1. a pivot document is chosen and the exact distance of every member to it is computed,
-2. members within the threshold join the pivot's component; a region in one component is closed,
-3. the rest recurs with more pivots, and a member is compared with a pivot only if the triangle
-   inequality over the first pivot allows it: |d(x, p) - d(y, p)| <= 1 - similarity.
-
-Every pivot leaves its region after it has met all members of other components, so the recursion
-ends, and it ends with the components of all links. Texts with the same set are one class; all
-pairs of a group are never listed.
+Documents without a common shingle lie at distance 1 from each other and from any pivot, so cells of
+pivots sampled from the whole corpus would hold nearly all rows at the same distance. The space is
+therefore first cut where distances below 1 are possible at all: a linked pair shares at least one of
+the rarest 20 % of either set's shingles, so the documents of each such shingle are a region, and a
+document stands in every region in whose reach it is. Then, with r = 1 - similarity:
+
+1. The least document of each region is its first pivot. All exact distances to it are computed, a
+   pair that meets in several regions once. Documents within r of it are linked; a region that
+   lies in one component is closed. Regions with the same documents are one.
+2. In an open region of more than a few documents, several pivots are chosen and all distances to them
+   computed. Each document goes to the Voronoi cell of its nearest pivot p, and, by the triangle
+   inequality, a copy of it to each cell q with d(x, q) <= d(x, p) + 2 r: whatever it links with
+   in that cell can't be farther. Cells in one component are closed, the others are regions of the next turn.
+3. A small region is joined whole in its group. So is, in blocks that meet two by two, one that its
+   pivots don't tell apart (say, pages of one template, all equally far from each other).
+
+All groups give only a forest of links between components not yet joined; texts with the same set are
+one class. Pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -22,9 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm import textkernel as tk
 from threadloom.llm.components import components
@@ -33,6 +36,8 @@ from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, small_
 #: A shingle is common from this share of all documents on; so at most 256 times the mean set size are.
 COMMON_SHARE = 256
 COMMON_LEAST = 2000
+#: A region of so many documents and shared shingles at most is joined whole, in one group.
+WHOLE, WHOLE_HASHES = 128, 2_000_000
 _LOW = 6  # bytes of a shingle hash that are sent beside its bucket
 
 
@@ -47,15 +52,15 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarr
 
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "key", "common"]
+        names = ["doc_id", "mark", "n", "key", "common"]
         for batch in batches:
-            ids = batch.column("doc_id")
+            given = [batch.column(c) for c in ("doc_id", "mark")]
             for first, last, h, rows, keys in _sets(batch, size):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(np.diff(rows)), pa.array(keys), pa.array(np.zeros(len(keys), bool))], names)
+                yield pa.RecordBatch.from_arrays([*(x.slice(first, last - first) for x in given), pa.array(np.diff(rows)), pa.array(keys), pa.array(np.zeros(len(keys), bool))], names)
                 one = np.unique(keys, return_index=True)[1]
                 h, c = np.unique(tk.gather(h, rows[one], np.diff(rows)[one]), return_counts=True)
                 h, c = h[c >= 4], c[c >= 4]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(c), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), bool))], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(h), pa.int64())] * 2, pa.array(c), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), bool))], names)
 
     return run
 
@@ -65,8 +70,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _scatter(size: int, buckets: int, common):
-    """Sets of a batch cut by hash range: for each bucket the documents' keys, sizes and hashes."""
-    names = ["bucket", "keys", "sizes", "counts", "hashes"]
+    """Sets of a batch cut by hash range: for each bucket the documents' keys, how many hashes each has there, and these."""
+    names = ["bucket", "keys", "counts", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(common.value, np.uint64)
@@ -92,10 +97,10 @@ def _scatter(size: int, buckets: int, common):
                     which, count = np.unique(doc[lo:hi], return_counts=True)
                     of = one[which]
                     if k < buckets:
-                        rows.append((k, keys[of].tobytes(), n[of].astype("<u4").tobytes(), count.astype("<u4").tobytes(), tk.pack(h[lo:hi], _LOW)))
+                        rows.append((k, keys[of].tobytes(), tk.squeeze(count), tk.pack(h[lo:hi], _LOW)))
                     else:  # the common ones need no counting: a row for each document, hashes as they are
                         ends = np.cumsum(count)
-                        rows += [(-1, keys[o : o + 1].tobytes(), n[o : o + 1].astype("<u4").tobytes(), b"", h[lo + e - c : lo + e].tobytes()) for o, c, e in zip(of, count, ends)]
+                        rows += [(-1, keys[o : o + 1].tobytes(), b"", h[lo + e - c : lo + e].tobytes()) for o, c, e in zip(of, count, ends)]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))), schema=pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in names[1:])]))
 
     return run
@@ -110,14 +115,14 @@ def _binary(blob: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: for each set, the hashes that another set has too, and in how many sets they are."""
     bucket = table.column("bucket")[0].as_py()
-    keys, sizes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("sizes", "<u4"), ("counts", "<u4")))
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+    counts = np.concatenate([tk.unsqueeze(x) for x in table.column("counts").to_pylist()])
     h = tk.unpack(b"".join(table.column("hashes").to_pylist()), _LOW)
-    counts = counts.astype(np.int64)
     one = np.sort(np.unique(keys, return_index=True)[1])  # the same set from several batches counts once
     if len(one) < len(keys):
         mine = np.zeros(len(keys), bool)
         mine[one] = True
-        h, keys, sizes, counts = h[np.repeat(mine, counts)], keys[one], sizes[one], counts[one]
+        h, keys, counts = h[np.repeat(mine, counts)], keys[one], counts[one]
     order = np.argsort(h)
     s = h[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -130,53 +135,167 @@ def _shared(table: pa.Table) -> pa.Table:
     per = np.bincount(np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep], minlength=len(keys))
     some = per > 0
     h = h[keep] | (np.uint64(bucket & 0xFFFF) << np.uint64(48))
-    return pa.table({
-        "key": keys[some], "n": sizes[some].astype(np.int64), "shared": per[some], "common": np.zeros(some.sum(), bool),
-        "hashes": _binary(h.view(np.uint8), per[some] * 8), "df": _binary(np.minimum(df[keep], 0xFFFFFFFE).astype("<u4").view(np.uint8), per[some] * 4),
-    })
+    return pa.table({"key": keys[some], "shared": per[some], "hashes": _binary(h.view(np.uint8), per[some] * 8), "df": _binary(np.minimum(df[keep], 0xFFFFFFFE).astype("<u4").view(np.uint8), per[some] * 4)})
 
 
-_SHARED = "key long, n long, shared long, common boolean, hashes binary, df binary"
+_SHARED = "key long, shared long, hashes binary, df binary"
 
 
 def _common_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes = batch.column("hashes").to_pylist()
         key = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
-        n = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(n), pa.array([len(x) // 8 for x in hashes], pa.int64()), pa.array([True] * len(n), pa.bool_()), pa.array(hashes, pa.binary()), pa.array([b"\xff" * (len(x) // 2) for x in hashes], pa.binary())],
-            ["key", "n", "shared", "common", "hashes", "df"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([len(x) // 8 for x in hashes], pa.int64()), pa.array(hashes, pa.binary()), pa.array([b"\xff" * (len(x) // 2) for x in hashes], pa.binary())], ["key", "shared", "hashes", "df"])
+
+
+_SET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("rare", pa.list_(pa.int64()))])
 
 
 def _prefixes(percent: int):
-    """Of each candidate set: its shared hashes, sorted, and those of its rarest part with their places."""
+    """Of each candidate set: its shared hashes, sorted, and those of its rarest part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, n, hs, ds in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "hashes", "df"))):
+            for i, n, hs, ds in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "hashes", "df"))):
                 h, df = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(ds), "<u4")
-                alone = n - len(h)
-                reach = n - -(-percent * n // 100) + 1 - alone
+                reach = n - -(-percent * n // 100) + 1 - (n - len(h))
                 rare = np.lexsort((h, df))[: max(reach, 0)]
-                out.append((key, n, alone, np.sort(h).tobytes(), h[rare].view(np.int64).tolist()))
-            yield pa.RecordBatch.from_pydict(
-                dict(zip(("key", "n", "alone", "hashes", "rare"), zip(*out))) if out else {c: [] for c in ("key", "n", "alone", "hashes", "rare")},
-                schema=pa.schema([("key", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("hashes", pa.binary()), ("rare", pa.list_(pa.int64()))]),
-            )
+                out.append((i, n, np.sort(h).tobytes(), h[rare].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_pydict(dict(zip(_SET.names, zip(*out))) if out else {c: [] for c in _SET.names}, schema=_SET)
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
+def _linked(percent: int):
+    """Of pairs with both sets: those within the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.array([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())], np.int64)
+            close = both * (100 + percent) >= percent * (np.asarray(batch.column("na")) + np.asarray(batch.column("nb")))
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    return run
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each set of a shares with each set of b; sets are sorted and distinct."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    ha, hb = (np.concatenate(x) for x in (a, b))
+    known = np.intersect1d(np.unique(ha), np.unique(hb), assume_unique=True)
+    if not len(known):
+        return out
+    sides = []
+    for sets, h in ((a, ha), (b, hb)):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = np.flatnonzero(known[at] == h)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], at[order]))
+    for low in range(0, len(known), width):
+        parts = []
+        for sets, (row, at) in zip((a, b), sides):
+            first, last = np.searchsorted(at, [low, low + width])
+            part = np.zeros((len(sets), min(width, len(known) - low)), np.float32)
+            part[row[first:last], at[first:last] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T  # counts below 2^24 are exact
+    return out
+
+
+class _Forest:
+    """Which labels have been joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _close(both: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return both.astype(np.int64) * (100 + percent) >= percent * (na[:, None] + nb[None, :])
+
+
+#: A link has only `base` and `other`: labels to be joined. Else a place: a row of a region in a cell.
+_PLACED = pa.schema([(c, pa.int64()) for c in ("region", "m", "cell", "id", "base", "label", "other")] + [("own", pa.bool_())])
+PLACED = "region long, m long, cell long, id long, base long, label long, other long, own boolean"
+
+
+def _cells(percent: int):
+    """Groups of a region's members, each with all of its pivots: links to pivots, and the cells of each member."""
+    twice = 2 * (1 - percent / 100) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tk.runs(batches, "region", "part"):
+            ids, base, label, n = (table.column(c).to_numpy() for c in ("id", "base", "label", "n"))
+            is_pivot = np.asarray(table.column("is_pivot"))
+            hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+            rows: list[tuple] = []
+            for first, last in tk.groups_of(table, "region", "part"):
+                at = np.arange(first, last)
+                p, x = at[is_pivot[at]], at[~is_pivot[at]]
+                region, m = table.column("region")[first].as_py(), table.column("m")[first].as_py()
+                if not len(p):  # no pivot fell to this region: it stays one cell
+                    rows += [(region, m, region, i, b, lab, None, True) for i, b, lab in zip(ids[x].tolist(), base[x].tolist(), label[x].tolist())]
+                    continue
+                far = overlaps([hashes[i] for i in at], [hashes[i] for i in p])
+                close = _close(far, n[at], n[p], percent)
+                far = 1 - far / (n[at][:, None] + n[p][None, :] - far)
+                forest = _Forest()
+                for i, j in zip(*np.nonzero(close)):  # pivots first, so that all groups of a region join them alike
+                    if is_pivot[at[i]]:
+                        forest.join(int(label[at[i]]), int(label[p[j]]))
+                own = np.flatnonzero(~is_pivot[at])
+                for i in own.tolist():
+                    k, here = at[i], forest.root(int(label[at[i]]))
+                    for j in np.flatnonzero(close[i]).tolist():
+                        if base[k] != base[p[j]] and ids[k] != ids[p[j]]:
+                            there = forest.root(int(label[p[j]]))
+                            if there != here or far[i, j] == far[i].min():
+                                rows.append((None, None, None, None, int(base[k]), None, int(base[p[j]]), False))
+                            here = min(here, there)
+                    near = int(far[i].argmin())
+                    for j in np.flatnonzero(far[i] <= far[i, near] + twice).tolist():
+                        rows.append((region, m, int(ids[p[j]]), int(ids[k]), int(base[k]), here, None, j == near))
+            yield pa.RecordBatch.from_pydict(dict(zip(_PLACED.names, zip(*rows))) if rows else {c: [] for c in _PLACED.names}, schema=_PLACED)
+
+    return run
+
+
+def _whole(percent: int):
+    """Groups joined whole: a forest of the links between different labels. side: 0 meets 1, and 2 meets 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tk.runs(batches, "region", "i", "j"):
+            base, label, n, side = (table.column(c).to_numpy() for c in ("base", "label", "n", "side"))
+            hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+            out = []
+            for first, last in tk.groups_of(table, "region", "i", "j"):
+                at = np.arange(first, last)
+                left, right = at[side[at] != 1], at[side[at] != 0]
+                if not len(left) or not len(right):
+                    continue
+                close = _close(overlaps([hashes[k] for k in left], [hashes[k] for k in right]), n[left], n[right], percent)
+                close &= label[left][:, None] != label[right][None, :]
+                forest = _Forest()
+                for i, j in zip(*np.nonzero(close)):
+                    if forest.join(int(label[left[i]]), int(label[right[j]])):
+                        out.append((int(base[left[i]]), int(base[right[j]])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["base", "other"])
+
+    return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, per_bucket: int = 1_500_000) -> DataFrame:
     """Components of the documents whose shingle sets have a Jaccard similarity of percent/100 or more.
 
     Returns (doc_id long, n_shingles long, component_id long), a row for each row of docs. Words are
@@ -184,86 +303,157 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80,
     words, have no shingles and link with nothing; a text of fewer than `size` words is one shingle.
     component_id is the smallest doc_id reachable by links, the row's own included. A row with a
     null doc_id takes part in nothing and has a null component; rows that repeat a doc_id are rows of
-    their own, linked as their texts are. Further columns of docs are left behind. Sets are held as
-    64-bit hashes, of which 48 bits and the bucket are compared.
+    their own, linked as their texts are. Texts of any length count whole. Further columns of docs,
+    whatever their names, are left behind. Sets are held as 64-bit hashes, of which 48 bits and the bucket are compared.
     """
+    return classified(spark, docs, percent, size, per_bucket).select("doc_id", "n_shingles", "component_id")
+
+
+def classified(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, per_bucket: int = 1_500_000) -> DataFrame:
+    """As jaccard_components, with what tells rows apart that share a doc_id: `mark`, the xxhash64 of the text, and `component`, a number of the component alone."""
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = columns_or_null(docs, doc_id="long", text="string")
-    read = scratch.table(docs.mapInArrow(_features(size), "doc_id long, n long, key long, common boolean"))
-    rows = read.where("not common").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("key")).alias("key"))
+    read = scratch.table(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_features(size), "doc_id long, mark long, n long, key long, common boolean"))
+    rows = read.where("not common").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("key")).alias("key"))
     totals = rows.agg(F.count("*"), F.sum("n_shingles")).first()
     common = read.where("common").groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") >= max(COMMON_LEAST, totals[0] // COMMON_SHARE)).select("key").collect()
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64)).tobytes())
-    buckets = buckets_for(totals[1] or 0, 6_000_000)
+    classes = scratch.table(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")))
+    buckets = buckets_for(totals[1] or 0, per_bucket)
 
-    sent = docs.where("doc_id is not null").mapInArrow(_scatter(size, buckets, common), "bucket long, keys binary, sizes binary, counts binary, hashes binary")
+    sent = docs.where("doc_id is not null").mapInArrow(_scatter(size, buckets, common), "bucket long, keys binary, counts binary, hashes binary")
     counted = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, _SHARED)
     if common.value != b"":
         counted = counted.union(sent.where("bucket < 0").dropDuplicates(["keys"]).mapInArrow(_common_rows, _SHARED))
-    sets = (
-        counted.groupBy("key")
-        .agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("hashes").alias("hashes"), F.collect_list("df").alias("df"))
-        .where(F.col("shared") * 100 >= F.col("n") * percent)
-        .mapInArrow(_prefixes(percent), "key long, n long, alone long, hashes binary, rare array<long>")
-    )
-    sets = scratch.table(sets)
-    members = sets.select("key", "n", "alone", F.posexplode("rare").alias("place", "region"))
-    members = members.select("region", "key", "n", (F.col("alone") + F.col("place")).alias("place"), F.lit(None).cast("double").alias("d"))
-    labels = _recurse(scratch, members, sets.select("key", "n", "hashes"), percent)
-
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = classes.join(labels, "key").groupBy("label").agg(F.min("least").alias("component")).join(labels, "label").select("key", "component")
-    classes = classes.join(named, "key", "left").select("key", F.coalesce("component", "least").alias("component"))
-    alone = rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.join(classes, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(alone)
-
-
-def _recurse(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, label) of the sets that link; label is the same for all sets of a component."""
-    reach = 1 - percent / 100
-    labels, all_links, pivots, turn = None, None, 1, 0
-    members = scratch.table(members)
-    while True:
-        if labels is not None:
-            here = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        else:
-            here = members.withColumn("label", F.col("key"))
-        here = scratch.table(here)
-        open_ = here.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("region")
-        if pivots == 1:
-            chosen = here.groupBy("region").agg(F.min(F.struct("key", "n", "place", "d", "label")).alias("p")).select("region", "p.*")
-        else:
-            rank = F.row_number().over(Window.partitionBy("region").orderBy("key"))
-            chosen = here.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
-        chosen = scratch.table(_prefixed(chosen.join(open_, "region", "left_semi")))
-        if chosen.isEmpty():
-            break
-        met = here.join(chosen, "region").where("key != p_key and label != p_label")
-        # the first shingle that two linked sets share leaves enough room for their overlap
-        met = met.where(f"least(n - place, p_n - p_place) * {100 + percent} >= {percent} * (n + p_n)")
-        met = met.where(f"d is null or p_d is null or abs(d - p_d) <= {reach + 1e-9}")
-        pairs = met.select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
-        left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-        right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-        checked = pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long")
-        checked = scratch.table(checked)
-        links = checked.where(f"both * {100 + percent} >= {percent} * (na + nb)").select("a", "b")
-        all_links = links if all_links is None else all_links.union(links)
-        labels = scratch.table(components(scratch, all_links).select(F.col("id").alias("key"), F.col("component").alias("label")))
-        rest = here.drop("label").join(open_, "region", "left_semi")
-        if turn == 0:
-            far = checked.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-            far = far.select(F.col("a").alias("key"), F.col("b").alias("p_key"), "far").union(far.select(F.col("b"), F.col("a"), "far"))
-            rest = rest.join(chosen.select("region", "p_key"), "region").join(far, ["key", "p_key"], "left")
-            rest = rest.where("key != p_key").select("region", "key", "n", "place", F.col("far").alias("d"))
-        else:
-            rest = rest.join(chosen.select("region", F.col("p_key").alias("key")), ["region", "key"], "left_anti")
-        scratch.drop(members)
-        members, turn, pivots = scratch.table(rest), turn + 1, min(pivots * 8, 512)
-        scratch.drop(here, chosen)
-    return labels if labels is not None else members.select("key", F.col("key").alias("label")).limit(0)
-
-
-def _prefixed(chosen: DataFrame) -> DataFrame:
-    return chosen.select("region", *[F.col(c).alias(f"p_{c}") for c in ("key", "n", "place", "d", "label")])
+    sets = counted.groupBy("key").agg(F.sum("shared").alias("shared"), F.collect_list("hashes").alias("hashes"), F.collect_list("df").alias("df"))
+    sets = sets.join(classes, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select(F.col("key").alias("id"), "n", "hashes", "df")
+    sets = scratch.table(sets.mapInArrow(_prefixes(percent), "id long, n long, hashes binary, rare array<long>"))
+    members = sets.select(F.explode("rare").alias("region"), "id")
+    named = components_of(scratch, members, sets.select("id", "n", "hashes"), percent)
+    named = scratch.table(classes.join(named.withColumnRenamed("id", "key"), "key").select("key", "component", "id"))
+    least = scratch.table(named.groupBy("component").agg(F.min("id").alias("component_id")))
+    named = named.join(least, "component").select("key", "component", "component_id")
+    classes = classes.join(named, "key", "left").select("key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
+    alone = rows.where("key is null").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    out = ["doc_id", "n_shingles", "mark", "component", "component_id"]
+    return rows.join(classes, "key").select(*out).union(alone.select(*out))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the least doc_id, and of its texts that of the least hash.
+
+    Rows without words, and rows without a doc_id, all stay. Of rows with the same doc_id and text one stays.
+    """
+    found = classified(spark, docs, percent, size).where("n_shingles > 0 and doc_id is not null")
+    texts = found.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    chosen = texts.groupBy("component").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("r")).select("r.*")
+    chosen = Scratch(spark, "one_of_each").table(chosen)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = own.where(worded).join(chosen, ["doc_id", "mark"]).select("row", "doc_id", "mark", "rows")
+    repeated = kept.where("rows > 1").dropDuplicates(["doc_id", "mark"])
+    rest = own.where(~worded).select("row")
+    return kept.where("rows = 1").select("row").union(repeated.select("row")).union(rest).select("row.*")
+
+
+def _signed(keys: list[str], *more: Column) -> list[Column]:
+    """Aggregates of a region: its size, and what is the same for regions with the same documents."""
+    return [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"), *more]
+
+
+def _once(regions: DataFrame, keys: list[str], *keep: str) -> DataFrame:
+    """One of the regions with the same documents."""
+    return regions.groupBy("m", "s", "t").agg(F.min(F.struct(*keys, *keep)).alias("r")).select("m", "r.*")
+
+
+def components_of(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the sets that link, from regions (region, id) that hold every linked pair together at least once.
+
+    sets: id, n, hashes (of the shingles that other sets have too).
+    """
+    # first turn: one pivot for each region
+    found = members.groupBy("region").agg(*_signed(["region"], F.min("id").alias("pivot"))).where("m > 1")
+    found = scratch.table(_once(found, ["region"], "pivot"))
+    members = scratch.table(members.join(found.select("region", "pivot"), "region"))
+    pairs = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    left, right = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("hashes").alias(f"h{s}")) for s in "ab")
+    links = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_linked(percent), "a long, b long"))
+    labels = scratch.table(components(scratch, links).select("id", F.col("component").alias("label")))
+
+    # all pairs with the pivot are known; what is left of a region is open if it lies in several components
+    rest = scratch.table(members.where("id != pivot").select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")))
+    open_ = rest.groupBy("region").agg(*_signed(["region"], F.min("label").alias("low"), F.max("label").alias("high"))).where("m > 1 and low != high")
+    open_ = scratch.table(_once(open_, ["region"]))
+    active = rest.join(open_, "region").select("region", "m", "id", F.col("label").alias("base"), "label")
+    small, later = [active.where(F.col("m") <= WHOLE)], []
+    large, turn = scratch.table(active.where(F.col("m") > WHOLE)), 1
+    links = []
+    while not large.isEmpty():
+        placed = scratch.table(_divided(large, sets, percent, turn))
+        links.append(placed.where("cell is null").select("base", "other"))
+        placed = placed.where("cell is not null")
+        cells = placed.groupBy("region", "cell").agg(*_signed(["region", "cell"], F.min("label").alias("low"), F.max("label").alias("high"), F.first("m").alias("of"))).where("m > 1 and low != high")
+        cells = scratch.table(cells.withColumnRenamed("m", "size"))
+        # pivots that don't tell the documents apart: the cells together are far larger than the region, or one is nearly as large
+        mixed = cells.groupBy("region").agg((F.sum("size") > 4 * F.first("of")).alias("wide"), (F.max("size") > 0.75 * F.first("of")).alias("lone")).where("wide or lone").select("region")
+        mixed = scratch.table(mixed)
+        later.append(placed.where("own").join(mixed, "region").select("region", "m", "id", "base", "label"))
+        split = cells.join(mixed, "region", "left_anti").withColumnRenamed("size", "m")
+        split = scratch.table(_once(split, ["region", "cell"]))
+        active = placed.drop("m").join(split, ["region", "cell"]).select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "m", "id", "base", "label")
+        small.append(active.where(F.col("m") <= WHOLE))
+        large, turn = scratch.table(active.where(F.col("m") > WHOLE)), turn + 1
+
+    links.append(_joined(scratch, small, later, sets, percent))
+    more = links[0]
+    for x in links[1:]:
+        more = more.union(x)
+    merged = components(scratch, more.select(F.col("base").alias("a"), F.col("other").alias("b")))
+    merged = scratch.table(merged.select(F.col("id").alias("label"), "component"))
+    # a set that the first turn didn't link may be linked by a later one: its label is its own id
+    alone = merged.join(labels, merged["label"] == labels["id"], "left_anti").select(F.col("label").alias("id"), "component")
+    return labels.join(merged, "label", "left").select("id", F.coalesce("component", "label").alias("component")).union(alone)
+
+
+def _divided(large: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Members of large regions in the cells of about sqrt(m) pivots, chosen by hash; in groups of at most about WHOLE."""
+    rows = large.join(sets, "id")
+    share = F.least(F.greatest(F.sqrt("m"), F.lit(8.0)), F.lit(64.0)) / F.col("m")
+    chosen = F.shiftrightunsigned(F.xxhash64("id", "region", F.lit(turn)), 1) < share * F.lit(float(1 << 63))
+    parts = F.ceil(F.col("m") / WHOLE).cast("int")
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("is_pivot")))
+    everywhere = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("part"), F.lit(True).alias("is_pivot")))
+    dealt = rows.withColumn("to", F.explode(F.when(chosen, F.concat(own, everywhere)).otherwise(own)))
+    dealt = dealt.select("region", "to.part", "to.is_pivot", "m", "id", "base", "label", "n", "hashes")
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "region", "part").sortWithinPartitions("region", "part").mapInArrow(_cells(percent), PLACED)
+
+
+def _joined(scratch: Scratch, small: list[DataFrame], later: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+    """Links of small regions, and of regions that pivots don't tell apart.
+
+    These are dealt out in blocks of about 3 sqrt(m) that meet two by two. Documents of the region's most
+    frequent label needn't meet each other: their blocks meet only those of the others.
+    """
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
+    group = F.lit(0)
+    rows = union(small).select("region", group.alias("i"), group.alias("j"), F.lit(2).alias("side"), "id", "base", "label")
+    if later:
+        mixed = scratch.table(union(later))
+        count = mixed.groupBy("region", "label").agg(F.count("*").alias("c"), F.first("m").alias("m"))
+        main = scratch.table(count.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c")))
+        mixed = mixed.join(main, "region")
+        block = F.ceil(3 * F.sqrt("m"))
+        mains, rests = F.ceil(F.col("c") / block).cast("int"), F.greatest(F.ceil((F.col("m") - F.col("c")) / block), F.lit(1)).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        to = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+        one, many = own(mains), own(rests)
+        of_main = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: to(-1 - one, k, F.lit(0)))
+        with_main = F.transform(F.sequence(F.lit(0), mains - 1), lambda k: to(-1 - k, many, F.lit(1)))
+        with_rest = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: to(F.least(many, k), F.greatest(many, k), F.when(k == many, 2).when(many < k, 0).otherwise(1)))
+        dealt = mixed.withColumn("to", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, with_rest))))
+        rows = rows.union(dealt.select("region", "to.i", "to.j", "to.side", "id", "base", "label"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(sets, "id").select("region", "i", "j", "side", "base", "label", "n", "hashes")
+    return scratch.table(rows.repartition(n, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_whole(percent), "base long, other long"))

@@ -149,3 +149,46 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     if not total:
         return pool[:0]
     return pool[np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, compressed by byte planes: high bytes are mostly zero."""
+    raw = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(a).to_bytes(8, "little") + (pa.Codec("zstd").compress(raw, asbytes=True) if raw else b"")
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=4 * n)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def runs(batches, *keys: str):
+    """Tables of whole groups from batches that come sorted by the keys; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [np.asarray(batch.column(k)) for k in keys]
+        new = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            cut = int(new[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def groups_of(table: pa.Table, *keys: str):
+    """(first, last) row ranges of the groups of a table that is sorted by the keys."""
+    marks = [table.column(k).to_numpy() for k in keys]
+    cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+    bounds = [0, *cuts.tolist(), table.num_rows]
+    return zip(bounds, bounds[1:])

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm import backtrack_bpe, jaccard_join, mixing, ppm_language, toxicity
 from threadloom.llm.queries import read, tokenizer_path
@@ -23,10 +21,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id; rows without a doc_id stay."""
-    groups = jaccard_join.jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").withColumn("copy_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return kept.where("copy_rank = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies, that of the smallest doc_id; rows without words or without a doc_id stay."""
+    return jaccard_join.one_of_each(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

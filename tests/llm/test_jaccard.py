@@ -49,30 +49,12 @@ def test_pages_of_a_template_that_do_not_link(spark, monkeypatch):
     assert len(written) <= 30
 
 
-def test_regions_are_cut_by_pivots(spark, monkeypatch):
-    """Twelve groups around copies of their own that share one rare passage: cells of pivots hold a group each."""
-    turns = []
-    real = jaccard_join._divided
-    monkeypatch.setattr(jaccard_join, "_divided", lambda *a: turns.append(1) or real(*a))
-    monkeypatch.setattr(jaccard_join, "WHOLE", 16)
-    r = random.Random(5)
-    passage = [f"p{k}" for k in range(12)]
-    texts = []
-    for g in range(12):
-        base = passage + [f"g{g}w{k}" for k in range(60)]
-        for m in range(20):
-            words = list(base)
-            for at in r.sample(range(12, 72), r.randint(0, 3)):
-                words[at] = f"x{r.random():.9f}"
-            texts.append((g * 100 + m, " ".join(words)))
-    r.shuffle(texts)
-    assert found(spark, texts) == brute(texts)
-
-
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_regions_equal_brute_force(spark, monkeypatch, seed):
     """Large regions of random sets in every state: labelled in part, cut, closed, and joined in blocks."""
     monkeypatch.setattr(jaccard_join, "WHOLE", 8)
+    turns, real = [], jaccard_join._divided
+    monkeypatch.setattr(jaccard_join, "_divided", lambda *a: turns.append(1) or real(*a))
     rng = np.random.default_rng(seed)
     sets = []
     for _ in range(12):
@@ -83,6 +65,7 @@ def test_regions_equal_brute_force(spark, monkeypatch, seed):
     sets = list({s.tobytes(): s for s in sets}.values())
     table = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, n long, hashes binary")
     regions = spark.createDataFrame([(r, i) for r in range(4) for i in range(len(sets)) if r < 2 or i % r == 0], "region long, id long")
+    regions = regions.join(table.select("id", F.col("n").alias("w")), "id")
     got = {r["id"]: r["component"] for r in jaccard_join.components_of(jaccard_join.Scratch(spark, "t"), regions, table, 80).collect()}
     label = list(range(len(sets)))
     for _ in range(30):
@@ -92,6 +75,7 @@ def test_regions_equal_brute_force(spark, monkeypatch, seed):
                 if both * 180 >= 80 * (len(sets[a]) + len(sets[b])):
                     label[a] = label[b] = min(label[a], label[b])
     assert [got.get(i, i) for i in range(len(sets))] == label
+    assert turns
 
 
 def test_overlaps():

@@ -6,15 +6,16 @@ therefore first cut where distances below 1 are possible at all: a linked pair s
 the rarest 20 % of either set's shingles, so the documents of each such shingle are a region, and a
 document stands in every region in whose reach it is. Then, with r = 1 - similarity:
 
-1. The least document of each region is its first pivot. All exact distances to it are computed, a
-   pair that meets in several regions once. Documents within r of it are linked; a region that
-   lies in one component is closed. Regions with the same documents are one.
-2. In an open region of more than a few documents, several pivots are chosen and all distances to them
-   computed. Each document goes to the Voronoi cell of its nearest pivot p, and, by the triangle
+1. The least document of each region is its first pivot; regions with the same pivot are one from here on.
+   All exact distances to it are computed, and documents within r of it are linked. A region
+   whose documents lie in one component is closed.
+2. In an open region of more than a few documents, pivots of several components are chosen and all distances
+   to them computed. Each document goes to the Voronoi cell of its nearest pivot p, and, by the triangle
    inequality, a copy of it to each cell q with d(x, q) <= d(x, p) + 2 r: whatever it links with
    in that cell can't be farther. Cells in one component are closed, the others are regions of the next turn.
 3. A small region is joined whole in its group. So is, in blocks that meet two by two, one that its
-   pivots don't tell apart (say, pages of one template, all equally far from each other).
+   pivots don't tell apart (say, pages of one template, all equally far from each other): if the pivots
+   themselves would each be copied to several cells, nothing is copied.
 
 All groups give only a forest of links between components not yet joined; texts with the same set are
 one class. Pairs of a group are never listed.
@@ -36,7 +37,7 @@ from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, small_
 #: A shingle is common from this share of all documents on; so at most 256 times the mean set size are.
 COMMON_SHARE = 256
 COMMON_LEAST = 2000
-#: A region of so many documents and shared shingles at most is joined whole, in one group.
+#: A region of so many documents, and so many shared shingles in all, at most is joined whole, in one group.
 WHOLE, WHOLE_HASHES = 128, 2_000_000
 _LOW = 6  # bytes of a shingle hash that are sent beside its bucket
 
@@ -226,46 +227,59 @@ def _close(both: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np
 
 
 #: A link has only `base` and `other`: labels to be joined. Else a place: a row of a region in a cell.
-_PLACED = pa.schema([(c, pa.int64()) for c in ("region", "m", "cell", "id", "base", "label", "other")] + [("own", pa.bool_())])
-PLACED = "region long, m long, cell long, id long, base long, label long, other long, own boolean"
+_PLACED = pa.schema([(c, pa.int64()) for c in ("region", "m", "weight", "cell", "id", "w", "base", "label", "other")] + [("own", pa.bool_())])
+PLACED = "region long, m long, weight long, cell long, id long, w long, base long, label long, other long, own boolean"
 
 
-def _cells(percent: int):
-    """Groups of a region's members, each with all of its pivots: links to pivots, and the cells of each member."""
+def _cells(percent: int, most_copies: float = 2.0):
+    """Groups of a region's members, each with all of its pivots: links to pivots, and the cells of each member.
+
+    If the pivots themselves would be in over `most_copies` cells besides their own on average, cells don't
+    tell the region apart, and all its members stay in one: the region's own. All groups of a region
+    see the same pivots, and so decide alike.
+    """
     twice = 2 * (1 - percent / 100) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tk.runs(batches, "region", "part"):
-            ids, base, label, n = (table.column(c).to_numpy() for c in ("id", "base", "label", "n"))
+            ids, base, label, n, w = (table.column(c).to_numpy() for c in ("id", "base", "label", "n", "w"))
             is_pivot = np.asarray(table.column("is_pivot"))
             hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
             rows: list[tuple] = []
             for first, last in tk.groups_of(table, "region", "part"):
                 at = np.arange(first, last)
                 p, x = at[is_pivot[at]], at[~is_pivot[at]]
-                region, m = table.column("region")[first].as_py(), table.column("m")[first].as_py()
-                if not len(p):  # no pivot fell to this region: it stays one cell
-                    rows += [(region, m, region, i, b, lab, None, True) for i, b, lab in zip(ids[x].tolist(), base[x].tolist(), label[x].tolist())]
-                    continue
-                far = overlaps([hashes[i] for i in at], [hashes[i] for i in p])
-                close = _close(far, n[at], n[p], percent)
-                far = 1 - far / (n[at][:, None] + n[p][None, :] - far)
+                region, m, weight = (table.column(c)[first].as_py() for c in ("region", "m", "weight"))
                 forest = _Forest()
-                for i, j in zip(*np.nonzero(close)):  # pivots first, so that all groups of a region join them alike
-                    if is_pivot[at[i]]:
-                        forest.join(int(label[at[i]]), int(label[p[j]]))
-                own = np.flatnonzero(~is_pivot[at])
-                for i in own.tolist():
-                    k, here = at[i], forest.root(int(label[at[i]]))
-                    for j in np.flatnonzero(close[i]).tolist():
-                        if base[k] != base[p[j]] and ids[k] != ids[p[j]]:
-                            there = forest.root(int(label[p[j]]))
-                            if there != here or far[i, j] == far[i].min():
-                                rows.append((None, None, None, None, int(base[k]), None, int(base[p[j]]), False))
-                            here = min(here, there)
+                if len(p):
+                    far = overlaps([hashes[i] for i in p], [hashes[i] for i in p])
+                    for i, j in zip(*np.nonzero(_close(far, n[p], n[p], percent))):
+                        forest.join(int(label[p[i]]), int(label[p[j]]))
+                    far = 1 - far / (n[p][:, None] + n[p][None, :] - far)
+                    np.fill_diagonal(far, 2)
+                    mixed = len(p) < 2 or (far <= far.min(1, keepdims=True) + twice).sum() > (1 + most_copies) * len(p)
+                if len(p) and len(x):
+                    far = overlaps([hashes[i] for i in x], [hashes[i] for i in p])
+                    close = _close(far, n[x], n[p], percent)
+                    far = 1 - far / (n[x][:, None] + n[p][None, :] - far)
+                for i, k in enumerate(x.tolist()):
+                    here, own = forest.root(int(label[k])), (region, m, weight)
+                    if not len(p):
+                        rows.append((*own, region, int(ids[k]), int(w[k]), int(base[k]), here, None, True))
+                        continue
                     near = int(far[i].argmin())
-                    for j in np.flatnonzero(far[i] <= far[i, near] + twice).tolist():
-                        rows.append((region, m, int(ids[p[j]]), int(ids[k]), int(base[k]), here, None, j == near))
+                    told = set()
+                    for j in np.flatnonzero(close[i]).tolist():
+                        there = forest.root(int(label[p[j]]))
+                        if there not in told and base[k] != base[p[j]]:
+                            rows.append((*[None] * 6, int(base[k]), None, int(base[p[j]]), False))
+                        told.add(there)
+                        here = min(here, there)
+                    cells = [near] if mixed else np.flatnonzero(far[i] <= far[i, near] + twice).tolist()
+                    rows += [(*own, region if mixed else int(ids[p[j]]), int(ids[k]), int(w[k]), int(base[k]), here, None, j == near) for j in cells]
+                if table.column("part")[first].as_py() == 0:  # what joins pivots, once for a region
+                    far = overlaps([hashes[i] for i in p], [hashes[i] for i in p]) if len(p) else np.zeros((0, 0))
+                    rows += [(*[None] * 6, int(base[p[i]]), None, int(base[p[j]]), False) for i, j in zip(*np.nonzero(_close(far, n[p], n[p], percent))) if base[p[i]] < base[p[j]]]
             yield pa.RecordBatch.from_pydict(dict(zip(_PLACED.names, zip(*rows))) if rows else {c: [] for c in _PLACED.names}, schema=_PLACED)
 
     return run
@@ -295,7 +309,7 @@ def _whole(percent: int):
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, per_bucket: int = 1_500_000) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, per_bucket: int = 3_000_000) -> DataFrame:
     """Components of the documents whose shingle sets have a Jaccard similarity of percent/100 or more.
 
     Returns (doc_id long, n_shingles long, component_id long), a row for each row of docs. Words are
@@ -309,7 +323,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80,
     return classified(spark, docs, percent, size, per_bucket).select("doc_id", "n_shingles", "component_id")
 
 
-def classified(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, per_bucket: int = 1_500_000) -> DataFrame:
+def classified(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, per_bucket: int = 3_000_000) -> DataFrame:
     """As jaccard_components, with what tells rows apart that share a doc_id: `mark`, the xxhash64 of the text, and `component`, a number of the component alone."""
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
@@ -329,7 +343,7 @@ def classified(spark: SparkSession, docs: DataFrame, percent: int = 80, size: in
     sets = counted.groupBy("key").agg(F.sum("shared").alias("shared"), F.collect_list("hashes").alias("hashes"), F.collect_list("df").alias("df"))
     sets = sets.join(classes, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select(F.col("key").alias("id"), "n", "hashes", "df")
     sets = scratch.table(sets.mapInArrow(_prefixes(percent), "id long, n long, hashes binary, rare array<long>"))
-    members = sets.select(F.explode("rare").alias("region"), "id")
+    members = sets.select(F.explode("rare").alias("region"), "id", (F.length("hashes") / 8).cast("long").alias("w"))
     named = components_of(scratch, members, sets.select("id", "n", "hashes"), percent)
     named = scratch.table(classes.join(named.withColumnRenamed("id", "key"), "key").select("key", "component", "id"))
     least = scratch.table(named.groupBy("component").agg(F.min("id").alias("component_id")))
@@ -357,55 +371,40 @@ def one_of_each(spark: SparkSession, docs: DataFrame, percent: int = 80, size: i
     return kept.where("rows = 1").select("row").union(repeated.select("row")).union(rest).select("row.*")
 
 
-def _signed(keys: list[str], *more: Column) -> list[Column]:
-    """Aggregates of a region: its size, and what is the same for regions with the same documents."""
-    return [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"), *more]
-
-
-def _once(regions: DataFrame, keys: list[str], *keep: str) -> DataFrame:
-    """One of the regions with the same documents."""
-    return regions.groupBy("m", "s", "t").agg(F.min(F.struct(*keys, *keep)).alias("r")).select("m", "r.*")
-
-
 def components_of(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the sets that link, from regions (region, id) that hold every linked pair together at least once.
 
     sets: id, n, hashes (of the shingles that other sets have too).
     """
     # first turn: one pivot for each region
-    found = members.groupBy("region").agg(*_signed(["region"], F.min("id").alias("pivot"))).where("m > 1")
-    found = scratch.table(_once(found, ["region"], "pivot"))
-    members = scratch.table(members.join(found.select("region", "pivot"), "region"))
-    pairs = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = scratch.table(members.groupBy("region").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
+    members = scratch.table(members.join(first, "region").where("id != pivot").select(F.col("pivot").alias("region"), "id", "w").distinct())
     left, right = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("hashes").alias(f"h{s}")) for s in "ab")
+    pairs = members.select(F.col("id").alias("a"), F.col("region").alias("b"))
     links = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_linked(percent), "a long, b long"))
     labels = scratch.table(components(scratch, links).select("id", F.col("component").alias("label")))
 
     # all pairs with the pivot are known; what is left of a region is open if it lies in several components
-    rest = scratch.table(members.where("id != pivot").select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")))
-    open_ = rest.groupBy("region").agg(*_signed(["region"], F.min("label").alias("low"), F.max("label").alias("high"))).where("m > 1 and low != high")
-    open_ = scratch.table(_once(open_, ["region"]))
-    active = rest.join(open_, "region").select("region", "m", "id", F.col("label").alias("base"), "label")
-    small, later = [active.where(F.col("m") <= WHOLE)], []
-    large, turn = scratch.table(active.where(F.col("m") > WHOLE)), 1
-    links = []
+    rest = scratch.table(members.join(labels, "id", "left").select("region", "id", "w", F.coalesce("label", "id").alias("label")))
+    open_ = scratch.table(_open(rest, ["region"]))
+    active = rest.join(open_, "region").select("region", "m", "weight", "id", "w", F.col("label").alias("base"), "label")
+    is_small = (F.col("m") <= WHOLE) & (F.col("weight") <= WHOLE_HASHES)
+    small, mixed, links = [active.where(is_small)], [], []
+    large, turn = scratch.table(active.where(~is_small)), 1
     while not large.isEmpty():
         placed = scratch.table(_divided(large, sets, percent, turn))
         links.append(placed.where("cell is null").select("base", "other"))
         placed = placed.where("cell is not null")
-        cells = placed.groupBy("region", "cell").agg(*_signed(["region", "cell"], F.min("label").alias("low"), F.max("label").alias("high"), F.first("m").alias("of"))).where("m > 1 and low != high")
-        cells = scratch.table(cells.withColumnRenamed("m", "size"))
-        # pivots that don't tell the documents apart: the cells together are far larger than the region, or one is nearly as large
-        mixed = cells.groupBy("region").agg((F.sum("size") > 4 * F.first("of")).alias("wide"), (F.max("size") > 0.75 * F.first("of")).alias("lone")).where("wide or lone").select("region")
-        mixed = scratch.table(mixed)
-        later.append(placed.where("own").join(mixed, "region").select("region", "m", "id", "base", "label"))
-        split = cells.join(mixed, "region", "left_anti").withColumnRenamed("size", "m")
-        split = scratch.table(_once(split, ["region", "cell"]))
-        active = placed.drop("m").join(split, ["region", "cell"]).select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "m", "id", "base", "label")
-        small.append(active.where(F.col("m") <= WHOLE))
-        large, turn = scratch.table(active.where(F.col("m") > WHOLE)), turn + 1
-
-    links.append(_joined(scratch, small, later, sets, percent))
+        cells = _open(placed, ["region", "cell"], F.first("m").alias("of")).withColumnsRenamed({"m": "size", "weight": "size_w"})
+        # a cell that holds nearly all of its region isn't cut again
+        cells = scratch.table(cells.withColumn("lone", F.col("size") > 0.75 * F.col("of")))
+        found = placed.join(cells, ["region", "cell"])
+        mixed.append(found.where("lone").select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), F.col("size").alias("m"), F.col("size_w").alias("weight"), "id", "base", "label"))
+        active = found.where("not lone").select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), F.col("size").alias("m"), F.col("size_w").alias("weight"), "id", "w", "base", "label")
+        small.append(active.where(is_small))
+        large, turn = scratch.table(active.where(~is_small)), turn + 1
+
+    links.append(_joined(scratch, small, mixed, sets, percent))
     more = links[0]
     for x in links[1:]:
         more = more.union(x)
@@ -416,44 +415,59 @@ def components_of(scratch: Scratch, members: DataFrame, sets: DataFrame, percent
     return labels.join(merged, "label", "left").select("id", F.coalesce("component", "label").alias("component")).union(alone)
 
 
+def _open(members: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Regions whose members have several labels, with how many members and shared shingles they have."""
+    each = [F.count("*").alias("m"), F.sum("w").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high")]
+    return members.groupBy(*keys).agg(*each, *more).where("m > 1 and low != high").drop("low", "high")
+
+
+def _parts(rows: Column, hashes: Column, most: Column | int) -> Column:
+    """Into how many parts rows go, so that each has about `most` and not too many hashes."""
+    return F.greatest(F.ceil(rows / most), F.ceil(hashes / WHOLE_HASHES), F.lit(1)).cast("int")
+
+
 def _divided(large: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Members of large regions in the cells of about sqrt(m) pivots, chosen by hash; in groups of at most about WHOLE."""
-    rows = large.join(sets, "id")
-    share = F.least(F.greatest(F.sqrt("m"), F.lit(8.0)), F.lit(64.0)) / F.col("m")
-    chosen = F.shiftrightunsigned(F.xxhash64("id", "region", F.lit(turn)), 1) < share * F.lit(float(1 << 63))
-    parts = F.ceil(F.col("m") / WHOLE).cast("int")
+    """Members of large regions in the cells of about sqrt(m) pivots, each the least of a component chosen by hash; in groups of about WHOLE."""
+    scratch = Scratch(large.sparkSession, "jaccard_pivots")
+    heads = scratch.table(large.groupBy("region", "label").agg(F.min("id").alias("id"), F.first("m").alias("m")))
+    n_labels = scratch.table(heads.groupBy("region").agg(F.count("*").alias("n_labels")))
+    share = F.least(F.greatest(F.sqrt("m"), F.lit(8.0)), F.lit(64.0)) / F.col("n_labels")
+    draw = F.shiftrightunsigned(F.xxhash64("id", "region", F.lit(turn)), 1)
+    pivots = heads.join(n_labels, "region").where(draw < share * F.lit(float(1 << 63))).select("region", "id", F.lit(True).alias("chosen"))
+    rows = large.join(pivots, ["region", "id"], "left").join(sets, "id")
+    parts = _parts(F.col("m"), F.col("weight"), WHOLE)
     own = F.array(F.struct(F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("is_pivot")))
     everywhere = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("part"), F.lit(True).alias("is_pivot")))
-    dealt = rows.withColumn("to", F.explode(F.when(chosen, F.concat(own, everywhere)).otherwise(own)))
-    dealt = dealt.select("region", "to.part", "to.is_pivot", "m", "id", "base", "label", "n", "hashes")
-    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "region", "part").sortWithinPartitions("region", "part").mapInArrow(_cells(percent), PLACED)
+    dealt = rows.withColumn("to", F.explode(F.when(F.col("chosen"), F.concat(own, everywhere)).otherwise(own)))
+    dealt = dealt.select("region", "to.part", "to.is_pivot", "m", "weight", "id", "w", "base", "label", "n", "hashes")
+    tasks = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "region", "part").sortWithinPartitions("region", "part").mapInArrow(_cells(percent), PLACED)
 
 
-def _joined(scratch: Scratch, small: list[DataFrame], later: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+def _joined(scratch: Scratch, small: list[DataFrame], mixed: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
     """Links of small regions, and of regions that pivots don't tell apart.
 
-    These are dealt out in blocks of about 3 sqrt(m) that meet two by two. Documents of the region's most
+    These are dealt out in blocks of about m^0.7 that meet two by two. Documents of the region's most
     frequent label needn't meet each other: their blocks meet only those of the others.
     """
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
     group = F.lit(0)
     rows = union(small).select("region", group.alias("i"), group.alias("j"), F.lit(2).alias("side"), "id", "base", "label")
-    if later:
-        mixed = scratch.table(union(later))
-        count = mixed.groupBy("region", "label").agg(F.count("*").alias("c"), F.first("m").alias("m"))
+    if mixed:
+        left = scratch.table(union(mixed))
+        count = left.groupBy("region", "label").agg(F.count("*").alias("c"))
         main = scratch.table(count.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c")))
-        mixed = mixed.join(main, "region")
-        block = F.ceil(3 * F.sqrt("m"))
-        mains, rests = F.ceil(F.col("c") / block).cast("int"), F.greatest(F.ceil((F.col("m") - F.col("c")) / block), F.lit(1)).cast("int")
+        left = left.join(main, "region")
+        block, mean = F.ceil(F.pow("m", F.lit(0.7))), F.col("weight") / F.col("m")
+        mains, rests = (_parts(c, c * mean, block) for c in (F.col("c"), F.col("m") - F.col("c")))
         own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
         to = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
         one, many = own(mains), own(rests)
         of_main = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: to(-1 - one, k, F.lit(0)))
         with_main = F.transform(F.sequence(F.lit(0), mains - 1), lambda k: to(-1 - k, many, F.lit(1)))
         with_rest = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: to(F.least(many, k), F.greatest(many, k), F.when(k == many, 2).when(many < k, 0).otherwise(1)))
-        dealt = mixed.withColumn("to", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, with_rest))))
+        dealt = left.withColumn("to", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, with_rest))))
         rows = rows.union(dealt.select("region", "to.i", "to.j", "to.side", "id", "base", "label"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.join(sets, "id").select("region", "i", "j", "side", "base", "label", "n", "hashes")
-    return scratch.table(rows.repartition(n, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_whole(percent), "base long, other long"))
+    return scratch.table(rows.repartition(tasks, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_whole(percent), "base long, other long"))

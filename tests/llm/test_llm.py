@@ -152,19 +152,46 @@ def vectors(spark):
     return rows, spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rep string")
 
 
-def test_topk_equals_brute_force(spark):
-    rows, table = vectors(spark)
-    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows if v and None not in v and np.isfinite(v).all()]
+def brute_topk(rows, every):
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    asks = {}
+    for i, x in whole:
+        if i % every == 0:
+            asks.setdefault(i, x)
+    return {q: [(k + 1, i, -s) for k, (s, i) in enumerate(sorted((-int(x @ y), i) for i, y in whole if i != q and len(y) == len(x))[:5])] for q, x in asks.items()}
+
+
+def asked(table, **given):
     got = {}
-    for r in exact_topk.exact_topk(table, every=10, per_items=64, per_asks=4).collect():
+    for r in exact_topk.exact_topk(table, **given).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    for q, x in whole:
-        if q % 10 == 0:
-            best = sorted((-int(x @ y), i) for i, y in whole if i != q and len(y) == len(x))[:5]
-            assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def test_topk_equals_brute_force(spark):
+    rows, table = vectors(spark)
+    want = {q: x for q, x in brute_topk(rows, 10).items() if x}
+    assert asked(table, every=10, per_items=64, per_asks=4) == want
     assert exact_topk.exact_topk(table.limit(0)).count() == 0
 
 
+def test_topk_of_few_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (3, [0.5, -0.5]), (3, [0.5, -0.5]), (None, [9.0, 9.0]), (7, [1.0, 2.0, 3.0]), (50, [-1.0, 0.25])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert asked(table) == brute_topk(rows, 50)
+    assert [x[1] for x in asked(table)[0]] == [3, 3, 50]
+
+
+def test_lists_are_not_read_to_their_ends():
+    x = np.floor(256 * np.random.default_rng(2).normal(size=(3000, 16)))
+    lists, ids = exact_topk.SortedLists(x, np.arange(3000)), np.arange(3000)
+    for q in x[:40]:
+        score = np.where(ids == 0, -np.inf, x @ q)
+        bar = np.sort(score)[-20]  # what another block has found
+        assert lists.best(q, 0, bar, 5).tolist() == np.lexsort((ids, -score))[:5].tolist()
+    assert 0.1 < lists.read / (40 * x.size) < 0.9
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows, table = vectors(spark)
     got = {r["vec_id"]: r for r in multi_index.near_duplicates(spark, table, per_cell=5).collect()}

@@ -49,28 +49,54 @@ def test_jaccard_equals_brute_force(spark, odd, none):
     assert jaccard_join.jaccard_components(spark, none).count() == 0
 
 
+def brute_scores(texts, held, add=0.1, smooth=(20.0, 4.0)):
+    """Trigram backoff by dictionaries: (n_tokens, n_known, N, base, score) of each text."""
+    tokens = [[*words(t), None] for _, t in texts]
+    one, two, three = Counter(), Counter(), Counter()
+    for (i, _), w in zip(texts, tokens):
+        if not held(i):
+            one.update(w)
+            two.update(zip([None, *w], w))
+            three.update(zip([None, *w], w, w[1:]))
+    n, v = sum(one.values()), len(one)
+    root = lambda w: (one[w] + add) / (n + add * (v + 1))
+
+    def after(h, w):
+        if not h:
+            return root(w)
+        counts, whole, b = (two, one[h[0]], smooth[0]) if len(h) == 1 else (three, two[h], smooth[1])
+        return (counts[(*h, w)] + b * after(h[1:], w)) / (whole + b)
+
+    out = []
+    for w in tokens:
+        score = math.log10(after((None,), w[0])) + sum(math.log10(after(h, x)) for *h, x in map(tuple, zip([None, *w], w, w[1:])) for h in [tuple(h)])
+        out.append((len(w), sum(one[x] > 0 for x in w), n, round(sum(math.log10(root(x)) for x in w), 6), round(score, 6)))
+    return out
+
+
 def test_automaton_equals_brute_force(spark, odd, none):
     held = F.col("doc_id") % 5 == 0
-    tokens = [(i, [*words(t), None]) for i, t in ODD]
-    count, pair = Counter(), Counter()
-    for i, w in tokens:
-        if i is None or i % 5:
-            count.update(w)
-            pair.update(zip([None, *w], w))
-    after, n, v = Counter(h for h, _ in pair), sum(count.values()), len(count)
-    root = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
-    step = lambda h, w: max(pair[h, w] - 0.75, 0) / count[h] + 0.75 * after[h] / count[h] * root(w) if count[h] else root(w)
-    want = [(str(i), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10(root(x)) for x in w), 6), round(sum(math.log10(step(h, x)) for h, x in zip([None, *w], w)), 6)) for i, w in tokens]
     got = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ngram_automaton.backoff_scores(spark, odd, held).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == sorted((str(i), *x) for (i, _), x in zip(ODD, brute_scores(ODD, lambda i: i is not None and i % 5 == 0)))
     assert ngram_automaton.backoff_scores(spark, none, held).count() == 0
 
 
-def test_steps_from_a_state_sum_to_one():
-    arcs = np.array([0, 1, 5])
-    automaton = ngram_automaton.Automaton(np.array([4, 3, 0]), np.array([2, 0, 0]), arcs, np.array([3, 1, 0]), 7, 2, 0.75, 0.1)
-    own = 10 ** automaton.walk(np.array([0, 1]))
-    assert own.sum() + automaton.failure[0] * (1 - automaton.root[:2].sum()) == pytest.approx(1)
+def test_automaton_carries_states_through_long_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate([3, 511, 512, 513, 1025, 5000, 1, 0])]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ngram_automaton.backoff_scores(spark, rows, F.col("doc_id") % 2 == 0).collect()}
+    assert got == pytest.approx({i: x[4] for (i, _), x in zip(texts, brute_scores(texts, lambda i: i % 2 == 0))})
+
+
+def test_weights_of_a_state_sum_to_one():
+    """Words 0 and 1 are known, 2 isn't; so are the pairs (0, 0), (0, 1), (1, 0) and one word after each."""
+    a = ngram_automaton.Automaton(np.array([4, 3, 0]), np.array([0, 1, 3]), np.array([2, 2, 3]), np.array([1, 3, 6]), np.array([2, 2, 3]), 7, 2, 0.1, (8.0, 1.0))
+    for before, last in ((0, 1), (0, 0), (1, 0), (2, 0)):
+        tokens = np.array([x for w in range(3) for x in (before, last, w)])
+        whole = a.walk(tokens, np.arange(3) * 3, np.full(3, 3), 2)
+        head = a.walk(tokens, np.arange(3) * 3, np.full(3, 2), 2)
+        assert (10 ** (whole - head)).sum() == pytest.approx(1)
 
 
 def test_token_files_round_trip(spark, odd, none, tmp_path):

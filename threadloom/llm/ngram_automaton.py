@@ -1,15 +1,21 @@
-"""Log10 probabilities of texts under a weighted backoff automaton of bigrams.
-
-States are histories seen in training; the arc of (history, word) carries the discounted share
-(c(h, w) - D) / c(h), and the failure arc of a history leads to the root with weight
-D * N1+(h) / c(h), N1+ being how many different words follow h. The root gives every word
-(c(w) + a) / (N + a (V + 1)). A text is walked once, left to right: each step carries the state,
-adds what its arc and its failure arc give, and moves on; the sum of logarithms is the score.
-
-The automaton of a corpus is as large as the corpus, so no task and no driver ever holds it. Texts
-are kept as blocks of word numbers; counts are gathered by hash range; and each block gets back the
-part of the automaton that its own texts can walk. A history in a thousandth or more of all
-places is dealt out by the following word instead, so that none fills one task.
+"""Log10 probabilities of texts under a weighted backoff automaton of trigrams.
+
+States are histories seen in training: the last two words if they have been seen together, else the last
+word, else none (the root). With c the counts and b2, b3 the smoothing of orders 2 and 3:
+
+- the root gives every word w (c(w) + a) / (N + a (V + 1)),
+- the arc of a state h with w has the weight (c(h w) + b P(w | shorter h)) / (c(h) + b),
+- where a state has no arc with w, its failure arc leads to the shorter state with the weight b / (c(h) + b).
+
+So the weights of a state's words sum to 1. A text is traversed once, left to right: each step has a state,
+takes failure arcs as long as no arc carries the word, adds the logarithms of what it took, and moves on to
+the longest state that ends in the word. Before a text's first word stands END, and END closes it.
+
+The automaton of a corpus is as large as the corpus, so no task and no driver ever holds it. Texts are kept as
+blocks of word numbers. Each block asks for the counts of its own n-grams, by hash range; ranges are
+summed over all blocks; and each block gets back the counts of the part of the automaton that its texts
+can walk. An n-gram is one entry of a block however often it occurs, so none fills a range. N-grams
+are told apart by 48 bits of their hashes beside the range.
 """
 
 from __future__ import annotations
@@ -23,254 +29,240 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null
+from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, small_batches
 
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text, and before its first word
-_CODEC = "zstd"
-
+_LOW = np.uint64((1 << 48) - 1)
+_SEGMENT = 512  # texts are traversed side by side; longer ones in segments, whose first state the words before give
 
-def _zip(a: np.ndarray) -> bytes:
-    """Compressed by byte planes: high bytes are mostly zero."""
-    raw = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(a).to_bytes(8, "little") + (pa.Codec(_CODEC).compress(raw, asbytes=True) if raw else b"")
-
-
-def _unzip(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    if not n:
-        return np.zeros(0, np.int64)
-    raw = pa.Codec(_CODEC).decompress(blob[8:], decompressed_size=4 * n)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
-
-
-_BLOCK = "block long, doc_ids binary, held binary, lengths binary, tokens binary, vocabulary binary"
+_BLOCK = "block long, doc_ids binary, held binary, lengths binary, tokens binary, vocabulary binary, train long, grams long"
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "held", "lengths", "tokens", "vocabulary")), ("train", pa.int64()), ("grams", pa.int64())])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers of a block's own sorted vocabulary of word hashes, each text closed by END."""
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in _gathered(batches):
         raw, offsets = tk.text_bytes(batch.column("text"))
-        ids, held = np.array(batch.column("doc_id").to_pylist(), object), np.asarray(batch.column("held").to_numpy(zero_copy_only=False), bool)
-        for first, last in tk.slices(offsets, 8 << 20):
+        ids, held = np.array(batch.column("doc_id").to_pylist(), object), np.asarray(batch.column("held").to_numpy(), bool)
+        for first, last in tk.slices(offsets, 4 << 20):
             h, rows = tk.words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             h = np.insert(h, rows[1:], END)
             vocabulary, tokens = np.unique(h, return_inverse=True)
+            lengths, own = np.diff(rows) + 1, held[first:last]
             named = np.array([x if x is not None else 0 for x in ids[first:last]], np.int64)
             null = np.array([x is None for x in ids[first:last]], np.uint8)
             yield pa.RecordBatch.from_pydict({
-                "block": [block], "doc_ids": [named.tobytes() + null.tobytes()], "held": [held[first:last].tobytes()],
-                "lengths": [_zip(np.diff(rows) + 1)], "tokens": [_zip(tokens)], "vocabulary": [vocabulary.tobytes()],
-            }, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "held", "lengths", "tokens", "vocabulary"))]))
+                "block": [block], "doc_ids": [named.tobytes() + null.tobytes()], "held": [own.tobytes()], "lengths": [tk.squeeze(lengths)], "tokens": [tk.squeeze(tokens)],
+                "vocabulary": [vocabulary.tobytes()], "train": [int(lengths[~own].sum())], "grams": [2 * len(tokens)],
+            }, schema=_BLOCK_SCHEMA)
             block += 1
 
 
-def _opened(row: dict) -> tuple[np.ndarray, ...]:
-    """Vocabulary, tokens, lengths of the texts, and which tokens are in training texts."""
-    lengths = _unzip(row["lengths"])
-    return np.frombuffer(row["vocabulary"], np.uint64), _unzip(row["tokens"]), lengths, np.repeat(~np.frombuffer(row["held"], bool), lengths)
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
-def _pairs(tokens: np.ndarray, lengths: np.ndarray, size: int, end: int) -> np.ndarray:
-    """(history, word) of each place as one number; before a text's first word stands END."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = end
-    return before * size + tokens
-
-
-_ASKED = "bucket long, block long, histories binary, runs binary, words binary, counts binary"
-_ASKED_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("histories", "runs", "words", "counts"))])
-
-
-def _ask_words(buckets: int):
-    """A block's words and their counts in its training texts, by hash range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                vocabulary, tokens, _, train = _opened(row)
-                count = np.bincount(tokens[train], minlength=len(vocabulary))
-                cuts = np.searchsorted(_bucket(vocabulary, buckets), np.arange(buckets + 1))
-                rows = [(k, row["block"], b"", b"", vocabulary[a:b].tobytes(), _zip(count[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                yield pa.RecordBatch.from_pydict(dict(zip(_ASKED_SCHEMA.names, zip(*rows))), schema=_ASKED_SCHEMA)
-
-    return run
-
-
-_TOLD = "block long, bucket long, counts binary, followers binary, n long, v long, hot binary"
-
-
-def _told(rows: list[tuple]) -> pa.Table:
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("followers", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("hot", pa.binary())])
-    return pa.table(dict(zip(schema.names, zip(*rows))), schema=schema)
-
-
-def _tell_words(table: pa.Table) -> pa.Table:
-    """Sums of one hash range over all blocks, sent back to each block in its own order."""
-    rows = table.to_pylist()
-    words, counts = [np.frombuffer(r["words"], np.uint64) for r in rows], np.concatenate([_unzip(r["counts"]) for r in rows])
-    unique, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=counts).astype(np.int64)
-    cuts = np.cumsum([0, *map(len, words)])
-    told = [(r["block"], r["bucket"], _zip(total[at[a:b]]), None, None, None, None) for r, a, b in zip(rows, cuts, cuts[1:])]
-    hot = total * 1024 >= max(total.sum(), 1)
-    told.append((-1, rows[0]["bucket"], None, None, int(total.sum()), int((total > 0).sum()), unique[hot].tobytes() + total[hot].tobytes()))
-    return _told(told)
-
-
-def _ask_pairs(buckets: int, hot: np.ndarray):
-    """A block's distinct (history, word) pairs and their counts in its training texts.
-
-    By hash range of the history; those of hot histories by that of the word, in ranges of their own.
-    """
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
+    """Batches joined up to about `most` bytes: larger blocks repeat fewer n-grams."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Block:
+    """A block's texts, and its distinct words, pairs and triples, each with its place in the order in which they are sent."""
+
+    def __init__(self, row: dict, word_buckets: int, buckets: int):
+        self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+        self.tokens, self.lengths = tk.unsqueeze(row["tokens"]), tk.unsqueeze(row["lengths"])
+        self.train = np.repeat(~np.frombuffer(row["held"], bool), self.lengths)
+        size, self.starts = len(self.vocabulary), np.cumsum(self.lengths) - self.lengths
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = self.end = int(np.searchsorted(self.vocabulary, END))
+        self.pairs, pair = np.unique(before * size + self.tokens, return_inverse=True)
+        later = np.ones(len(self.tokens), bool)
+        later[self.starts] = False
+        later = np.flatnonzero(later)
+        self.triples, triple = np.unique(pair[later - 1] * size + self.tokens[later], return_inverse=True)  # (pair, word)
+        h, w = np.divmod(self.pairs, size)
+        p, x = np.divmod(self.triples, size)
+        two = tk.mix(self.vocabulary[h] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[w])
+        three = tk.mix((two[p] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[x])
+        one = tk.mix(self.vocabulary)
+        self.hashes = np.concatenate([one, two, three])
+        high = self.hashes >> np.uint64(40)
+        many = np.where(np.arange(len(self.hashes)) < size, word_buckets, buckets).astype(np.uint64)
+        bucket = (high * many >> np.uint64(24)).astype(np.int64)
+        bucket[size:] += word_buckets
+        self.order = np.lexsort((self.hashes & _LOW, bucket))
+        self.bucket = bucket[self.order]
+        self.own = [np.bincount(self.tokens[self.train], minlength=size), np.bincount(pair[self.train], minlength=len(self.pairs)), np.bincount(triple[self.train[later]], minlength=len(self.triples))]
+
+    def sent(self, word_buckets: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+        low, count = (self.hashes & _LOW)[self.order], np.concatenate(self.own)[self.order]
+        cuts = np.searchsorted(self.bucket, np.arange(word_buckets + buckets + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[k], cuts[k + 1])
+            yield k, tk.squeeze(np.diff(low[part], prepend=np.uint64(0)), 6), tk.squeeze(count[part])
+
+
+_ASKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def _ask(word_buckets: int, buckets: int):
+    """A block's n-grams and their counts in its training texts, by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                vocabulary, tokens, lengths, train = _opened(row)
-                size = len(vocabulary)
-                code = _pairs(tokens, lengths, size, int(np.searchsorted(vocabulary, END)))
-                pair, at = np.unique(code, return_inverse=True)
-                count = np.bincount(at[train], minlength=len(pair))
-                history, word = np.divmod(pair, size)
-                order, bucket = dealt(vocabulary, history, word, buckets, hot)
-                history, word, count, bucket = history[order], word[order], count[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(2 * buckets + 1))
-                rows = []
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if a < b:
-                        first = np.flatnonzero(np.concatenate([[True], history[a + 1 : b] != history[a : b - 1]]))
-                        rows.append((k, row["block"], vocabulary[history[a:b][first]].tobytes(), _zip(np.diff(np.append(first, b - a))), tk.pack(vocabulary[word[a:b]], 4), _zip(count[a:b])))
-                yield pa.RecordBatch.from_pydict(dict(zip(_ASKED_SCHEMA.names, zip(*rows))), schema=_ASKED_SCHEMA)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                rows = [(k, row["block"], g, c) for k, g, c in Block(row, word_buckets, buckets).sent(word_buckets, buckets)]
+                yield pa.RecordBatch.from_pydict(dict(zip(_ASKED.names, zip(*rows))), schema=_ASKED)
 
     return run
 
 
-def dealt(vocabulary: np.ndarray, history: np.ndarray, word: np.ndarray, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which pairs, sorted by history and word, are sent, and the bucket of each."""
-    of = _bucket(vocabulary, buckets)
-    bucket = np.where(np.isin(vocabulary, hot)[history], buckets + of[word], of[history])
-    return np.argsort(bucket, kind="stable"), bucket
+_TOLD = "block long, bucket long, counts binary, seen long"
 
 
-def _tell_pairs(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        histories = [np.frombuffer(r["histories"], np.uint64) for r in rows]
-        runs, counts = [_unzip(r["runs"]) for r in rows], [_unzip(r["counts"]) for r in rows]
-        history = np.repeat(np.concatenate(histories), np.concatenate(runs))
-        word = np.concatenate([tk.unpack(r["words"], 4) for r in rows])
-        _, first, at = np.unique(tk.mix(history + word * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        known, place = np.unique(history[first], return_inverse=True)
-        followers = np.bincount(place[total > 0], minlength=len(known))
-        a, b, out = np.cumsum([0, *map(len, counts)]), rows[0]["bucket"], []
-        for i, r in enumerate(rows):
-            own = None if b >= buckets else _zip(followers[np.searchsorted(known, histories[i])])
-            out.append((r["block"], b, _zip(total[at[a[i] : a[i + 1]]]), own, None, None, None))
-        if b >= buckets:
-            out.append((-1, b, None, None, None, None, known.tobytes() + followers.tobytes()))
-        return _told(out)
-
-    return run
+def _tell(table: pa.Table) -> pa.Table:
+    """Sums of one hash range over all blocks, sent back to each block in its own order; and how many n-grams training has seen."""
+    grams = [np.cumsum(tk.unsqueeze(x, 6)) for x in table.column("grams").to_pylist()]
+    counts = np.concatenate([tk.unsqueeze(x) for x in table.column("counts").to_pylist()])
+    cuts = np.cumsum([0, *map(len, grams)])
+    unique, at = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(at, counts, len(unique)).astype(np.int64)
+    told = [tk.squeeze(total[at[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({
+        "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(told) + 1), pa.int64()),
+        "counts": pa.array([*told, None], pa.binary()), "seen": pa.array([*[None] * len(told), int((total > 0).sum())], pa.int64()),
+    })
 
 
 class Automaton:
-    """The part of the automaton that a block's texts can walk: states and words are block numbers."""
+    """The part of the automaton that a block's texts can walk.
 
-    def __init__(self, unigrams: np.ndarray, followers: np.ndarray, arcs: np.ndarray, arc_counts: np.ndarray, n: int, v: int, discount: float, add: float):
-        self.root = (unigrams + add) / (n + add * (v + 1))
-        seen = np.maximum(unigrams, 1)
-        self.failure = np.where(unigrams > 0, discount * followers / seen, 1.0)
-        self.failure[(unigrams > 0) & (followers == 0)] = 1.0
-        self.arcs, self.size = arcs, len(unigrams)
-        self.weight = np.maximum(arc_counts - discount, 0) / seen[arcs // self.size]
+    Words are block numbers. arcs2: sorted codes history * size + word of the pairs that training has seen, which are
+    states as well; arcs3: sorted codes state * size + word. Both with their counts.
+    """
 
-    def walk(self, steps: np.ndarray) -> np.ndarray:
-        """log10 of each step's probability; a step is a number of (state, word)."""
-        state, word = np.divmod(steps, self.size)
-        return np.log10(self.weight[np.searchsorted(self.arcs, steps)] + self.failure[state] * self.root[word])
+    def __init__(self, words: np.ndarray, arcs2: np.ndarray, counts2: np.ndarray, arcs3: np.ndarray, counts3: np.ndarray, n: int, v: int, add: float, smooth: tuple[float, float]):
+        self.size, self.arcs2, self.arcs3, self.words = len(words), arcs2, arcs3, words
+        root = (words + add) / (n + add * (v + 1))
+        b2, b3 = smooth
+        history, word = np.divmod(arcs2, self.size)
+        two = (counts2 + b2 * root[word]) / (words[history] + b2)
+        state, last = np.divmod(arcs3, self.size)
+        shorter = np.searchsorted(arcs2, word[state] * self.size + last) if len(arcs3) else np.zeros(0, int)
+        three = (counts3 + b3 * two[shorter]) / (counts2[state] + b3)
+        self.second = word  # of each state of two words
+        self.root, self.two, self.three = (np.log10(x) for x in (root, two, three))
+        self.fail2, self.fail3 = np.log10(b2 / (words + b2)), np.log10(b3 / (counts2 + b3))
+
+    def _arc(self, arcs: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(arcs):
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(arcs, code), len(arcs) - 1)
+        return at, arcs[at] == code
+
+    def state_after(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state of two words (else -1) and of one word (else -1) that a text is in after these words."""
+        at, known = self._arc(self.arcs2, before * self.size + word)
+        return np.where(known, at, -1), np.where(self.words[word] > 0, word, -1)
+
+    def walk(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+        """log10 probabilities of the texts tokens[start : start + length], each traversed left to right."""
+        pieces = -(-lengths // _SEGMENT)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _SEGMENT
+        length = np.minimum(lengths[text] - begin, _SEGMENT)
+        at = starts[text] + begin
+        order = np.argsort(-length, kind="stable")
+        at, length, inner = at[order], length[order], begin[order]
+        last = np.where(inner > 0, tokens[at - 1], end)
+        before = np.where(inner > 1, tokens[at - 2], end)
+        two, one = self.state_after(before, last)
+        two = np.where(inner > 0, two, -1)  # a text begins after END alone
+        score = np.zeros(len(at))
+        ends = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
+        for t, n in enumerate(ends.tolist()):
+            word, gained = tokens[at[:n] + t], np.zeros(n)
+            pair, has_pair = self._arc(self.arcs2, np.maximum(one[:n], 0) * self.size + word)
+            has_pair &= one[:n] >= 0
+            deep = np.flatnonzero(two[:n] >= 0)
+            arc, hit = self._arc(self.arcs3, two[deep] * self.size + word[deep])
+            gained[deep] += np.where(hit, self.three[arc] if len(self.three) else 0, self.fail3[two[deep]])
+            done = np.zeros(n, bool)
+            done[deep[hit]] = True
+            some = np.flatnonzero(~done & has_pair)
+            gained[some] += self.two[pair[some]]
+            rest = ~done & ~has_pair
+            some = np.flatnonzero(rest & (one[:n] >= 0))
+            gained[some] += self.fail2[one[some]]
+            gained[rest] += self.root[word[rest]]
+            score[:n] += gained
+            two[:n] = np.where(has_pair, pair, -1)
+            one[:n] = np.where(self.words[word] > 0, word, -1)
+        return np.bincount(text[order], score, len(lengths))
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(buckets: int, hot: np.ndarray, hot_followers: np.ndarray, n: int, v: int, discount: float, add: float):
+def _scored(word_buckets: int, buckets: int, n: int, v: int, add: float, smooth: tuple[float, float]):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        own = next(r for r in rows if r["kind"] == 0)
-        vocabulary, tokens, lengths, _ = _opened(own)
-        size = len(vocabulary)
-        unigrams = np.concatenate([_unzip(r["counts"]) for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])])
-        steps = _pairs(tokens, lengths, size, int(np.searchsorted(vocabulary, END)))
-        arcs = np.unique(steps)
-        history, word = np.divmod(arcs, size)
-        order, _ = dealt(vocabulary, history, word, buckets, hot)
-        told = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["bucket"])
-        counts = np.empty(len(arcs), np.int64)
-        counts[order] = np.concatenate([_unzip(r["counts"]) for r in told])
-        followers = np.zeros(size, np.int64)
-        cold = np.unique(history[order][: sum(len(_unzip(r["counts"])) for r in told if r["bucket"] < buckets)])
-        some = [_unzip(r["followers"]) for r in told if r["bucket"] < buckets]
-        if some:
-            followers[cold] = np.concatenate(some)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, vocabulary), len(hot) - 1)
-            followers = np.where(hot[at] == vocabulary, hot_followers[at], followers)
-        automaton = Automaton(unigrams, followers, arcs, counts, n, v, discount, add)
-        starts = np.cumsum(lengths) - lengths
-        m = len(lengths)
-        ids, null = np.frombuffer(own["doc_ids"][: 8 * m], np.int64), np.frombuffer(own["doc_ids"][8 * m :], np.uint8).astype(bool)
+        given = next(r for r in rows if r["tokens"] is not None)
+        own = Block(given, word_buckets, buckets)
+        told = sorted((r for r in rows if r["tokens"] is None), key=lambda r: r["bucket"])
+        counts = np.empty(len(own.hashes), np.int64)
+        counts[own.order] = np.concatenate([tk.unsqueeze(r["counts"]) for r in told])
+        del rows, told
+        size = len(own.vocabulary)
+        words, two, three = counts[:size], counts[size : size + len(own.pairs)], counts[size + len(own.pairs) :]
+        arcs2 = np.flatnonzero(two)
+        state = np.full(len(two), -1)
+        state[arcs2] = np.arange(len(arcs2))  # pairs that training has seen, numbered anew
+        arcs3 = np.flatnonzero(three)
+        pair, word = np.divmod(own.triples[arcs3], size)
+        automaton = Automaton(words, own.pairs[arcs2], two[arcs2], state[pair] * size + word, three[arcs3], n, v, add, smooth)
+        m = len(own.lengths)
+        ids, null = np.frombuffer(given["doc_ids"][: 8 * m], np.int64), np.frombuffer(given["doc_ids"][8 * m :], np.uint8).astype(bool)
         return pa.table({
-            "doc_id": pa.array(ids, mask=null), "held_out": np.frombuffer(own["held"], bool), "n_tokens": lengths,
-            "n_known": np.add.reduceat((unigrams > 0)[tokens].astype(np.int64), starts), "train_tokens": np.full(m, n, np.int64),
-            "base_score": np.add.reduceat(np.log10(automaton.root)[tokens], starts), "score": np.add.reduceat(automaton.walk(steps), starts),
+            "doc_id": pa.array(ids, mask=null), "held_out": np.frombuffer(given["held"], bool), "n_tokens": own.lengths,
+            "n_known": np.add.reduceat((words > 0)[own.tokens].astype(np.int64), own.starts), "train_tokens": np.full(m, n, np.int64),
+            "base_score": np.add.reduceat(automaton.root[own.tokens], own.starts), "score": automaton.walk(own.tokens, own.starts, own.lengths, own.end),
         })
 
     return run
 
 
-def backoff_scores(spark: SparkSession, docs: DataFrame, held_out, discount: float = 0.75, add: float = 0.1, per_bucket: int = 4_000_000) -> DataFrame:
+def backoff_scores(spark: SparkSession, docs: DataFrame, held_out, add: float = 0.1, smooth: tuple[float, float] = (20.0, 4.0), per_bucket: int = 2_000_000) -> DataFrame:
     """Scores every text of docs under an automaton learnt from those that aren't held out.
 
     docs: doc_id, text; held_out: a boolean column expression over doc_id. Words are what lies between ASCII white
     space, with A-Z lowered, and an end closes each text and counts as a token. A null text counts
     as empty: its only token is the end. A null doc_id or a null held_out counts as not held out.
-    Rows that repeat are scored, and learnt from, as often as they stand. Without training tokens all
-    counts are 0 and both scores are those of the root. Further columns are left behind.
+    Rows that repeat are scored, and learnt from, as often as they stand. Texts of any length are walked whole. Without
+    training tokens all counts are 0 and both scores are those of the root. Further columns, whatever their names, are left behind.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (root only), score.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "ngrams")
     docs = columns_or_null(docs, doc_id="long", text="string").withColumn("held", F.coalesce(held_out, F.lit(False)))
     blocks = scratch.table(docs.mapInArrow(_blocks, _BLOCK))
-    size = blocks.agg(F.sum(F.length("vocabulary")) / 8, F.sum(F.length("tokens"))).first()
-    buckets = buckets_for(int(size[0] or 0), per_bucket)
-    words = scratch.table(blocks.mapInArrow(_ask_words(buckets), _ASKED).groupBy("bucket").applyInArrow(_tell_words, _TOLD))
-    totals = words.where("block = -1")
-    n, v = (int(x or 0) for x in totals.agg(F.sum("n"), F.sum("v")).first())
-    found = []
-    for r in totals.where("length(hot) > 0").select("hot").toLocalIterator():
-        half = len(r[0]) // 2
-        h, c = np.frombuffer(r[0][:half], np.uint64), np.frombuffer(r[0][half:], np.int64)
-        found.append(h[c * 1024 >= max(n, 1)])
-    hot = np.sort(np.concatenate(found)) if n and found else np.zeros(0, np.uint64)  # 1,024 at most
-
-    pair_buckets = buckets_for(int(n), per_bucket)
-    pairs = blocks.mapInArrow(_ask_pairs(pair_buckets, hot), _ASKED).groupBy("bucket").applyInArrow(_tell_pairs(pair_buckets), _TOLD)
-    pairs = scratch.table(pairs)
-    followers = np.zeros(len(hot), np.int64)
-    for r in pairs.where("block = -1").select("hot").toLocalIterator():
-        half = len(r[0]) // 2
-        np.add.at(followers, np.searchsorted(hot, np.frombuffer(r[0][:half], np.uint64)), np.frombuffer(r[0][half:], np.int64))
-
-    parts = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "doc_ids", "held", "lengths", "tokens", "vocabulary", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("followers"))
-    for kind, told in ((1, words), (2, pairs)):
-        empty = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "held", "lengths", "tokens", "vocabulary")]
-        parts = parts.union(told.where("block >= 0").select("block", F.lit(kind).alias("kind"), "bucket", *empty, "counts", "followers"))
-    return parts.groupBy("block").applyInArrow(_scored(pair_buckets, hot, followers, n, v, discount, add), _SCORES)
+    vocabulary, n, grams = (int(x or 0) for x in blocks.agg(F.sum(F.length("vocabulary")) / 8, F.sum("train"), F.sum("grams")).first())
+    word_buckets, buckets = buckets_for(vocabulary, per_bucket), buckets_for(grams, per_bucket)
+    asked = blocks.mapInArrow(_ask(word_buckets, buckets), "bucket long, block long, grams binary, counts binary")
+    told = scratch.table(asked.groupBy("bucket").applyInArrow(_tell, _TOLD))
+    v = told.where((F.col("block") == -1) & (F.col("bucket") < word_buckets)).agg(F.sum("seen")).first()[0] or 0
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "held", "lengths", "tokens", "vocabulary")]
+    parts = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "doc_ids", "held", "lengths", "tokens", "vocabulary")
+    parts = parts.union(told.where("block >= 0").select("block", "bucket", "counts", *empty))
+    return parts.groupBy("block").applyInArrow(_scored(word_buckets, buckets, n, int(v), add, smooth), _SCORES)

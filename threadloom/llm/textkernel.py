@@ -151,18 +151,18 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, compressed by byte planes: high bytes are mostly zero."""
-    raw = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def squeeze(a: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers of at most `width` bytes, compressed by byte planes: high bytes are mostly zero."""
+    raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
     return len(a).to_bytes(8, "little") + (pa.Codec("zstd").compress(raw, asbytes=True) if raw else b"")
 
 
-def unsqueeze(blob: bytes) -> np.ndarray:
+def unsqueeze(blob: bytes, width: int = 4) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
-    if not n:
-        return np.zeros(0, np.int64)
-    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=4 * n)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], decompressed_size=width * n), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<i8")
 
 
 def runs(batches, *keys: str):

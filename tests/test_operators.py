@@ -140,7 +140,7 @@ def test_sessions_are_read_in_order(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"session_id": "A", "session_time": "2023/01/01", "context": "x"}\n')
     assert [(r["session_id"], r["doc_id"], r["content"]) for r in corpus.read_sessions(spark, str(tmp_path / "c.json")).collect()] == [("A", 0, "x")]
     (tmp_path / "d.json").write_text('[{"session_id": "A"}, {"session_id": "B"}]')
-    assert [(r["session_id"], r["doc_id"]) for r in corpus.read_sessions(spark, str(tmp_path / "d.json"), json_array=True).collect()] == [("A", 0), ("B", 1)]
+    assert [(r["session_id"], r["doc_id"]) for r in corpus.read_sessions(spark, str(tmp_path / "d.json"), json_array=True).orderBy("doc_id").collect()] == [("A", 0), ("B", 1)]
 
 
 def test_settings(tmp_path):

@@ -15,12 +15,12 @@ def date_prefix(text: Column) -> Column:
 
 
 def named_date(text: Column) -> Column:
-    """`8 May, 2023` within a text as 2023/05/08; an unknown month gives 00; other texts stay."""
+    """`8 May, 2023` within a text as 2023/05/08, months in any case and also by their first three letters (and Sept); an unknown month gives 00; other texts stay."""
     pattern = r"(\d{1,2})\s+(\w+),?\s+(\d{4})"
     day, month, year = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3))
     number = F.lit("00")
     for k, name in enumerate(MONTHS, 1):
-        number = F.when(month == name, f"{k:02d}").otherwise(number)
+        number = F.when(F.lower(month).isin(name.lower(), name[:3].lower(), *(["sept"] if k == 9 else [])), f"{k:02d}").otherwise(number)
     return F.when(year != "", F.concat_ws("/", year, number, F.lpad(day, 2, "0"))).otherwise(text)
 
 

@@ -71,13 +71,13 @@ def with_chunk_ids(chunks: DataFrame, first: int = 0) -> DataFrame:
     return dense_id(placed, "chunk_id").withColumn("chunk_id", F.col("chunk_id") + first)
 
 
-def token_windows(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
-    """Windows of `size` words, each beginning `size - overlap` after the last; the tail is kept."""
+def token_windows(docs: DataFrame, size: int = 1200, overlap: int = 100, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Windows of `size` words, each beginning `size - overlap` after the last; the tail is kept. keep: columns of docs beside."""
     rows = docs.withColumn("words", text.tokens(F.col("text"))).where(F.size("words") > 0)
     rows = rows.withColumn("start_idx", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(size - overlap))))
     window = F.slice("words", F.col("start_idx") + 1, F.lit(size))
-    rows = rows.select("doc_id", "start_idx", window.alias("window"))
-    return rows.select("doc_id", "start_idx", (F.col("start_idx") + F.size("window")).alias("end_idx"), F.size("window").alias("token_count"), F.array_join("window", " ").alias("text"))
+    rows = rows.select(*keep, "start_idx", window.alias("window"))
+    return rows.select(*keep, "start_idx", (F.col("start_idx") + F.size("window")).alias("end_idx"), F.size("window").alias("token_count"), F.array_join("window", " ").alias("text"))
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

@@ -22,9 +22,16 @@ def chunks_of(triples: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
 
 def stub_text(edges: DataFrame, most: int = 10) -> DataFrame:
     """For chunks without a stored text: up to `most` of their relations."""
-    line = F.concat_ws(" ", "src", "relation", "tgt")
-    rows = edges.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("r"))
-    return rows.select("chunk_id", F.array_join(F.slice("r.line", 1, most), "; ").alias("stub"))
+    first = top(edges, [F.col("ordinal"), F.col("src"), F.col("tgt")], most, ("chunk_id",))
+    rows = first.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "src", "relation", "tgt").alias("line")))).alias("r"))
+    return rows.select("chunk_id", F.array_join("r.line", "; ").alias("stub"))
+
+
+def with_stubs(chosen: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """Chosen chunks; those without a stored text get what the graph says of them."""
+    bare = chosen.where("text is null").select("chunk_id").distinct()
+    stubs = stub_text(edges.join(bare, "chunk_id", "left_semi"), most)
+    return chosen.join(stubs, "chunk_id", "left").withColumn("text", F.coalesce("text", "stub")).drop("stub")
 
 
 def user_utterances(chunk: Column) -> Column:
@@ -51,11 +58,21 @@ def summary_text(context: Column) -> Column:
     return F.array_join(F.transform(_themes(context), one), "\n")
 
 
-def prompts(questions: DataFrame, triples: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The prompt of each question: its triples, then its numbered chunks, then the question."""
+def summary_line(session_id: Column, session_time: Column, keys: Column, context: Column) -> Column:
+    """A whole summary in one text: session, time, keys, themes."""
+    return F.concat(F.lit("Session "), session_id, F.lit(" ("), F.coalesce(session_time, F.lit("unknown")), F.lit(") Keys: "), F.coalesce(keys, F.lit("")), F.lit(" "), summary_text(context))
+
+
+def prompts(questions: DataFrame, triples: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """The prompt of each question: its triples, then its numbered chunks, its summaries (question_id, rank, line) if any, then the question."""
     t = triples.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("final_rank", triple_line(F.col("src"), F.col("relation"), F.col("tgt")).alias("line")))).alias("t"))
     numbered = F.concat(F.lit("["), (F.col("chunk_rank") + 1).cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
     c = chunks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("chunk_rank", numbered.alias("line")))).alias("c"))
     rows = questions.join(t, "question_id", "left").join(c, "question_id", "left")
     facts, passages = F.coalesce(F.array_join("t.line", "; "), F.lit("")), F.coalesce(F.array_join("c.line", "\n"), F.lit(""))
-    return rows.select("question_id", F.concat(F.lit("Facts: "), facts, F.lit("\nPassages:\n"), passages, F.lit("\nQuestion: "), "question").alias("prompt"))
+    parts = [F.lit("Facts: "), facts, F.lit("\nPassages:\n"), passages]
+    if summaries is not None:
+        s = summaries.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("s"))
+        rows = rows.join(s, "question_id", "left")
+        parts += [F.when(F.col("s").isNotNull(), F.concat(F.lit("\nSummaries:\n"), F.array_join("s.line", "\n"))).otherwise("")]
+    return rows.select("question_id", F.concat(*parts, F.lit("\nQuestion: "), "question").alias("prompt"))

@@ -33,7 +33,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     unique = shared.groupBy("id").agg((F.first("n") - F.count("*")).alias("alone"))
     order = Window.partitionBy("id").orderBy("df", "token")
     ranked = shared.join(unique, "id").withColumn("place", F.row_number().over(order) - 1 + F.col("alone"))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold)).select("kind", "token", "id", "n", "place")
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9))).select("kind", "token", "id", "n", "place")
     a, b = (prefix.select("kind", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for s in "ab")
     need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold))
     near = (F.col("id_a") < F.col("id_b")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need - 1e-9)
@@ -42,16 +42,17 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(text.jaccard(F.col("ta"), F.col("tb")) >= threshold).select("a", "b")
 
 
-def leaders(links: DataFrame, rounds: int = 200) -> DataFrame:
+def leaders(links: DataFrame) -> DataFrame:
     """(id, leader) of linked ids under greedy clustering in order of id.
 
     An id follows its first earlier linked leader, else it leads. An id is decided once every earlier
-    linked id before its first leader is known to follow another; each round is a written table.
+    linked id before its first leader is known to follow another; each round is a written table, and
+    decides the first undecided id at least.
     """
     undecided = links.select(F.col("b").alias("id"), F.col("a").alias("before"))
     known = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     known = cut(known.join(undecided.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
-    for _ in range(rounds):
+    while True:
         state = known.select(F.col("id").alias("before"), (F.col("leader") == F.col("id")).alias("leads"))
         open_ = undecided.join(known.select("id"), "id", "left_anti").join(state, "before", "left")
         first = open_.groupBy("id").agg(F.min(F.when(F.coalesce("leads", F.lit(True)), F.struct("before", F.coalesce("leads", F.lit(False)).alias("sure")))).alias("f"))
@@ -59,26 +60,25 @@ def leaders(links: DataFrame, rounds: int = 200) -> DataFrame:
         if decided.isEmpty():
             return known
         known = cut(known.union(decided))
-    raise RuntimeError("leaders did not settle")
 
 
 def entity_leaders(mentions: DataFrame, threshold: float = 0.85, typed: bool = True) -> DataFrame:
-    """Mentions (ordinal, entity, type, ...) with the ordinal and name of the leader they merge into."""
+    """Mentions (ordinal, entity, type, ...) with the ordinal and name of the leader they merge into. Ordinals must not repeat."""
     marked = _classes(mentions, typed)
-    classes = marked.groupBy("kind", "key").agg(F.min("ordinal").alias("id"), F.first("tokens").alias("tokens"))
+    classes = marked.groupBy("kind", "key").agg(F.min("ordinal").alias("id"), F.first("tokens").alias("tokens"), F.min_by("entity", "ordinal").alias("name"))
     # unequal sets can reach the threshold only where |union| >= 1 / (1 - threshold)
     least = math.ceil(1 / (1 - threshold) - 1e-9) - 1
     links = cut(similar_sets(classes.where(F.size("tokens") >= least).select("kind", "id", "tokens"), threshold))
     found = leaders(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("leader"))
+    names = classes.select(F.col("id").alias("leader"), F.col("name").alias("canonical"))
     classes = classes.join(found, "id", "left").select("kind", "key", F.coalesce("leader", "id").alias("leader"))
-    names = mentions.select(F.col("ordinal").alias("leader"), F.col("entity").alias("canonical"))
     return marked.join(classes, ["kind", "key"]).drop("kind", "key", "tokens").join(names, "leader")
 
 
 def deduplicate_entities(mentions: DataFrame, threshold: float = 0.85, typed: bool = True) -> tuple[DataFrame, DataFrame]:
     """Leaders with the provenance of all they stand for, and the map (name, canonical); a name under two types keeps the last."""
     led = entity_leaders(mentions, threshold, typed)
-    merged = led.groupBy("leader").agg(F.min_by("entity", "ordinal").alias("entity"), F.min_by("type", "ordinal").alias("type"), F.max_by("chunk_id", "ordinal").alias("chunk_id"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.count("*").alias("mentions"))
+    merged = led.groupBy("leader").agg(F.min_by("entity", "ordinal").alias("entity"), F.min_by("type", "ordinal").alias("type"), F.max_by("chunk_id", "ordinal").alias("chunk_id"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.count("*").alias("mentions"), *([F.min_by("description", "ordinal").alias("description")] if "description" in mentions.columns else []))
     names = led.groupBy(F.col("entity").alias("name")).agg(F.max_by("canonical", "ordinal").alias("canonical"))
     return merged.withColumnRenamed("leader", "ordinal"), names
 

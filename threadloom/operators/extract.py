@@ -73,15 +73,24 @@ def generate(rows: DataFrame, prompt: str, make, out: str = "reply") -> DataFram
 
 
 def embed(rows: DataFrame, column: str, make, out: str = "embedding") -> DataFrame:
-    """Adds vectors of the distinct texts, each embedded once."""
+    """Adds vectors of the distinct texts, each embedded once. A failing batch is tried again text by text; a failing text gets null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in batches:
-            yield batch.assign(**{out: model.embed(batch[column].tolist())})
+            try:
+                found = model.embed(batch[column].tolist())
+            except Exception:
+                found = []
+                for t in batch[column]:
+                    try:
+                        found += model.embed([t])
+                    except Exception:  # a text that fails must not end the job
+                        found.append(None)
+            yield batch.assign(**{out: found})
 
     distinct = rows.select(column).distinct()
-    vectors = distinct.mapInPandas(run, distinct.withColumn(out, F.array(F.lit(0.0))).schema)
+    vectors = distinct.mapInPandas(run, distinct.withColumn(out, F.lit(None).cast("array<double>")).schema)
     return rows.join(vectors, column, "left")
 
 
@@ -95,20 +104,35 @@ def _parts(record: Column) -> Column:
     return F.transform(F.split(bare, r"\|"), lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"+|"+$', "")))
 
 
-def parse_entities(replies: DataFrame, reply: str = "reply") -> DataFrame:
+def _records(replies: DataFrame, reply: str, kind: str, fields: int, place: str | None) -> DataFrame:
+    """Records of a kind with their parts `p`, and the column `place`: where in its reply each stands."""
+    rows = replies.select("*", F.posexplode(records(F.col(reply))).alias(place or "record_place", "record")).withColumn("p", _parts(F.col("record")))
+    return rows.where((F.col("p")[0] == kind) & (F.size("p") >= fields))
+
+
+def _kept(replies: DataFrame, reply: str, place: str | None) -> list[str]:
+    return [*(c for c in replies.columns if c != reply), *([place] if place else [])]
+
+
+def parse_entities(replies: DataFrame, reply: str = "reply", place: str | None = None) -> DataFrame:
     """A row for each entity record of three fields or more: entity, type, description (its fourth field or '')."""
-    rows = replies.withColumn("record", F.explode(records(F.col(reply)))).withColumn("p", _parts(F.col("record")))
-    rows = rows.where((F.col("p")[0] == "entity") & (F.size("p") >= 3))
-    return rows.select(*[c for c in replies.columns if c != reply], F.col("p")[1].alias("entity"), F.col("p")[2].alias("type"), F.coalesce(F.try_element_at("p", F.lit(4)), F.lit("")).alias("description"))
+    rows = _records(replies, reply, "entity", 3, place)
+    return rows.select(*_kept(replies, reply, place), F.col("p")[1].alias("entity"), F.col("p")[2].alias("type"), F.coalesce(F.try_element_at("p", F.lit(4)), F.lit("")).alias("description"))
+
+
+def parse_query_entities(replies: DataFrame, reply: str = "reply", place: str = "query_ord") -> DataFrame:
+    """What a question names: records of an entity and its type, both given, with their places (query_name, query_type)."""
+    rows = _records(replies, reply, "entity", 3, place)
+    rows = rows.select(*_kept(replies, reply, place), F.col("p")[1].alias("query_name"), F.col("p")[2].alias("query_type"))
+    return rows.where("query_name != '' and query_type != ''")
 
 
-def parse_relations(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """A row for each relation record of seven fields or more; a strength that isn't all digits is 1, with weight 0.1."""
-    rows = replies.withColumn("record", F.explode(records(F.col(reply)))).withColumn("p", _parts(F.col("record")))
-    rows = rows.where((F.col("p")[0] == "relationship") & (F.size("p") >= 7))
-    strength = F.when(F.col("p")[6].rlike("^[0-9]{1,9}$"), F.expr("try_cast(p[6] as int)")).otherwise(1)
+def parse_relations(replies: DataFrame, reply: str = "reply", place: str | None = None) -> DataFrame:
+    """A row for each relation record of seven fields or more; a strength that isn't all digits is 1, with weight 0.1; the greatest is that of an int."""
+    rows = _records(replies, reply, "relationship", 7, place)
+    strength = F.when(F.col("p")[6].rlike("^[0-9]+$"), F.coalesce(F.expr("try_cast(p[6] as int)"), F.lit(2**31 - 1))).otherwise(1)
     named = [F.col("p")[k].alias(c) for k, c in ((1, "create_time"), (2, "session_id"), (3, "src"), (4, "tgt"), (5, "relation"))]
-    return rows.select(*[c for c in replies.columns if c != reply], *named, strength.alias("strength"), (strength / 10.0).alias("weight"))
+    return rows.select(*_kept(replies, reply, place), *named, strength.alias("strength"), (strength / 10.0).alias("weight"))
 
 
 _SUMMARY = "session_id string, session_time string, keys string, context map<string,string>"

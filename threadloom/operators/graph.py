@@ -16,10 +16,11 @@ def edges_of(relations: DataFrame) -> DataFrame:
 
 def nodes_of(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with an edge: the last entity of each name, and ends that were never extracted."""
-    named = entities.groupBy(F.col("entity").alias("name")).agg(F.min("ordinal").alias("ordinal"), F.max_by(F.struct("type", "chunk_id"), "ordinal").alias("e"))
+    about = F.col("description") if "description" in entities.columns else F.lit(None).cast("string")
+    named = entities.withColumn("about", about).groupBy(F.col("entity").alias("name")).agg(F.min("ordinal").alias("ordinal"), F.max_by(F.struct("type", "chunk_id", "about"), "ordinal").alias("e"))
     ends = edges.select(F.col("src").alias("name"), "ordinal").union(edges.select("tgt", "ordinal")).groupBy("name").agg(F.min("ordinal").alias("edge_ordinal"))
     rows = ends.join(named, "name", "left")
-    return rows.select(F.coalesce("ordinal", "edge_ordinal").alias("ordinal"), "name", F.col("e.type").alias("entity_type"), F.col("e.chunk_id").alias("chunk_id"), F.col("ordinal").isNotNull().alias("extracted"))
+    return rows.select(F.coalesce("ordinal", "edge_ordinal").alias("ordinal"), "name", F.col("e.type").alias("entity_type"), F.col("e.chunk_id").alias("chunk_id"), F.col("ordinal").isNotNull().alias("extracted"), *([F.col("e.about").alias("description")] if "description" in entities.columns else []))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,12 +36,14 @@ def _given(c: str) -> Column:
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old nodes with their gaps filled from new ones; chunk_id takes the new value."""
-    n = new.select("name", *[F.col(c).alias(f"n_{c}") for c in ("ordinal", "entity_type", "chunk_id", "extracted")])
+    """Old nodes with their gaps filled from new ones; chunk_id takes the new value. Both with description, or neither."""
+    told = [c for c in ("description",) if c in old.columns and c in new.columns]
+    n = new.select("name", *[F.col(c).alias(f"n_{c}") for c in ("ordinal", "entity_type", "chunk_id", "extracted", *told)])
     rows = old.join(n, "name", "full_outer")
     return rows.select(
         F.coalesce("ordinal", "n_ordinal").alias("ordinal"), "name", F.coalesce(_given("entity_type"), "n_entity_type").alias("entity_type"),
         F.coalesce("n_chunk_id", "chunk_id").alias("chunk_id"), (F.coalesce("extracted", F.lit(False)) | F.coalesce("n_extracted", F.lit(False))).alias("extracted"),
+        *[F.coalesce(_given(c), f"n_{c}").alias(c) for c in told],
     )
 
 

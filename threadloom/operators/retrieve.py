@@ -110,3 +110,38 @@ def key_entity_similarity(summaries: DataFrame, queries: DataFrame) -> DataFrame
     keys = summaries.select("session_id", F.explode(text.key_list(F.col("keys"))).alias("key"))
     pairs = keys.crossJoin(queries.select("question_id", "query_name"))
     return pairs.select("question_id", "session_id", text.name_similarity(F.col("key"), F.col("query_name")).alias("similarity"))
+
+
+def text_similarity(a_vec: Column, b_vec: Column, a: Column, b: Column) -> Column:
+    """Cosine of two texts' vectors; where one is missing, the similarity of the names."""
+    return F.when(a_vec.isNotNull() & b_vec.isNotNull(), vector.cosine(a_vec, b_vec)).otherwise(text.name_similarity(a, b))
+
+
+def relevant_summaries(queries: DataFrame, summaries: DataFrame, k: int = 3) -> DataFrame:
+    """The k summaries of each question with the greatest cosine to any of its query vectors, 0 at least (question_id, session_id, score, rank).
+
+    queries: question_id, query_ord, query_type, query_vec; summaries: session_id, embedding.
+    """
+    items = summaries.select(F.xxhash64("session_id").alias("ordinal"), F.col("session_id").alias("name"), F.lit("").alias("entity_type"), "embedding")
+    scores = entity_scores(queries.withColumn("query_type", F.lit("unknown")), items, type_weight=0.0)
+    return top(scores, [F.desc("score"), F.col("name")], k).select("question_id", F.col("name").alias("session_id"), "score", "rank")
+
+
+def mean_scores(pairs: DataFrame) -> DataFrame:
+    """Session scores: the mean of all similarities of key and query entity (question_id, session_id, similarity); 0 without any."""
+    return pairs.groupBy("question_id", "session_id").agg(F.round(F.coalesce(F.avg("similarity"), F.lit(0.0)), 6).alias("session_score"))
+
+
+def nodes_named(names: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    """The first k nodes of each question's names (question_id, query_ord, query_name), case aside, in the order of the names."""
+    asked = names.select("question_id", "query_ord", F.lower("query_name").alias("key"))
+    found = nodes.withColumn("key", F.lower("name")).join(asked, "key").drop("key")
+    first = found.groupBy("question_id", "name", "entity_type").agg(F.min(F.struct("query_ord", "ordinal")).alias("at"))
+    return top(first, [F.col("at"), F.col("name")], k).drop("at")
+
+
+def session_triples_top(queries: DataFrame, edges: DataFrame, sessions: DataFrame, k: int = 8) -> DataFrame:
+    """The k edges of each question's sessions (question_id, session_id) with the greatest cosine to its vector (question_id, query_vec)."""
+    rows = edges.join(sessions.select("question_id", "session_id").distinct(), "session_id").join(queries.select("question_id", "query_vec"), "question_id")
+    rows = rows.withColumn("similarity", F.round(F.coalesce(vector.cosine(F.col("embedding"), F.col("query_vec")), F.lit(0.0)), 6))
+    return top(rows, [F.desc("similarity"), F.col("ordinal")], k).drop("embedding", "query_vec")

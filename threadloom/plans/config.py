@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields
 
 @dataclass
 class Config:
+    chunk_mode: str = "dialogue"  # or "tokens": windows of the whole context
     window_tokens: int = 1200
     window_overlap: int = 100
     merge_threshold: float = 0.85
@@ -14,6 +15,8 @@ class Config:
     top_triples: int = 8
     top_chunks: int = 3
     use_summaries: bool = True
+    top_summaries: int = 3
+    summary_scores: str = "keys"  # or "position": by the order of the summaries alone
     summary_weight: float = 0.3
     temporal: bool = True
     decay_power: float = 0.5

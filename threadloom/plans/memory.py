@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import vector
+from threadloom.functions import text, vector
 from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, rerank, retrieve
 from threadloom.plans.config import Config
 from threadloom.plans.lineage import cut
 from threadloom.sources.snapshots import Snapshots
 
 _EXTRACT = "List the entities and relations of this dialogue as records.\n"
+_NAME = "List the entities that this question names, with their types, as records.\n"
+_SUMMARISE = "Summarise this session as JSON with session_id, session_time, keys, and a context of themes and summaries.\n"
+_MERGE = "Bring this summary up to date with what was said since, in the same JSON form.\n"
 _ANSWER_FAILED = "No answer could be generated."
+_PLACES = 24  # bits of an ordinal that number the records of a reply
 
 
 def folded(relations: DataFrame) -> DataFrame:
@@ -34,62 +38,121 @@ class Memory:
         self.store = Snapshots(spark, base)
 
     def chunks(self, sessions: DataFrame, first: int = 0) -> DataFrame:
-        turns = chunking.parse_turns(sessions)
-        return chunking.with_chunk_ids(chunking.pair_turns(turns), first)
+        """Turn pairs of dialogues, or windows of words, by `chunk_mode`."""
+        c = self.config
+        if c.chunk_mode == "tokens":
+            rows = chunking.token_windows(sessions.withColumn("text", F.col("context")), c.window_tokens, c.window_overlap, ("session_id", "session_time"))
+            rows = rows.select("session_id", "session_time", F.col("start_idx").alias("chunk_idx"), F.lit(None).cast("int").alias("n_turns"), "text")
+        elif c.chunk_mode == "dialogue":
+            rows = chunking.pair_turns(chunking.parse_turns(sessions))
+        else:
+            raise ValueError(f"unknown chunk_mode: {c.chunk_mode}")
+        return chunking.with_chunk_ids(rows, first)
 
     def mentions(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Entity and relation mentions; replies are kept, since a model asked again may answer otherwise."""
+        """Entity and relation mentions; replies are kept, since a model asked again may answer otherwise.
+
+        Ordinals count by chunk, then by the record's place in the reply.
+        """
         asked = chunks.select("chunk_id", "session_id", "session_time", F.concat(F.lit(_EXTRACT), "text").alias("prompt"))
-        replies = cut(extract.generate(asked, "prompt", self.generator)).withColumn("ordinal", F.col("chunk_id"))
-        entities = extract.parse_entities(replies.select("ordinal", "chunk_id", "reply"))
-        relations = extract.parse_relations(replies.select("ordinal", "chunk_id", F.col("session_time").alias("st"), F.col("session_id").alias("sid"), "reply"))
+        replies = cut(extract.generate(asked, "prompt", self.generator))
+        ordinal = F.shiftleft("chunk_id", _PLACES) + F.col("place")
+        entities = extract.parse_entities(replies.select("chunk_id", "reply"), place="place").withColumn("ordinal", ordinal)
+        relations = extract.parse_relations(replies.select("chunk_id", F.col("session_time").alias("st"), F.col("session_id").alias("sid"), "reply"), place="place").withColumn("ordinal", ordinal)
         relations = relations.withColumn("create_time", F.coalesce(F.nullif("create_time", F.lit("")), "st")).withColumn("session_id", F.coalesce("sid", "session_id"))
-        return entities, relations.drop("st", "sid")
-
-    def _tables(self, entities: DataFrame, relations: DataFrame, typed: bool = True) -> tuple[DataFrame, DataFrame]:
-        kept, names = dedup.deduplicate_entities(entities, self.config.merge_threshold, typed)
+        return entities.drop("place"), relations.drop("st", "sid", "place")
+
+    def summaries(self, sessions: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        """A summary of each session; one that `old` has is brought up to date with what was added, the rest of `old` stays."""
+        parts = sessions.withColumn("ordinal", F.monotonically_increasing_id())
+        whole = chunking.concat_sessions(parts.select("session_id", "session_time", "ordinal", "context"))
+        told = F.concat(F.lit("Session ID: "), "session_id", F.lit("\nSession Time: "), F.coalesce("session_time", F.lit("unknown")), F.lit("\nContext: "), F.coalesce("context", F.lit("")))
+        prompt = F.concat(F.lit(_SUMMARISE), told)
+        if old is not None:
+            before = old.select("session_id", context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context")).alias("before"))
+            whole = whole.join(before, "session_id", "left")
+            prompt = F.when(F.col("before").isNotNull(), F.concat(F.lit(_MERGE), "before", F.lit("\n"), told)).otherwise(prompt)
+        replies = extract.generate(whole.select("session_id", "session_time", prompt.alias("prompt")), "prompt", self.generator)
+        new = cut(extract.parse_summaries(replies.select("session_id", "session_time", "reply")))
+        return new if old is None else old.drop("embedding").join(new.select("session_id"), "session_id", "left_anti").unionByName(new)
+
+    def _with_vectors(self, nodes: DataFrame, edges: DataFrame, summaries: DataFrame) -> dict[str, DataFrame]:
+        about = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise("")
+        nodes = nodes.withColumn("shown", F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("unknown")), F.lit(")"), about))
+        edges = edges.withColumn("shown", F.concat_ws(" - ", "src", "relation", "tgt"))
+        summaries = summaries.withColumn("shown", context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context")))
+        return {name: extract.embed(df.drop("embedding"), "shown", self.embedder).drop("shown") for name, df in (("nodes", nodes), ("edges", edges), ("summaries", summaries))}
+
+    def build(self, sessions: DataFrame) -> int:
+        """A full rebuild: replaces what was stored, once the new version is written."""
+        chunks = self.chunks(sessions)
+        entities, relations = self.mentions(chunks)
+        kept, names = dedup.deduplicate_entities(entities, self.config.merge_threshold)
         edges = graph.edges_of(dedup.deduplicate_relations(dedup.canonical_ends(relations, names)))
-        return graph.nodes_of(kept, edges), edges
+        version = max(self.store.versions(), default=-1) + 1
+        self.store.write({"chunks": chunks} | self._with_vectors(graph.nodes_of(kept, edges), edges, self.summaries(sessions)), version)
+        self.store.keep_only(version)
+        return version
 
-    def build(self, sessions: DataFrame) -> None:
-        """A full rebuild: replaces what was stored."""
-        chunks = self.chunks(sessions)
-        nodes, edges = self._tables(*self.mentions(chunks))
-        self.store.clear()
-        self.store.write({"chunks": chunks, "nodes": nodes, "edges": edges}, 0)
-
-    def add(self, sessions: DataFrame, version: int | None = None) -> int:
-        """Merges sessions into the newest snapshot and writes the next one. Old names are matched exactly."""
-        versions = self.store.versions()
-        version = version if version is not None else max(versions, default=-1) + 1
-        old = self.store.read(max((v for v in versions if v < version), default=None))
+    def add(self, sessions: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
+        """Merges sessions into the newest snapshot and writes the next one. Old names are matched exactly.
+
+        A batch of a stream that the newest snapshot holds already is left out; the version is returned.
+        """
+        newest = max(self.store.versions(), default=None)
+        held = self.store.batches(newest)
+        if stream is not None and batch <= held.get(stream, -1):
+            return newest
+        old = self.store.read(newest)
         top = old["chunks"].agg(F.max("chunk_id")).first()[0]
         chunks = self.chunks(sessions, 0 if top is None else top + 1)
         entities, relations = self.mentions(chunks)
         kept, names = dedup.deduplicate_entities(entities, self.config.merge_threshold)
         new_edges = folded(dedup.canonical_ends(relations, names))
-        new_nodes = graph.nodes_of(kept, new_edges)
-        full = [f.name for f in new_edges.schema if f.name not in old["edges"].columns]
-        old_edges = old["edges"].select("*", *[F.lit(None).alias(c) for c in full])
-        self.store.write({"chunks": old["chunks"].unionByName(chunks, allowMissingColumns=True), "nodes": graph.merge_nodes(old["nodes"], new_nodes), "edges": graph.merge_edges(old_edges, new_edges)}, version)
+        nodes = graph.merge_nodes(old["nodes"], graph.nodes_of(kept, new_edges))
+        tables = self._with_vectors(nodes, graph.merge_edges(old["edges"], new_edges), self.summaries(sessions, old["summaries"]))
+        version = 0 if newest is None else newest + 1
+        self.store.write({"chunks": old["chunks"].unionByName(chunks, allowMissingColumns=True)} | tables, version, held | ({stream: batch} if stream is not None else {}))
         return version
 
+    def asked(self, questions: DataFrame) -> DataFrame:
+        """What to search for: the entities that a question names (question_id, query_ord, query_name, query_type, query_vec), else the question itself."""
+        prompt = F.concat(F.lit(_NAME), F.coalesce("question", F.lit("")), F.lit("\nAsked at: "), F.coalesce("question_time", F.lit("")))
+        replies = extract.generate(questions.select("question_id", "question", prompt.alias("prompt")), "prompt", self.generator)
+        named = cut(extract.parse_query_entities(replies.select("question_id", "reply")))
+        rest = questions.join(named, "question_id", "left_anti").select("question_id", F.lit(0).alias("query_ord"), F.col("question").alias("query_name"), F.lit("unknown").alias("query_type"))
+        return cut(extract.embed(named.unionByName(rest), "query_name", self.embedder, "query_vec"))
+
+    def session_scores(self, asked: DataFrame, relevant: DataFrame, summaries: DataFrame) -> DataFrame:
+        """Scores of each question's relevant sessions: by their keys' similarity to what is asked for, or by position."""
+        if self.config.summary_scores == "position":
+            return retrieve.positional_scores(relevant.withColumn("place", F.col("rank"))).select("question_id", "session_id", "session_score")
+        keys = relevant.select("question_id", "session_id").join(summaries.select("session_id", F.explode_outer(text.key_list(F.col("keys"))).alias("key")), "session_id")
+        keys = extract.embed(keys, "key", self.embedder, "key_vec")
+        similar = retrieve.text_similarity(F.col("key_vec"), F.col("query_vec"), F.col("key"), F.col("query_name"))
+        return retrieve.mean_scores(keys.join(asked, "question_id").withColumn("similarity", F.when(F.col("key").isNotNull(), similar)))
+
     def query(self, questions: DataFrame) -> DataFrame:
         """Answers questions (question_id, question, question_time) in one plan; adds output and top_session_ids."""
-        c, tables = self.config, self.store.read()
-        nodes = tables["nodes"].where("extracted").withColumn("shown", F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("unknown")), F.lit(")")))
-        nodes = extract.embed(nodes, "shown", self.embedder)
-        asked = extract.embed(questions.select("question_id", "question", F.coalesce("question_time", F.lit("")).alias("question_time")), "question", self.embedder, "query_vec")
-        queries = asked.select("question_id", F.lit(0).alias("query_ord"), F.lit("unknown").alias("query_type"), "query_vec")
-        found = retrieve.top_entities(retrieve.entity_scores(queries, nodes), c.top_entities)
-        triples = extract.embed(retrieve.incident_triples(found, tables["edges"]), "triple_text", self.embedder)
-        triples = triples.join(asked.select("question_id", "question_time", "query_vec"), "question_id")
+        c, tables = self.config, self.store.load()
+        asked, nodes = self.asked(questions), tables["nodes"].where("extracted")
+        found = retrieve.top_entities(retrieve.entity_scores(asked.where("query_vec is not null"), nodes), c.top_entities).select("question_id", "name", "rank")
+        # questions without a vector, or a graph without any: by name
+        unseen = asked.join(found, "question_id", "left_anti")
+        found = cut(found.unionByName(retrieve.name_fallback(unseen, nodes)))
+        whole = extract.embed(questions.select("question_id", "question", F.coalesce("question_time", F.lit("")).alias("question_time")), "question", self.embedder, "query_vec")
+        triples = retrieve.incident_triples(found, tables["edges"]).join(whole.select("question_id", "question_time", "query_vec"), "question_id")
         triples = triples.withColumn("similarity", F.round(vector.cosine(F.col("embedding"), F.col("query_vec")), 6)).withColumn("timestamp", F.col("session_time"))
-        pool = retrieve.triple_pool(triples, c.top_triples)
-        scores = retrieve.summary_scores(retrieve.key_entity_similarity(tables["summaries"], found.select("question_id", F.col("name").alias("query_name")))) if c.use_summaries else None
-        best = rerank.temporal_rerank(pool, scores, c.summary_weight, c.decay_power, c.top_triples) if c.temporal else rerank.simple(pool, scores, c.summary_weight, c.top_triples)
-        chosen = context.chunks_of(best, tables["chunks"], c.top_chunks)
-        prompts = context.prompts(questions, best, chosen)
+        pool = retrieve.triple_pool(triples.drop("embedding", "query_vec"), c.top_triples)
+        scores = told = None
+        if c.use_summaries:
+            relevant = cut(retrieve.relevant_summaries(asked.where("query_vec is not null"), tables["summaries"], c.top_summaries))
+            scores = self.session_scores(asked, relevant, tables["summaries"])
+            line = context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context"))
+            told = relevant.join(tables["summaries"].drop("embedding"), "session_id").select("question_id", "rank", line.alias("line"))
+        best = cut(rerank.temporal_rerank(pool, scores, c.summary_weight, c.decay_power, c.top_triples) if c.temporal else rerank.simple(pool, scores, c.summary_weight, c.top_triples))
+        chosen = context.with_stubs(context.chunks_of(best, tables["chunks"], c.top_chunks), tables["edges"])
+        prompts = context.prompts(questions, best, chosen, told)
         sessions = best.groupBy("question_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "session_id"))), lambda x: x["session_id"])).alias("top_session_ids"))
         replies = extract.generate(prompts, "prompt", self.generator, "output").withColumn("output", F.coalesce(F.nullif("output", F.lit("")), F.lit(_ANSWER_FAILED)))
         return questions.join(replies.select("question_id", "output"), "question_id", "left").join(sessions, "question_id", "left")
@@ -98,3 +161,10 @@ class Memory:
         """Accuracy, answer rate and session recall over results with answer, output, origin and top_session_ids."""
         rows = evaluate.judged(results).withColumn("recall", evaluate.session_recall(F.coalesce("origin", F.array()), F.coalesce("top_session_ids", F.array())))
         return evaluate.metrics(rows).crossJoin(rows.agg(F.round(F.avg("recall"), 6).alias("session_recall")))
+
+    def judge(self, results: DataFrame) -> DataFrame:
+        """Accuracy by question type as a judging model sees it (question_type, question, answer, output)."""
+        prompt = evaluate.judge_prompt(F.col("question_type"), F.col("question"), F.col("answer"), F.col("output"))
+        said = extract.generate(results.withColumn("judge_prompt", prompt), "judge_prompt", self.generator, "verdict")
+        rows = said.withColumn("answered", F.coalesce("output", F.lit("")) != "").withColumn("correct", evaluate.verdict(F.col("verdict")))
+        return evaluate.metrics(rows, "question_type")

@@ -15,17 +15,33 @@ NO_ANSWER = "The information is not provided in the conversation."
 FOLDERS = {"single-session-user": "ssu", "single-session-assistant": "ssa", "single-session-preference": "ssp", "multi-session": "ms", "knowledge-update": "ku", "temporal-reasoning": "tr"}
 
 
-def read_sessions(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
-    """Sessions of a JSON array or of one JSON object a line; doc_id counts from 0 in file order.
+def is_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first written letter of the files is that of a JSON array."""
+    first = spark.read.text(path).where("trim(value) != ''").first()
+    return first is not None and first["value"].lstrip("\ufeff \t").startswith("[")
+
+
+def read_json(spark: SparkSession, path: str, schema: str, json_array: bool | None, name: str) -> DataFrame:
+    """Rows of JSON files, numbered from 0 by file name, then by their place in the file."""
+    rows = spark.read.schema(schema).json(path, multiLine=is_array(spark, path) if json_array is None else json_array)
+    rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
+    # a split is read by one task from its first row to its last
+    splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each split
+    splits = splits.select("_file", "_block", "_first", ahead.alias("_ahead"))
+    return rows.join(splits, ["_file", "_block"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_ahead")).drop("_file", "_block", "_at", "_first", "_ahead")
+
+
+def read_sessions(spark: SparkSession, path: str, json_array: bool | None = None) -> DataFrame:
+    """Sessions of a JSON array or of one JSON object a line, told by their first letter; doc_id counts from 0 in file order.
 
     The schema is declared, so times stay strings; a missing content is the context.
     """
-    rows = spark.read.schema(SESSION).json(path, multiLine=json_array)
-    return dense_id(rows.withColumn("content", F.coalesce("content", "context")), "doc_id")
+    return read_json(spark, path, SESSION, json_array, "doc_id").withColumn("content", F.coalesce("content", "context"))
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return dense_id(spark.read.schema(QUESTION).json(path), "question_id").withColumn("origin", text.origin_list(F.col("origin")))
+def read_questions(spark: SparkSession, path: str, json_array: bool | None = None) -> DataFrame:
+    return read_json(spark, path, QUESTION, json_array, "question_id").withColumn("origin", text.origin_list(F.col("origin")))
 
 
 def dense_id(rows: DataFrame, name: str) -> DataFrame:

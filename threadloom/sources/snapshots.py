@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {
-    "chunks": "chunk_id long, doc_id long, session_id string, session_time string, chunk_idx int, text string",
-    "nodes": "ordinal long, name string, entity_type string, description string, chunk_id long, extracted boolean",
-    "edges": "ordinal long, src string, tgt string, relation string, session_id string, session_time string, chunk_id long, chunk_ids array<long>, session_ids array<string>, session_times array<string>, strength int, weight double",
-    "summaries": "session_id string, session_time string, keys string, context map<string,string>",
+    "chunks": "chunk_id long, session_id string, session_time string, chunk_idx int, n_turns int, text string",
+    "nodes": "ordinal long, name string, entity_type string, chunk_id long, extracted boolean, description string, embedding array<double>",
+    "edges": "ordinal long, src string, tgt string, relation string, session_id string, session_time string, chunk_id long, chunk_ids array<long>, session_ids array<string>, session_times array<string>, strength int, weight double, embedding array<double>",
+    "summaries": "session_id string, session_time string, keys string, context map<string,string>, summary_status string, embedding array<double>",
 }
 
 
 class Snapshots:
+    """A version is complete once it has its mark, which also says which stream batches are in it."""
+
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
@@ -20,34 +25,60 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _mark(self, version: int):
+        return self._fs(f"{self.base}/v={version}/_DONE")
+
     def versions(self) -> list[int]:
         path, fs = self._fs(self.base)
         if not fs.exists(path):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._done(int(n[2:])))
+        found = [int(n[2:]) for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith("v=")]
+        return sorted(v for v in found if self._mark(v)[1].exists(self._mark(v)[0]))
 
-    def _done(self, version: int) -> bool:
-        path, fs = self._fs(f"{self.base}/v={version}/_DONE")
-        return fs.exists(path)
+    def batches(self, version: int | None) -> dict[str, int]:
+        """The last batch of each stream that a version holds."""
+        if version is None:
+            return {}
+        path, fs = self._mark(version)
+        stream = fs.open(path)
+        said = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(said) if said else {}
 
-    def write(self, tables: dict[str, DataFrame], version: int) -> None:
-        """Writes one version; writing a version again replaces it, so a repeated batch changes nothing."""
+    def write(self, tables: dict[str, DataFrame], version: int, batches: dict[str, int] | None = None) -> None:
+        """Writes one version. A version that is written again isn't complete until its tables are."""
+        path, fs = self._mark(version)
+        fs.delete(path, True)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.base}/v={version}/{name}")
-        path, fs = self._fs(f"{self.base}/v={version}/_DONE")
-        fs.create(path, True).close()
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(batches or {}).encode()))
+        stream.close()
 
     def read(self, version: int | None = None) -> dict[str, DataFrame]:
-        """Tables of a version, the newest by default; a table that is missing is empty."""
+        """Tables of a version, the newest by default; a table or column that is missing is empty, and so is every table before the first version."""
         version = version if version is not None else max(self.versions(), default=None)
         out = {}
         for name, schema in TABLES.items():
             path, fs = self._fs(f"{self.base}/v={version}/{name}")
             there = version is not None and fs.exists(path)
-            out[name] = self.spark.read.parquet(f"{self.base}/v={version}/{name}") if there else self.spark.createDataFrame([], schema)
+            kind = self.spark.createDataFrame([], schema)
+            if there:
+                own = self.spark.read.parquet(f"{self.base}/v={version}/{name}")
+                out[name] = own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.schema])
+            else:
+                out[name] = kind
         return out
 
-    def clear(self) -> None:
+    def load(self) -> dict[str, DataFrame]:
+        """Tables of the newest version; an error if there is none."""
+        if not self.versions():
+            raise FileNotFoundError(f"no complete memory in {self.base}")
+        return self.read()
+
+    def keep_only(self, version: int) -> None:
+        """Deletes all other versions, complete or not."""
         path, fs = self._fs(self.base)
-        fs.delete(path, True)
+        for s in fs.listStatus(path):
+            if s.getPath().getName() not in (f"v={version}",):
+                fs.delete(s.getPath(), True)

@@ -45,7 +45,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _gathered(batches):
         raw, offsets = tk.text_bytes(batch.column("text"))
         ids, held = np.array(batch.column("doc_id").to_pylist(), object), np.asarray(batch.column("held").to_numpy(), bool)
-        for first, last in tk.slices(offsets, 4 << 20):
+        for first, last in tk.slices(offsets, 8 << 20):
             h, rows = tk.words(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             h = np.insert(h, rows[1:], END)
             vocabulary, tokens = np.unique(h, return_inverse=True)
@@ -59,7 +59,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block += 1
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 6 << 20) -> Iterator[pa.Table]:
     """Batches joined up to about `most` bytes: larger blocks repeat fewer n-grams."""
     held, size = [], 0
     for batch in batches:

@@ -273,13 +273,51 @@ def test_languages_held_out(spark, none):
     assert ppm_language.predict(spark, none, ppm_language.train(spark, none)).count() == 0
 
 
-def test_costs_are_code_lengths():
-    """Without escapes' waste the shares of all symbols after a context sum to 1, with it to at most 1."""
-    size = 4
-    grams = np.array([0 * 64 + 0 * 16 + 1 * 4 + 2, 0 * 64 + 0 * 16 + 1 * 4 + 3])
-    model = ppm_language.LanguageModel(np.zeros(256, np.int32), size, ["x"], [grams], [np.array([3, 1])])
-    share = np.exp2(-ppm_language.costs(model, 0).astype(float)).reshape(-1, size).sum(1)
-    assert (share <= 1 + 1e-6).all() and share[1] > 0.5
+def brute_bits_in(sample, text, alphabet, seen):
+    """Code length under order-3 byte contexts with escapes (method C), by dictionaries; alphabet: symbols in all."""
+    counts = {}
+    fold = lambda t: [None] * 3 + [b + 32 if 65 <= b <= 90 else b for b in t.encode()]
+    for t in sample:
+        s = fold(t)
+        for k in range(3, len(s)):
+            for order in range(4):
+                counts.setdefault(tuple(s[k - order : k]), Counter())[s[k]] += 1
+    s, bits = fold(text), 0.0
+    for k in range(3, len(s)):
+        if s[k] not in seen:
+            bits += math.log2(256 - len(seen))
+        own = s[k] if s[k] in seen else "new"
+        for order in (3, 2, 1, 0):
+            c = counts.get(tuple(x if x is None or x in seen else "new" for x in s[k - order : k]), Counter())
+            n, d = sum(c.values()), len(c)
+            if n and c[own]:
+                bits += math.log2((n + d) / c[own])
+                break
+            bits += math.log2((n + d) / d) if n else 0
+        else:
+            bits += math.log2(alphabet)
+    return bits
+
+
+def test_bits_equal_brute_force(spark):
+    """Languages in scripts of their own: every byte counts, and texts of one letter, of bytes never seen, and repeated ones too."""
+    own = {"el": ["το σπίτι είναι μεγάλο", "η γάτα κοιμάται εδώ"], "ru": ["мой дядя самых честных правил", "кот спит на диване"], "uk": ["мій дядько найчесніших правил", "кіт спить на дивані"], "en": ["The cat sleeps in the house", "a big house"]}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in own.items() for t in ts)]
+    model = ppm_language.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = ["кіт спить у хаті", "кот спит в доме", "σπίτι", "THE big CAT", "日本 cat", "é", "кот"] + ["кот"]
+    table = spark.createDataFrame([(i if i != 3 else None, t, "en", 9.0, "r") for i, t in enumerate(asked)], "doc_id long, text string, lang string, score double, rate string")
+    got = sorted(((r["doc_id"], r["lang_pred"]) for r in ppm_language.predict(spark, table, model).collect()), key=str)
+    every = [t for ts in own.values() for t in ts]
+    alphabet = len({b for t in every for b in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode()}) + 2
+    known = ppm_language.costs(model)
+    for t in asked:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        before, symbol = ppm_language._codes(raw, np.array([0, len(raw)]), model.symbols, model.size)
+        for k, lang in enumerate(model.languages):
+            bits = known.tables[k][known.rows[before] * model.size + symbol].astype(float).sum() + known.aside[ppm_language.tk.LOWER[raw]].sum()
+            seen = {b for x in every for b in x.lower().encode()}
+            assert bits == pytest.approx(brute_bits_in(own[lang], t, alphabet, seen), rel=1e-5), (t, lang)
+    assert [x for _, x in got if x == "und"] == [] and dict(got)[0] == "uk" and dict(got)[1] == "ru" and dict(got)[2] == "el" and dict(got)[None] == "en"
 
 
 def test_mixing(spark, odd, none):

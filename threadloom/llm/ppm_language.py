@@ -4,11 +4,12 @@ Each language has a context tree of bytes, three deep, with frozen counts. A byt
 share under the longest context that has been seen, and every context in which it hasn't been seen
 adds the cost of its escape (method C: with n visits and d different followers, an escape has
 d / (n + d)). A text's language is the one whose tree gives it the shortest exact code length. Since
-counts are frozen, all costs are known before any text is read: a table over (three bytes, byte)
-holds them, over the most frequent bytes of the sample; rarer bytes share one symbol.
+counts are frozen, all costs are known before any text is read. A table holds them: a row for each context
+of three bytes that some language has seen, else for each of two, else of one, and in it a cost for
+each byte. Bytes that no learnt text has share one symbol, and cost what tells them from each other as well.
 
 The best of the learnt languages may still be a wrong one. A text is in none of them if its bits per byte
-are far over those of nearly all labelled texts; there rarer bytes cost what tells them from each other, too.
+are far over those of nearly all labelled texts.
 """
 
 from __future__ import annotations
@@ -33,12 +34,11 @@ _STEPS = 64  # of a bit per byte, in the counts that bounds are read from
 
 @dataclass
 class LanguageModel:
-    symbols: np.ndarray  # of each byte; 0 stands for what precedes a text
+    symbols: np.ndarray  # of each byte; 0 stands for what precedes a text, size - 1 for all bytes never seen
     size: int
     languages: list[str]
     grams: list[np.ndarray]  # of each language: codes of four symbols
     counts: list[np.ndarray]
-    within: np.ndarray | None = None  # bits that tell each byte from others of its symbol, the same in all languages
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,15 +49,15 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _codes(raw: np.ndarray, offsets: np.ndarray, symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of (three symbols, symbol) at every byte; each row begins after three symbols 0."""
+    """The codes of the three symbols before every byte, and its own symbol; each row begins after three symbols 0."""
     n = len(offsets) - 1
     at = np.arange(len(raw)) + _DEPTH * np.repeat(np.arange(1, n + 1), np.diff(offsets))
     padded = np.zeros(len(raw) + _DEPTH * n, np.int32)
     padded[at] = symbols[tk.LOWER[raw]]
-    code = padded.copy()
+    before = np.zeros_like(padded)
     for k in range(1, _DEPTH + 1):
-        code[k:] += padded[:-k] * size**k
-    return code[at], offsets
+        before[k:] += padded[:-k] * size ** (k - 1)
+    return before[at], padded[at]
 
 
 def _grams(symbols: np.ndarray, size: int):
@@ -66,13 +66,14 @@ def _grams(symbols: np.ndarray, size: int):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 raw, offsets = tk.text_bytes(batch.column("text").filter(pa.array(langs == lang)))
-                code, n = np.unique(_codes(raw, offsets, symbols, size)[0], return_counts=True)
+                before, own = _codes(raw, offsets, symbols, size)
+                code, n = np.unique(before.astype(np.int64) * size + own, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
     return run
 
 
-def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, size: int = 44) -> LanguageModel:
+def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
     """Counts contexts in at most `per_language` texts of each language (doc_id, text, lang), chosen by hash of doc_id.
 
     Rows with a null text or language teach nothing.
@@ -88,42 +89,45 @@ def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000, si
     chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").distinct()
     sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # at most per_language ids a language
     seen = sample.mapInArrow(_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "byte").collect()
+    size = len(seen) + 2
     symbols = np.full(256, size - 1, np.int32)
-    for k, r in enumerate(seen[: size - 2]):
+    for k, r in enumerate(seen):
         symbols[r["byte"]] = k + 1
     rows = sample.mapInArrow(_grams(symbols, size), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     of = [rows[rows["lang"] == x].sort_values("code") for x in languages]
-    return LanguageModel(symbols, size, languages, [x["code"].to_numpy() for x in of], [x["n"].to_numpy() for x in of], _within(symbols, size, {r["byte"]: r["n"] for r in seen}))
-
-
-def _within(symbols: np.ndarray, size: int, seen: dict[int, int]) -> np.ndarray:
-    """Bits of each byte among those of the last symbol, by their counts, with an escape to those never seen."""
-    byte = np.arange(256)
-    shared = (symbols == size - 1) & (tk.LOWER == byte)
-    n = np.where(shared, [seen.get(b, 0) for b in range(256)], 0)
-    new = np.log2(max((shared & (n == 0)).sum(), 1))
-    cost = _longer(n[None, shared].astype(float), np.full((1, shared.sum()), new))[0] if shared.any() else 0
-    out = np.zeros(256)
-    out[shared] = cost
-    return out
+    return LanguageModel(symbols, size, languages, [x["code"].to_numpy() for x in of], [x["n"].to_numpy() for x in of])
 
 
-def costs(model: LanguageModel, language: int) -> np.ndarray:
-    """Bits of each (three symbols, symbol), escapes included."""
-    size, grams, counts = model.size, model.grams[language], model.counts[language]
-    block = size**_DEPTH  # codes with the same first symbol; only one block is widened at a time
-    cuts = np.searchsorted(grams, np.arange(size + 1) * block)
-    spread = lambda k: np.bincount(grams[cuts[k] : cuts[k + 1]] - k * block, counts[cuts[k] : cuts[k + 1]], block)
-    full = sum(map(spread, range(size)))
-    cost = np.full((1, size), np.log2(size))
-    for depth in range(_DEPTH):
-        # contexts of this depth: the counts summed over the symbols before them
-        cost = _longer(full.reshape(-1, size**depth, size).sum(0), np.tile(cost, (size, 1)) if depth else cost)
-    out = np.empty((size, block), np.float32)
-    for k in range(size):
-        out[k] = _longer(spread(k).reshape(-1, size), cost).ravel()
-    return out.ravel()
+@dataclass
+class Costs:
+    """rows: the row of each code of three symbols; tables: of each language, the bits of each (row, symbol); aside: those that tell bytes of one symbol apart."""
+
+    rows: np.ndarray
+    tables: list[np.ndarray]
+    aside: np.ndarray
+
+
+def costs(model: LanguageModel) -> Costs:
+    """Bits of every byte after every context, escapes included."""
+    size = model.size
+    three = np.unique(np.concatenate([np.unique(g // size) for g in model.grams])) if model.grams else np.zeros(0, np.int64)
+    two = np.unique(three % size**2)
+    rows = np.arange(size**2, dtype=np.int32) % size + len(three) + len(two)
+    rows[two] = len(three) + np.arange(len(two))
+    rows = np.tile(rows, size)
+    rows[three] = np.arange(len(three))
+    tables = []
+    for grams, counts in zip(model.grams, model.counts):
+        before, own = np.divmod(grams, size)
+        spread = lambda at, n: np.bincount(at * size + own, counts, n * size).reshape(n, size)  # noqa: E731, B023
+        none = _longer(spread(np.zeros_like(own), 1), np.full((1, size), np.log2(size)))
+        one = _longer(spread(before % size, size), np.tile(none, (size, 1)))
+        pair = _longer(spread(np.searchsorted(two, before % size**2), len(two)), one[two % size])
+        full = _longer(spread(np.searchsorted(three, before), len(three)), pair[np.searchsorted(two, three % size**2)])
+        tables.append(np.concatenate([full, pair, one]).astype(np.float32).ravel())
+    unseen = model.symbols == size - 1
+    return Costs(rows, tables, np.where(unseen, np.log2(max(unseen.sum(), 1)), 0.0).astype(np.float32))
 
 
 def _longer(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -142,9 +146,9 @@ def _tellable(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ~near
 
 
-def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatch, rates: bool = False) -> Iterator[pa.RecordBatch]:
+def _judged(model: LanguageModel, known: Costs, batch: pa.RecordBatch, rates: bool = False) -> Iterator[pa.RecordBatch]:
     """rates: with the bits per byte of the best language, digits and what follows them aside."""
-    names = np.array([*model.languages, UNKNOWN], object)
+    names, tables = np.array([*model.languages, UNKNOWN], object), known.tables
     column = batch.column("text")
     raw, offsets = tk.text_bytes(column)
     for first, last in tk.slices(offsets, 1 << 20):
@@ -156,16 +160,17 @@ def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatc
         if not tables:
             best, score, rate = np.zeros(n, int), np.zeros(n), np.zeros(n)
         else:
-            code, _ = _codes(part, own, model.symbols, model.size)
+            before, symbol = _codes(part, own, model.symbols, model.size)
+            code = known.rows[before] * model.size + symbol
             bits, rate = np.zeros((len(tables), n)), np.zeros((len(tables), n))
             some = np.diff(own) > 0
             if some.any():
-                told = _tellable(part, own) if rates else None
+                told, aside = _tellable(part, own) if rates else None, known.aside[tk.LOWER[part]]
                 for k, table in enumerate(tables):
-                    bits[k, some] = np.add.reduceat(table[code], own[:-1][some], dtype=np.float64)
+                    each = table[code] + aside
+                    bits[k, some] = np.add.reduceat(each, own[:-1][some], dtype=np.float64)
                     if rates:
-                        within = 0 if model.within is None else model.within[tk.LOWER[part]]
-                        rate[k, some] = np.add.reduceat((table[code] + within) * told, own[:-1][some], dtype=np.float64)
+                        rate[k, some] = np.add.reduceat(each * told, own[:-1][some], dtype=np.float64)
                         rate[k, some] /= np.add.reduceat(told, own[:-1][some], dtype=np.int64) + _START
             best = bits.argmin(0)
             gap = (bits - bits.min(0)) * np.minimum(1, 64 / np.maximum(np.diff(own), 1))
@@ -177,25 +182,21 @@ def _judged(model: LanguageModel, tables: list[np.ndarray], batch: pa.RecordBatc
         yield pa.RecordBatch.from_pydict(found | ({"rate": pa.array(rate)} if rates else {}))
 
 
-def _tables(model: LanguageModel) -> list[np.ndarray]:
-    """Of one task, so that an idle worker holds none."""
-    return [costs(model, k) for k in range(len(model.languages))]
-
-
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs (doc_id, text).
 
     lang_pred is a learnt language, or `und` with score 0 where a text is null, empty or has no letter,
     or where nothing was learnt. score: the best language's share of 2^-bits over all languages, with
     the bits of a text of over 64 bytes scaled to 64. Of languages with the same code length the first in
-    alphabetical order is taken.
+    alphabetical order is taken. Texts of any length are read whole; rows that repeat, or have no doc_id, are predicted
+    each; further columns, whatever their names, are left behind.
     """
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(given.value)
+        known = costs(given.value)  # of one task, so that an idle worker holds none
         for batch in batches:
-            yield from _judged(given.value, tables, batch)
+            yield from _judged(given.value, known, batch)
 
     small_batches(spark)
     return columns_or_null(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -206,9 +207,9 @@ def bounds(spark: SparkSession, labelled: DataFrame, model: LanguageModel, share
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(given.value)
+        known = costs(given.value)  # of one task, so that an idle worker holds none
         for batch in batches:
-            for part in _judged(given.value, tables, batch, rates=True):
+            for part in _judged(given.value, known, batch, rates=True):
                 step = pa.array(np.ceil(np.asarray(part.column("rate")) * _STEPS).astype(np.int64))
                 n = pa.table({"lang": part.column("lang_pred"), "step": step}).group_by(["lang", "step"]).aggregate([([], "count_all")])
                 yield from n.select(["lang", "step", "count_all"]).rename_columns(["lang", "step", "n"]).combine_chunks().to_batches()
@@ -230,10 +231,10 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel, most:
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(given.value)
+        known = costs(given.value)  # of one task, so that an idle worker holds none
         for batch in batches:
             only = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
-            found = [x for part in _judged(given.value, tables, only, rates=most is not None) for x in zip(part.column("lang_pred").to_pylist(), part.column("rate").to_pylist() if most is not None else [0] * len(part))]
+            found = [x for part in _judged(given.value, known, only, rates=most is not None) for x in zip(part.column("lang_pred").to_pylist(), part.column("rate").to_pylist() if most is not None else [0] * len(part))]
             yield batch.filter(pa.array([x != UNKNOWN and (most is None or rate <= most.get(x, max(most.values(), default=0.0))) for x, rate in found], pa.bool_()))
 
     small_batches(spark)

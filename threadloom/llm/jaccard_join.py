@@ -71,8 +71,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _scatter(size: int, buckets: int, common):
-    """Sets of a batch cut by hash range: for each bucket the documents' keys, how many hashes each has there, and these."""
-    names = ["bucket", "keys", "counts", "hashes"]
+    """Sets of a batch cut by hash range: for each bucket the documents' keys and sizes, how many hashes each has there, and these."""
+    names = ["bucket", "keys", "sizes", "counts", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(common.value, np.uint64)
@@ -98,72 +98,85 @@ def _scatter(size: int, buckets: int, common):
                     which, count = np.unique(doc[lo:hi], return_counts=True)
                     of = one[which]
                     if k < buckets:
-                        rows.append((k, keys[of].tobytes(), tk.squeeze(count), tk.pack(h[lo:hi], _LOW)))
+                        rows.append((k, keys[of].tobytes(), tk.squeeze(n[of]), tk.squeeze(count), tk.pack(h[lo:hi], _LOW)))
                     else:  # the common ones need no counting: a row for each document, hashes as they are
                         ends = np.cumsum(count)
-                        rows += [(-1, keys[o : o + 1].tobytes(), b"", h[lo + e - c : lo + e].tobytes()) for o, c, e in zip(of, count, ends)]
+                        rows += [(-1, keys[o : o + 1].tobytes(), tk.squeeze(n[o : o + 1]), b"", h[lo + e - c : lo + e].tobytes()) for o, c, e in zip(of, count, ends)]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))), schema=pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in names[1:])]))
 
     return run
 
 
-def _binary(blob: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(blob))]).cast(pa.binary())
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each set, the hashes that another set has too, and in how many sets they are."""
-    bucket = table.column("bucket")[0].as_py()
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
-    counts = np.concatenate([tk.unsqueeze(x) for x in table.column("counts").to_pylist()])
-    h = tk.unpack(b"".join(table.column("hashes").to_pylist()), _LOW)
-    one = np.sort(np.unique(keys, return_index=True)[1])  # the same set from several batches counts once
-    if len(one) < len(keys):
-        mine = np.zeros(len(keys), bool)
-        mine[one] = True
-        h, keys, counts = h[np.repeat(mine, counts)], keys[one], counts[one]
-    order = np.argsort(h)
-    s = h[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    run = np.diff(np.append(first, len(s))).astype(np.uint32)
-    del s
-    df = np.empty(len(h), np.uint32)
-    df[order] = np.repeat(run, run)
-    del order, first, run
-    keep = df > 1
-    per = np.bincount(np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep], minlength=len(keys))
-    some = per > 0
-    h = h[keep] | (np.uint64(bucket & 0xFFFF) << np.uint64(48))
-    return pa.table({"key": keys[some], "shared": per[some], "hashes": _binary(h.view(np.uint8), per[some] * 8), "df": _binary(np.minimum(df[keep], 0xFFFFFFFE).astype("<u4").view(np.uint8), per[some] * 4)})
-
-
-_SHARED = "key long, shared long, hashes binary, df binary"
-
-
-def _common_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = batch.column("hashes").to_pylist()
-        key = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([len(x) // 8 for x in hashes], pa.int64()), pa.array(hashes, pa.binary()), pa.array([b"\xff" * (len(x) // 2) for x in hashes], pa.binary())], ["key", "shared", "hashes", "df"])
-
-
-_SET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("rare", pa.list_(pa.int64()))])
+_KEPT = pa.schema([("gather", pa.int64()), *((c, pa.binary()) for c in ("keys", "sizes", "counts", "hashes", "df"))])
+KEPT = "gather long, keys binary, sizes binary, counts binary, hashes binary, df binary"
+
+
+def _shared(gathers: int):
+    """Of one bucket: for each set, the hashes that another set has too, and in how many sets they are; by hash of the sets' keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+        sizes, counts = (np.concatenate([tk.unsqueeze(x) for x in table.column(c).to_pylist()]) for c in ("sizes", "counts"))
+        h = tk.unpack(b"".join(table.column("hashes").to_pylist()), _LOW)
+        one = np.sort(np.unique(keys, return_index=True)[1])  # the same set from several batches counts once
+        if len(one) < len(keys):
+            mine = np.zeros(len(keys), bool)
+            mine[one] = True
+            h, keys, sizes, counts = h[np.repeat(mine, counts)], keys[one], sizes[one], counts[one]
+        _, place, run_ = np.unique(h, return_inverse=True, return_counts=True)
+        df = run_[place]
+        del place, run_
+        keep = df > 1
+        per = np.bincount(np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep], minlength=len(keys))
+        h, df = h[keep] | (np.uint64(bucket & 0xFFFF) << np.uint64(48)), np.minimum(df[keep], 0xFFFFFFFE)
+        to = _bucket(tk.mix(keys.view(np.uint64)), gathers)
+        each = np.repeat(to, per)
+        order, of = np.argsort(each, kind="stable"), np.argsort(to, kind="stable")
+        of = of[per[of] > 0]
+        cuts, ends = np.searchsorted(to[of], np.arange(gathers + 1)), np.searchsorted(each[order], np.arange(gathers + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            docs, part = of[cuts[k] : cuts[k + 1]], order[ends[k] : ends[k + 1]]
+            rows.append((k, keys[docs].tobytes(), tk.squeeze(sizes[docs]), tk.squeeze(per[docs]), h[part].tobytes(), tk.squeeze(df[part])))
+        return pa.Table.from_pydict(dict(zip(_KEPT.names, zip(*rows))) if rows else {c: [] for c in _KEPT.names}, schema=_KEPT)
 
+    return run
 
-def _prefixes(percent: int):
-    """Of each candidate set: its shared hashes, sorted, and those of its rarest part."""
 
+def _common_rows(gathers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, n, hs, ds in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "hashes", "df"))):
-                h, df = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(ds), "<u4")
-                reach = n - -(-percent * n // 100) + 1 - (n - len(h))
-                rare = np.lexsort((h, df))[: max(reach, 0)]
-                out.append((i, n, np.sort(h).tobytes(), h[rare].view(np.int64).tolist()))
-            yield pa.RecordBatch.from_pydict(dict(zip(_SET.names, zip(*out))) if out else {c: [] for c in _SET.names}, schema=_SET)
+            keys, sizes, hashes = (batch.column(c).to_pylist() for c in ("keys", "sizes", "hashes"))
+            to = _bucket(tk.mix(np.frombuffer(b"".join(keys), np.uint64)), gathers)
+            counts = [len(x) // 8 for x in hashes]
+            rows = {"gather": to, "keys": keys, "sizes": sizes, "counts": [tk.squeeze(np.array([n])) for n in counts], "hashes": hashes, "df": [tk.squeeze(np.full(n, 0xFFFFFFFF)) for n in counts]}
+            yield pa.RecordBatch.from_pydict(rows, schema=_KEPT)
+
+    return run
+
+
+_SET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("rare", pa.list_(pa.int64()))])
+
+
+def _sets_of(percent: int):
+    """Sets that can link at all, put together again: their shared hashes, sorted, and those of their rarest part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+        sizes, counts, df = (np.concatenate([tk.unsqueeze(x) for x in table.column(c).to_pylist()]) for c in ("sizes", "counts", "df"))
+        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        unique, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        of = np.repeat(at, counts)
+        order = np.lexsort((h, df, of))
+        ends = np.cumsum(np.bincount(of, minlength=len(unique)))
+        out = []
+        for i, (n, a, b) in enumerate(zip(sizes[first].tolist(), [0, *ends[:-1].tolist()], ends.tolist())):
+            if (b - a) * 100 >= n * percent:
+                own = h[order[a:b]]
+                reach = n - -(-percent * n // 100) + 1 - (n - len(own))
+                out.append((int(unique[i]), n, np.sort(own).tobytes(), own[: max(reach, 0)].view(np.int64).tolist()))
+        return pa.Table.from_pydict(dict(zip(_SET.names, zip(*out))) if out else {c: [] for c in _SET.names}, schema=_SET)
 
     return run
 
@@ -333,22 +346,21 @@ def classified(spark: SparkSession, docs: DataFrame, percent: int = 80, size: in
     totals = rows.agg(F.count("*"), F.sum("n_shingles")).first()
     common = read.where("common").groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") >= max(COMMON_LEAST, totals[0] // COMMON_SHARE)).select("key").collect()
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64)).tobytes())
-    classes = scratch.table(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")))
+    classes = scratch.table(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
     buckets = buckets_for(totals[1] or 0, per_bucket)
 
-    sent = docs.where("doc_id is not null").mapInArrow(_scatter(size, buckets, common), "bucket long, keys binary, counts binary, hashes binary")
-    counted = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, _SHARED)
+    sent = docs.where("doc_id is not null").mapInArrow(_scatter(size, buckets, common), "bucket long, keys binary, sizes binary, counts binary, hashes binary")
+    counted = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared(buckets), KEPT)
     if common.value != b"":
-        counted = counted.union(sent.where("bucket < 0").dropDuplicates(["keys"]).mapInArrow(_common_rows, _SHARED))
-    sets = counted.groupBy("key").agg(F.sum("shared").alias("shared"), F.collect_list("hashes").alias("hashes"), F.collect_list("df").alias("df"))
-    sets = sets.join(classes, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select(F.col("key").alias("id"), "n", "hashes", "df")
-    sets = scratch.table(sets.mapInArrow(_prefixes(percent), "id long, n long, hashes binary, rare array<long>"))
+        counted = counted.union(sent.where("bucket < 0").dropDuplicates(["keys"]).mapInArrow(_common_rows(buckets), KEPT))
+    sets = scratch.table(counted.groupBy("gather").applyInArrow(_sets_of(percent), "id long, n long, hashes binary, rare array<long>"))
     members = sets.select(F.explode("rare").alias("region"), "id", (F.length("hashes") / 8).cast("long").alias("w"))
     named = components_of(scratch, members, sets.select("id", "n", "hashes"), percent)
     named = scratch.table(classes.join(named.withColumnRenamed("id", "key"), "key").select("key", "component", "id"))
     least = scratch.table(named.groupBy("component").agg(F.min("id").alias("component_id")))
     named = named.join(least, "component").select("key", "component", "component_id")
     classes = classes.join(named, "key", "left").select("key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
+    classes = scratch.table(classes)
     alone = rows.where("key is null").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
     out = ["doc_id", "n_shingles", "mark", "component", "component_id"]
     return rows.join(classes, "key").select(*out).union(alone.select(*out))

@@ -1,8 +1,7 @@
 """Exact Jaccard join of documents on word shingles, in the metric space of Jaccard distance.
 
-Documents without a common shingle lie at distance 1 from each other and from any pivot, so cells of
-pivots sampled from the whole corpus would hold nearly all rows at the same distance. The space is
-therefore first cut where distances below 1 are possible at all: a linked pair shares at least one of
+Nearly all documents lie at or near distance 1 from any pivot sampled from the whole corpus, so windows around the cells of such
+pivots would copy every document to every cell. The space is therefore first cut by what near documents have in common: a linked pair shares at least one of
 the rarest 20 % of either set's shingles, so the documents of each such shingle are a region, and a
 document stands in every region in whose reach it is. Then, with r = 1 - similarity:
 

@@ -437,13 +437,91 @@ def visual_buckets(spark, sf_dir):
     return retrieve.visual_buckets(pool(spark, sf_dir), "pool_score").select("question_id", "src", "tgt", "bucket")
 
 
+def key_similarities(spark, sf_dir) -> DataFrame:
+    """Similarities of the keys of each conversation, its roles and turns, with three names of each question."""
+    c = read(spark, sf_dir, "conversations")
+    summaries = c.groupBy(F.concat(F.lit("S"), "conv_id").alias("session_id")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "role", "turn")), ", ").alias("keys"))
+    asked = read(spark, sf_dir, "events").select(F.col("event_type").alias("question_id")).distinct()
+    asked = asked.select("question_id", F.explode(F.array(F.lit("user"), F.lit("assistant 1"), F.col("question_id"))).alias("query_name"))
+    return retrieve.key_entity_similarity(summaries, asked)
+
+
 @query("""with k as (select conv_id, lower(role) || ' ' || turn as key from conversations), q as (select distinct event_type as question_id from events), names as (select question_id, unnest(['user', 'assistant 1', question_id]) as name from q),
 s as (select question_id, 'S' || conv_id as session_id, key, name, len(list_intersect(list_distinct(string_split(key, ' ')), list_distinct(string_split(lower(name), ' ')))) as i, len(list_distinct(list_concat(string_split(key, ' '), string_split(lower(name), ' ')))) as u from k cross join names),
 z as (select *, case when key = lower(name) then 1 when contains(key, lower(name)) or contains(lower(name), key) then 0.8 when i > 0 then least(1, i / u + 0.2) else 0 end::double as similarity from s),
 r as (select *, row_number() over (partition by question_id, session_id order by similarity desc) as r from z) select question_id, session_id, round(avg(similarity), 6) as session_score from r where r <= 3 group by all""")
 def summary_rank(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    summaries = c.groupBy(F.concat(F.lit("S"), "conv_id").alias("session_id")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "role", "turn")), ", ").alias("keys"))
-    asked = read(spark, sf_dir, "events").select(F.col("event_type").alias("question_id")).distinct()
-    asked = asked.select("question_id", F.explode(F.array(F.lit("user"), F.lit("assistant 1"), F.col("question_id"))).alias("query_name"))
-    return retrieve.summary_scores(retrieve.key_entity_similarity(summaries, asked))
+    return retrieve.summary_scores(key_similarities(spark, sf_dir))
+
+
+@query(f"""with {ENTITIES}, near as (select question_id, 'S' || vec_id as session_id, round(greatest(list_cosine_similarity(cast(embedding as double[]), query_vec), 0), 6) as score from embeddings cross join centres),
+placed as (select *, row_number() over (partition by question_id order by score desc, session_id) - 1 as rank from near) select *, round(0.9 * pow(0.9::double, rank), 6) as session_score from placed where rank < 3""")
+def summary_retrieve(spark, sf_dir):
+    """The summaries nearest to each question, over all vectors, and their sessions' scores by position."""
+    stored = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("S"), "vec_id").alias("session_id"), "embedding")
+    found = retrieve.relevant_summaries(questions(spark, sf_dir), stored, 3)
+    return longs(retrieve.positional_scores(found.withColumn("place", F.col("rank"))).drop("place"), "rank")
+
+
+@query("""with k as (select conv_id, lower(role) || ' ' || turn as key from conversations), names as (select question_id, unnest(['user', 'assistant 1', question_id]) as name from (select distinct event_type as question_id from events)),
+s as (select question_id, 'S' || conv_id as session_id, key, name, len(list_intersect(list_distinct(string_split(key, ' ')), list_distinct(string_split(lower(name), ' ')))) as i, len(list_distinct(list_concat(string_split(key, ' '), string_split(lower(name), ' ')))) as u from k cross join names),
+z as (select *, case when key = lower(name) then 1 when contains(key, lower(name)) or contains(lower(name), key) then 0.8 when i > 0 then least(1, i / u + 0.2) else 0 end::double as similarity from s)
+select question_id, session_id, round(avg(similarity), 4) as session_score from z group by all""")
+def session_scores_mean(spark, sf_dir):
+    """Sessions by the mean over all their keys; keys and names as in `summary_rank`."""
+    return retrieve.mean_scores(key_similarities(spark, sf_dir)).withColumn("session_score", F.round("session_score", 4))
+
+
+@query("""with nodes as (select min(p_partkey) as ordinal, p_name as name, p_brand as entity_type from part group by 2, 3),
+found as (select cast(p_size as bigint) as question_id, name, entity_type, ordinal, min(p_partkey) as found_at from part join nodes on lower(p_name) = lower(name) group by all)
+select question_id, ordinal, name, entity_type, rank from (select *, row_number() over (partition by question_id order by found_at, ordinal, name) - 1 as rank from found) where rank < 5""")
+def node_lookup(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    nodes = part.groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("entity_type")).agg(F.min("p_partkey").alias("ordinal"))
+    names = part.select(F.col("p_size").cast("long").alias("question_id"), F.col("p_partkey").alias("query_ord"), F.upper("p_name").alias("query_name"))
+    found = retrieve.nodes_named(names, nodes, 5).join(nodes, ["name", "entity_type"])
+    return longs(found.select("question_id", "ordinal", "name", "entity_type", "rank"), "rank")
+
+
+@query(f"""with {ENTITIES}, near as (select question_id, e.ordinal, src, tgt, session_id, round(coalesce(list_cosine_similarity(cast(embedding as double[]), query_vec), 0), 6) as similarity
+  from edges e join centres on session_id in ('S' || question_id, 'S' || (question_id + 10)) left join embeddings on src = 'u' || vec_id)
+select * from (select *, row_number() over (partition by question_id order by similarity desc, ordinal) - 1 as rank from near) where rank < 8""")
+def session_triples_topk(spark, sf_dir):
+    """The edges of each question's two sessions whose source's vector is nearest to the question's."""
+    stored = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("u"), "vec_id").alias("src"), "embedding")
+    asked = questions(spark, sf_dir)
+    sessions = asked.select("question_id", F.explode(F.array("question_id", F.col("question_id") + 10)).alias("s")).select("question_id", F.concat(F.lit("S"), "s").alias("session_id"))
+    found = retrieve.session_triples_top(asked, edges(spark, sf_dir).join(stored, "src", "left"), sessions, 8)
+    return longs(found.select("question_id", "ordinal", "src", "tgt", "session_id", "similarity", "rank"), "rank")
+
+
+@query("""with s as (select conv_id, turn + 1 + cast(turn >= 4 as bigint) as number, text as body from conversations), placed as (select *, row_number() over (partition by conv_id order by number) as place from s)
+select conv_id, number, body from placed where number = place""")
+def numbered_sessions(spark, sf_dir):
+    """Conversations as groups of numbered sessions; the fifth is missing, so a group ends with the fourth."""
+    number = F.col("turn") + 1 + (F.col("turn") >= 4).cast("long")
+    entry = F.struct(F.concat(F.lit("session_"), number).alias("name"), F.col("text").alias("body"))
+    groups = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(entry)).alias("conversation"))
+    return longs(corpus.numbered_sessions(groups, "conversation", ["conv_id"]).select("conv_id", "number", "body"), "number")
+
+
+@query(f"""with {QA}, said as (select question_type, output <> '' as answered, case question_id % 3 when 0 then 'Yes, it is.' when 1 then 'no' else 'YES' end as reply from qa), judged2 as (select question_type, answered, contains(lower(reply), 'yes') as correct from said)
+select question_type, {_METRICS} from judged2 group by question_type""")
+def eval_by_judge(spark, sf_dir):
+    """Metrics by question type from a judging model's replies."""
+    reply = F.when(F.col("question_id") % 3 == 0, "Yes, it is.").when(F.col("question_id") % 3 == 1, "no").otherwise("YES")
+    rows = results(spark, sf_dir).withColumn("answered", F.col("output") != "").withColumn("correct", evaluate.verdict(reply))
+    return evaluate.metrics(rows, "question_type")
+
+
+@query(f"""with {CALLS}, s as (select stage, sum(cost) as cost from calls group by stage), r as (select stage, cost, sum(cost) over (order by stage) as so_far, sum(cost) over () as whole from s)
+select stage, round(cost, 4) as cost, round(so_far, 4) as cost_so_far, so_far <= 100 as within from r""")
+def cost_budget(spark, sf_dir):
+    return ledger.within_budget(calls(spark, sf_dir), 100.0).select("stage", F.round("cost", 4).alias("cost"), F.round("cost_so_far", 4).alias("cost_so_far"), "within")
+
+
+@query(f"with {QA} select question_id, contains(lower(trim(output)), lower(trim(answer))) as contained, case when length(output) > 20 then output[1:20] || '...' else output end as shown, trim(regexp_replace(output, '\\s+', ' ', 'g')) as plain from qa")
+def answer_texts(spark, sf_dir):
+    """Containment of answers, and previews and collapsed white space of outputs."""
+    out = F.col("output")
+    return results(spark, sf_dir).select("question_id", text.contains_match(F.col("answer"), out).alias("contained"), text.preview(out, 20).alias("shown"), text.collapse(out).alias("plain"))

@@ -56,19 +56,24 @@ def temperature(totals: DataFrame, max_repetition: float | None = 2.0, entropy:
     """The least exponent that repeats no source more than max_repetition times (1 at most), or whose weights have the entropy (in nats; 64 at most).
 
     totals: p and total of each source with tokens. Each round narrows the bracket `points` + 1 fold in
-    one distributed pass. If even the greatest exponent doesn't do, it is taken. Without a budget
-    it is the least that reads every source once at least.
+    one distributed pass. A target that no exponent meets is a ValueError: an entropy over that of equal
+    weights or under what an exponent of 64 gives, or a budget of more than max_repetition times all
+    tokens. Without a budget it is the least that reads every source once at least.
     """
     good = (lambda t: t.entropy <= entropy) if entropy is not None else (lambda t: t.repetition <= max_repetition)
     low, high = 0.0, 1.0
     first, last = _judged(totals, [low, high], budget)
     if good(first):
+        if entropy is not None and first.entropy < entropy - 1e-6:
+            raise ValueError(f"no weights of these sources have an entropy of {entropy}; equal ones have {first.entropy}")
         return first
     if not good(last) and entropy is not None:  # less entropy than the sources have needs an exponent over 1
         for t in _judged(totals, [2.0**k for k in range(1, 7)], budget):
             low, high, last = high, t.exponent, t
             if good(t):
                 break
+    if last.entropy > entropy + 1e-6 if entropy is not None else last.repetition > max_repetition * (1 + 1e-9):
+        raise ValueError(f"no exponent meets the target: at {last.exponent} the entropy is {last.entropy} and sources are read up to {last.repetition} times")
     for _ in range(rounds):
         tried = _judged(totals, [low + (high - low) * k / (points + 1) for k in range(1, points + 1)], budget)
         k = next((k for k, t in enumerate(tried) if good(t)), points)

@@ -213,6 +213,8 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold:
 
     A row for each row. Null and empty texts, and texts without letters, have no sentences and a score
     of 0. sentences: those that are toxic with a probability over 1/2, as byte ranges of the UTF-8 text.
+    Texts of any length are read whole, but the score grows with the number of sentences: each without evidence adds
+    its own sigmoid(bias), so a text of 1.2 / sigmoid(bias) of them reaches 0.7 with no sentence to show for it.
     """
     small_batches(spark)
     given = spark.sparkContext.broadcast(model)

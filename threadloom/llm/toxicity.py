@@ -3,6 +3,8 @@
 A document is a bag of sentences. A sentence is toxic with probability sigmoid(b + sum of the
 weights of its features); a document is toxic unless none of its sentences is (noisy-or). Weights are
 fitted to document labels alone, on a bounded sample; sentence scores then tell where the toxicity is.
+In scoring, of the sentences under a small probability only the likeliest counts: they are what any text
+has, and without this a clean text would become toxic by its length alone.
 Features are words and their first 4, 5 and 6 bytes, so that inflected or derived forms count too.
 """
 
@@ -25,6 +27,7 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 _PREFIXES = (4, 5, 6)
 _SLICE = 1 << 20  # bytes of text in work at a time
+_BACKGROUND = 0.1  # sentences of a lower probability don't add up
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -182,6 +185,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     return ToxicityModel(known, weights, bias)
 
 
+def _noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Scores of n texts from their sentences' log-odds: 1 - the product of 1 - p over those that are no background and the likeliest of the others."""
+    survives = np.logaddexp(0, z)
+    speaks = survives >= -np.log1p(-_BACKGROUND)
+    rest = np.zeros(n)
+    np.maximum.at(rest, row[~speaks], survives[~speaks])
+    return -np.expm1(-np.bincount(row[speaks], weights=survives[speaks], minlength=n) - rest)
+
+
 def _scores(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ToxicityModel = model.value
@@ -192,14 +204,13 @@ def _scores(model, threshold: float):
                 f, s, row, starts, ends = _features(part, offsets[first : last + 1] - offsets[first], own.known)
                 s, f = np.divmod(np.unique(s * max(len(own.known), 1) + f), max(len(own.known), 1))
                 z = own.bias + np.bincount(s, weights=own.weights[f], minlength=len(row))
-                total = np.bincount(row, weights=np.logaddexp(0, z), minlength=n)
                 found = np.flatnonzero(z > 0)
                 base = offsets[first:last] - offsets[first]
                 spans: list[list] = [[] for _ in range(n)]
                 for k in found.tolist():
                     r = row[k]
                     spans[r].append({"start": int(starts[k] - base[r]), "end": int(ends[k] - base[r]), "score": float(1 / (1 + np.exp(-z[k])))})
-                score = -np.expm1(-total)
+                score = _noisy_or(z, row, n)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
                 ids = [batch.column(c).slice(first, n) for c in batch.schema.names if c != "text"]
                 names = [c for c in batch.schema.names if c != "text"]
@@ -213,8 +224,8 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold:
 
     A row for each row. Null and empty texts, and texts without letters, have no sentences and a score
     of 0. sentences: those that are toxic with a probability over 1/2, as byte ranges of the UTF-8 text.
-    Texts of any length are read whole, but the score grows with the number of sentences: each without evidence adds
-    its own sigmoid(bias), so a text of 1.2 / sigmoid(bias) of them reaches 0.7 with no sentence to show for it.
+    Texts of any length are read whole. Sentences of a probability under 0.1 count by the likeliest of them alone,
+    so a text without any other scores under 0.1 however long it is.
     """
     small_batches(spark)
     given = spark.sparkContext.broadcast(model)

@@ -27,13 +27,12 @@ def got(rows, *columns):
 def test_toxicity_finds_the_last_sentence_of_a_long_text(spark, long):
     known = spark.createDataFrame([(i, "You grr there" if i % 3 == 0 else f"You friend of item{i}", int(i % 3 == 0)) for i in range(120)], "doc_id long, text string, toxic int")
     model = toxicity.train(spark, known)
-    long = long.where("doc_id is null or doc_id != 1")  # 150,000 sentences without evidence add up to a high score (README)
     rows = toxicity.score(spark, long, model)
-    assert got(rows, "doc_id", "predicted") == sorted([(2, 0), (2, 0), (3, 1), (None, 1), (4, 0), (5, 0)], key=str)
+    assert got(rows, "doc_id", "predicted") == sorted([(1, 0), (2, 0), (2, 0), (3, 1), (None, 1), (4, 0), (5, 0)], key=str)
     found = next(r for r in rows.collect() if r["doc_id"] == 3)["sentences"]
     assert [(s["start"], s["end"]) for s in found] == [(len(LONG) + 1, len(LONG) + 14)]
     kept = toxicity.keep_clean(spark, long, model)
-    assert kept.columns == long.columns and got(kept, "doc_id") == sorted([(2,), (2,), (4,), (5,)], key=str)
+    assert kept.columns == long.columns and got(kept, "doc_id") == sorted([(1,), (2,), (2,), (4,), (5,)], key=str)
 
 
 def test_languages_of_long_repeated_and_clashing_rows(spark, long):
@@ -109,3 +108,15 @@ def test_targets_out_of_reach_are_errors(spark, target):
 def test_the_greatest_entropy_is_that_of_equal_weights(spark):
     plan, t = mixing.plan(spark, sources(spark), entropy=math.log(3))
     assert t.exponent == 0 and all(r["weight"] == pytest.approx(1 / 3) for r in plan.collect())
+
+
+def test_blocks_come_in_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    mixed = mixing.in_order(mixing.mix(spark, sources(spark), max_repetition=2.0, block_tokens=4000))
+    rows = mixed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "mix_block", "source").orderBy("place").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = [r["mix_block"] for r in rows]
+    assert blocks == sorted(blocks) and len({r["part"] for r in rows}) > 1
+    turns = sum(a["source"] != b["source"] for a, b in zip(rows, rows[1:]))
+    assert turns > len(rows) / 4  # sources alternate within a block
+    assert mixing.in_order(mixed.limit(0)).count() == 0

@@ -141,3 +141,9 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 0, block_tokens: float
     block = F.least(F.floor((F.col("mix_epoch") + place) / F.col("mix_epochs") * blocks), F.lit(blocks - 1))
     block = F.when(F.col("mix_weight") > 0, block).otherwise(0).cast("long")
     return rows.withColumn("mix_block", block).select(*docs.columns, "mix_weight", "mix_epoch", "mix_block")
+
+
+def in_order(mixed: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of mix() block after block, over partitions and within them; those of a block, whatever their source and epoch, by hash."""
+    place = F.xxhash64(F.col("doc_id").cast("long"), F.col("mix_epoch"), F.lit(seed))
+    return mixed.withColumn("mix_place", place).repartitionByRange("mix_block", "mix_place").sortWithinPartitions("mix_block", "mix_place").drop("mix_place")

@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row once, and rows of small sources again, no source more than twice."""
-    return mixing.mix(spark, docs, max_repetition=2.0).select(*docs.columns)
+    """Every row once, and rows of small sources again, no source more than twice; block after block of the mixture."""
+    return mixing.in_order(mixing.mix(spark, docs, max_repetition=2.0)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small literal tables: the cases that the provided tables lack."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,11 +18,31 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_turns_end_at_the_last_quote_but_the_final_one_at_its_first():
-    said = '"user": "say "hi" please""assistant": "ok "done" now"'
-    assert chunking.turns_of(said) == [("user", 'say "hi" please'), ("assistant", "ok")]
-    assert chunking.turns_of(None) == [] and chunking.turns_of("plain") == []
-    assert chunking.turns_of('"Ann": "a  b""Bob":"c"', roles_only=False) == [("Ann", "a b"), ("Bob", "c")]
+def turns_of(context, roles_only):
+    """Turns of a flattened dialogue by scanning it."""
+    marks = list(re.finditer(r'"(user|assistant)":\s*"' if roles_only else r'"([^"]+)":\s*"', context or ""))
+    out = []
+    for i, (here, after) in enumerate(zip(marks, [*marks[1:], None])):
+        body = context[here.end() : after.start() if after else None]
+        stop = body.rfind('"') if after else body.find('"')
+        said = re.sub(r"\s+", " ", (body if stop < 0 else body[:stop]).strip().strip('"')).strip()
+        if said:
+            out.append((i, here[1], said))
+    return out
+
+
+def test_turns_end_at_the_last_quote_but_the_final_one_at_its_first(spark):
+    r = random.Random(3)
+    bits = ['"user": "', '"assistant":"', '"Ann": "', '"', ' ', '\n', 'a', 'b b', ' ', '\x1f', ': ', '""', "é", "\\"]
+    said = ['"user": "say "hi" please""assistant": "ok "done" now"', None, "", "plain", '"Ann": "a  b""Bob":"c"', '"user": """assistant": "x"']
+    said += ["".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(300)]
+    rows = spark.createDataFrame([(str(i), "t", c) for i, c in enumerate(said)], "session_id string, session_time string, context string")
+    for roles_only in (True, False):
+        got = {}
+        for x in chunking.parse_turns(rows, roles_only).orderBy("turn_idx").collect():
+            got.setdefault(int(x["session_id"]), []).append((x["turn_idx"], x["speaker"], x["content"]))
+        assert [got.get(i, []) for i in range(len(said))] == [turns_of(c, roles_only) for c in said]
+    assert turns_of(said[0], True) == [(0, "user", 'say "hi" please'), (1, "assistant", "ok")]
 
 
 def test_pairs_with_lone_assistants(spark):

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,34 +10,26 @@ from threadloom.functions import text
 from threadloom.plans.lineage import cut
 from threadloom.sources.corpus import dense_id
 
-_PREFIX = {True: re.compile(r'"(user|assistant)":\s*"'), False: re.compile(r'"([^"]+)":\s*"')}
+_SPACE = r"[\s\x1C-\x1F]"
+# (?U): white space of all scripts
+_PREFIX = {True: rf'(?U)"(user|assistant)":{_SPACE}*"', False: rf'(?U)"([^"]+)":{_SPACE}*"'}
 
 
-def turns_of(context: str | None, roles_only: bool = True) -> list[tuple[str, str]]:
-    """Speaker and content of the turns of a flattened dialogue.
+def parse_turns(sessions: DataFrame, roles_only: bool = True) -> DataFrame:
+    """A row for each turn of each session's flattened context; turns without text are left out, but counted in turn_idx.
 
     A turn's content ends at the last quote before the next turn's name, the final turn's at its first quote.
+    White space in it becomes single blanks. roles_only: turns of "user" and "assistant" alone. A null context has no turns.
     """
-    marks = list(_PREFIX[roles_only].finditer(context or ""))
-    out = []
-    for here, after in zip(marks, [*marks[1:], None]):
-        body = context[here.end() : after.start() if after else None]
-        stop = body.rfind('"') if after else body.find('"')
-        said = re.sub(r"\s+", " ", (body if stop < 0 else body[:stop]).strip().strip('"')).strip()
-        if said:
-            out.append((here[1], said))
-    return out
-
-
-def parse_turns(sessions: DataFrame, roles_only: bool = True) -> DataFrame:
-    """A row for each turn of each session's context."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(s, t, i, who, said) for s, t, c in zip(batch.session_id, batch.session_time, batch.context) for i, (who, said) in enumerate(turns_of(c, roles_only))]
-            yield pd.DataFrame(rows, columns=["session_id", "session_time", "turn_idx", "speaker", "content"])
-
-    return sessions.select("session_id", "session_time", "context").mapInPandas(run, "session_id string, session_time string, turn_idx int, speaker string, content string")
+    context, name = F.coalesce("context", F.lit("")), _PREFIX[roles_only]
+    bodies = F.split(context, name, -1)
+    said = F.arrays_zip(F.regexp_extract_all(context, F.lit(name), F.lit(1)).alias("speaker"), F.slice(bodies, 2, F.size(bodies)).alias("body"))
+    rows = sessions.select("session_id", "session_time", F.size(bodies).alias("n"), F.posexplode(said).alias("turn_idx", "turn"))
+    body = F.col("turn.body")
+    body = F.when(F.col("turn_idx") == F.col("n") - 2, F.substring_index(body, '"', 1)).otherwise(F.regexp_replace(body, r'"[^"]*\z', ""))
+    body = F.regexp_replace(F.regexp_replace(body, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", ""), r'\A"+|"+\z', "")
+    content = F.trim(F.regexp_replace(body, rf"(?U){_SPACE}+", " "))
+    return rows.select("session_id", "session_time", "turn_idx", F.col("turn.speaker").alias("speaker"), content.alias("content")).where("content != ''")
 
 
 def _assembled(numbered: DataFrame, line) -> DataFrame:

@@ -208,9 +208,19 @@ def entity_dedup(spark, sf_dir):
     return kept.select("ordinal", "entity", "type", "chunk_id", F.size("chunk_ids").cast("long").alias("n_chunks"), "mentions")
 
 
-@query()
+@query("""with recursive named as (select doc_id, lower(text) as name, lower(coalesce(lang, '')) as kind, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) as t from documents where text is not null),
+keyed as (select *, case when len(t) = 0 then name else '' end as bare from named),
+classes as (select min(doc_id) as id, kind, t, bare from keyed group by kind, t, bare),
+links as (select a.id as a, b.id as b from classes a join classes b on a.kind = b.kind and a.id < b.id and least(len(a.t), len(b.t)) >= 0.85 * greatest(len(a.t), len(b.t))
+  where len(list_intersect(a.t, b.t)) > 0 and len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.85),
+earlier as (select b as id, list(a order by a) as before from links group by b),
+linked as (select id, coalesce(before, []) as before, row_number() over (order by id) as k from (select a as id from links union select b from links) left join earlier using (id)),
+scan as (select cast(0 as bigint) as k, cast(null as bigint) as id, cast(null as bigint) as leader, cast([] as bigint[]) as leads
+  union all select k, id, coalesce(found, id), case when found is null then list_append(leads, id) else leads end
+  from (select n.k, n.id, s.leads, list_filter(n.before, lambda x: list_contains(s.leads, x))[1] as found from scan s join linked n on n.k = s.k + 1))
+select r.doc_id as ordinal, coalesce(s.leader, c.id) as leader from keyed r join classes c on c.kind = r.kind and c.t = r.t and c.bare = r.bare left join scan s on s.id = c.id""")
 def entity_dedup_texts(spark, sf_dir):
-    """Leaders of whole texts as names, typed by language: here unequal token sets merge too. Greedy, so not SQL."""
+    """Leaders of whole texts as names, typed by language: here unequal token sets merge too. The SQL scans the linked texts one after the other."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
     return dedup.entity_leaders(docs.select(F.col("doc_id").alias("ordinal"), F.col("text").alias("entity"), F.col("lang").alias("type"))).select("ordinal", "leader")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import backtrack_bpe, exact_topk, jaccard_join, jump_shards, mixing, multi_index, ngram_automaton, ppm_language, token_files, toxicity
+from threadloom.llm import backtrack_bpe, best_fit, exact_topk, jaccard_join, jump_shards, lyndon_runs, mixing, multi_index, ngram_automaton, ppm_language, token_files, toxicity
 from threadloom.llm.workdir import Scratch
 
 
@@ -72,7 +72,16 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_backoff_automaton, op4_token_files, op5_jump_shards, op6_ppm_language, op7_multi_index, op8_jaccard_join, op9_backtrack_bpe, op10_temperature_mixing)}
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.cut_pieces(spark, read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return best_fit.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_runs.digests(lyndon_runs.periodic_runs(spark, read(spark, sf_dir, "documents"), perturb=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_backoff_automaton, op4_token_files, op5_jump_shards, op6_ppm_language, op7_multi_index, op8_jaccard_join, op9_backtrack_bpe, op10_temperature_mixing, op12_best_fit, op13_lyndon_runs)}
 #: DuckDB SQL of the operators that it can express on whole tables. The others need crc32 of texts, tokenizers or trained models.
 SQL: dict[str, str] = {
     "op2_exact_topk": """

@@ -58,7 +58,9 @@ def test_plan_is_small_whatever_the_counts():
     kinds = best_fit.plan(counts, 2048)
     assert len(kinds) < 8192
     total = sum(int(n) * k for k, n in enumerate(counts))
-    assert sum(c for c, _ in kinds) <= 1.001 * total / 2048 + 1 or counts[1025:].sum() > total / 2048
+    assert sum(c for c, _ in kinds) <= 1.04 * total / 2048  # half of the pieces are over half of a sequence
+    common = np.bincount(np.clip(rng.exponential(600, 20000).astype(int) + 1, 1, 2048), minlength=2049)
+    assert sum(c for c, _ in best_fit.plan(common, 2048)) == -(-int((common * np.arange(2049)).sum()) // 2048)
     used = np.zeros(2049, np.int64)
     for copies, items in kinds:
         for x, n in items:

@@ -1,10 +1,10 @@
 """Packing of token pieces into sequences: exact complements first, then best fit.
 
 Only lengths matter for packing, so the plan is made from how many pieces there are of each length: a
-table of as many rows as a sequence has tokens, whatever the corpus. From the longest length on, the gap
-that a piece leaves is looked up among single lengths, sums of two and sums of three, by address; as
+table of as many rows as a sequence has tokens, whatever the corpus. The gap that a piece leaves, from
+the longest on, is looked up by address among single lengths, then sums of two, then sums of three; as
 many equal combinations as the counts allow are taken at once, so that each step uses up some length
-(but for one piece of it), and the plan has a few thousand rows at most. What finds no exact complement
+(but for a piece or two), and the plan has a few thousand rows at most. What finds no exact complement
 goes, longest first, where it leaves the smallest gap. Pieces then find their places by their numbers
 among the pieces of their length.
 """
@@ -46,21 +46,19 @@ class Sums:
     def _fits(self, parts: list[int]) -> bool:
         return all(self.have[x] >= n for x, n in Counter(parts).items())
 
-    def complement(self, lead: int, gap: int) -> list[int] | None:
-        """One, two or three lengths beside `lead` that fill the gap, the largest possible first; none of them is over lead."""
-        if gap <= lead and self._fits([lead, gap]):
-            return [gap]
-        if gap < 2:
+    def complement(self, lead: int, gap: int, parts: int) -> list[int] | None:
+        """So many lengths (one to three) beside `lead` that fill the gap, the largest possible first; none of them is over lead."""
+        if parts == 1:
+            return [gap] if gap <= lead and self._fits([lead, gap]) else None
+        xs = np.arange(min(lead, gap - 1), max((gap - 1) // parts, 0), -1)
+        xs = xs[self.have[xs] > 0]
+        if parts == 2:
+            x = self._pair(gap) if gap > 1 else -1
+            for x in [x] * (0 < x <= lead) + xs[self.have[gap - xs] > 0].tolist() * (x > 0):
+                if self._fits([lead, x, gap - x]):
+                    return [x, gap - x]
             return None
-        x = self._pair(gap)
-        if x > 0 and x <= lead and self._fits([lead, x, gap - x]):
-            return [x, gap - x]
-        xs = np.arange(min(lead, gap - 1), max((gap - 1) // 2, 0), -1)
-        for x in xs[(self.have[xs] > 0) & (self.have[gap - xs] > 0)].tolist():
-            if self._fits([lead, x, gap - x]):
-                return [x, gap - x]
-        xs = np.arange(min(lead, gap - 2), max((gap - 1) // 3, 0), -1)
-        for x in xs[self.have[xs] > 0].tolist():
+        for x in xs[xs < gap - 1].tolist():
             y = self._pair(gap - x)
             if y > 0 and self._fits([lead, x, y, gap - x - y]):
                 return [x, y, gap - x - y]
@@ -75,15 +73,27 @@ class Sums:
         return copies, times
 
 
-def plan(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(copies, lengths with their times in one sequence) of all kinds of sequences. counts: pieces of each length from 0 to size."""
+Kind = tuple[int, list[tuple[int, int]]]
+
+
+def plan(counts: np.ndarray, size: int) -> list[Kind]:
+    """(copies, lengths with their times in one sequence) of all kinds of sequences. counts: pieces of each length from 0 to size.
+
+    Exact combinations can use up small pieces that best fit would have needed, so plans that stop at sums of fewer
+    lengths are made as well, and the one with the fewest sequences counts.
+    """
+    return min((_plan(counts, size, parts) for parts in (3, 2, 1, 0)), key=lambda kinds: sum(copies for copies, _ in kinds))
+
+
+def _plan(counts: np.ndarray, size: int, most: int) -> list[Kind]:
+    """Exact combinations of a piece with one others, then two, then three, as far as `most`; best fit for what is left."""
     sums, out = Sums(counts), []
-    for lead in range(size, 0, -1):
-        while sums.have[lead] > 0:
-            rest = [] if lead == size else sums.complement(lead, size - lead)
-            if rest is None:
-                break
-            out.append(sums.take([lead, *rest]))
+    if sums.have[size]:
+        out.append(sums.take([size]))
+    for parts in range(1, most + 1):
+        for lead in range(size - 1, 0, -1):
+            while sums.have[lead] > 0 and (rest := sums.complement(lead, size - lead, parts)):
+                out.append(sums.take([lead, *rest]))
     open_: dict[int, list] = {}  # kinds of sequences by the gap they still have
 
     def close(copies: int, items: list, gap: int) -> None:
@@ -115,7 +125,7 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]
     return out + [kind for kinds in open_.values() for kind in kinds]
 
 
-def slots(kinds: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
+def slots(kinds: list[Kind]) -> np.ndarray:
     """Rows (length, first number, times, first sequence, offset) in order of length and number: where the pieces of each length go."""
     used: Counter = Counter()
     rows, sequence = [], 0

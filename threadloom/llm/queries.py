@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import backtrack_bpe, best_fit, exact_topk, jaccard_join, jump_shards, lyndon_runs, mixing, multi_index, ngram_automaton, ppm_language, token_files, toxicity
+from threadloom.llm import backtrack_bpe, best_fit, exact_topk, jaccard_join, jump_shards, lyndon_runs, mixing, multi_index, ngram_automaton, phrase_bitmaps, ppm_language, token_files, toxicity
 from threadloom.llm.workdir import Scratch
 
 
@@ -72,6 +72,10 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"))
 
 
+def op11_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_bitmaps.collocations(spark, read(spark, sf_dir, "documents"))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = best_fit.cut_pieces(spark, read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return best_fit.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth"))
@@ -81,7 +85,7 @@ def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyndon_runs.digests(lyndon_runs.periodic_runs(spark, read(spark, sf_dir, "documents"), perturb=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_backoff_automaton, op4_token_files, op5_jump_shards, op6_ppm_language, op7_multi_index, op8_jaccard_join, op9_backtrack_bpe, op10_temperature_mixing, op12_best_fit, op13_lyndon_runs)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_backoff_automaton, op4_token_files, op5_jump_shards, op6_ppm_language, op7_multi_index, op8_jaccard_join, op9_backtrack_bpe, op10_temperature_mixing, op11_phrase_bitmaps, op12_best_fit, op13_lyndon_runs)}
 #: DuckDB SQL of the operators that it can express on whole tables. The others need crc32 of texts, tokenizers or trained models.
 SQL: dict[str, str] = {
     "op2_exact_topk": """
@@ -107,4 +111,21 @@ SQL: dict[str, str] = {
     select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(n.component_id, s.doc_id) as component_id
     from sets s left join classes c on c.s = s.s left join named n on n.rep = c.rep
     """,
+    "op11_phrase_bitmaps": r"""
+    with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+    g as (select lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as g from w),
+    f as (select lang, g, count(*) as f from g group by all),
+    n as (select lang, sum(f)::bigint as n from f where len(g) = 1 group by lang),
+    c as (select lang, g, f as a from f where f >= 30 and len(g) > 1),
+    cuts as (select lang, g, a, unnest(range(1, len(g))) as k from c),
+    scores as (select c.lang, c.g, c.a, c.k, l.f as l, r.f as r, ((2000000::hugeint * c.a) // (l.f::hugeint + r.f::hugeint))::bigint as score
+      from cuts c join f l on l.lang = c.lang and l.g = c.g[1:c.k] join f r on r.lang = c.lang and r.g = c.g[c.k + 1:len(c.g)]),
+    lowest as (select * from scores qualify row_number() over (partition by lang, g order by score, k) = 1),
+    inner_ as (select lang, a, unnest(flatten(list_transform(range(2, len(g)), lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])))) as g from c where len(g) > 2),
+    longest as (select lang, g, max(a) as f from inner_ group by all),
+    named as (select x.lang, array_to_string(x.g, ' ') as phrase, x.a, x.l, x.r, x.score from lowest x left join longest y on y.lang = x.lang and y.g = x.g where y.f is null or 100 * y.f::hugeint < 80 * x.a::hugeint),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named)
+    select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+    """,
 }

@@ -10,7 +10,7 @@ shards.
 A shard can't know by itself what is frequent, so the corpus is passed twice. First words, then pairs of
 frequent words are summed; in the second pass each shard extends frequent pairs to three and at once to
 four words, depth first, and only along pairs that are frequent in the whole corpus. Words, then pairs,
-get dense numbers, so that every key is two numbers in 64 bits and exact.
+get numbers, so that every key is two numbers of 32 bits and exact.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import Scratch, columns_or_null, small_batches
+from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, small_batches
 
 BITS = 16
 _ENDS_PIECE = np.zeros(256, bool)
@@ -124,7 +124,7 @@ class Bitmaps:
         return Bitmaps(block[order], item[order], mask[order])
 
 
-def extended(phrases: Bitmaps, items: Bitmaps, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def extended(phrases: Bitmaps, items: Bitmaps, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(block, phrase, item, mask) of all non-empty ANDs of shifted phrases with items: where each phrase is followed by each item."""
     moved = phrases.shifted()
     first, last = np.searchsorted(items.block, moved.block), np.searchsorted(items.block, moved.block, "right")
@@ -155,92 +155,232 @@ def popcounts(keys: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(np.bitwise_count(mask[order]).astype(np.int64), new) if len(new) else new
 
 
-def _items(places: bytes, known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The number of the frequent word at each position, else -1."""
+def _zip(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.Codec("zstd").compress(data, asbytes=True) if data else b"")
+
+
+def _unzip(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.Codec("zstd").decompress(blob[8:], decompressed_size=n, asbytes=True) if n else b""
+
+
+def _rising(a: np.ndarray) -> bytes:
+    """A rising list of whole numbers, by its steps."""
+    return tk.squeeze(np.diff(a, prepend=0), 8)
+
+
+def _risen(blob: bytes) -> np.ndarray:
+    return np.cumsum(tk.unsqueeze(blob, 8))
+
+
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that have items, each with its items' places."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    return ((int(bucket[x[0]]), x) for x in np.split(order, cuts) if len(x))
+
+
+# What shards count is packed by the bucket that its hash falls into, summed bucket by bucket, and what is frequent goes back to
+# the shards that have it, with its number. A number is a place in a bucket times the number of buckets, plus the bucket.
+_LOCAL = "bucket int, shard long, lang string, refs binary, items binary, n binary"
+_FOUND = "shard long, lang string, refs binary, numbers binary, items binary, n binary"
+_FOUND_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), *((c, pa.binary()) for c in ("refs", "numbers", "items", "n"))])
+
+
+def _local_words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, n = batch.column("words")[row].values, batch.column("counts")[row].values.to_numpy()
+                raw, offsets = tk.text_bytes(words)
+                hashes = tk.span_hashes(raw, offsets[:-1], offsets[1:])
+                for bucket, own in _dealt((hashes % np.uint64(buckets)).astype(np.int64)):
+                    blob = _zip("\n".join(words.take(pa.array(own)).to_pylist()).encode())  # a line end is in no word
+                    yield _row(bucket, batch.column("shard")[row], batch.column("lang")[row], _rising(own), blob, tk.squeeze(n[own]))
+
+    return run
+
+
+def _row(bucket: int, shard, lang, refs, items: bytes, n: bytes) -> pa.RecordBatch:
+    plain = [x.as_py() if isinstance(x, pa.Scalar) else x for x in (shard, lang)]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([plain[0]], pa.int64()), pa.array([plain[1]], pa.string()), *(pa.array([x], pa.binary()) for x in (refs, items, n))], ["bucket", "shard", "lang", "refs", "items", "n"])
+
+
+def _sum_words(least: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, out, used = table.column("bucket")[0].as_py(), [], 0
+        langs = np.asarray(table.column("lang").to_pylist(), object)
+        for lang in sorted(set(langs)):
+            rows = table.take(pa.array(np.flatnonzero(langs == lang))).to_pylist()
+            lists = [_unzip(r["items"]).split(b"\n") for r in rows]
+            coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+            codes, words = coded.indices.to_numpy(), coded.dictionary
+            # sums in doubles are exact below 2^53
+            f = np.bincount(codes, np.concatenate([tk.unsqueeze(r["n"]) for r in rows])).astype(np.int64)
+            good = f >= least
+            number = (used + np.cumsum(good) - 1) * buckets + bucket
+            used += int(good.sum())
+            begin = 0
+            for r, x in zip(rows, lists):
+                own = codes[begin : begin + len(x)]
+                begin += len(x)
+                keep = good[own]
+                out.append({"shard": r["shard"], "lang": lang, "refs": _rising(_risen(r["refs"])[keep]), "numbers": tk.squeeze(number[own[keep]], 8)})
+            out.append({"lang": lang, "numbers": tk.squeeze(number[good], 8), "items": _zip(b"\n".join(words.filter(pa.array(good)).to_pylist())), "n": tk.squeeze(f[good], 8)})
+        return pa.Table.from_pylist(out, _FOUND_ARROW)
+
+    return run
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            numbers = tk.unsqueeze(r["numbers"], 8)
+            if len(numbers):
+                words = _unzip(r["items"]).decode().split("\n")
+                yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(words)), pa.array(words), pa.array(tk.unsqueeze(r["n"], 8)), pa.array(numbers)], ["lang", "word", "f", "number"])
+
+
+def _packed_keys(keys: np.ndarray, n: np.ndarray, buckets: int, shard, lang: str) -> Iterator[pa.RecordBatch]:
+    for bucket, own in _dealt((tk.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+        yield _row(bucket, shard, lang, None, _rising(keys[own]), tk.squeeze(n[own]))
+
+
+def _sums(rows: list[dict], least: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each row's keys, and the frequent keys of all with their counts."""
+    lists = [_risen(r["items"]) for r in rows]
+    keys, n = np.concatenate(lists), np.concatenate([tk.unsqueeze(r["n"]) for r in rows])
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    f = np.add.reduceat(n[order], new)
+    return lists, keys[new][f >= least], f[f >= least]
+
+
+def _sum_pairs(least: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = table.to_pylist(), []
+        lists, frequent, f = _sums(rows, least)
+        numbers = np.arange(len(frequent)) * buckets + rows[0]["bucket"]
+        for r, keys in zip(rows, lists):
+            at = np.minimum(np.searchsorted(frequent, keys), max(len(frequent) - 1, 0))
+            hit = frequent[at] == keys if len(frequent) else np.zeros(len(keys), bool)
+            if hit.any():
+                out.append({"shard": r["shard"], "refs": _rising(keys[hit]), "numbers": tk.squeeze(numbers[at[hit]], 8)})
+        out.append({"refs": _rising(frequent), "numbers": tk.squeeze(numbers, 8), "n": tk.squeeze(f, 8)})
+        return pa.Table.from_pylist(out, _FOUND_ARROW)
+
+    return run
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_risen(r["refs"])), pa.array(tk.unsqueeze(r["n"], 8)), pa.array(tk.unsqueeze(r["numbers"], 8))], ["key", "f", "pair"])
+
+
+def _sum_longer(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        out, rows = [], table.to_pylist()
+        for length in ("3", "4"):
+            if own := [r for r in rows if r["lang"] == length]:
+                _, keys, f = _sums(own, least)
+                out.append(pa.table({"length": pa.array(np.full(len(keys), int(length), np.int32)), "key": keys, "f": f}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _back(found: DataFrame, name: str) -> DataFrame:
+    """What goes back to each shard: a row with a part from each bucket."""
+    return found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("refs", "numbers")).alias(name))
+
+
+def _joined(parts: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + [_risen(p["refs"]) for p in parts or []]), np.concatenate(none + [tk.unsqueeze(p["numbers"], 8) for p in parts or []])
+
+
+def _items(row: dict) -> np.ndarray:
+    """The number of the frequent word at each place of a shard, else -1."""
+    known, numbers = _joined(row["known"])
     own = np.full(int(max(known, default=-1)) + 2, -1, np.int64)
     own[known + 1] = numbers
-    at = tk.unsqueeze(places)
+    at = tk.unsqueeze(row["places"])
     return np.where(at < len(own), own[np.minimum(at, len(own) - 1)], -1)
 
 
-_KEYS = {2: "shard long, key long, n long", 3: "length int, key long, n long"}
+def _pairs(buckets: int):
+    """Pairs of frequent words of each shard, with their counts in it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                words = Bitmaps.of(_items(row))
+                _, one, two, mask = extended(words, words)
+                yield from _packed_keys(*popcounts(one << 32 | two, mask), buckets, row["shard"], None)
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of frequent words of each shard, with their counts in it."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            words = Bitmaps.of(_of_row(batch, row))
-            _, one, two, mask = extended(words, words)
-            keys, n = popcounts(one << 32 | two, mask)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column("shard")[row].as_py())), pa.array(keys), pa.array(n)], ["shard", "key", "n"])
+    return run
 
 
-def _of_row(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    known, numbers = (batch.column(c)[row].values for c in ("known", "numbers"))
-    known, numbers = (np.zeros(0, np.int64) if x is None else x.to_numpy() for x in (known, numbers))
-    return _items(batch.column("places")[row].as_py(), known, numbers)
+def _longer(buckets: int):
+    """Phrases of three and four words of each shard, along frequent pairs, with their counts in it; their length stands as lang."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                keys, numbers = _joined(row["pairs"])
+                order = np.argsort(keys)
+                keys, numbers = keys[order], numbers[order]
+                words = Bitmaps.of(_items(row))
+                block, one, two, mask = extended(words, words)
+                at = np.minimum(np.searchsorted(keys, one << 32 | two), max(len(keys) - 1, 0))
+                good = keys[at] == (one << 32 | two) if len(keys) else np.zeros(len(one), bool)
+                two = Bitmaps(block[good], numbers[at[good]], mask[good])  # marks where the second word stands
+                block, begin, end, mask = extended(two, two)
+                yield from _packed_keys(*popcounts(begin << 32 | end, mask), buckets, None, "3")
+                # four words are a pair, and the next pair but one: on from the bitmaps of three
+                three, item = np.unique(begin << 32 | end, return_inverse=True)
+                _, item, end, mask = extended(Bitmaps(block, item, mask), two)
+                begin = three.view(np.uint64)[item] >> np.uint64(32)
+                yield from _packed_keys(*popcounts(begin.astype(np.int64) << 32 | end, mask), buckets, None, "4")
 
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of three and four words of each shard, along frequent pairs, with their counts in it."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            items = _of_row(batch, row)
-            keys, numbers = (np.zeros(0, np.int64) if (x := batch.column(c)[row].values) is None else x.to_numpy() for c in ("keys", "pairs"))
-            order = np.argsort(keys)
-            keys, numbers = keys[order], numbers[order]
-            words = Bitmaps.of(items)
-            block, one, two, mask = extended(words, words)
-            at = np.minimum(np.searchsorted(keys, one << 32 | two), max(len(keys) - 1, 0))
-            good = keys[at] == (one << 32 | two) if len(keys) else np.zeros(len(one), bool)
-            # bitmaps of pairs mark where their second word stands
-            two = Bitmaps(block[good], numbers[at[good]], mask[good])
-            block, begin, end, mask = extended(two, two)
-            for length in (3, 4):
-                keys, n = popcounts(begin << 32 | end, mask)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), length, np.int32)), pa.array(keys), pa.array(n)], ["length", "key", "n"])
-                if length == 3:  # four words are a pair, and the pair that follows it but one: go on from the bitmaps of three
-                    three = np.unique(begin << 32 | end, return_inverse=True)
-                    block, item, end, mask = extended(Bitmaps(block, three[1], mask), two)
-                    begin = three[0][item] >> 32
-
-
-def _numbered(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
-    """A written table of rows with dense numbers from 0, by the counts of the partitions before."""
-    placed = scratch.table(rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    ahead = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    ahead = ahead.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row for each task
-    found = placed.join(ahead, part == F.col("_part")).withColumn(name, F.col("_at") - F.shiftleft("_part", 33) + F.col("_ahead"))
-    return scratch.table(found.drop("_at", "_part", "_ahead"))
+    return run
 
 
 class Phrases:
     """Frequent phrases of one to four words of each language, from texts (text, lang)."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, least: int = 30, shard_bytes: int = 8 << 20):
+    def __init__(self, spark: SparkSession, docs: DataFrame, least: int = 30, shard_bytes: int = 8 << 20, per_bucket: int = 3_000_000):
         small_batches(spark)
         scratch = Scratch(spark, "phrases")
         docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
         shards = scratch.table(docs.mapInArrow(_shards(shard_bytes), _SHARD))
-        local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-        self.totals = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-        words = _numbered(scratch, local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "number")
-        known = local.join(words.select("lang", "word", "number"), ["lang", "word"]).groupBy("shard").agg(F.collect_list("place").cast("array<long>").alias("known"), F.collect_list("number").alias("numbers"))
-        coded = scratch.table(shards.select("shard", "places").join(known, "shard"))  # a shard's words
-        pairs = scratch.table(coded.mapInArrow(_pairs, _KEYS[2]))
-        frequent = _numbered(scratch, pairs.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "pair")
-        own = pairs.join(frequent.select("key", "pair"), "key").groupBy("shard").agg(F.collect_list("key").alias("keys"), F.collect_list("pair").alias("pairs"))
-        longer = coded.join(own, "shard").mapInArrow(_longer, _KEYS[3])  # a shard's pairs
-        longer = scratch.table(longer.groupBy("length", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size("counts").alias("local"))
+        self.totals = scratch.table(sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("local").alias("local")))
+        whole, local = (x or 0 for x in self.totals.agg(F.sum("n"), F.sum("local")).first())
+        buckets = buckets_for(local, per_bucket // 3)
+        words = shards.select("shard", "lang", "words", "counts").mapInArrow(_local_words(buckets), _LOCAL)
+        words = scratch.table(words.groupBy("bucket").applyInArrow(_sum_words(least, buckets), _FOUND))
+        coded = scratch.table(shards.select("shard", "places").join(_back(words, "known"), "shard"))
+        scratch.drop(shards)
+        buckets = buckets_for(whole, per_bucket)
+        pairs = scratch.table(coded.mapInArrow(_pairs(buckets), _LOCAL).groupBy("bucket").applyInArrow(_sum_pairs(least, buckets), _FOUND))
+        longer = coded.join(_back(pairs, "pairs"), "shard").mapInArrow(_longer(buckets), _LOCAL)
+        longer = scratch.table(longer.groupBy("bucket").applyInArrow(_sum_longer(least), "length int, key long, f long"))
+        words_found, pairs_found = words, pairs
+        words = words.where("shard is null").select("lang", "numbers", "items", "n").mapInArrow(_word_rows, "lang string, word string, f long, number long")
+        pairs = pairs.where("shard is null").select("refs", "numbers", "n").mapInArrow(_pair_rows, "key long, f long, pair long")
         #: (lang, words, f, phrase) of all frequent phrases
-        self.frequent = scratch.table(self._named(words, frequent, longer).withColumn("phrase", F.array_join("words", " ")))
+        self.frequent = scratch.table(self._named(words, pairs, longer).withColumn("phrase", F.array_join("words", " ")))
+        scratch.drop(coded, words_found, pairs_found, longer)
 
     @staticmethod
     def _named(words: DataFrame, pairs: DataFrame, longer: DataFrame) -> DataFrame:
         """Phrases by their words, from keys of two numbers."""
-        first, second = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+        first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
         a = words.select("lang", F.col("word").alias("a"), F.col("number").alias("first"))
         b = words.select(F.col("word").alias("b"), F.col("number").alias("second"))
         two = pairs.select("pair", "f", first.alias("first"), second.alias("second")).join(a, "first").join(b, "second").select("pair", "lang", "f", F.array("a", "b").alias("words"))

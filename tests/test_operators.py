@@ -20,7 +20,7 @@ def one(spark, column):
 
 def turns_of(context, roles_only):
     """Turns of a flattened dialogue by scanning it."""
-    marks = list(re.finditer(r'"(user|assistant)":\s*"' if roles_only else r'"([^"]+)":\s*"', context or ""))
+    marks = list(re.finditer(r'"(user|assistant)"\s*:\s*"' if roles_only else r'"([^"]+)"\s*:\s*"', context or ""))
     out = []
     for i, (here, after) in enumerate(zip(marks, [*marks[1:], None])):
         body = context[here.end() : after.start() if after else None]

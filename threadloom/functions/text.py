@@ -76,8 +76,10 @@ def contains_match(expected: Column, output: Column) -> Column:
 
 
 def origin_list(origin: Column) -> Column:
-    """Session ids of a scalar, or of a list written with commas or semicolons."""
-    return F.filter(F.transform(F.split(F.coalesce(origin, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    """Session ids of a scalar, of a list written with commas or semicolons, or of a JSON array."""
+    items = F.when(F.trim(origin).startswith("["), F.from_json(origin, "array<string>"))
+    items = F.coalesce(items, F.split(F.coalesce(origin, F.lit("")), "[,;]"))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def evidence_sessions(evidence: Column, two_letters: bool = False) -> Column:

@@ -12,35 +12,41 @@ from threadloom.sources.corpus import dense_id
 
 _SPACE = r"[\s\x1C-\x1F]"
 # (?U): white space of all scripts
-_PREFIX = {True: rf'(?U)"(user|assistant)":{_SPACE}*"', False: rf'(?U)"([^"]+)":{_SPACE}*"'}
+_PREFIX = {True: rf'(?U)"(user|assistant)"{_SPACE}*:{_SPACE}*"', False: rf'(?U)"([^"]+)"{_SPACE}*:{_SPACE}*"'}
+_DOCUMENT = ("doc_id", "session_id", "session_time")
+
+
+def _units(rows: DataFrame) -> list[str]:
+    """What tells documents apart."""
+    return [c for c in _DOCUMENT if c in rows.columns]
 
 
 def parse_turns(sessions: DataFrame, roles_only: bool = True) -> DataFrame:
-    """A row for each turn of each session's flattened context; turns without text are left out, but counted in turn_idx.
+    """A row for each turn of each document's flattened context (doc_id, session_id, session_time, context); turns without text are left out, but counted in turn_idx.
 
-    A turn's content ends at the last quote before the next turn's name, the final turn's at its first quote.
+    A document is a row of its own, also where several are of one session; without doc_id, the rows of a session are one. A turn's content ends at the last quote before the next turn's name, the final turn's at its first quote.
     White space in it becomes single blanks. roles_only: turns of "user" and "assistant" alone. A null context has no turns.
     """
     context, name = F.coalesce("context", F.lit("")), _PREFIX[roles_only]
     bodies = F.split(context, name, -1)
     said = F.arrays_zip(F.regexp_extract_all(context, F.lit(name), F.lit(1)).alias("speaker"), F.slice(bodies, 2, F.size(bodies)).alias("body"))
-    rows = sessions.select("session_id", "session_time", F.size(bodies).alias("n"), F.posexplode(said).alias("turn_idx", "turn"))
+    rows = sessions.select(*_units(sessions), F.size(bodies).alias("n"), F.posexplode(said).alias("turn_idx", "turn"))
     body = F.col("turn.body")
     body = F.when(F.col("turn_idx") == F.col("n") - 2, F.substring_index(body, '"', 1)).otherwise(F.regexp_replace(body, r'"[^"]*\z', ""))
     body = F.regexp_replace(F.regexp_replace(body, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", ""), r'\A"+|"+\z', "")
     content = F.trim(F.regexp_replace(body, rf"(?U){_SPACE}+", " "))
-    return rows.select("session_id", "session_time", "turn_idx", F.col("turn.speaker").alias("speaker"), content.alias("content")).where("content != ''")
+    return rows.select(*_units(rows), "turn_idx", F.col("turn.speaker").alias("speaker"), content.alias("content")).where("content != ''")
 
 
 def _assembled(numbered: DataFrame, line) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("turn_idx", line.alias("line"))))
-    grouped = numbered.groupBy("session_id", "session_time", "chunk_idx").agg(lines.alias("lines"))
-    return grouped.select("session_id", "session_time", F.col("chunk_idx").cast("int").alias("chunk_idx"), F.size("lines").alias("n_turns"), F.array_join("lines.line", "\n").alias("text"))
+    grouped = numbered.groupBy(*_units(numbered), "chunk_idx").agg(lines.alias("lines"))
+    return grouped.select(*_units(grouped), F.col("chunk_idx").cast("int").alias("chunk_idx"), F.size("lines").alias("n_turns"), F.array_join("lines.line", "\n").alias("text"))
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """A user turn with the assistant turn right after it; an assistant turn without one stands alone."""
-    order = Window.partitionBy("session_id").orderBy("turn_idx")
+    """A user turn with the assistant turn of its document right after it; an assistant turn without one stands alone."""
+    order = Window.partitionBy(_units(turns)[0]).orderBy("turn_idx")
     joined = (F.col("speaker") == "assistant") & (F.coalesce(F.lag("speaker").over(order), F.lit("")) == "user")
     begins = turns.withColumn("begins", F.when(joined, 0).otherwise(1))
     numbered = begins.withColumn("chunk_idx", F.sum("begins").over(order) - 1)
@@ -48,14 +54,39 @@ def pair_turns(turns: DataFrame) -> DataFrame:
 
 
 def fixed_pairs(turns: DataFrame) -> DataFrame:
-    """Groups of two turns, whoever speaks."""
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_idx")) - 1
+    """Groups of two turns of a document, whoever speaks."""
+    place = F.row_number().over(Window.partitionBy(_units(turns)[0]).orderBy("turn_idx")) - 1
     return _assembled(turns.withColumn("chunk_idx", F.floor(place / 2)), F.concat("speaker", F.lit(": "), "content"))
 
 
+LAYOUTS = ("auto", "roles", "speakers")
+
+
+def dialogue_chunks(sessions: DataFrame, layout: str = "auto") -> DataFrame:
+    """Chunks of two turns of dialogues (doc_id, session_id, session_time, context).
+
+    layout: `roles` pairs a user's turn with the assistant's after it, `speakers` takes turns of any names two by two, and
+    `auto` goes by roles in documents that have turns of user or assistant, and by speakers in others.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout: {layout}")
+    has_roles = F.coalesce("context", F.lit("")).rlike(_PREFIX[True])
+    roles = sessions.where(has_roles) if layout == "auto" else sessions
+    named = sessions.where(~has_roles) if layout == "auto" else sessions
+    parts = {"roles": lambda: pair_turns(parse_turns(roles)), "speakers": lambda: fixed_pairs(parse_turns(named, roles_only=False))}
+    return parts["roles"]().unionByName(parts["speakers"]()) if layout == "auto" else parts[layout]()
+
+
+def document_text(docs: DataFrame) -> DataFrame:
+    """Documents with their text for windows: title and content, parted by a blank line; without content, the context."""
+    has = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    body, title = F.coalesce(has("content"), has("context"), F.lit("")), F.coalesce(has("title"), F.lit(""))
+    return docs.withColumn("title", title).withColumn("text", F.when(title != "", F.concat(title, F.lit("\n\n"), body)).otherwise(body))
+
+
 def with_chunk_ids(chunks: DataFrame, first: int = 0) -> DataFrame:
-    """Dense chunk ids in the order of session and chunk, counted by range partitions."""
-    placed = cut(chunks.repartitionByRange("session_id", "chunk_idx").sortWithinPartitions("session_id", "chunk_idx"))
+    """Dense chunk ids in the order of documents and their chunks, counted by range partitions."""
+    placed = cut(chunks.repartitionByRange("doc_id", "chunk_idx").sortWithinPartitions("doc_id", "chunk_idx"))
     return dense_id(placed, "chunk_id").withColumn("chunk_id", F.col("chunk_id") + first)
 
 

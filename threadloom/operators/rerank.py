@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.functions import temporal
 from threadloom.operators.retrieve import top
@@ -36,8 +37,7 @@ def temporal_rerank(pool: DataFrame, sessions: DataFrame | None, summary_weight:
     """
     a, b = weights(summary_weight, sessions is not None)
     rows = _scored(pool, sessions).withColumn("gap", temporal.day_gap(temporal.question_day(F.col("question_time")), F.col("timestamp")))
-    medians = rows.groupBy("question_id").agg(F.median("gap").alias("median_gap"))
-    rows = rows.join(medians, "question_id")
+    rows = rows.withColumn("median_gap", F.median("gap").over(Window.partitionBy("question_id")))
     lifted = F.when(F.col("session_score") == 0, 0.01).otherwise(F.col("session_score"))
     score = (b * lifted + a * F.coalesce("similarity", F.lit(0.0))) * temporal.decay(F.col("gap"), F.col("median_gap"), power)
     rows = rows.withColumn("final_score", F.round(score, 6))

@@ -12,7 +12,8 @@ from threadloom.functions import text, vector
 def top(rows: DataFrame, by: list, k: int, keys: tuple = ("question_id",), rank: str = "rank") -> DataFrame:
     """The first k rows of each question in the given order, ranked from 0."""
     order = Window.partitionBy(*keys).orderBy(*by)
-    return rows.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < k)
+    # the bare number is compared, so that Spark limits the rows before they are shuffled
+    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
 def entity_scores(questions: DataFrame, nodes: DataFrame, type_weight: float = 0.3) -> DataFrame:
@@ -43,14 +44,14 @@ def incident_triples(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
     entities: question_id, name, rank. An end that isn't among them counts as one rank after the last.
     """
-    n = entities.groupBy("question_id").agg(F.count("*").alias("n_entities"))
-    by_src = entities.select("question_id", F.col("name").alias("src"), F.col("rank").alias("src_rank"))
-    by_tgt = entities.select("question_id", F.col("name").alias("tgt"), F.col("rank").alias("tgt_rank"))
+    entities = entities.withColumn("n_entities", F.count("*").over(Window.partitionBy("question_id")))
+    by_src = entities.select("question_id", "n_entities", F.col("name").alias("src"), F.col("rank").alias("src_rank"))
+    by_tgt = entities.select("question_id", "n_entities", F.col("name").alias("tgt"), F.col("rank").alias("tgt_rank"))
     one, two = edges.join(by_src, "src"), edges.join(by_tgt, "tgt")
     union = one.withColumn("tgt_rank", F.lit(None).cast("int")).unionByName(two.withColumn("src_rank", F.lit(None).cast("int")))
-    rows = union.groupBy("question_id", "src", "tgt").agg(F.max("src_rank").alias("src_rank"), F.max("tgt_rank").alias("tgt_rank"), *[F.first(c).alias(c) for c in edges.columns if c not in ("src", "tgt")])
+    rows = union.groupBy("question_id", "src", "tgt").agg(F.max("src_rank").alias("src_rank"), F.max("tgt_rank").alias("tgt_rank"), F.max("n_entities").alias("n_entities"), *[F.first(c).alias(c) for c in edges.columns if c not in ("src", "tgt")])
     rank = F.least(F.coalesce("src_rank", "n_entities"), F.coalesce("tgt_rank", "n_entities"))
-    rows = rows.join(n, "question_id").withColumn("entity_bonus", 1 / (rank + 1.0))
+    rows = rows.withColumn("entity_bonus", 1 / (rank + 1.0))
     return rows.withColumn("triple_text", F.concat_ws(" ", "src", "relation", "tgt")).drop("n_entities")
 
 

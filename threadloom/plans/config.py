@@ -7,7 +7,8 @@ from dataclasses import asdict, dataclass, fields
 
 @dataclass
 class Config:
-    chunk_mode: str = "dialogue"  # or "tokens": windows of the whole context
+    chunk_mode: str = "dialogue"  # or "tokens": windows of title and content
+    dialogue_layout: str = "auto"  # or "roles": user and assistant alone; or "speakers": turns of any names
     window_tokens: int = 1200
     window_overlap: int = 100
     merge_threshold: float = 0.85

@@ -9,12 +9,26 @@ from threadloom.functions import text, vector
 from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, rerank, retrieve
 from threadloom.plans.config import Config
 from threadloom.plans.lineage import cut
+from threadloom.sources import corpus
 from threadloom.sources.snapshots import Snapshots
 
-_EXTRACT = "List the entities and relations of this dialogue as records.\n"
-_NAME = "List the entities that this question names, with their types, as records.\n"
-_SUMMARISE = "Summarise this session as JSON with session_id, session_time, keys, and a context of themes and summaries.\n"
-_MERGE = "Bring this summary up to date with what was said since, in the same JSON form.\n"
+_EXTRACT = """List the entities and relations of this dialogue as records.
+Write one record for each entity and one for each relation between two of them, parted by ##, and END after the last:
+("entity"|name|type, such as person, place, event or thing|what the dialogue says of it)
+("relationship"|date as yyyy/MM/dd, or nothing|session id|name of the source|name of the target|the relation in a few words|strength from 1 to 10)
+Use names as they stand in the dialogue and the same name for the same thing; who speaks is an entity too.
+Dialogue:
+"""
+_NAME = """List the entities that this question names, with their types, as records.
+Parted by ##, and END after the last: ("entity"|name|type). A question that names nothing gets END alone.
+Question: """
+_SUMMARISE = """Summarise this session as JSON with session_id, session_time, keys, and a context of themes and summaries.
+keys: the words to find it by, in one string, with commas. context: theme_1 and summary_1, theme_2 and summary_2, and so on, one pair for each topic.
+{"session_id": "...", "session_time": "...", "keys": "...", "context": {"theme_1": "...", "summary_1": "..."}}
+"""
+_MERGE = """Bring this summary up to date with what was said since, in the same JSON form.
+Keep what still holds, change what no longer does, and add pairs of theme and summary for new topics.
+Summary so far: """
 _ANSWER_FAILED = "No answer could be generated."
 _PLACES = 24  # bits of an ordinal that number the records of a reply
 
@@ -38,13 +52,13 @@ class Memory:
         self.store = Snapshots(spark, base)
 
     def chunks(self, sessions: DataFrame, first: int = 0) -> DataFrame:
-        """Turn pairs of dialogues, or windows of words, by `chunk_mode`."""
-        c = self.config
+        """Turn pairs of dialogues, or windows of words, by `chunk_mode`, numbered from `first` in the order of documents."""
+        c, sessions = self.config, corpus.with_doc_id(sessions)
         if c.chunk_mode == "tokens":
-            rows = chunking.token_windows(sessions.withColumn("text", F.col("context")), c.window_tokens, c.window_overlap, ("session_id", "session_time"))
-            rows = rows.select("session_id", "session_time", F.col("start_idx").alias("chunk_idx"), F.lit(None).cast("int").alias("n_turns"), "text")
+            rows = chunking.token_windows(chunking.document_text(sessions), c.window_tokens, c.window_overlap, ("doc_id", "title", "session_id", "session_time"))
+            rows = rows.select("doc_id", "title", "session_id", "session_time", F.col("start_idx").alias("chunk_idx"), F.lit(None).cast("int").alias("n_turns"), "text")
         elif c.chunk_mode == "dialogue":
-            rows = chunking.pair_turns(chunking.parse_turns(sessions))
+            rows = chunking.dialogue_chunks(sessions, c.dialogue_layout)
         else:
             raise ValueError(f"unknown chunk_mode: {c.chunk_mode}")
         return chunking.with_chunk_ids(rows, first)
@@ -63,9 +77,12 @@ class Memory:
         return entities.drop("place"), relations.drop("st", "sid", "place")
 
     def summaries(self, sessions: DataFrame, old: DataFrame | None = None) -> DataFrame:
-        """A summary of each session; one that `old` has is brought up to date with what was added, the rest of `old` stays."""
-        parts = sessions.withColumn("ordinal", F.monotonically_increasing_id())
-        whole = chunking.concat_sessions(parts.select("session_id", "session_time", "ordinal", "context"))
+        """A summary of each session; one that `old` has is brought up to date with what was added, the rest of `old` stays.
+
+        Parts of a session are told in the order of their documents. Where the model fails, an old summary stays as it is.
+        """
+        parts = corpus.with_doc_id(sessions)
+        whole = chunking.concat_sessions(parts.select("session_id", "session_time", F.col("doc_id").alias("ordinal"), "context"))
         told = F.concat(F.lit("Session ID: "), "session_id", F.lit("\nSession Time: "), F.coalesce("session_time", F.lit("unknown")), F.lit("\nContext: "), F.coalesce("context", F.lit("")))
         prompt = F.concat(F.lit(_SUMMARISE), told)
         if old is not None:
@@ -74,7 +91,11 @@ class Memory:
             prompt = F.when(F.col("before").isNotNull(), F.concat(F.lit(_MERGE), "before", F.lit("\n"), told)).otherwise(prompt)
         replies = extract.generate(whole.select("session_id", "session_time", prompt.alias("prompt")), "prompt", self.generator)
         new = cut(extract.parse_summaries(replies.select("session_id", "session_time", "reply")))
-        return new if old is None else old.drop("embedding").join(new.select("session_id"), "session_id", "left_anti").unionByName(new)
+        if old is None:
+            return new
+        failed = new.where("summary_status = 'failed'").join(old.select("session_id"), "session_id", "left_semi").select("session_id")
+        new = new.join(failed, "session_id", "left_anti")
+        return old.drop("embedding").join(new.select("session_id"), "session_id", "left_anti").unionByName(new)
 
     def _with_vectors(self, nodes: DataFrame, edges: DataFrame, summaries: DataFrame) -> dict[str, DataFrame]:
         about = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise("")
@@ -124,13 +145,13 @@ class Memory:
         return cut(extract.embed(named.unionByName(rest), "query_name", self.embedder, "query_vec"))
 
     def session_scores(self, asked: DataFrame, relevant: DataFrame, summaries: DataFrame) -> DataFrame:
-        """Scores of each question's relevant sessions: by their keys' similarity to what is asked for, or by position."""
+        """Scores of each question's relevant sessions: the mean of the three best similarities of a key with what is asked for, or by position."""
         if self.config.summary_scores == "position":
             return retrieve.positional_scores(relevant.withColumn("place", F.col("rank"))).select("question_id", "session_id", "session_score")
         keys = relevant.select("question_id", "session_id").join(summaries.select("session_id", F.explode_outer(text.key_list(F.col("keys"))).alias("key")), "session_id")
         keys = extract.embed(keys, "key", self.embedder, "key_vec")
         similar = retrieve.text_similarity(F.col("key_vec"), F.col("query_vec"), F.col("key"), F.col("query_name"))
-        return retrieve.mean_scores(keys.join(asked, "question_id").withColumn("similarity", F.when(F.col("key").isNotNull(), similar)))
+        return retrieve.summary_scores(keys.join(asked, "question_id").withColumn("similarity", F.when(F.col("key").isNotNull(), similar)))
 
     def query(self, questions: DataFrame) -> DataFrame:
         """Answers questions (question_id, question, question_time) in one plan; adds output and top_session_ids."""

@@ -1,7 +1,9 @@
 """A query for each operator over the provided tables, and the SQL that says the same.
 
 The tables stand in for what models would extract: turns come from conversations, relations from
-events (user, event type, key), entities from parts, vectors from embeddings.
+events (user, event type, key), entities from parts, vectors from embeddings. Dialogues of roles have turns
+of user and assistant alone, so that queries on them leave turns of other roles out (`chunk_speakers` has
+all); graph nodes are the users of events, so that queries on nodes read users' vectors (`summary_retrieve` has all).
 """
 
 from __future__ import annotations
@@ -12,17 +14,18 @@ from pyspark.sql.window import Window
 
 from threadloom.functions import temporal, text, vector
 from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, ledger, rerank, retrieve
+from threadloom.plans.lineage import cut
 from threadloom.plans.memory import folded
 from threadloom.sources import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-TURNS = """turns as (select 'S' || conv_id as session_id, strftime(date '2023-01-01' + cast(conv_id % 365 as integer), '%Y/%m/%d') as session_time,
+TURNS = """turns as (select cast(conv_id as bigint) as doc_id, 'S' || conv_id // 2 as session_id, strftime(date '2023-01-01' + cast(conv_id % 365 as integer), '%Y/%m/%d') as session_time,
   turn as turn_idx, role as speaker, text as content from conversations where role in ('user', 'assistant'))"""
-PAIRS = f"""{TURNS}, begun as (select *, case when speaker = 'assistant' and lag(speaker) over (partition by session_id order by turn_idx) = 'user' then 0 else 1 end as begins from turns),
-  numbered as (select *, sum(begins) over (partition by session_id order by turn_idx) - 1 as chunk_idx from begun),
-  pairs as (select session_id, session_time, cast(chunk_idx as bigint) as chunk_idx, count(*) as n_turns, string_agg(upper(speaker[1]) || speaker[2:] || ': ' || content, chr(10) order by turn_idx) as text
+PAIRS = f"""{TURNS}, begun as (select *, case when speaker = 'assistant' and lag(speaker) over (partition by doc_id order by turn_idx) = 'user' then 0 else 1 end as begins from turns),
+  numbered as (select *, sum(begins) over (partition by doc_id order by turn_idx) - 1 as chunk_idx from begun),
+  pairs as (select doc_id, session_id, session_time, cast(chunk_idx as bigint) as chunk_idx, count(*) as n_turns, string_agg(upper(speaker[1]) || speaker[2:] || ': ' || content, chr(10) order by turn_idx) as text
     from numbered group by all)"""
 RELATIONS = """relations as (select event_id as ordinal, 'u' || user_id as src, event_type as relation, 'k' || regexp_extract(props, '([0-9]+)', 1) as tgt,
   strftime(ts, '%Y/%m/%d') as create_time, 'S' || (user_id % 20) as session_id, event_id as chunk_id, cast(1 + event_id % 10 as bigint) as strength from events)"""
@@ -40,10 +43,12 @@ ENTITIES = f"""{EDGES}, components as (select label as question_id, i, avg(cast(
   scored as (select question_id, u.ordinal, 'u' || vec_id as name, round(greatest(0.7 * list_cosine_similarity(cast(embedding as double[]), query_vec), 0), 6) as score from users u join embeddings using (vec_id) cross join centres),
   ranked as (select *, row_number() over (partition by question_id order by score desc, ordinal) - 1 as rank from scored),
   entities as (select * from ranked where rank < 8)"""
-POOL = f"""{ENTITIES}, triples as (select question_id, rank, edges.*, 1 / (rank + 1.0) as entity_bonus, ((edges.ordinal * 7919) % 1000) / 1000.0 as similarity from edges join entities on src = name),
+POOL = f"""{ENTITIES}, triples as (select question_id, rank, edges.*, 1 / (rank + 1.0) as entity_bonus, round(coalesce(list_cosine_similarity(cast(embedding as double[]), query_vec), 0), 6) as similarity
+    from edges join entities on src = name join centres using (question_id) left join embeddings on src = 'u' || vec_id),
   pooled as (select *, round(cast(similarity as double) + 0.2 * cast(entity_bonus as double), 6) as pool_score from triples),
   pool as (select * from (select *, row_number() over (partition by question_id order by pool_score desc, ordinal) - 1 as pool_rank from pooled) where pool_rank < 20),
-  sessions as (select question_id, 'S' || s as session_id, ((question_id * 31 + s * 17) % 100) / 100.0 as session_score from (select distinct question_id from pool), range(20) r(s) where s % 3 <> 0)"""
+  sessions as (select question_id, session_id, round(greatest(list_cosine_similarity(cast(embedding as double[]), query_vec), 0), 6) as session_score
+    from (select distinct question_id, session_id from pool) join centres using (question_id) join embeddings on session_id = 'S' || vec_id)"""
 SIMPLE = f"""{POOL}, simple as (select * from (select *, row_number() over (partition by question_id order by final_score desc, pool_rank) - 1 as final_rank from
   (select pool.*, round(0.7 * similarity::double + 0.3 * coalesce(session_score::double, 0), 6) as final_score from pool left join sessions using (question_id, session_id))) where final_rank < 8)"""
 QA = """qa as (select p_partkey as question_id, p_brand as question_type,
@@ -78,7 +83,8 @@ def day(number):
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
-    return rows.select(F.concat(F.lit("S"), "conv_id").alias("session_id"), day(F.col("conv_id")).alias("session_time"), F.col("turn").alias("turn_idx"), F.col("role").alias("speaker"), F.col("text").alias("content"))
+    session = F.concat(F.lit("S"), F.floor(F.col("conv_id") / 2))  # two documents, of two days, are one session
+    return rows.select(F.col("conv_id").cast("long").alias("doc_id"), session.alias("session_id"), day(F.col("conv_id")).alias("session_time"), F.col("turn").alias("turn_idx"), F.col("role").alias("speaker"), F.col("text").alias("content"))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +103,13 @@ def longs(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-@query(f"with {PAIRS} select *, row_number() over (order by session_id, chunk_idx) - 1 as chunk_id from pairs")
+@query(f"with {PAIRS} select *, row_number() over (order by doc_id, chunk_idx) - 1 as chunk_id from pairs")
 def chunk_turn_pairs(spark, sf_dir):
     return longs(chunking.with_chunk_ids(chunking.pair_turns(turns(spark, sf_dir))), "chunk_idx", "n_turns")
 
 
-@query(f"""with {TURNS}, numbered as (select *, (row_number() over (partition by session_id order by turn_idx) - 1) // 2 as chunk_idx from turns)
-select session_id, session_time, chunk_idx, count(*) as n_turns, string_agg(speaker || ': ' || content, chr(10) order by turn_idx) as text from numbered group by all""")
+@query(f"""with {TURNS}, numbered as (select *, (row_number() over (partition by doc_id order by turn_idx) - 1) // 2 as chunk_idx from turns)
+select doc_id, session_id, session_time, chunk_idx, count(*) as n_turns, string_agg(speaker || ': ' || content, chr(10) order by turn_idx) as text from numbered group by all""")
 def chunk_fixed_pairs(spark, sf_dir):
     return longs(chunking.fixed_pairs(turns(spark, sf_dir)), "chunk_idx", "n_turns")
 
@@ -122,18 +128,31 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunk_statistics(chunking.pair_turns(turns(spark, sf_dir)))
 
 
-@query(f"""with {TURNS} select session_id, min(session_time) as session_time, list_reduce(list(content order by turn_idx), lambda a, x: case when contains(a, x) then a else a || chr(10) || chr(10) || x end) as context from turns group by session_id""")
+@query(f"""with {TURNS} select session_id, arg_min(session_time, doc_id * 1000 + turn_idx) as session_time, list_reduce(list(content order by doc_id, turn_idx), lambda a, x: case when contains(a, x) then a else a || chr(10) || chr(10) || x end) as context from turns group by session_id""")
 def session_concat(spark, sf_dir):
-    return chunking.concat_sessions(turns(spark, sf_dir).select("session_id", "session_time", F.col("turn_idx").alias("ordinal"), F.col("content").alias("context")))
+    return chunking.concat_sessions(turns(spark, sf_dir).select("session_id", "session_time", (F.col("doc_id") * 1000 + F.col("turn_idx")).alias("ordinal"), F.col("content").alias("context")))
+
+
+@query("""with turns as (select cast(conv_id as bigint) as doc_id, 'S' || conv_id // 2 as session_id, upper(role[1]) || role[2:] as speaker, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as content from conversations),
+numbered as (select *, (row_number() over (partition by doc_id order by turn) - 1) // 2 as chunk_idx from turns),
+chunks as (select doc_id, session_id, chunk_idx, count(*) as n_turns, string_agg(speaker || ': ' || content, chr(10) order by turn) as text from numbered group by all)
+select *, row_number() over (order by doc_id, chunk_idx) - 1 as chunk_id from chunks""")
+def chunk_speakers(spark, sf_dir):
+    """All turns of all conversations as a dialogue of named speakers, from flattened contexts to numbered chunks."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.initcap("role").alias("speaker"), F.col("text").alias("content"))))
+    rows = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(said.alias("t"))
+    session = F.concat(F.lit("S"), F.floor(F.col("doc_id") / 2))
+    sessions = rows.select("doc_id", session.alias("session_id"), F.lit("").alias("session_time"), corpus.flatten_turns(F.col("t"), "speaker", "content").alias("context"))
+    return longs(chunking.with_chunk_ids(chunking.dialogue_chunks(sessions, "speakers")).drop("session_time"), "chunk_idx", "n_turns")
 
 
 def flattened(spark, sf_dir) -> DataFrame:
     """Sessions with their turns in one string."""
-    rows = turns(spark, sf_dir).groupBy("session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
-    return rows.select("session_id", "session_time", corpus.flatten_turns(F.col("t"), "speaker", "content").alias("context"))
+    rows = turns(spark, sf_dir).groupBy("doc_id", "session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
+    return rows.select("doc_id", "session_id", "session_time", corpus.flatten_turns(F.col("t"), "speaker", "content").alias("context"))
 
 
-@query(f"""with {TURNS} select session_id, session_time, row_number() over (partition by session_id order by turn_idx) - 1 as turn_idx, speaker, trim(regexp_replace(content, '\\s+', ' ', 'g')) as content from turns""")
+@query(f"""with {TURNS} select doc_id, session_id, session_time, row_number() over (partition by doc_id order by turn_idx) - 1 as turn_idx, speaker, trim(regexp_replace(content, '\\s+', ' ', 'g')) as content from turns""")
 def parse_turns(spark, sf_dir):
     return longs(chunking.parse_turns(flattened(spark, sf_dir)), "turn_idx")
 
@@ -172,11 +191,10 @@ def evidence_sessions(spark, sf_dir):
     return each.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("session")), ",").alias("sessions"))
 
 
-@query(f"""with {TURNS}, flat as (select session_id, cast(session_id[2:] as bigint) as conv_id, any_value(session_time) as session_time, string_agg('"' || speaker || '": "' || content || '"', '' order by turn_idx) as context from turns group by session_id)
+@query(f"""with {TURNS}, flat as (select any_value(session_id) as session_id, doc_id as conv_id, any_value(session_time) as session_time, string_agg('"' || speaker || '": "' || content || '"', '' order by turn_idx) as context from turns group by doc_id)
 select conv_id % 10 as item, row_number() over (partition by conv_id % 10 order by conv_id) - 1 as place, session_id, session_time, context from flat""")
 def zip_sessions(spark, sf_dir):
-    rows = turns(spark, sf_dir).groupBy("session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
-    rows = rows.withColumn("conv_id", F.substring("session_id", 2, 20).cast("long"))
+    rows = turns(spark, sf_dir).groupBy(F.col("doc_id").alias("conv_id"), "session_id", "session_time").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "content"))).alias("t"))
     # an item is zipped in blocks of at most 50 conversations; their counts tell where each block begins
     rows = rows.withColumn("item", F.col("conv_id") % 10).withColumn("block", F.floor(F.col("conv_id") / 500))
     begins = rows.groupBy("item", "block").agg(F.count("*").alias("n"))
@@ -281,8 +299,12 @@ def vector_topk(spark, sf_dir):
 
 
 def pool(spark, sf_dir) -> DataFrame:
+    """Candidates by the likeness of their source's vector with the question's; a table, as every reranker reads it more than once."""
     found = retrieve.incident_triples(entities(spark, sf_dir), edges(spark, sf_dir))
-    return retrieve.triple_pool(found.withColumn("similarity", F.col("ordinal") * 7919 % 1000 / 1000.0), 8)
+    stored = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("u"), "vec_id").alias("src"), "embedding")
+    found = found.join(stored, "src", "left").join(questions(spark, sf_dir).select("question_id", "query_vec"), "question_id")
+    found = found.withColumn("similarity", F.round(F.coalesce(vector.cosine(F.col("embedding"), F.col("query_vec")), F.lit(0.0)), 6))
+    return cut(retrieve.triple_pool(found.drop("embedding", "query_vec"), 8))
 
 
 @query(f"with {POOL} select question_id, src, tgt, relation, pool_score, pool_rank from pool")
@@ -290,14 +312,16 @@ def triple_pool(spark, sf_dir):
     return longs(pool(spark, sf_dir).select("question_id", "src", "tgt", "relation", "pool_score", "pool_rank"), "pool_rank")
 
 
-def session_scores(found: DataFrame) -> DataFrame:
-    s = found.select("question_id").distinct().withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(19)))).where("s % 3 != 0")
-    return s.select("question_id", F.concat(F.lit("S"), "s").alias("session_id"), ((F.col("question_id") * 31 + F.col("s") * 17) % 100 / 100.0).alias("session_score"))
+def session_scores(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """The likeness of each candidate's session's vector with the question's, 0 at least."""
+    stored = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("S"), "vec_id").alias("session_id"), "embedding")
+    rows = found.select("question_id", "session_id").distinct().join(stored, "session_id").join(questions(spark, sf_dir).select("question_id", "query_vec"), "question_id")
+    return rows.select("question_id", "session_id", F.round(F.greatest(vector.cosine(F.col("embedding"), F.col("query_vec")), F.lit(0.0)), 6).alias("session_score"))
 
 
 def simple(spark, sf_dir) -> DataFrame:
     found = pool(spark, sf_dir)
-    return rerank.simple(found, session_scores(found), 0.3, 8)
+    return rerank.simple(found, session_scores(spark, sf_dir, found), 0.3, 8)
 
 
 @query(f"with {SIMPLE} select question_id, src, tgt, final_score, final_rank from simple")
@@ -310,7 +334,7 @@ scored2 as (select g.*, round((0.3 * case when s = 0 then 0.01 else s end + 0.7
 select question_id, src, tgt, final_score, final_rank from (select *, row_number() over (partition by question_id order by final_score desc, pool_rank) - 1 as final_rank from scored2) where final_rank < 8""")
 def rerank_temporal(spark, sf_dir):
     found = pool(spark, sf_dir).withColumn("question_time", F.lit("2024/01/15 (Mon) 10:00")).withColumn("timestamp", F.col("session_time"))
-    rows = rerank.temporal_rerank(found, session_scores(found), 0.3, 0.5, 8)
+    rows = rerank.temporal_rerank(found, session_scores(spark, sf_dir, found), 0.3, 0.5, 8)
     return longs(rows.select("question_id", "src", "tgt", "final_score", "final_rank"), "final_rank")
 
 
@@ -319,7 +343,7 @@ def event_chunks(spark, sf_dir) -> DataFrame:
 
 
 def fetched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    best = simple(spark, sf_dir)
+    best = cut(simple(spark, sf_dir))
     return best, context.chunks_of(best.withColumn("chunk_ids", F.array(F.col("chunk_id"))), event_chunks(spark, sf_dir), 3)
 
 
@@ -343,9 +367,9 @@ def retrieve_pipeline(spark, sf_dir):
 
 
 @query(f"""with {PAIRS}, cut as (select *, list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), 'User:')) as l, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 10 and not starts_with(lower(x), 'assistant')) as s from pairs)
-select session_id, chunk_idx, case when len(l) > 0 then array_to_string(list_transform(l, lambda x: trim(trim(x)[6:])), ' ') when len(s) > 0 then array_to_string(s[1:2], '. ') when length(text) > 200 then text[1:200] || '...' else text end as said from cut""")
+select doc_id, chunk_idx, case when len(l) > 0 then array_to_string(list_transform(l, lambda x: trim(trim(x)[6:])), ' ') when len(s) > 0 then array_to_string(s[1:2], '. ') when length(text) > 200 then text[1:200] || '...' else text end as said from cut""")
 def user_utterances(spark, sf_dir):
-    return longs(chunking.pair_turns(turns(spark, sf_dir)).select("session_id", "chunk_idx", context.user_utterances(F.col("text")).alias("said")), "chunk_idx")
+    return longs(chunking.pair_turns(turns(spark, sf_dir)).select("doc_id", "chunk_idx", context.user_utterances(F.col("text")).alias("said")), "chunk_idx")
 
 
 @query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as summary from conversations group by conv_id")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions import temporal, text
+from threadloom.plans.lineage import cut
 
 SESSION = "session_id string, session_time string, context string, title string, content string"
 QUESTION = "question string, answer string, question_type string, question_time string, origin string, label string"
-NO_ANSWER = "The information is not provided in the conversation."
+#: fixed value: what stands for the answer of a question without one, and so decides whether it scores
+NO_ANSWER = "Context insufficient to answer"
 #: question types and the folders their results go to
 FOLDERS = {"single-session-user": "ssu", "single-session-assistant": "ssa", "single-session-preference": "ssp", "multi-session": "ms", "knowledge-update": "ku", "temporal-reasoning": "tr"}
 
@@ -56,6 +58,11 @@ def dense_id(rows: DataFrame, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("_at") - F.shiftleft(F.col("_part"), 33) + F.col("_ahead")).drop("_at", "_part", "_ahead")
 
 
+def with_doc_id(sessions: DataFrame) -> DataFrame:
+    """Sessions with their doc_id; where they have none, numbered from 0 in their order of reading."""
+    return sessions if "doc_id" in sessions.columns else dense_id(cut(sessions), "doc_id")
+
+
 def flatten_turns(turns: Column, role: str, body: str, caption: str | None = None) -> Column:
     """`"role": "text"` of all turns in order, one after the other."""
 

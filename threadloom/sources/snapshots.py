@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = {
-    "chunks": "chunk_id long, session_id string, session_time string, chunk_idx int, n_turns int, text string",
+    "chunks": "chunk_id long, doc_id long, title string, session_id string, session_time string, chunk_idx int, n_turns int, text string",
     "nodes": "ordinal long, name string, entity_type string, chunk_id long, extracted boolean, description string, embedding array<double>",
     "edges": "ordinal long, src string, tgt string, relation string, session_id string, session_time string, chunk_id long, chunk_ids array<long>, session_ids array<string>, session_times array<string>, strength int, weight double, embedding array<double>",
     "summaries": "session_id string, session_time string, keys string, context map<string,string>, summary_status string, embedding array<double>",

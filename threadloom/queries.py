@@ -16,7 +16,7 @@ from threadloom.functions import temporal, text, vector
 from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, ledger, rerank, retrieve
 from threadloom.plans.lineage import cut
 from threadloom.plans.memory import folded
-from threadloom.sources import corpus
+from threadloom.sources import convert, corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -539,6 +539,41 @@ def numbered_sessions(spark, sf_dir):
     return longs(corpus.numbered_sessions(groups, "conversation", ["conv_id"]).select("conv_id", "number", "body"), "number")
 
 
+def raw_groups(spark, sf_dir) -> DataFrame:
+    """Raw groups of five conversations as numbered sessions, with a question about each; the fourth session of every third group is missing."""
+    c = read(spark, sf_dir, "conversations")
+    message = F.struct(F.initcap("role").alias("speaker"), "text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("picture "), "turn")).alias("blip_caption"))
+    said = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("m"))
+    number, date = F.col("conv_id") % 5 + 1, F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("conv_id") % 365).cast("int")), "'1:56 pm on' d MMMM, yyyy")
+    name = F.concat(F.lit('"session_'), number)
+    entry = F.concat(name, F.lit('":'), F.to_json("m"), F.lit(","), name, F.lit('_date_time":"'), date, F.lit('"'))
+    kept = ~((number == 4) & (F.floor(F.col("conv_id") / 5) % 3 == 0))
+    answer = F.when(F.col("conv_id") % 4 == 0, "").otherwise(F.col("m")[0]["text"])
+    evidence = F.array(F.concat(F.lit("D"), number, F.lit(":1")), F.concat(F.lit("D"), F.lit(6) - number, F.lit(":2")), F.concat(F.lit("D"), number, F.lit(":3")))
+    asked = F.struct(F.concat(F.lit("What of "), "conv_id", F.lit("?")).alias("question"), answer.alias("answer"), evidence.alias("evidence"), (F.col("conv_id") % 5).alias("category"))
+    rows = said.select(F.floor(F.col("conv_id") / 5).alias("item"), "conv_id", F.when(kept, entry).alias("entry"), F.to_json(asked).alias("asked"))
+    groups = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("conv_id", "entry", "asked"))).alias("g"))  # five conversations
+    listed = lambda c: F.array_join(F.filter(F.transform("g", lambda x: x[c]), lambda x: x.isNotNull()), ",")
+    return groups.select("item", F.parse_json(F.concat(F.lit('{"conversation":{"speaker_a":"User",'), listed("entry"), F.lit('},"qa":['), listed("asked"), F.lit("]}"))).alias("v"))
+
+
+@query("""with m as (select conv_id, string_agg('"' || upper(role[1]) || role[2:] || '": "' || text || case when turn % 3 = 0 then ' (attached is picture ' || turn || ')' else '' end || '"', '' order by turn) as context from conversations group by conv_id),
+s as (select conv_id // 5 as item, conv_id % 5 + 1 as number, strftime(date '2023-01-01' + cast(conv_id % 365 as integer), '%Y/%m/%d') as session_time, context from m where not (conv_id % 5 = 3 and conv_id // 5 % 3 = 0)),
+p as (select *, row_number() over (partition by item order by number) as place from s)
+select item, number, 'D' || number as session_id, session_time, context from p where number = place""")
+def convert_group_sessions(spark, sf_dir):
+    """Sessions with ids and dates from raw groups of open keys; a group ends before the first session that is missing."""
+    return longs(convert.group_sessions(raw_groups(spark, sf_dir)), "item", "number")
+
+
+@query("""with c as (select conv_id, arg_min(text, turn) as said from conversations group by conv_id), x as (select *, conv_id % 5 + 1 as k from c)
+select conv_id // 5 as item, row_number() over (partition by conv_id // 5 order by conv_id) - 1 as number, 'What of ' || conv_id || '?' as question, case when conv_id % 4 = 0 or said = '' then 'Context insufficient to answer' else said end as answer,
+cast(conv_id % 5 as varchar) as question_type, case when k = 3 then 'D3' else 'D' || k || ',D' || (6 - k) end as origin, case when conv_id % 4 = 0 or said = '' then 'Context insufficient to answer' else said end as label from x""")
+def convert_group_questions(spark, sf_dir):
+    """Questions with filled answers and distinct origins from the same raw groups."""
+    return longs(convert.group_questions(raw_groups(spark, sf_dir)).withColumn("origin", F.array_join("origin", ",")), "item", "number")
+
+
 @query(f"""with {QA}, said as (select question_type, output <> '' as answered, case question_id % 3 when 0 then 'Yes, it is.' when 1 then 'no' else 'YES' end as reply from qa), judged2 as (select question_type, answered, contains(lower(reply), 'yes') as correct from said)
 select question_type, {_METRICS} from judged2 group by question_type""")
 def eval_by_judge(spark, sf_dir):

@@ -25,7 +25,11 @@ def is_array(spark: SparkSession, path: str) -> bool:
 
 def read_json(spark: SparkSession, path: str, schema: str, json_array: bool | None, name: str) -> DataFrame:
     """Rows of JSON files, numbered from 0 by file name, then by their place in the file."""
-    rows = spark.read.schema(schema).json(path, multiLine=is_array(spark, path) if json_array is None else json_array)
+    return numbered(spark.read.schema(schema).json(path, multiLine=is_array(spark, path) if json_array is None else json_array), name)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows just read from files with their number from 0, by file name, then by place."""
     rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
     # a split is read by one task from its first row to its last
     splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))

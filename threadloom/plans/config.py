@@ -22,6 +22,8 @@ class Config:
     temporal: bool = True
     decay_power: float = 0.5
     embedding_dimensions: int = 64
+    store_buckets: int = 16  # folders by key that a full version is dealt into
+    compact_after: int = 20  # additions after which the segments of a memory are folded into one
 
     @classmethod
     def parse(cls, path: str | None = None, **given) -> Config:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text, vector
@@ -10,7 +10,7 @@ from threadloom.operators import chunking, context, dedup, evaluate, extract, gr
 from threadloom.plans.config import Config
 from threadloom.plans.lineage import cut
 from threadloom.sources import corpus
-from threadloom.sources.snapshots import Snapshots
+from threadloom.sources.snapshots import KEYS, Snapshots
 
 _EXTRACT = """List the entities and relations of this dialogue as records.
 Write one record for each entity and one for each relation between two of them, parted by ##, and END after the last:
@@ -22,11 +22,11 @@ Dialogue:
 _NAME = """List the entities that this question names, with their types, as records.
 Parted by ##, and END after the last: ("entity"|name|type). A question that names nothing gets END alone.
 Question: """
-_SUMMARISE = """Summarise this session as JSON with session_id, session_time, keys, and a context of themes and summaries.
+SUMMARISE = """Summarise this session as JSON with session_id, session_time, keys, and a context of themes and summaries.
 keys: the words to find it by, in one string, with commas. context: theme_1 and summary_1, theme_2 and summary_2, and so on, one pair for each topic.
 {"session_id": "...", "session_time": "...", "keys": "...", "context": {"theme_1": "...", "summary_1": "..."}}
 """
-_MERGE = """Bring this summary up to date with what was said since, in the same JSON form.
+MERGE = """Bring this summary up to date with what was said since, in the same JSON form.
 Keep what still holds, change what no longer does, and add pairs of theme and summary for new topics.
 Summary so far: """
 _ANSWER_FAILED = "No answer could be generated."
@@ -49,7 +49,7 @@ class Memory:
         self.spark, self.config, self.generator = spark, config or Config(), generator
         dimensions = self.config.embedding_dimensions
         self.embedder = embedder or (lambda: extract.HashEmbedder(dimensions))
-        self.store = Snapshots(spark, base)
+        self.store = Snapshots(spark, base, self.config.store_buckets)
 
     def chunks(self, sessions: DataFrame, first: int = 0) -> DataFrame:
         """Turn pairs of dialogues, or windows of words, by `chunk_mode`, numbered from `first` in the order of documents."""
@@ -84,11 +84,11 @@ class Memory:
         parts = corpus.with_doc_id(sessions)
         whole = chunking.concat_sessions(parts.select("session_id", "session_time", F.col("doc_id").alias("ordinal"), "context"))
         told = F.concat(F.lit("Session ID: "), "session_id", F.lit("\nSession Time: "), F.coalesce("session_time", F.lit("unknown")), F.lit("\nContext: "), F.coalesce("context", F.lit("")))
-        prompt = F.concat(F.lit(_SUMMARISE), told)
+        prompt = F.concat(F.lit(SUMMARISE), told)
         if old is not None:
             before = old.select("session_id", context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context")).alias("before"))
             whole = whole.join(before, "session_id", "left")
-            prompt = F.when(F.col("before").isNotNull(), F.concat(F.lit(_MERGE), "before", F.lit("\n"), told)).otherwise(prompt)
+            prompt = F.when(F.col("before").isNotNull(), F.concat(F.lit(MERGE), "before", F.lit("\n"), told)).otherwise(prompt)
         replies = extract.generate(whole.select("session_id", "session_time", prompt.alias("prompt")), "prompt", self.generator)
         new = cut(extract.parse_summaries(replies.select("session_id", "session_time", "reply")))
         if old is None:
@@ -97,12 +97,28 @@ class Memory:
         new = new.join(failed, "session_id", "left_anti")
         return old.drop("embedding").join(new.select("session_id"), "session_id", "left_anti").unionByName(new)
 
-    def _with_vectors(self, nodes: DataFrame, edges: DataFrame, summaries: DataFrame) -> dict[str, DataFrame]:
-        about = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise("")
-        nodes = nodes.withColumn("shown", F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("unknown")), F.lit(")"), about))
-        edges = edges.withColumn("shown", F.concat_ws(" - ", "src", "relation", "tgt"))
-        summaries = summaries.withColumn("shown", context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context")))
-        return {name: extract.embed(df.drop("embedding"), "shown", self.embedder).drop("shown") for name, df in (("nodes", nodes), ("edges", edges), ("summaries", summaries))}
+    @staticmethod
+    def _shown(name: str) -> Column:
+        """The text that a row of a table is embedded as."""
+        if name == "nodes":
+            about = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise("")
+            return F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("unknown")), F.lit(")"), about)
+        return F.concat_ws(" - ", "src", "relation", "tgt") if name == "edges" else context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context"))
+
+    def _with_vectors(self, tables: dict[str, DataFrame], old: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+        """Tables with their vectors; a row whose text is what it was in `old` keeps its vector, and only other texts are embedded."""
+        out = {}
+        for name, rows in tables.items():
+            rows = rows.drop("embedding").withColumn("shown", self._shown(name))
+            if old is None:
+                out[name] = extract.embed(rows, "shown", self.embedder).drop("shown")
+                continue
+            had = old[name].where("embedding is not null").select(*KEYS[name], self._shown(name).alias("had"), "embedding")
+            rows = cut(rows.join(had, KEYS[name], "left"))
+            same = F.coalesce(F.col("had") == F.col("shown"), F.lit(False))
+            new = extract.embed(rows.where(~same).drop("had", "embedding"), "shown", self.embedder)
+            out[name] = rows.where(same).drop("had").unionByName(new).drop("shown")
+        return out
 
     def build(self, sessions: DataFrame) -> int:
         """A full rebuild: replaces what was stored, once the new version is written."""
@@ -111,29 +127,35 @@ class Memory:
         kept, names = dedup.deduplicate_entities(entities, self.config.merge_threshold)
         edges = graph.edges_of(dedup.deduplicate_relations(dedup.canonical_ends(relations, names)))
         version = max(self.store.versions(), default=-1) + 1
-        self.store.write({"chunks": chunks} | self._with_vectors(graph.nodes_of(kept, edges), edges, self.summaries(sessions)), version)
+        tables = self._with_vectors({"nodes": graph.nodes_of(kept, edges), "edges": edges, "summaries": self.summaries(sessions)})
+        self.store.write({"chunks": chunks} | tables, version)
         self.store.keep_only(version)
         return version
 
     def add(self, sessions: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
         """Merges sessions into the newest snapshot and writes the next one. Old names are matched exactly.
 
-        A batch of a stream that the newest snapshot holds already is left out; the version is returned.
+        What is read of the old tables and what is written is what the sessions touch: rows of the same names, ends and sessions.
+        After `compact_after` additions the tables are folded. A batch of a stream that the newest snapshot holds already is
+        left out; the version is returned.
         """
         newest = max(self.store.versions(), default=None)
-        held = self.store.batches(newest)
+        manifest = self.store.manifest(newest)
+        held = manifest["batches"]
         if stream is not None and batch <= held.get(stream, -1):
             return newest
-        old = self.store.read(newest)
-        top = old["chunks"].agg(F.max("chunk_id")).first()[0]
-        chunks = self.chunks(sessions, 0 if top is None else top + 1)
+        chunks = cut(self.chunks(sessions, manifest["next_chunk"]))
         entities, relations = self.mentions(chunks)
         kept, names = dedup.deduplicate_entities(entities, self.config.merge_threshold)
-        new_edges = folded(dedup.canonical_ends(relations, names))
-        nodes = graph.merge_nodes(old["nodes"], graph.nodes_of(kept, new_edges))
-        tables = self._with_vectors(nodes, graph.merge_edges(old["edges"], new_edges), self.summaries(sessions, old["summaries"]))
+        edges = cut(folded(dedup.canonical_ends(relations, names)))
+        nodes = cut(graph.nodes_of(kept, edges))
+        old = {name: cut(self.store.touched(name, rows, newest)) for name, rows in (("nodes", nodes), ("edges", edges), ("summaries", sessions))}
+        tables = {"nodes": graph.merge_nodes(old["nodes"], nodes), "edges": graph.merge_edges(old["edges"], edges), "summaries": self.summaries(sessions, old["summaries"])}
         version = 0 if newest is None else newest + 1
-        self.store.write({"chunks": old["chunks"].unionByName(chunks, allowMissingColumns=True)} | tables, version, held | ({stream: batch} if stream is not None else {}))
+        batches = held | ({stream: batch} if stream is not None else {})
+        self.store.append({"chunks": chunks} | self._with_vectors(tables, old), version, newest, batches, manifest["next_chunk"] + chunks.count())
+        if max(map(len, self.store.manifest(version)["segments"].values())) > self.config.compact_after:
+            version = self.store.compact(version)
         return version
 
     def asked(self, questions: DataFrame) -> DataFrame:
@@ -154,8 +176,10 @@ class Memory:
         return retrieve.summary_scores(keys.join(asked, "question_id").withColumn("similarity", F.when(F.col("key").isNotNull(), similar)))
 
     def query(self, questions: DataFrame) -> DataFrame:
-        """Answers questions (question_id, question, question_time) in one plan; adds output and top_session_ids."""
+        """Answers questions (question_id, question, question_time) in one plan; adds output and top_session_ids. A summary stored without a vector gets one here."""
         c, tables = self.config, self.store.load()
+        lacking = tables["summaries"].where("embedding is null").drop("embedding").withColumn("shown", self._shown("summaries"))
+        tables["summaries"] = tables["summaries"].where("embedding is not null").unionByName(extract.embed(lacking, "shown", self.embedder).drop("shown"))
         asked, nodes = self.asked(questions), tables["nodes"].where("extracted")
         found = retrieve.top_entities(retrieve.entity_scores(asked.where("query_vec is not null"), nodes), c.top_entities).select("question_id", "name", "rank")
         # questions without a vector, or a graph without any: by name

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text, vector
 from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, rerank, retrieve
+from threadloom.operators.node_index import NodeIndex
 from threadloom.plans.config import Config
 from threadloom.plans.lineage import cut
 from threadloom.sources import corpus
@@ -158,6 +159,14 @@ class Memory:
             version = self.store.compact(version)
         return version
 
+    def _index(self) -> NodeIndex:
+        """The index of the newest snapshot's nodes, if it was built."""
+        return NodeIndex(self.spark, f"{self.store.base}/index/v={max(self.store.versions(), default=None)}")
+
+    def build_index(self, cells: int | None = None) -> None:
+        """Indexes the newest snapshot's nodes, for many questions on a large memory; a later snapshot is searched without it, until this is called again."""
+        self._index().build(self.store.load()["nodes"].where("extracted"), cells)
+
     def asked(self, questions: DataFrame) -> DataFrame:
         """What to search for: the entities that a question names (question_id, query_ord, query_name, query_type, query_vec), else the question itself."""
         prompt = F.concat(F.lit(_NAME), F.coalesce("question", F.lit("")), F.lit("\nAsked at: "), F.coalesce("question_time", F.lit("")))
@@ -181,7 +190,9 @@ class Memory:
         lacking = tables["summaries"].where("embedding is null").drop("embedding").withColumn("shown", self._shown("summaries"))
         tables["summaries"] = tables["summaries"].where("embedding is not null").unionByName(extract.embed(lacking, "shown", self.embedder).drop("shown"))
         asked, nodes = self.asked(questions), tables["nodes"].where("extracted")
-        found = retrieve.top_entities(retrieve.entity_scores(asked.where("query_vec is not null"), nodes), c.top_entities).select("question_id", "name", "rank")
+        index, seen = self._index(), asked.where("query_vec is not null")
+        found = index.search(seen, c.top_entities) if index.exists() else retrieve.top_entities(retrieve.entity_scores(seen, nodes), c.top_entities)
+        found = found.select("question_id", "name", "rank")
         # questions without a vector, or a graph without any: by name
         unseen = asked.join(found, "question_id", "left_anti")
         found = cut(found.unionByName(retrieve.name_fallback(unseen, nodes)))

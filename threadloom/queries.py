@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions import temporal, text, vector
-from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, ledger, rerank, retrieve
+from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, ledger, node_index, rerank, retrieve
 from threadloom.plans.lineage import cut
 from threadloom.plans.memory import folded
 from threadloom.sources import convert, corpus
@@ -298,6 +298,16 @@ def vector_topk(spark, sf_dir):
     return longs(entities(spark, sf_dir).drop("entity_type"), "rank")
 
 
+@query(f"""with {ENTITIES}, near as (select question_id, cast(vec_id as bigint) as ordinal, 'v' || vec_id as name,
+  round(greatest(0.7 * list_cosine_similarity(cast(embedding as double[]), query_vec) + case when vec_id % 5 = 0 then 0.3 else 0 end, 0), 6) as score from embeddings cross join centres)
+select * from (select *, row_number() over (partition by question_id order by score desc, ordinal) - 1 as rank from near) where rank < 8""")
+def node_index_topk(spark, sf_dir):
+    """The nodes nearest to each question by the index of cells, over all vectors; every fifth node has no type, as the questions."""
+    stored = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("ordinal"), F.concat(F.lit("v"), "vec_id").alias("name"), F.when(F.col("vec_id") % 5 != 0, "vector").alias("entity_type"), "embedding")
+    found = node_index.scratch_index(spark, stored).search(questions(spark, sf_dir), 8)
+    return longs(found.select("question_id", "ordinal", "name", "score", "rank"), "rank")
+
+
 def pool(spark, sf_dir) -> DataFrame:
     """Candidates by the likeness of their source's vector with the question's; a table, as every reranker reads it more than once."""
     found = retrieve.incident_triples(entities(spark, sf_dir), edges(spark, sf_dir))

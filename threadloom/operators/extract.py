@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import asyncio
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -49,27 +52,75 @@ class HashEmbedder:
         return out
 
 
-def generate(rows: DataFrame, prompt: str, make, out: str = "reply") -> DataFrame:
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls a model that answers one prompt at a time (``async def agenerate(prompt)``): at most `concurrency` calls are under way at once.
+
+    A call over `timeout` seconds fails. A failing call is made again up to `retries` times, after `backoff` seconds and then twice as long each time.
+    Over a whole cluster as many calls can be under way as tasks run, times `concurrency`.
+    """
+
+    concurrency: int = 16
+    timeout: float | None = None
+    retries: int = 0
+    backoff: float = 0.5
+
+
+def _one_by_one(model, prompts: list[str], calls: Calls) -> list[tuple[str, float, str | None]]:
+    async def ask(prompt: str, gate: asyncio.Semaphore) -> tuple[str, float, str | None]:
+        async with gate:
+            began, error = time.monotonic(), None
+            for k in range(calls.retries + 1):
+                if k:
+                    await asyncio.sleep(calls.backoff * 2 ** (k - 1))
+                try:
+                    return await asyncio.wait_for(model.agenerate(prompt), calls.timeout) or "", time.monotonic() - began, None
+                except Exception as e:  # a row that fails must not end the job
+                    error = f"{type(e).__name__}: {e}"
+            return "", time.monotonic() - began, error
+
+    async def all_of() -> list:
+        gate = asyncio.Semaphore(calls.concurrency)
+        return await asyncio.gather(*(ask(p, gate) for p in prompts))
+
+    return asyncio.run(all_of())
+
+
+def _in_batches(model, prompts: list[str]) -> list[tuple[str, float, str | None]]:
+    """A batch in one call; if it fails, row by row."""
+    began = time.monotonic()
+    try:
+        said = model.generate(prompts)
+        return [(x or "", (time.monotonic() - began) / len(prompts), None) for x in said]
+    except Exception:
+        out = []
+        for p in prompts:
+            began = time.monotonic()
+            try:
+                out.append((model.generate([p])[0] or "", time.monotonic() - began, None))
+            except Exception as e:  # a row that fails must not end the job
+                out.append(("", time.monotonic() - began, f"{type(e).__name__}: {e}"))
+        return out
+
+
+def generate(rows: DataFrame, prompt: str, make, out: str = "reply", calls: Calls | None = None, told: str | None = None) -> DataFrame:
     """Adds a model's reply to each row's prompt. A failing batch is asked again row by row; a failing row gets ''.
 
-    make: a function without arguments that gives a TextGenerator, called once in a task.
+    make: a function without arguments that gives a TextGenerator, or a model with `agenerate` (see `Calls`), called once in a task.
+    told: with it, the columns {told}_seconds and {told}_error say how long each reply took, and why it failed (null if it didn't).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in batches:
-            try:
-                said = model.generate(batch[prompt].tolist())
-            except Exception:
-                said = []
-                for p in batch[prompt]:
-                    try:
-                        said += model.generate([p])
-                    except Exception:  # a row that fails must not end the job
-                        said.append("")
-            yield batch.assign(**{out: said})
-
-    return rows.mapInPandas(run, rows.withColumn(out, F.lit("")).schema)
+            prompts = batch[prompt].tolist()
+            found = _one_by_one(model, prompts, calls or Calls()) if hasattr(model, "agenerate") else _in_batches(model, prompts) if prompts else []
+            said, seconds, errors = ([x[k] for x in found] for k in range(3))
+            yield batch.assign(**{out: said} | ({f"{told}_seconds": seconds, f"{told}_error": errors} if told else {}))
+
+    wide = rows.withColumn(out, F.lit(""))
+    wide = wide.withColumns({f"{told}_seconds": F.lit(0.0), f"{told}_error": F.lit(None).cast("string")}) if told else wide
+    return rows.mapInPandas(run, wide.schema)
 
 
 def embed(rows: DataFrame, column: str, make, out: str = "embedding") -> DataFrame:

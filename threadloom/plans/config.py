@@ -22,6 +22,11 @@ class Config:
     temporal: bool = True
     decay_power: float = 0.5
     embedding_dimensions: int = 64
+    model: str = "generator"  # names by which prices are found
+    query_model: str = "generator"
+    concurrency: int = 16  # calls under way at once in a task, for models that answer one prompt at a time
+    call_timeout: float | None = None
+    call_retries: int = 0
     store_buckets: int = 16  # folders by key that a full version is dealt into
     compact_after: int = 20  # additions after which the segments of a memory are folded into one
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text, vector
-from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, rerank, retrieve
+from threadloom.operators import chunking, context, dedup, evaluate, extract, graph, ledger, rerank, retrieve
 from threadloom.operators.node_index import NodeIndex
 from threadloom.plans.config import Config
 from threadloom.plans.lineage import cut
@@ -31,6 +31,7 @@ MERGE = """Bring this summary up to date with what was said since, in the same J
 Keep what still holds, change what no longer does, and add pairs of theme and summary for new topics.
 Summary so far: """
 _ANSWER_FAILED = "No answer could be generated."
+QUERY_STAGES = ("query_entities", "answer", "judge")
 _PLACES = 24  # bits of an ordinal that number the records of a reply
 
 
@@ -44,14 +45,38 @@ def folded(relations: DataFrame) -> DataFrame:
 
 
 class Memory:
-    """generator, embedder: functions without arguments that make a TextGenerator or Embedder in a worker."""
+    """generator, embedder: functions without arguments that make a TextGenerator or Embedder in a worker.
 
-    def __init__(self, spark: SparkSession, base: str, config: Config | None = None, generator=extract.EchoGenerator, embedder=None):
-        self.spark, self.config, self.generator = spark, config or Config(), generator
+    query_generator: a model of its own for questions; the same one, if none is given. Every model call leaves a row in `calls`.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, config: Config | None = None, generator=extract.EchoGenerator, embedder=None, query_generator=None):
+        self.spark, self.config, self.generator, self.query_generator = spark, config or Config(), generator, query_generator or generator
         dimensions = self.config.embedding_dimensions
         self.embedder = embedder or (lambda: extract.HashEmbedder(dimensions))
         self.store = Snapshots(spark, base, self.config.store_buckets)
 
+    def _replies(self, rows: DataFrame, stage: str, prompt: str = "prompt", out: str = "reply") -> DataFrame:
+        """Rows with their replies and `call_error`, kept, since a model asked again may answer otherwise; each call is noted."""
+        c, query = self.config, stage in QUERY_STAGES
+        limits = extract.Calls(c.concurrency, c.call_timeout, c.call_retries)
+        found = cut(extract.generate(rows, prompt, self.query_generator if query else self.generator, out, limits, "call"))
+        tokens = F.when(F.col(out) != "", text.token_estimate(F.col(out))).otherwise(0).cast("long")
+        noted = found.select(F.lit("query" if query else "build").alias("phase"), F.lit(stage).alias("stage"), F.lit(c.query_model if query else c.model).alias("model"), text.token_estimate(F.col(prompt)).alias("prompt_tokens"), tokens.alias("completion_tokens"), F.col("call_seconds").alias("seconds"), F.col("call_error").alias("error"))
+        noted.write.mode("append").parquet(f"{self.store.base}/llm_calls")
+        return found.drop("call_seconds")
+
+    def calls(self) -> DataFrame:
+        """A row for each model call of this memory so far, in any session: phase, stage, model, prompt_tokens, completion_tokens, seconds, error."""
+        path, fs = self.store._fs(f"{self.store.base}/llm_calls")
+        return self.spark.read.schema(ledger.CALLS).parquet(str(path)) if fs.exists(path) else self.spark.createDataFrame([], ledger.CALLS)
+
+    def report(self, prices: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rollups of all calls, one row of totals beside the measures of results, and advice."""
+        costs = cut(ledger.costs(self.calls(), prices))
+        overview = cut(ledger.overview(costs, self.evaluate(results)))
+        return ledger.rollups(costs), overview, ledger.advice(overview)
+
     def chunks(self, sessions: DataFrame, first: int = 0) -> DataFrame:
         """Turn pairs of dialogues, or windows of words, by `chunk_mode`, numbered from `first` in the order of documents."""
         c, sessions = self.config, corpus.with_doc_id(sessions)
@@ -70,7 +95,7 @@ class Memory:
         Ordinals count by chunk, then by the record's place in the reply.
         """
         asked = chunks.select("chunk_id", "session_id", "session_time", F.concat(F.lit(_EXTRACT), "text").alias("prompt"))
-        replies = cut(extract.generate(asked, "prompt", self.generator))
+        replies = self._replies(asked, "extraction")
         ordinal = F.shiftleft("chunk_id", _PLACES) + F.col("place")
         entities = extract.parse_entities(replies.select("chunk_id", "reply"), place="place").withColumn("ordinal", ordinal)
         relations = extract.parse_relations(replies.select("chunk_id", F.col("session_time").alias("st"), F.col("session_id").alias("sid"), "reply"), place="place").withColumn("ordinal", ordinal)
@@ -90,7 +115,7 @@ class Memory:
             before = old.select("session_id", context.summary_line(F.col("session_id"), F.col("session_time"), F.col("keys"), F.col("context")).alias("before"))
             whole = whole.join(before, "session_id", "left")
             prompt = F.when(F.col("before").isNotNull(), F.concat(F.lit(MERGE), "before", F.lit("\n"), told)).otherwise(prompt)
-        replies = extract.generate(whole.select("session_id", "session_time", prompt.alias("prompt")), "prompt", self.generator)
+        replies = self._replies(whole.select("session_id", "session_time", prompt.alias("prompt")), "summaries")
         new = cut(extract.parse_summaries(replies.select("session_id", "session_time", "reply")))
         if old is None:
             return new
@@ -170,7 +195,7 @@ class Memory:
     def asked(self, questions: DataFrame) -> DataFrame:
         """What to search for: the entities that a question names (question_id, query_ord, query_name, query_type, query_vec), else the question itself."""
         prompt = F.concat(F.lit(_NAME), F.coalesce("question", F.lit("")), F.lit("\nAsked at: "), F.coalesce("question_time", F.lit("")))
-        replies = extract.generate(questions.select("question_id", "question", prompt.alias("prompt")), "prompt", self.generator)
+        replies = self._replies(questions.select("question_id", "question", prompt.alias("prompt")), "query_entities")
         named = cut(extract.parse_query_entities(replies.select("question_id", "reply")))
         rest = questions.join(named, "question_id", "left_anti").select("question_id", F.lit(0).alias("query_ord"), F.col("question").alias("query_name"), F.lit("unknown").alias("query_type"))
         return cut(extract.embed(named.unionByName(rest), "query_name", self.embedder, "query_vec"))
@@ -185,7 +210,7 @@ class Memory:
         return retrieve.summary_scores(keys.join(asked, "question_id").withColumn("similarity", F.when(F.col("key").isNotNull(), similar)))
 
     def query(self, questions: DataFrame) -> DataFrame:
-        """Answers questions (question_id, question, question_time) in one plan; adds output and top_session_ids. A summary stored without a vector gets one here."""
+        """Answers questions (question_id, question, question_time) in one plan; adds output, error (why the model failed, else null) and top_session_ids. A summary stored without a vector gets one here."""
         c, tables = self.config, self.store.load()
         lacking = tables["summaries"].where("embedding is null").drop("embedding").withColumn("shown", self._shown("summaries"))
         tables["summaries"] = tables["summaries"].where("embedding is not null").unionByName(extract.embed(lacking, "shown", self.embedder).drop("shown"))
@@ -210,8 +235,8 @@ class Memory:
         chosen = context.with_stubs(context.chunks_of(best, tables["chunks"], c.top_chunks), tables["edges"])
         prompts = context.prompts(questions, best, chosen, told)
         sessions = best.groupBy("question_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "session_id"))), lambda x: x["session_id"])).alias("top_session_ids"))
-        replies = extract.generate(prompts, "prompt", self.generator, "output").withColumn("output", F.coalesce(F.nullif("output", F.lit("")), F.lit(_ANSWER_FAILED)))
-        return questions.join(replies.select("question_id", "output"), "question_id", "left").join(sessions, "question_id", "left")
+        replies = self._replies(prompts, "answer", out="output").withColumn("output", F.coalesce(F.nullif("output", F.lit("")), F.lit(_ANSWER_FAILED)))
+        return questions.join(replies.select("question_id", "output", F.col("call_error").alias("error")), "question_id", "left").join(sessions, "question_id", "left")
 
     def evaluate(self, results: DataFrame) -> DataFrame:
         """Accuracy, answer rate and session recall over results with answer, output, origin and top_session_ids."""
@@ -221,6 +246,6 @@ class Memory:
     def judge(self, results: DataFrame) -> DataFrame:
         """Accuracy by question type as a judging model sees it (question_type, question, answer, output)."""
         prompt = evaluate.judge_prompt(F.col("question_type"), F.col("question"), F.col("answer"), F.col("output"))
-        said = extract.generate(results.withColumn("judge_prompt", prompt), "judge_prompt", self.generator, "verdict")
+        said = self._replies(results.withColumn("judge_prompt", prompt), "judge", "judge_prompt", "verdict")
         rows = said.withColumn("answered", F.coalesce("output", F.lit("")) != "").withColumn("correct", evaluate.verdict(F.col("verdict")))
         return evaluate.metrics(rows, "question_type")

@@ -433,6 +433,15 @@ def calls(spark, sf_dir) -> DataFrame:
 CALLS = """calls as (select event_type as stage, greatest(1, length(props) // 4) as p, event_id % 50 as c, abs(value) as seconds, case when user_id % 5 < 4 then (greatest(1, length(props) // 4) * (0.5 + user_id % 5) + (event_id % 50) * (1.5 + user_id % 5)) / 1000 else 0 end::double as cost from events)"""
 
 
+@query(f"""with {CALLS}, c as (select *, case when stage < 'm' then 'build' else 'query' end as phase, case when p % 3 = 0 then 'failed' end as error from calls),
+r as (select phase, stage, count(*) as calls, cast(sum(p) as bigint) as prompt_tokens, cast(sum(c) as bigint) as completion_tokens, sum(seconds) as s, sum(cost) as cost, count(error) as errors from c group by grouping sets ((phase, stage), (phase), ()))
+select phase, stage, calls, prompt_tokens, completion_tokens, round(s, 4) as seconds, round(cost, 4) as cost, errors, round(100 * s / (select sum(seconds) from c), 4) as percent from r""")
+def report_rollups(spark, sf_dir):
+    """All calls by stage, by phase and over all, by grouping sets."""
+    rows = calls(spark, sf_dir).withColumn("phase", F.when(F.col("stage") < "m", "build").otherwise("query")).withColumn("error", F.when(F.col("prompt_tokens") % 3 == 0, "failed"))
+    return ledger.rollups(rows).withColumns({c: F.round(c, 4) for c in ("seconds", "cost", "percent")})
+
+
 @query(f"with {CALLS} select stage, count(*) as calls, cast(sum(p) as bigint) as prompt_tokens, cast(sum(c) as bigint) as completion_tokens, round(sum(cost), 4) as cost from calls group by stage")
 def token_cost(spark, sf_dir):
     return ledger.by_stage(calls(spark, sf_dir)).select("stage", "calls", "prompt_tokens", "completion_tokens", F.round("cost", 4).alias("cost"))

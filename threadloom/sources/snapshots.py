@@ -140,6 +140,8 @@ class Snapshots:
         used = {version, *(k for parts in self.manifest(version)["segments"].values() for k in parts)}
         for s in fs.listStatus(path):
             name = s.getPath().getName()
+            if not name.startswith("v="):
+                continue
             if name not in {f"v={k}" for k in used}:
                 fs.delete(s.getPath(), True)
             elif name != f"v={version}":

@@ -74,20 +74,22 @@ def _grams(symbols: np.ndarray, size: int):
 
 
 def train(spark: SparkSession, labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
-    """Counts contexts in at most `per_language` texts of each language (doc_id, text, lang), chosen by hash of doc_id.
+    """Counts contexts in at most `per_language` texts of each language (doc_id, text, lang), chosen by hash of doc_id and text.
 
-    Rows with a null text or language teach nothing.
+    Rows with a null text or language teach nothing; rows that are alike in all three teach once. Rows without a doc_id, or with one that
+    others have too, count like any other.
     """
     small_batches(spark)
     labelled = columns_or_null(labelled, doc_id="long", text="string", lang="string").where("text is not null and lang is not null")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    labelled = labelled.withColumn("key", F.xxhash64("doc_id", "text"))
+    place = F.shiftrightunsigned("key", 1)
     # about twice as many as asked for, so that a task ranks few rows of a common language; a share for
     # each language is broadcast (the model holds far more for each), so that rows are thinned out before the shuffle
-    share = labelled.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
-    some = labelled.select("doc_id", "lang").join(F.broadcast(share), "lang").where(place < F.col("share") * F.lit(float(1 << 63)))
-    chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # at most per_language ids a language
+    share = labelled.groupBy("lang").agg((F.lit(2.0 * per_language) / F.approx_count_distinct("key")).alias("share"))
+    some = labelled.select("key", "lang").join(F.broadcast(share), "lang").where(place < F.col("share") * F.lit(float(1 << 63)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "key"))
+    chosen = some.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "key")
+    sample = labelled.join(F.broadcast(chosen), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")  # at most per_language keys a language
     seen = sample.mapInArrow(_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "byte").collect()
     size = len(seen) + 2
     symbols = np.full(256, size - 1, np.int32)

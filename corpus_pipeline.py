@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm import backtrack_bpe, jaccard_join, mixing, ppm_language, toxicity
 from threadloom.llm.queries import read, tokenizer_path
@@ -31,8 +32,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each row's ids and decoded text."""
-    return backtrack_bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), digests=True)
+    """Each row's ids (little-endian, 4 bytes each), and digests of them and of the text that they decode to."""
+    coded = backtrack_bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_language), ("near_copies", drop_near_copies), ("mixing", mix_sources), ("encoding", encode)]

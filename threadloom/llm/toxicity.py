@@ -1,10 +1,11 @@
 """Toxic documents and their offending sentences, by multiple-instance learning.
 
-A document is a bag of sentences. A sentence is toxic with probability sigmoid(b + sum of the
-weights of its features); a document is toxic unless none of its sentences is (noisy-or). Weights are
-fitted to document labels alone, on a bounded sample; sentence scores then tell where the toxicity is.
-In scoring, of the sentences under a small probability only the likeliest counts: they are what any text
-has, and without this a clean text would become toxic by its length alone.
+A document is a bag of sentences. With p = sigmoid(b + sum of the weights of a sentence's features) and
+p0 = sigmoid(b), what a sentence without any feature has, a sentence is toxic with probability
+q = (p - p0) / (1 - p0); a document is toxic unless none of its sentences is, nor the leak, which any
+document has once (noisy-or). Weights are 0 or more, so q is too, and sentences without features add
+nothing however many they are. Weights, b and leak are fitted by this rule to document labels alone, on a
+bounded sample, and texts are scored by it (one without a sentence: 0); q then tells where the toxicity is.
 Features are words and their first 4, 5 and 6 bytes, so that inflected or derived forms count too.
 """
 
@@ -27,7 +28,6 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 _PREFIXES = (4, 5, 6)
 _SLICE = 1 << 20  # bytes of text in work at a time
-_BACKGROUND = 0.1  # sentences of a lower probability don't add up
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -75,7 +75,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _bags(known):
-    """For each document its label, its number of sentences, and the features of those that have some."""
+    """For each document that has a sentence its label, and the features of its sentences that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(known.value, np.uint64)
@@ -85,9 +85,10 @@ def _bags(known):
                 f, s, row, _, _ = _features(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], own)
                 pair = np.unique(s * max(len(own), 1) + f)
                 s, f = np.divmod(pair, max(len(own), 1))
-                cuts, n = np.searchsorted(row[s], np.arange(last - first + 1)), np.bincount(row, minlength=last - first)
-                blobs = [(s[a:b].astype("<i4").tobytes(), f[a:b].astype("<u2").tobytes()) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(first, last - first), pa.array(n), pa.array([x for x, _ in blobs], pa.binary()), pa.array([y for _, y in blobs], pa.binary())], ["toxic", "sentences", "places", "features"])
+                cuts = np.searchsorted(row[s], np.arange(last - first + 1))
+                told = np.flatnonzero(np.bincount(row, minlength=last - first))
+                blobs = [(s[cuts[k] : cuts[k + 1]].astype("<i4").tobytes(), f[cuts[k] : cuts[k + 1]].astype("<u2").tobytes()) for k in told.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(first, last - first).take(pa.array(told)), pa.array([x for x, _ in blobs], pa.binary()), pa.array([y for _, y in blobs], pa.binary())], ["toxic", "places", "features"])
 
     return run
 
@@ -97,15 +98,15 @@ class ToxicityModel:
     known: np.ndarray  # sorted feature hashes
     weights: np.ndarray
     bias: float
+    leak: float = 0.0  # -log of the probability that a document without toxic sentences is clean
 
 
 @dataclass
 class _Part:
-    """Some documents as flat arrays: each pair of a sentence and a feature, the document of each sentence."""
+    """Some documents as flat arrays: each pair of a sentence and a feature, the document of each sentence that has a feature."""
 
     toxic: np.ndarray
-    bare: np.ndarray  # sentences without a feature
-    owner: np.ndarray  # of each other sentence: its document
+    owner: np.ndarray  # of each sentence: its document
     sentence: np.ndarray  # of each pair
     feature: np.ndarray
 
@@ -115,42 +116,46 @@ def _part(bags: list) -> _Part:
     doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(r["places"]) // 4 for r in bags])
     new = np.ones(len(doc), bool)  # pairs come by document and sentence
     new[1:] = (doc[1:] != doc[:-1]) | (places[1:] != places[:-1])
-    owner = doc[new]
-    total = np.array([r["sentences"] for r in bags], float)
-    return _Part(np.array([r["toxic"] for r in bags], np.int8), total - np.bincount(owner, minlength=len(bags)), owner, np.cumsum(new, dtype=np.int32) - 1, features)
+    return _Part(np.array([r["toxic"] for r in bags], np.int8), doc[new], np.cumsum(new, dtype=np.int32) - 1, features)
 
 
-def _gradient(part: _Part, w: np.ndarray, b: float, share: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
-    """Of the noisy-or likelihood: with S = sum of softplus(z) over sentences, P(toxic) = 1 - exp(-S). share: what a clean and a toxic document count."""
-    n = len(part.toxic)
+def _evidence(z: np.ndarray, b: float) -> np.ndarray:
+    """-log(1 - q) of sentences from their log-odds."""
+    return np.logaddexp(0, z) - np.logaddexp(0, b)
+
+
+def _gradient(part: _Part, x: np.ndarray, share: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Of the noisy-or likelihood in x, the weights, b and log(leak): with S = leak - sum of log(1 - q) over sentences, P(toxic) = 1 - exp(-S). share: what a clean and a toxic document count."""
+    n, w, b, leak = len(part.toxic), x[:-2], x[-2], np.exp(x[-1])
     z = b + np.bincount(part.sentence, weights=w[part.feature], minlength=len(part.owner))
-    s = np.bincount(part.owner, weights=np.logaddexp(0, z), minlength=n) + part.bare * np.logaddexp(0, b)
-    s = np.clip(s, 1e-9, 500)
+    s = np.clip(leak + np.bincount(part.owner, weights=_evidence(z, b), minlength=n), 1e-9, 500)
     up = np.where(part.toxic > 0, -share[1] / np.expm1(s), share[0])
-    dz = up[part.owner] / (1 + np.exp(-z))
-    return np.append(np.bincount(part.feature, weights=dz[part.sentence], minlength=len(w)), dz.sum() + (up * part.bare).sum() / (1 + np.exp(-b)))
+    p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+    dz = up[part.owner] * p
+    return np.concatenate([np.bincount(part.feature, weights=dz[part.sentence], minlength=len(w)), [(up[part.owner] * (p - p0)).sum(), up.sum() * leak]])
 
 
-def _fit(bags: list, size: int, steps: int, rate: float, decay: float, per_part: int = 500, share: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
-    """Adam over all documents at each step; `per_part` of them at a time, so that little is held beside the pairs."""
+def _fit(bags: list, size: int, steps: int, rate: float, decay: float, per_part: int = 500, share: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float, float]:
+    """Adam over all documents at each step, weights held at 0 or more; `per_part` documents at a time, so that little is held beside the pairs."""
     n, parts = len(bags), []
     while bags:
         parts.append(_part(bags[-per_part:]))
         del bags[-per_part:]
-    w, b = np.zeros(size), -6.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    x = np.concatenate([np.zeros(size), [-4.0, -5.0]])
+    m, v = np.zeros(size + 2), np.zeros(size + 2)
     for step in range(1, steps + 1):
-        grad = sum(_gradient(part, w, b, share) for part in parts) / n + np.append(decay * w, 0)
+        grad = sum(_gradient(part, x, share) for part in parts) / n
+        grad[:-2] += decay * x[:-2]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        x[:-2] = np.maximum(x[:-2], 0)
+    return x[:-2], float(x[-2]), float(np.exp(x[-1]))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None, most: int = 24_000, most_features: int = 4096, steps: int = 400) -> ToxicityModel:
     """Fits to docs (doc_id long, text) with labels (doc_id long, toxic 0/1); at most `most` labels, a third of them toxic, by hash of doc_id.
 
-    Rows with a null label or text teach nothing; a doc_id labelled both ways counts as toxic. Without a
+    Rows with a null label or text, or without a letter, teach nothing; a doc_id labelled both ways counts as toxic. Without a
     toxic or without a clean row the model gives every text a score near 0. Without labels, docs has toxic.
     Sampled rows of a class count for all of its labels, so that scores mean the same at every size.
     """
@@ -180,18 +185,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     best = seen.where("bad >= 3").withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "feature").limit(most_features).select("feature").collect()
     known = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
     given = spark.sparkContext.broadcast(known.tobytes())
-    bags = sample.mapInArrow(_bags(given), "toxic int, sentences long, places binary, features binary").collect()
-    weights, bias = _fit(bags, len(known), steps, 0.1, 2e-5, share=share) if len(known) else (np.zeros(0), -8.0)
-    return ToxicityModel(known, weights, bias)
-
-
-def _noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Scores of n texts from their sentences' log-odds: 1 - the product of 1 - p over those that are no background and the likeliest of the others."""
-    survives = np.logaddexp(0, z)
-    speaks = survives >= -np.log1p(-_BACKGROUND)
-    rest = np.zeros(n)
-    np.maximum.at(rest, row[~speaks], survives[~speaks])
-    return -np.expm1(-np.bincount(row[speaks], weights=survives[speaks], minlength=n) - rest)
+    bags = sample.mapInArrow(_bags(given), "toxic int, places binary, features binary").collect()
+    weights, bias, leak = _fit(bags, len(known), steps, 0.1, 2e-4, share=share) if len(known) else (np.zeros(0), -8.0, 0.0)
+    return ToxicityModel(known, weights, bias, leak)
 
 
 def _scores(model, threshold: float):
@@ -204,13 +200,15 @@ def _scores(model, threshold: float):
                 f, s, row, starts, ends = _features(part, offsets[first : last + 1] - offsets[first], own.known)
                 s, f = np.divmod(np.unique(s * max(len(own.known), 1) + f), max(len(own.known), 1))
                 z = own.bias + np.bincount(s, weights=own.weights[f], minlength=len(row))
-                found = np.flatnonzero(z > 0)
+                evidence = _evidence(z, own.bias)
+                found = np.flatnonzero(evidence > np.log(2))
                 base = offsets[first:last] - offsets[first]
                 spans: list[list] = [[] for _ in range(n)]
                 for k in found.tolist():
                     r = row[k]
-                    spans[r].append({"start": int(starts[k] - base[r]), "end": int(ends[k] - base[r]), "score": float(1 / (1 + np.exp(-z[k])))})
-                score = _noisy_or(z, row, n)
+                    spans[r].append({"start": int(starts[k] - base[r]), "end": int(ends[k] - base[r]), "score": float(-np.expm1(-evidence[k]))})
+                told = np.bincount(row, minlength=n) > 0
+                score = np.where(told, -np.expm1(-own.leak - np.bincount(row, weights=evidence, minlength=n)), 0.0)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
                 ids = [batch.column(c).slice(first, n) for c in batch.schema.names if c != "text"]
                 names = [c for c in batch.schema.names if c != "text"]
@@ -224,8 +222,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold:
 
     A row for each row. Null and empty texts, and texts without letters, have no sentences and a score
     of 0. sentences: those that are toxic with a probability over 1/2, as byte ranges of the UTF-8 text.
-    Texts of any length are read whole. Sentences of a probability under 0.1 count by the likeliest of them alone,
-    so a text without any other scores under 0.1 however long it is.
+    Texts of any length are read whole; sentences without known features add nothing to the score.
     """
     small_batches(spark)
     given = spark.sparkContext.broadcast(model)

@@ -20,6 +20,11 @@ def chunks_of(triples: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     return top(first.join(chunks.select("chunk_id", "text"), "chunk_id", "left"), [F.col("at"), F.col("chunk_id")], k, rank="chunk_rank").drop("at")
 
 
+def chunk_ids_of(relations: DataFrame) -> DataFrame:
+    """The distinct chunks that relations come from, those of none left out."""
+    return relations.select("chunk_id").where("chunk_id is not null").distinct()
+
+
 def stub_text(edges: DataFrame, most: int = 10) -> DataFrame:
     """For chunks without a stored text: up to `most` of their relations."""
     first = top(edges, [F.col("ordinal"), F.col("src"), F.col("tgt")], most, ("chunk_id",))

@@ -68,6 +68,13 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many rows of `new` (one for each key) are added, and how many are merged into a row of `old` with the same keys."""
+    had = F.col("had").isNotNull()
+    rows = new.select(*keys).join(old.select(*keys, F.lit(True).alias("had")), keys, "left")
+    return rows.agg(F.count_if(~had).alias("added"), F.count_if(had).alias("merged"))
+
+
 def node_types(names: DataFrame, entities: DataFrame) -> DataFrame:
     """Each name with the type of the first entity of that name, else `unknown`."""
     first = entities.groupBy(F.col("entity").alias("name")).agg(F.min_by("type", "ordinal").alias("t"))

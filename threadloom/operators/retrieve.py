@@ -98,6 +98,24 @@ def incident_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("src", "tgt", "relation").agg(F.min("phase").alias("phase"), F.min("chunk_id").alias("chunk_id"))
 
 
+def relations_of(names: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """The first k edges of each question's names (question_id, query_ord, name), each (source, target, relation) once: name by name, incoming before outgoing, in order of their ordinals.
+
+    A null name, and one without edges, has none.
+    """
+    into, out = (edges.join(names.select("question_id", "query_ord", F.col("name").alias(end)), end).withColumn("phase", F.lit(phase)) for phase, end in enumerate(("tgt", "src")))
+    kept = [c for c in edges.columns if c not in ("src", "tgt", "relation")]
+    first = F.min_by(F.struct(*kept), F.struct("query_ord", "phase", "ordinal")).alias("e")
+    rows = into.unionByName(out).groupBy("question_id", "src", "tgt", "relation").agg(F.min(F.struct("query_ord", "phase", "ordinal")).alias("at"), first)
+    return top(rows, [F.col("at"), F.col("src"), F.col("tgt"), F.col("relation")], k).select("question_id", "src", "tgt", "relation", "e.*", "rank")
+
+
+def visual_triples(triples: DataFrame, n: int = 10, in_table: int = 5, score: str = "final_score", rank: str = "final_rank") -> DataFrame:
+    """The first n triples of each question, as a figure shows them: cut in three by score among themselves, the first few marked for its table."""
+    shown = triples.where(F.col(rank) < n)
+    return visual_buckets(shown, score).withColumn("in_table", F.col(rank) < in_table)
+
+
 def visual_buckets(triples: DataFrame, score: str = "score") -> DataFrame:
     """Triples with their score scaled to 0..1 within the question and cut in three."""
     own = Window.partitionBy("question_id")

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields
 
 @dataclass
 class Config:
+    mode: str = "load"  # use what is stored; or "add": merge sessions into it; or "force": build anew
     chunk_mode: str = "dialogue"  # or "tokens": windows of title and content
     dialogue_layout: str = "auto"  # or "roles": user and assistant alone; or "speakers": turns of any names
     window_tokens: int = 1200

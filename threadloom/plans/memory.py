@@ -158,6 +158,22 @@ class Memory:
         self.store.keep_only(version)
         return version
 
+    def insert(self, sessions: DataFrame | None = None) -> int:
+        """Brings the memory to the state that `mode` asks for and returns its version: `load` needs one that is stored, `force` builds anew, `add` merges, or builds where nothing is stored."""
+        newest, mode = max(self.store.versions(), default=None), self.config.mode
+        if mode == "load":
+            self.store.load()
+            return newest
+        if mode not in ("add", "force"):
+            raise ValueError(f"unknown mode: {mode}")
+        if sessions is None:
+            raise ValueError(f"mode {mode} needs sessions")
+        return self.build(sessions) if mode == "force" or newest is None else self.add(sessions)
+
+    def added(self, version: int | None = None) -> dict[str, dict[str, int]]:
+        """How many nodes and edges the addition that made a version, the newest by default, added and merged; of a build, nothing."""
+        return self.store.manifest(max(self.store.versions(), default=None) if version is None else version).get("counts", {})
+
     def add(self, sessions: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
         """Merges sessions into the newest snapshot and writes the next one. Old names are matched exactly.
 
@@ -170,16 +186,33 @@ class Memory:
         held = manifest["batches"]
         if stream is not None and batch <= held.get(stream, -1):
             return newest
-        chunks = cut(self.chunks(sessions, manifest["next_chunk"]))
+        batches = held | ({stream: batch} if stream is not None else {})
+        return self._merged(newest, manifest, self.chunks(sessions, manifest["next_chunk"]), batches, sessions)
+
+    def add_chunks(self, chunks: DataFrame) -> int:
+        """Merges chunks made elsewhere (doc_id, chunk_idx, session_id, session_time, text; title and n_turns if known) as `add` does; they are numbered on, and no summary is touched."""
+        newest = max(self.store.versions(), default=None)
+        manifest = self.store.manifest(newest)
+        given = {"title": F.lit(None).cast("string"), "n_turns": F.lit(None).cast("int")}
+        chunks = chunks.withColumns({c: x for c, x in given.items() if c not in chunks.columns})
+        rows = chunks.select("doc_id", "title", "session_id", "session_time", F.col("chunk_idx").cast("int").alias("chunk_idx"), "n_turns", "text")
+        return self._merged(newest, manifest, chunking.with_chunk_ids(rows.where("coalesce(text, '') != ''"), manifest["next_chunk"]), manifest["batches"])
+
+    def _merged(self, newest: int | None, manifest: dict, chunks: DataFrame, batches: dict[str, int], sessions: DataFrame | None = None) -> int:
+        """The version after `newest` with chunks, what is extracted from them, and the summaries of sessions."""
+        chunks = cut(chunks)
         entities, relations = self.mentions(chunks)
         kept, names = dedup.deduplicate_entities(entities, self.config.merge_threshold)
         edges = cut(folded(dedup.canonical_ends(relations, names)))
         nodes = cut(graph.nodes_of(kept, edges))
-        old = {name: cut(self.store.touched(name, rows, newest)) for name, rows in (("nodes", nodes), ("edges", edges), ("summaries", sessions))}
-        tables = {"nodes": graph.merge_nodes(old["nodes"], nodes), "edges": graph.merge_edges(old["edges"], edges), "summaries": self.summaries(sessions, old["summaries"])}
+        new = {"nodes": nodes, "edges": edges} | ({"summaries": sessions} if sessions is not None else {})
+        old = {name: cut(self.store.touched(name, rows, newest)) for name, rows in new.items()}
+        tables = {"nodes": graph.merge_nodes(old["nodes"], nodes), "edges": graph.merge_edges(old["edges"], edges)}
+        if sessions is not None:
+            tables["summaries"] = self.summaries(sessions, old["summaries"])
+        counts = {name: graph.upsert_counts(old[name], new[name], KEYS[name]).first().asDict() for name in ("nodes", "edges")}
         version = 0 if newest is None else newest + 1
-        batches = held | ({stream: batch} if stream is not None else {})
-        self.store.append({"chunks": chunks} | self._with_vectors(tables, old), version, newest, batches, manifest["next_chunk"] + chunks.count())
+        self.store.append({"chunks": chunks} | self._with_vectors(tables, old), version, newest, batches, manifest["next_chunk"] + chunks.count(), counts)
         if max(map(len, self.store.manifest(version)["segments"].values())) > self.config.compact_after:
             version = self.store.compact(version)
         return version

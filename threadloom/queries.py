@@ -490,6 +490,40 @@ def visual_buckets(spark, sf_dir):
     return retrieve.visual_buckets(pool(spark, sf_dir), "pool_score").select("question_id", "src", "tgt", "bucket")
 
 
+@query(f"""with {SIMPLE}, shown as (select *, min(final_score) over (partition by question_id) as lo, max(final_score) over (partition by question_id) as hi from simple where final_rank < 6), x as (select *, case when hi > lo then (final_score - lo) / (hi - lo) else 1 end as z from shown)
+select question_id, src, tgt, final_rank, case when z >= 2.0::double / 3 then 'high' when z >= 1.0::double / 3 then 'medium' else 'low' end as bucket, final_rank < 3 as in_table from x""")
+def visual_triples(spark, sf_dir):
+    """The first six triples of each question's answer, cut by score among themselves, three of them for the table."""
+    return longs(retrieve.visual_triples(simple(spark, sf_dir), 6, 3).select("question_id", "src", "tgt", "final_rank", "bucket", "in_table"), "final_rank")
+
+
+@query(f"""with {ENTITIES}, met as (select e.question_id, e.rank as place, 0 as phase, x.* from edges x join entities e on x.tgt = e.name union all select e.question_id, e.rank, 1, x.* from edges x join entities e on x.src = e.name),
+once as (select * from met qualify row_number() over (partition by question_id, src, tgt, relation order by place, phase, ordinal) = 1)
+select question_id, src, tgt, relation, chunk_id, rank from (select *, row_number() over (partition by question_id order by place, phase, ordinal, src, tgt, relation) - 1 as rank from once) where rank < 5""")
+def relations_of(spark, sf_dir):
+    names = entities(spark, sf_dir).select("question_id", F.col("rank").alias("query_ord"), "name")
+    return longs(retrieve.relations_of(names, edges(spark, sf_dir), 5).select("question_id", "src", "tgt", "relation", "chunk_id", "rank"), "rank")
+
+
+@query(f"""with {ENTITIES}, named as (select distinct name from entities) select distinct chunk_id from edges where chunk_id is not null and (src in (from named) or tgt in (from named))""")
+def relation_chunks(spark, sf_dir):
+    return context.chunk_ids_of(retrieve.incident_relations(entities(spark, sf_dir).select("name").distinct(), edges(spark, sf_dir)))
+
+
+@query(f"""with {RELATIONS}, dealt as (select *, ordinal < (select max(ordinal) / 2 from relations) as early from relations), pairs as (select src, tgt, bool_or(early) as old, bool_or(not early) as new from dealt group by all),
+ends as (select src as name, early from dealt union all select tgt, early from dealt), names as (select name, bool_or(early) as old, bool_or(not early) as new from ends group by name)
+select 'edges' as kind, count_if(not old) as added, count_if(old) as merged from pairs where new union all select 'nodes', count_if(not old), count_if(old) from names where new""")
+def upsert_counts(spark, sf_dir):
+    """How many edges and nodes of the later half of the relations are new to the graph of the earlier half."""
+    rows = relations(spark, sf_dir)
+    half = rows.agg(F.max("ordinal") / 2).first()[0] or 0
+    old, new = folded(rows.where(F.col("ordinal") < half)), folded(rows.where(F.col("ordinal") >= half))
+    ends = lambda e: e.select(F.col("src").alias("name")).union(e.select("tgt")).distinct()
+    counted = [("edges", graph.upsert_counts(old, new, ["src", "tgt"])), ("nodes", graph.upsert_counts(ends(old), ends(new), ["name"]))]
+    parts = [longs(c, "added", "merged").select(F.lit(kind).alias("kind"), "added", "merged") for kind, c in counted]
+    return parts[0].union(parts[1])
+
+
 def key_similarities(spark, sf_dir) -> DataFrame:
     """Similarities of the keys of each conversation, its roles and turns, with three names of each question."""
     c = read(spark, sf_dir, "conversations")

@@ -80,23 +80,23 @@ class Snapshots:
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
 
-    def write(self, tables: dict[str, DataFrame], version: int, batches: dict[str, int] | None = None, next_chunk: int | None = None) -> None:
+    def write(self, tables: dict[str, DataFrame], version: int, batches: dict[str, int] | None = None, next_chunk: int | None = None, counts: dict | None = None) -> None:
         """Writes whole tables. A version that is written again isn't complete until its tables are."""
         if next_chunk is None:
             top = tables["chunks"].agg(F.max("chunk_id")).first()[0] if "chunks" in tables else None
             next_chunk = 0 if top is None else top + 1
-        self._write(tables, version, {"segments": {name: [version] for name in tables}, "buckets": self.buckets, "next_chunk": next_chunk, "batches": batches or {}})
+        self._write(tables, version, {"segments": {name: [version] for name in tables}, "buckets": self.buckets, "next_chunk": next_chunk, "batches": batches or {}, "counts": counts or {}})
 
-    def append(self, tables: dict[str, DataFrame], version: int, onto: int | None, batches: dict[str, int], next_chunk: int) -> None:
-        """Writes a version that is `onto` with the given rows added, or put in the place of those of the same keys."""
+    def append(self, tables: dict[str, DataFrame], version: int, onto: int | None, batches: dict[str, int], next_chunk: int, counts: dict | None = None) -> None:
+        """Writes a version that is `onto` with the given rows added, or put in the place of those of the same keys. counts: kept in its manifest."""
         old = self.manifest(onto)
         segments = {name: [*old["segments"].get(name, []), *([version] if name in tables else [])] for name in TABLES}
-        self._write(tables, version, {"segments": segments, "buckets": old["buckets"], "next_chunk": next_chunk, "batches": batches})
+        self._write(tables, version, {"segments": segments, "buckets": old["buckets"], "next_chunk": next_chunk, "batches": batches, "counts": counts or {}})
 
     def compact(self, version: int) -> int:
         """Folds the segments of each table of a version into one, as the next version, which is returned."""
         old = self.manifest(version)
-        self.write(self.read(version), version + 1, old["batches"], old["next_chunk"])
+        self.write(self.read(version), version + 1, old["batches"], old["next_chunk"], old.get("counts"))
         return version + 1
 
     def _segment(self, name: str, segment: int, buckets: list[int] | None) -> DataFrame:

@@ -109,9 +109,10 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
 
 
 def concat_sessions(parts: DataFrame, skip_contained: bool = True) -> DataFrame:
-    """Contexts of each session joined by a blank line in order of `ordinal`; one already contained is skipped."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "context"))), lambda x: x["context"])
-    rows = parts.groupBy("session_id").agg(F.min_by("session_time", "ordinal").alias("session_time"), ordered.alias("parts"))
+    """Contexts of each session joined by a blank line in order of `ordinal`; one already contained is skipped, and so is a null. A session of nulls has a null context."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("context").isNotNull(), F.struct("ordinal", "context")))), lambda x: x["context"])
+    # a part told before is contained, so that only different ones need be looked for
+    rows = parts.groupBy("session_id").agg(F.min_by("session_time", "ordinal").alias("session_time"), (F.array_distinct(ordered) if skip_contained else ordered).alias("parts"))
     add = lambda acc, x: F.when(F.contains(acc, x), acc).otherwise(F.concat(acc, F.lit("\n\n"), x))
-    joined = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1))), F.col("parts")[0], add) if skip_contained else F.array_join("parts", "\n\n")
+    joined = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1))), F.get("parts", 0), add) if skip_contained else F.when(F.size("parts") > 0, F.array_join("parts", "\n\n"))
     return rows.select("session_id", "session_time", joined.alias("context"))

@@ -20,29 +20,65 @@ def _classes(mentions: DataFrame, typed: bool) -> DataFrame:
     return mentions.withColumn("tokens", text.token_set(F.col("entity"))).withColumn("kind", kind).withColumn("key", key)
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b of sets (kind, id, tokens) of one kind whose Jaccard similarity is threshold or more.
-
-    Only the rarest tokens of each set can be the first that two such sets share (prefix filter), and
-    their sizes must be near; candidates are verified on their tokens.
-    """
-    size = F.size("tokens")
-    items = sets.select("kind", "id", size.alias("n"), F.explode("tokens").alias("token"))
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """Of sets (kind, id, tokens) the tokens that can be the first that a set shares with a similar one, in order of rarity (prefix filter): kind, token, id, n, place."""
+    items = sets.select("kind", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = items.groupBy("kind", "token").agg(F.count("*").alias("df")).where("df > 1")
     shared = items.join(df, ["kind", "token"])
     # tokens of one set only come first in the order of rarity, and can't be shared
     unique = shared.groupBy("id").agg((F.first("n") - F.count("*")).alias("alone"))
     order = Window.partitionBy("id").orderBy("df", "token")
     ranked = shared.join(unique, "id").withColumn("place", F.row_number().over(order) - 1 + F.col("alone"))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9))).select("kind", "token", "id", "n", "place")
-    a, b = (prefix.select("kind", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for s in "ab")
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9))).select("kind", "token", "id", "n", "place")
+
+
+def _similar(one: DataFrame, two: DataFrame, sets: DataFrame, threshold: float, both_ways: bool = False) -> DataFrame:
+    """(a, b), a in `one` and b in `two` (rows of _prefixes), whose sets reach the threshold; a < b, or either order. Sizes must be near, and candidates are verified on their tokens."""
+    a, b = (rows.select("kind", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for rows, s in ((one, "a"), (two, "b")))
     need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold))
-    near = (F.col("id_a") < F.col("id_b")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need - 1e-9)
-    pairs = a.join(b, ["kind", "token"]).where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    near = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need - 1e-9
+    apart = F.col("id_a") != F.col("id_b") if both_ways else F.col("id_a") < F.col("id_b")
+    pairs = a.join(b, ["kind", "token"]).where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     left, right = (sets.select(F.col("id").alias(s), F.col("tokens").alias(f"t{s}")) for s in "ab")
     return pairs.join(left, "a").join(right, "b").where(text.jaccard(F.col("ta"), F.col("tb")) >= threshold).select("a", "b")
 
 
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b of sets (kind, id, tokens) of one kind whose Jaccard similarity is threshold or more."""
+    prefixes = _prefixes(sets, threshold)
+    return _similar(prefixes, prefixes, sets, threshold)
+
+
+def set_leaders(sets: DataFrame, threshold: float, hot: int = 256, rounds: int = 8) -> DataFrame:
+    """(id, leader) of sets (kind, id, tokens), those alone left out or their own leaders: a set follows the first earlier leader of its kind that is similar to it, else it leads.
+
+    A set leads for sure if no earlier one that may lead is similar to it, and what is similar to it and later never leads. So where more than `hot` sets
+    meet at a token (names made from one template), the first of them is compared with the others and its followers are set aside, for
+    up to `rounds` rounds. Pairs are then listed of the sets that are left; those set aside meet leaders alone.
+    """
+    prefixes = cut(_prefixes(sets, threshold))
+    live, sure, waiting, some_aside = prefixes, sets.select("id").limit(0), sets.select("id").limit(0), False
+    for _ in range(rounds):
+        met = live.join(sure, "id", "left_anti").groupBy("kind", "token").agg(F.count("*").alias("sets"), F.min("id").alias("id"))
+        heads = cut(met.where(F.col("sets") > hot).select("id").union(waiting).distinct())
+        if heads.isEmpty():
+            break
+        near = cut(_similar(live.join(heads, "id", "left_semi"), live, sets, threshold, both_ways=True))
+        unsure = near.where("b < a")
+        leads = heads.join(unsure.select(F.col("a").alias("id")), "id", "left_anti")
+        waiting, sure = cut(unsure.select(F.col("b").alias("id")).distinct()), cut(sure.union(leads))
+        aside = near.where("b > a").join(leads.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+        waiting = waiting.join(aside, "id", "left_anti")
+        live, some_aside = cut(live.join(aside, "id", "left_anti")), some_aside or not aside.isEmpty()
+    links = cut(_similar(live, live, sets, threshold))
+    led = leaders(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("leader"))
+    if not some_aside:
+        return led
+    lead = live.join(led.where("id != leader"), "id", "left_anti")
+    followed = _similar(lead, prefixes.join(live.select("id").distinct(), "id", "left_anti"), sets, threshold)
+    return cut(led.union(followed.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of linked ids (a, b): the smallest id that links lead to.
 
@@ -112,8 +148,7 @@ def entity_leaders(mentions: DataFrame, threshold: float = 0.85, typed: bool = T
     classes = marked.groupBy("kind", "key").agg(F.min("ordinal").alias("id"), F.first("tokens").alias("tokens"), F.min_by("entity", "ordinal").alias("name"))
     # unequal sets can reach the threshold only where |union| >= 1 / (1 - threshold)
     least = math.ceil(1 / (1 - threshold) - 1e-9) - 1
-    links = cut(similar_sets(classes.where(F.size("tokens") >= least).select("kind", "id", "tokens"), threshold))
-    found = leaders(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("leader"))
+    found = set_leaders(cut(classes.where(F.size("tokens") >= least).select("kind", "id", "tokens")), threshold)
     names = classes.select(F.col("id").alias("leader"), F.col("name").alias("canonical"))
     classes = classes.join(found, "id", "left").select("kind", "key", F.coalesce("leader", "id").alias("leader"))
     return marked.join(classes, ["kind", "key"]).drop("kind", "key", "tokens").join(names, "leader")
@@ -127,6 +162,15 @@ def deduplicate_entities(mentions: DataFrame, threshold: float = 0.85, typed: bo
     return merged.withColumnRenamed("leader", "ordinal"), names
 
 
+def entity_provenance(mentions: DataFrame, threshold: float = 0.85, typed: bool = True) -> DataFrame:
+    """Where each merged entity is named: a row for each leader, chunk, session and time of its mentions (ordinal, entity, type, chunk_id, session_id, session_time), with how many they are.
+
+    The leader's `ordinal` and the `latest` mention of the place come with it. Rows, and not sets in one cell, so that an entity named everywhere stays spread out.
+    """
+    led = entity_leaders(mentions, threshold, typed)
+    return led.groupBy("leader", "chunk_id", "session_id", "session_time").agg(F.first("canonical").alias("entity"), F.count("*").alias("mentions"), F.max("ordinal").alias("latest")).withColumnRenamed("leader", "ordinal")
+
+
 def canonical_ends(relations: DataFrame, names: DataFrame) -> DataFrame:
     """Relations with both ends rewritten to their canonical names."""
     src, tgt = (names.select(F.col("name").alias(c), F.col("canonical").alias(f"{c}_c")) for c in ("src", "tgt"))

@@ -11,10 +11,13 @@ from threadloom.operators.retrieve import top
 
 
 def weights(summary_weight: float, with_summaries: bool, extra: float = 0.0) -> tuple[float, float]:
-    """(similarity, session) weights; without summaries all weight is on similarity. More than 1.5 in all is scaled down."""
-    own = (1 - summary_weight, summary_weight) if with_summaries else (1.0, 0.0)
-    total = sum(own) + extra
-    return tuple(w * 1.5 / total for w in own) if total > 1.5 else own
+    """(similarity, session) weights; without summaries all weight is on similarity. Where these and `extra` weights are more than 1.5 in all, they are scaled down to it."""
+    scale = _scale(extra)
+    return ((1 - summary_weight) * scale, summary_weight * scale) if with_summaries else (scale, 0.0)
+
+
+def _scale(extra: float) -> float:
+    return min(1.0, 1.5 / (1 + extra))
 
 
 def _scored(pool: DataFrame, sessions: DataFrame | None) -> DataFrame:
@@ -23,10 +26,17 @@ def _scored(pool: DataFrame, sessions: DataFrame | None) -> DataFrame:
     return pool.join(sessions, ["question_id", "session_id"], "left").withColumn("session_score", F.coalesce("session_score", F.lit(0.0)))
 
 
-def simple(pool: DataFrame, sessions: DataFrame | None, summary_weight: float = 0.3, k: int = 8) -> DataFrame:
-    """Weighted sum of similarity and session score; ties keep the pool's order."""
-    a, b = weights(summary_weight, sessions is not None)
-    rows = _scored(pool, sessions).withColumn("final_score", F.round(a * F.coalesce("similarity", F.lit(0.0)) + b * F.col("session_score"), 6))
+def simple(pool: DataFrame, sessions: DataFrame | None, summary_weight: float = 0.3, k: int = 8, factors: dict[str, float] | None = None) -> DataFrame:
+    """Weighted sum of similarity, session score and further columns of pool with weights of 0 or more (factors); ties keep the pool's order. A null counts as 0."""
+    factors = factors or {}
+    if min(factors.values(), default=0) < 0:
+        raise ValueError(f"weights of factors are 0 or more: {factors}")
+    extra = sum(factors.values())
+    a, b = weights(summary_weight, sessions is not None, extra)
+    score = a * F.coalesce("similarity", F.lit(0.0)) + b * F.col("session_score")
+    for name, weight in factors.items():
+        score = score + weight * _scale(extra) * F.coalesce(F.col(name), F.lit(0.0))
+    rows = _scored(pool, sessions).withColumn("final_score", F.round(score, 6))
     return top(rows, [F.desc("final_score"), F.col("pool_rank")], k, rank="final_rank")
 
 

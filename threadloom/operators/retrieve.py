@@ -73,16 +73,34 @@ def positional_scores(summaries: DataFrame) -> DataFrame:
     return summaries.withColumn("session_score", F.round(0.9 * F.pow(F.lit(0.9), F.col("place")), 6))
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long) of distinct texts (text) where the first lies within the second; empty texts are left out.
+
+    A text is looked up by that of its runs of three letters (itself, if it has fewer) that the fewest longer texts have, so that only texts that have this run are compared.
+    """
+    runs = lambda t: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.array(*[F.substring(t, i, F.lit(w)) for w in (1, 2, 3)]))))
+    t = F.col("text")
+    within = long.where("text != ''").select(F.col("text").alias("long"), F.explode(runs(t)).alias("run"))
+    count = within.groupBy("run").agg(F.count("*").alias("n"))
+    own = short.where("text != ''").select(F.col("text").alias("short"), F.explode(F.filter(runs(t), lambda x: F.length(x) == F.least(F.lit(3), F.length(t)))).alias("run"))
+    rarest = own.join(count, "run").groupBy("short").agg(F.min(F.struct("n", "run")).alias("r")).select("short", F.col("r.run").alias("run"))
+    return within.join(rarest, "run").where(F.contains("long", "short")).select("short", "long")
+
+
 def name_fallback(queries: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
-    """Without vectors: nodes of the same name, then those that contain or are contained, in order of discovery.
+    """Without vectors: nodes of the same name, then those that contain or are contained, in order of discovery; case doesn't count.
 
-    queries: question_id, query_ord, query_name.
+    queries: question_id, query_ord, query_name. A null name finds nothing; an empty one lies within every name, and an empty node's within every query.
     """
-    a, b = F.lower("query_name"), F.lower("name")
-    phase = F.when(a == b, 0).when(F.contains(b, a) | F.contains(a, b), 1)
-    found = queries.crossJoin(nodes.select("ordinal", "name", "entity_type")).withColumn("phase", phase).where("phase is not null")
-    first = found.groupBy("question_id", "name").agg(F.min(F.struct("query_ord", "phase", "ordinal")).alias("at"))
-    return top(first, [F.col("at")], k).select("question_id", "name", "rank")
+    asked = queries.select("question_id", "query_ord", F.lower("query_name").alias("q")).where("q is not null")
+    known = nodes.where("name is not null").groupBy("name").agg(F.min("ordinal").alias("ordinal")).withColumn("n", F.lower("name"))
+    given, stored = asked.select(F.col("q").alias("text")).distinct(), known.select(F.col("n").alias("text")).distinct()
+    first = known.orderBy(F.col("n") != "", "ordinal", "name").limit(k)
+    pairs = contained(given, stored).select(F.col("short").alias("q"), F.col("long").alias("n")).union(contained(stored, given).select(F.col("long"), F.col("short")))
+    pairs = pairs.union(first.select(F.lit(""), "n")).union(given.select("text", F.lit(""))).distinct()
+    found = asked.join(pairs, "q").join(known, "n").withColumn("phase", F.when(F.col("q") == F.col("n"), 0).otherwise(1))
+    met = found.groupBy("question_id", "name").agg(F.min(F.struct("query_ord", "phase", "ordinal")).alias("at"))
+    return top(met, [F.col("at"), F.col("name")], k).select("question_id", "name", "rank")
 
 
 def session_triples(edges: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -23,6 +23,10 @@ Dialogue:
 _NAME = """List the entities that this question names, with their types, as records.
 Parted by ##, and END after the last: ("entity"|name|type). A question that names nothing gets END alone.
 Question: """
+_NAMED = """List the entities that this text names, with their types, as records.
+Parted by ##, and END after the last: ("entity"|name|type). A text that names nothing gets END alone.
+Text:
+"""
 SUMMARISE = """Summarise this session as JSON with session_id, session_time, keys, and a context of themes and summaries.
 keys: the words to find it by, in one string, with commas. context: theme_1 and summary_1, theme_2 and summary_2, and so on, one pair for each topic.
 {"session_id": "...", "session_time": "...", "keys": "...", "context": {"theme_1": "...", "summary_1": "..."}}
@@ -102,6 +106,13 @@ class Memory:
         relations = relations.withColumn("create_time", F.coalesce(F.nullif("create_time", F.lit("")), "st")).withColumn("session_id", F.coalesce("sid", "session_id"))
         return entities.drop("place"), relations.drop("st", "sid", "place")
 
+    def named(self, chunks: DataFrame) -> DataFrame:
+        """Entities alone, without relations, that a model finds in chunks or texts of any kind (chunk_id, text): chunk_id, place (in the reply), entity, type, and source_text, the beginning of the text."""
+        asked = chunks.select("chunk_id", text.preview(F.coalesce("text", F.lit(""))).alias("source_text"), F.concat(F.lit(_NAMED), F.coalesce("text", F.lit(""))).alias("prompt"))
+        replies = self._replies(asked, "entities")
+        found = extract.parse_query_entities(replies.select("chunk_id", "source_text", "reply"), place="place")
+        return found.select("chunk_id", "place", F.col("query_name").alias("entity"), F.col("query_type").alias("type"), "source_text")
+
     def summaries(self, sessions: DataFrame, old: DataFrame | None = None) -> DataFrame:
         """A summary of each session; one that `old` has is brought up to date with what was added, the rest of `old` stays.
 

@@ -250,6 +250,27 @@ def relation_dedup(spark, sf_dir):
     return rows.select("ordinal", "src", "tgt", "relation", "create_time", "session_id", "chunk_id", "strength", F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("session_ids", ",").alias("sessions"), "weight")
 
 
+@query(f"""with {RELATIONS}, rewritten as (select * replace (case when src = 'u' || (cast(src[2:] as bigint) // 2 * 2) then src else 'u' || (cast(src[2:] as bigint) // 2 * 2) end as src, 'k' || (cast(tgt[2:] as bigint) // 3 * 3) as tgt) from relations)
+select min(ordinal) as ordinal, arg_min(src, ordinal) as src, arg_min(tgt, ordinal) as tgt, arg_min(relation, ordinal) as relation, arg_min(create_time, ordinal) as create_time, arg_max(session_id, ordinal) as session_id, arg_max(chunk_id, ordinal) as chunk_id,
+max(strength) as strength, count(distinct chunk_id) as n_chunks from rewritten group by src, tgt, relation""")
+def relation_canonical(spark, sf_dir):
+    """Relations whose ends are rewritten to other names: users to the even one of two, keys to the first of three."""
+    rows = relations(spark, sf_dir)
+    number = lambda c, step: F.floor(F.substring(c, 2, 20).cast("long") / step) * step
+    users = rows.select(F.col("src").alias("name"), F.concat(F.lit("u"), number("src", 2)).alias("canonical")).distinct()
+    keys = rows.select(F.col("tgt").alias("name"), F.concat(F.lit("k"), number("tgt", 3)).alias("canonical")).distinct()
+    found = dedup.deduplicate_relations(dedup.canonical_ends(rows, users.union(keys)))
+    return found.select("ordinal", "src", "tgt", "relation", "create_time", "session_id", "chunk_id", "strength", F.size("chunk_ids").cast("long").alias("n_chunks"))
+
+
+@query(f"""with {RELATIONS}, m as (select *, min(ordinal) over (partition by src) as leader, ordinal % 40 as place from relations)
+select leader as ordinal, place as chunk_id, session_id, create_time as session_time, src as entity, count(*) as mentions, max(ordinal) as latest from m group by all""")
+def entity_provenance(spark, sf_dir):
+    """Where each user is named, in rows of chunk, session and time."""
+    rows = relations(spark, sf_dir).select("ordinal", F.col("src").alias("entity"), F.lit("person").alias("type"), (F.col("ordinal") % 40).alias("chunk_id"), "session_id", F.col("create_time").alias("session_time"))
+    return dedup.entity_provenance(rows)
+
+
 def persons(spark, sf_dir) -> DataFrame:
     return relations(spark, sf_dir).select("ordinal", F.col("src").alias("entity"), F.lit("person").alias("type"), "chunk_id")
 
@@ -280,6 +301,19 @@ def graph_merge(spark, sf_dir):
     return merged.select("ordinal", "src", "tgt", "relation", "session_id", "session_time", "chunk_id", "strength", "weight", F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("session_times", ",").alias("times"))
 
 
+@query(f"""with {RELATIONS}, halves as (select *, ordinal < (select max(ordinal) / 2 from relations) as early from relations),
+met as (select src as name, early, min(ordinal) as ordinal, arg_max(case when strength > 7 then relation else '' end, ordinal) as entity_type, max(chunk_id) as chunk_id, max(strength) > 9 as extracted from halves group by src, early)
+select name, coalesce(o.ordinal, n.ordinal) as ordinal, coalesce(nullif(o.entity_type, ''), n.entity_type) as entity_type, coalesce(n.chunk_id, o.chunk_id) as chunk_id, coalesce(o.extracted, false) or coalesce(n.extracted, false) as extracted
+from (from met where early) o full join (from met where not early) n using (name)""")
+def graph_merge_nodes(spark, sf_dir):
+    """Users of the earlier half of the events, brought up to date with those of the later half; a type that was missing is filled in."""
+    rows = relations(spark, sf_dir)
+    half = rows.agg(F.max("ordinal") / 2).first()[0] or 0
+    kind = F.max_by(F.when(F.col("strength") > 7, F.col("relation")).otherwise(""), "ordinal").alias("entity_type")
+    met = lambda part: part.groupBy(F.col("src").alias("name")).agg(F.min("ordinal").alias("ordinal"), kind, F.max("chunk_id").alias("chunk_id"), (F.max("strength") > 9).alias("extracted"))
+    return graph.merge_nodes(met(rows.where(F.col("ordinal") < half)), met(rows.where(F.col("ordinal") >= half)))
+
+
 def questions(spark, sf_dir) -> DataFrame:
     """A question for each label: its vector is the label's mean."""
     e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("question_id"), F.posexplode("embedding").alias("i", "x"))
@@ -339,6 +373,15 @@ def rerank_simple(spark, sf_dir):
     return longs(simple(spark, sf_dir).select("question_id", "src", "tgt", "final_score", "final_rank"), "final_rank")
 
 
+@query(f"""with {POOL}, weighed as (select pool.*, round({0.7 * (1.5 / 1.8)!r}::double * similarity::double + {0.3 * (1.5 / 1.8)!r}::double * coalesce(session_score::double, 0) + {0.8 * (1.5 / 1.8)!r}::double * entity_bonus::double, 6) as final_score from pool left join sessions using (question_id, session_id))
+select question_id, src, tgt, final_score, final_rank from (select *, row_number() over (partition by question_id order by final_score desc, pool_rank) - 1 as final_rank from weighed) where final_rank < 8""")
+def rerank_factors(spark, sf_dir):
+    """The simple ranking with the bonus of an end's rank as a further factor; all weights are scaled to 1.5 in all."""
+    found = pool(spark, sf_dir)
+    rows = rerank.simple(found, session_scores(spark, sf_dir, found), 0.3, 8, {"entity_bonus": 0.8})
+    return longs(rows.select("question_id", "src", "tgt", "final_score", "final_rank"), "final_rank")
+
+
 @query(f"""with {POOL}, gaps as (select pool.*, coalesce(session_score::double, 0) as s, cast(abs(date_diff('day', date '2024-01-15', strptime(session_time, '%Y/%m/%d')::date)) as double) as gap from pool left join sessions using (question_id, session_id)),
 scored2 as (select g.*, round((0.3 * case when s = 0 then 0.01 else s end + 0.7 * similarity::double) * exp(-pow(gap / greatest(median(gap) over (partition by question_id), 1.0), 0.5)), 6) as final_score from gaps g)
 select question_id, src, tgt, final_score, final_rank from (select *, row_number() over (partition by question_id order by final_score desc, pool_rank) - 1 as final_rank from scored2) where final_rank < 8""")
@@ -467,6 +510,21 @@ def name_fallback(spark, sf_dir):
     return longs(retrieve.name_fallback(asked, nodes, 5), "rank")
 
 
+@query("""with t as (select p_partkey, p_type, p_brand, string_split(p_type, ' ') as w from part), nodes as (select min(p_partkey * 4 + k) as ordinal, name from (select p_partkey, 0 as k, p_type as name from t union all select p_partkey, 1, w[1] from t
+  union all select p_partkey, 2, w[len(w)] from t union all select p_partkey, 3, p_type || ' of ' || p_brand from t) group by name),
+asked as (select cast(p_size as bigint) as question_id, p_partkey as query_ord, lower(p_type) as q from part),
+met as (select question_id, name, min({'o': query_ord, 'p': case when q = lower(name) then 0 else 1 end, 'n': ordinal}) as met_at from asked join nodes on contains(q, lower(name)) or contains(lower(name), q) group by all)
+select question_id, name, rank from (select *, row_number() over (partition by question_id order by met_at, name) - 1 as rank from met) where rank < 5""")
+def name_fallback_both_ways(spark, sf_dir):
+    """Nodes by name where names of queries lie within those of nodes and the other way round."""
+    part = read(spark, sf_dir, "part")
+    words = F.split("p_type", " ")
+    names = F.array(F.col("p_type"), words[0], F.element_at(words, -1), F.concat_ws(" of ", "p_type", "p_brand"))
+    nodes = part.select("p_partkey", "p_type", F.posexplode(names).alias("k", "name")).groupBy("name").agg(F.min(F.col("p_partkey") * 4 + F.col("k")).alias("ordinal"))
+    asked = part.select(F.col("p_size").cast("long").alias("question_id"), F.col("p_partkey").alias("query_ord"), F.upper("p_type").alias("query_name"))
+    return longs(retrieve.name_fallback(asked, nodes, 5), "rank")
+
+
 @query("""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 2) as k from documents) select doc_id, len(k) as n_keywords, md5(array_to_string(k, ' ')) as keywords_md5 from w""")
 def keyword_tokens(spark, sf_dir):
     found = text.keywords(F.col("text"))

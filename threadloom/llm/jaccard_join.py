@@ -88,12 +88,10 @@ def _scatter(size: int, buckets: int, common):
                 b = np.where(hot, buckets, _bucket(h, buckets))
                 order = np.argsort(b, kind="stable")
                 h, doc, b = h[order], doc[order], b[order]
-                cuts = np.searchsorted(b, np.arange(buckets + 2))
+                # only buckets that have something: the number of all grows with the corpus
+                begins = np.flatnonzero(np.diff(b, prepend=-1)).tolist()
                 rows = []
-                for k in range(buckets + 1):
-                    lo, hi = cuts[k], cuts[k + 1]
-                    if lo == hi:
-                        continue
+                for k, lo, hi in zip(b[begins].tolist(), begins, [*begins[1:], len(b)]):
                     which, count = np.unique(doc[lo:hi], return_counts=True)
                     of = one[which]
                     if k < buckets:

@@ -87,12 +87,18 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     return within.join(rarest, "run").where(F.contains("long", "short")).select("short", "long")
 
 
+def _asked_once(queries: DataFrame, *keys: str) -> DataFrame:
+    """Each question's names once, with the first place where it asks for them (a null place comes before all): rows that repeat a name must not meet its nodes again and again."""
+    first = F.when(F.count("query_ord") == F.count("*"), F.min("query_ord"))
+    return queries.groupBy("question_id", *keys).agg(first.alias("query_ord"))
+
+
 def name_fallback(queries: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """Without vectors: nodes of the same name, then those that contain or are contained, in order of discovery; case doesn't count.
 
     queries: question_id, query_ord, query_name. A null name finds nothing; an empty one lies within every name, and an empty node's within every query.
     """
-    asked = queries.select("question_id", "query_ord", F.lower("query_name").alias("q")).where("q is not null")
+    asked = _asked_once(queries.select("question_id", "query_ord", F.lower("query_name").alias("q")).where("q is not null"), "q")
     known = nodes.where("name is not null").groupBy("name").agg(F.min("ordinal").alias("ordinal")).withColumn("n", F.lower("name"))
     given, stored = asked.select(F.col("q").alias("text")).distinct(), known.select(F.col("n").alias("text")).distinct()
     first = known.orderBy(F.col("n") != "", "ordinal", "name").limit(k)
@@ -121,6 +127,7 @@ def relations_of(names: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
 
     A null name, and one without edges, has none.
     """
+    names = _asked_once(names, "name")
     into, out = (edges.join(names.select("question_id", "query_ord", F.col("name").alias(end)), end).withColumn("phase", F.lit(phase)) for phase, end in enumerate(("tgt", "src")))
     kept = [c for c in edges.columns if c not in ("src", "tgt", "relation")]
     first = F.min_by(F.struct(*kept), F.struct("query_ord", "phase", "ordinal")).alias("e")

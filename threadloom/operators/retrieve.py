@@ -178,7 +178,7 @@ def mean_scores(pairs: DataFrame) -> DataFrame:
 
 def nodes_named(names: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """The first k nodes of each question's names (question_id, query_ord, query_name), case aside, in the order of the names."""
-    asked = names.select("question_id", "query_ord", F.lower("query_name").alias("key"))
+    asked = _asked_once(names.select("question_id", "query_ord", F.lower("query_name").alias("key")), "key")
     found = nodes.withColumn("key", F.lower("name")).join(asked, "key").drop("key")
     first = found.groupBy("question_id", "name", "entity_type").agg(F.min(F.struct("query_ord", "ordinal")).alias("at"))
     return top(first, [F.col("at"), F.col("name")], k).drop("at")

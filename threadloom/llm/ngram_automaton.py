@@ -98,7 +98,9 @@ class Block:
         many = np.where(np.arange(len(self.hashes)) < size, word_buckets, buckets).astype(np.uint64)
         bucket = (high * many >> np.uint64(24)).astype(np.int64)
         bucket[size:] += word_buckets
-        self.order = np.lexsort((self.hashes & _LOW, bucket))
+        # one sort of one key; n-grams that tie are told the same sums, in whichever order they stand
+        small = word_buckets + buckets <= 1 << 16
+        self.order = np.argsort(bucket.astype(np.uint64) << np.uint64(48) | self.hashes & _LOW) if small else np.lexsort((self.hashes & _LOW, bucket))
         self.bucket = bucket[self.order]
         self.own = [np.bincount(self.tokens[self.train], minlength=size), np.bincount(pair[self.train], minlength=len(self.pairs)), np.bincount(triple[self.train[later]], minlength=len(self.triples))]
 

@@ -2,8 +2,10 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadloom.llm import backtrack_bpe, exact_topk, jaccard_join, jump_shards, mixing, multi_index, ngram_automaton, ppm_language, queries, token_files, toxicity
+from threadloom.llm import textkernel as tk
 
 SF = "/root/testdata/sf0.001"
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
@@ -89,6 +92,51 @@ def test_automaton_carries_states_through_long_texts(spark):
     assert got == pytest.approx({i: x[4] for (i, _), x in zip(texts, brute_scores(texts, lambda i: i % 2 == 0))})
 
 
+def test_automaton_leaves_no_shuffle_behind(spark, monkeypatch):
+    """What is asked for is twice as much as the texts: words and pairs must be gone from the disk when triples are asked for, and triples when scores are made."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(map(str, rng.integers(0, 5000, 400)))) for i in range(200)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    places = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    found = lambda: {p: p.stat().st_size for d in places for p in Path(d).rglob("shuffle_*.data") if p.exists()}
+    left, write = [], ngram_automaton.Scratch.table
+
+    def table(self, df):
+        there = found()
+        back = write(self, df)
+        for _ in range(10):  # files go a moment after the run that made them
+            if not (size := sum(n for p, n in found().items() if p not in there)):
+                break
+            time.sleep(0.1)
+        left.append(size)
+        return back
+
+    monkeypatch.setattr(ngram_automaton.Scratch, "table", table)
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    scores = ngram_automaton.backoff_scores(spark, rows, F.col("doc_id") % 5 == 0)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    assert left == [0, 0, 0]
+    got = {r["doc_id"]: r["score"] for r in scores.collect()}
+    assert got == pytest.approx({i: x[4] for (i, _), x in zip(texts, brute_scores(texts, lambda i: i % 5 == 0))})
+
+
+def test_automaton_asks_for_each_ngram_in_one_round():
+    rng = np.random.default_rng(6)
+    vocabulary = np.unique(np.append(rng.integers(0, 1 << 63, 50).astype(np.uint64), ngram_automaton.END))
+    tokens, lengths = rng.integers(0, 51, 900), np.array([300, 1, 599])
+    row = {"vocabulary": vocabulary.tobytes(), "tokens": tk.squeeze(tokens), "lengths": tk.squeeze(lengths), "held": np.array([False, False, True]).tobytes()}
+    whole = list(ngram_automaton.Block(row, 3, 4).sent(3, 4))
+    rounds = [list(ngram_automaton.Block(row, 3, 4, kinds).sent(3, 4)) for kinds in ngram_automaton.ROUNDS]
+    assert [x for r in rounds for x in r] == whole
+    assert [sorted({k for k, *_ in r}) for r in rounds] == [list(range(7)), list(range(7, 11))]
+
+
+def test_automaton_of_empty_texts_alone(spark):
+    texts = [(1, ""), (2, None), (3, " \n")]
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ngram_automaton.backoff_scores(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), F.col("doc_id") == 3).collect()]
+    assert sorted(got) == [(i, *x) for (i, _), x in zip(texts, brute_scores(texts, lambda i: i == 3))]
+
+
 def test_weights_of_a_state_sum_to_one():
     """Words 0 and 1 are known, 2 isn't; so are the pairs (0, 0), (0, 1), (1, 0) and one word after each."""
     a = ngram_automaton.Automaton(np.array([4, 3, 0]), np.array([0, 1, 3]), np.array([2, 2, 3]), np.array([1, 3, 6]), np.array([2, 2, 3]), 7, 2, 0.1, (8.0, 1.0))

@@ -15,7 +15,8 @@ The automaton of a corpus is as large as the corpus, so no task and no driver ev
 blocks of word numbers. Each block asks for the counts of its own n-grams, by hash range; ranges are
 summed over all blocks; and each block gets back the counts of the part of the automaton that its texts
 can walk. An n-gram is one entry of a block however often it occurs, so none fills a range. N-grams
-are told apart by 48 bits of their hashes beside the range.
+are told apart by 48 bits of their hashes beside the range. Triples are asked for when words and pairs
+have been told and the files of that shuffle are gone, so that the disk holds about half of what is asked at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, small_batches
+from threadloom.llm.workdir import Scratch, buckets_for, columns_or_null, shuffles_freed, small_batches
 
 END = np.uint64(0x656E64206F662074)  # stands for the end of a text, and before its first word
 _LOW = np.uint64((1 << 48) - 1)
@@ -54,7 +55,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             null = np.array([x is None for x in ids[first:last]], np.uint8)
             yield pa.RecordBatch.from_pydict({
                 "block": [block], "doc_ids": [named.tobytes() + null.tobytes()], "held": [own.tobytes()], "lengths": [tk.squeeze(lengths)], "tokens": [tk.squeeze(tokens)],
-                "vocabulary": [vocabulary.tobytes()], "train": [int(lengths[~own].sum())], "grams": [2 * len(tokens)],
+                "vocabulary": [vocabulary.tobytes()], "train": [int(lengths[~own].sum())], "grams": [len(tokens)],
             }, schema=_BLOCK_SCHEMA)
             block += 1
 
@@ -72,10 +73,21 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int = 6 << 20) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+WORDS, PAIRS, TRIPLES = range(3)
+ROUNDS = (WORDS, PAIRS), (TRIPLES,)  # what is asked for together
+
+
+def _follow(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return tk.mix(histories * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
 class Block:
-    """A block's texts, and its distinct words, pairs and triples, each with its place in the order in which they are sent."""
+    """A block's texts, and those of its distinct words, pairs and triples that are asked for, each with its place in the order in which they are sent.
+
+    Words are dealt to the first word_buckets ranges, pairs to the next `buckets`, triples to as many after these.
+    """
 
-    def __init__(self, row: dict, word_buckets: int, buckets: int):
+    def __init__(self, row: dict, word_buckets: int, buckets: int, kinds: tuple[int, ...] = (WORDS, PAIRS, TRIPLES)):
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
         self.tokens, self.lengths = tk.unsqueeze(row["tokens"]), tk.unsqueeze(row["lengths"])
         self.train = np.repeat(~np.frombuffer(row["held"], bool), self.lengths)
@@ -84,29 +96,35 @@ class Block:
         before[1:] = self.tokens[:-1]
         before[self.starts] = self.end = int(np.searchsorted(self.vocabulary, END))
         self.pairs, pair = np.unique(before * size + self.tokens, return_inverse=True)
-        later = np.ones(len(self.tokens), bool)
-        later[self.starts] = False
-        later = np.flatnonzero(later)
-        self.triples, triple = np.unique(pair[later - 1] * size + self.tokens[later], return_inverse=True)  # (pair, word)
         h, w = np.divmod(self.pairs, size)
-        p, x = np.divmod(self.triples, size)
-        two = tk.mix(self.vocabulary[h] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[w])
-        three = tk.mix((two[p] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[x])
-        one = tk.mix(self.vocabulary)
-        self.hashes = np.concatenate([one, two, three])
-        high = self.hashes >> np.uint64(40)
-        many = np.where(np.arange(len(self.hashes)) < size, word_buckets, buckets).astype(np.uint64)
-        bucket = (high * many >> np.uint64(24)).astype(np.int64)
-        bucket[size:] += word_buckets
+        two = _follow(self.vocabulary[h], self.vocabulary[w])
+        hashes, bucket, own = [], [], []
+
+        def deal(of: np.ndarray, first: int, many: int, in_training: np.ndarray) -> None:
+            hashes.append(of)
+            bucket.append(first + ((of >> np.uint64(40)) * np.uint64(many) >> np.uint64(24)).astype(np.int64))
+            own.append(np.bincount(in_training, minlength=len(of)))
+
+        if WORDS in kinds:
+            deal(tk.mix(self.vocabulary), 0, word_buckets, self.tokens[self.train])
+        if PAIRS in kinds:
+            deal(two, word_buckets, buckets, pair[self.train])
+        if TRIPLES in kinds:
+            later = np.ones(len(self.tokens), bool)
+            later[self.starts] = False
+            later = np.flatnonzero(later)
+            self.triples, triple = np.unique(pair[later - 1] * size + self.tokens[later], return_inverse=True)  # (pair, word)
+            p, x = np.divmod(self.triples, size)
+            deal(_follow(two[p] ^ np.uint64(0x5851F42D4C957F2D), self.vocabulary[x]), word_buckets + buckets, buckets, triple[self.train[later]])
+        self.hashes, self.own, bucket = np.concatenate(hashes), np.concatenate(own), np.concatenate(bucket)
         # one sort of one key; n-grams that tie are told the same sums, in whichever order they stand
-        small = word_buckets + buckets <= 1 << 16
+        small = word_buckets + 2 * buckets <= 1 << 16
         self.order = np.argsort(bucket.astype(np.uint64) << np.uint64(48) | self.hashes & _LOW) if small else np.lexsort((self.hashes & _LOW, bucket))
         self.bucket = bucket[self.order]
-        self.own = [np.bincount(self.tokens[self.train], minlength=size), np.bincount(pair[self.train], minlength=len(self.pairs)), np.bincount(triple[self.train[later]], minlength=len(self.triples))]
 
     def sent(self, word_buckets: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-        low, count = (self.hashes & _LOW)[self.order], np.concatenate(self.own)[self.order]
-        cuts = np.searchsorted(self.bucket, np.arange(word_buckets + buckets + 1))
+        low, count = (self.hashes & _LOW)[self.order], self.own[self.order]
+        cuts = np.searchsorted(self.bucket, np.arange(word_buckets + 2 * buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[k], cuts[k + 1])
             yield k, tk.squeeze(np.diff(low[part], prepend=np.uint64(0)), 6), tk.squeeze(count[part])
@@ -115,15 +133,16 @@ class Block:
 _ASKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
-def _ask(word_buckets: int, buckets: int):
-    """A block's n-grams and their counts in its training texts, by hash range."""
+def _ask(word_buckets: int, buckets: int, kinds: tuple[int, ...]):
+    """A block's n-grams of these kinds and their counts in its training texts, by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
-                rows = [(k, row["block"], g, c) for k, g, c in Block(row, word_buckets, buckets).sent(word_buckets, buckets)]
-                yield pa.RecordBatch.from_pydict(dict(zip(_ASKED.names, zip(*rows))), schema=_ASKED)
+                rows = [(k, row["block"], g, c) for k, g, c in Block(row, word_buckets, buckets, kinds).sent(word_buckets, buckets)]
+                if rows:  # a block of texts without words has no triples
+                    yield pa.RecordBatch.from_pydict(dict(zip(_ASKED.names, zip(*rows))), schema=_ASKED)
 
     return run
 
@@ -261,8 +280,12 @@ def backoff_scores(spark: SparkSession, docs: DataFrame, held_out, add: float =
     blocks = scratch.table(docs.mapInArrow(_blocks, _BLOCK))
     vocabulary, n, grams = (int(x or 0) for x in blocks.agg(F.sum(F.length("vocabulary")) / 8, F.sum("train"), F.sum("grams")).first())
     word_buckets, buckets = buckets_for(vocabulary, per_bucket), buckets_for(grams, per_bucket)
-    asked = blocks.mapInArrow(_ask(word_buckets, buckets), "bucket long, block long, grams binary, counts binary")
-    told = scratch.table(asked.groupBy("bucket").applyInArrow(_tell, _TOLD))
+    told = []
+    for kinds in ROUNDS:
+        asked = blocks.mapInArrow(_ask(word_buckets, buckets, kinds), "bucket long, block long, grams binary, counts binary")
+        with shuffles_freed(spark):
+            told.append(scratch.table(asked.groupBy("bucket").applyInArrow(_tell, _TOLD)))
+    told = told[0].union(told[1])
     v = told.where((F.col("block") == -1) & (F.col("bucket") < word_buckets)).agg(F.sum("seen")).first()[0] or 0
     empty = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "held", "lengths", "tokens", "vocabulary")]
     parts = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "doc_ids", "held", "lengths", "tokens", "vocabulary")
